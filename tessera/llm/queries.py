@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup
+from . import exact_dedup, near_dedup, substring_dedup
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
 }
 
 ORACLES = {
     "op1_minhash_near_dedup": near_dedup.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
+    "op7_substring_dedup": substring_dedup.SQL,
 }
