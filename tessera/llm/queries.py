@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, mixing, near_dedup, secrets, substring_dedup, toxicity
+from . import decontamination, exact_dedup, html_text, mixing, near_dedup, secrets, substring_dedup, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_html_extraction": html_text.op3_html_extraction,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_secret_scan": secrets.op8_secret_scan,
