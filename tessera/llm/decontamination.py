@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,17 +169,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, spec: Matching = Matchi
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, spec: Matching = Matching()) -> DataFrame:  # noqa: B008
     """The documents that hold no item, with all their columns."""
-    import pandas as pd
-
     out = docs
     for items in _blocks(benchmark, spec):
+        out = out.where(~_holds(items)(F.col("text").cast("string")))
+    return out
 
-        @F.pandas_udf("boolean")
-        def holds(text: pd.Series, items=items) -> pd.Series:
-            return pd.Series([bool(items.find(t or "")) for t in text], dtype=bool)
 
-        out = out.where(~holds(F.col("text").cast("string")))
-    return out
+def _holds(items: Items):
+    @F.pandas_udf("boolean")
+    def holds(text: pd.Series) -> pd.Series:
+        return pd.Series([bool(items.find(t or "")) for t in text], dtype=bool)
+
+    return holds
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

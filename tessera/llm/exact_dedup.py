@@ -30,8 +30,8 @@ def _bit(page: Column, at: Column) -> Column:
     return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
 
 
-def _probes(bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64("digest", F.lit(k)), F.lit(bits)) for k in (1, 2)]
+def _probes(bits: int, digest: str = "digest") -> list[Column]:
+    return [F.pmod(F.xxhash64(digest, F.lit(k)), F.lit(bits)) for k in (1, 2)]
 
 
 def repeated_filter(keys: DataFrame, bits: int) -> DataFrame:
@@ -42,6 +42,27 @@ def repeated_filter(keys: DataFrame, bits: int) -> DataFrame:
     return twice.groupBy(page).agg(F.bitmap_construct_agg(F.col("cell") % _PAGE).alias("bitmap"))
 
 
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.encode(normalized(text.cast("string")), "UTF-8"), 256))
+
+
+def _first_pass(docs: DataFrame, scratch: Scratch, max_bits: int) -> tuple[DataFrame, DataFrame, int]:
+    keys = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest(F.col("text")).alias("digest")))
+    bits = _PAGE
+    while bits < min(max_bits, BITS_PER_ROW * keys.count()):
+        bits *= 2
+    return keys, scratch.keep(repeated_filter(keys, bits)), bits
+
+
+def _maybe(rows: DataFrame, pages: DataFrame, bits: int, digest: str = "digest") -> DataFrame:
+    """rows with _maybe: both cells of the digest are hit twice or more. No shuffle: the pages are broadcast."""
+    for k, probe in enumerate(_probes(bits, digest)):
+        side = pages.select(F.col("page").alias(f"_page{k}"), F.col("bitmap").alias(f"_bitmap{k}"))
+        rows = rows.withColumn(f"_cell{k}", probe).withColumn(f"_page{k}", F.floor(F.col(f"_cell{k}") / _PAGE).cast("long"))
+        rows = rows.join(F.broadcast(side), f"_page{k}", "left").withColumn(f"_hit{k}", _bit(F.col(f"_bitmap{k}"), F.col(f"_cell{k}") % _PAGE)).drop(f"_bitmap{k}", f"_page{k}", f"_cell{k}")
+    return rows.withColumn("_maybe", F.col("_hit0") & F.col("_hit1")).drop("_hit0", "_hit1")
+
+
 def exact_groups(docs: DataFrame, spark: SparkSession | None = None, *, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -50,21 +71,10 @@ def exact_groups(docs: DataFrame, spark: SparkSession | None = None, *, max_bits
     carry the same keep_id and count in group_size. An empty table gives an empty result; other columns are ignored.
     """
     spark = spark or docs.sparkSession
-    scratch = Scratch(spark, "exact")
-    digest = F.unhex(F.sha2(F.encode(normalized(F.col("text")), "UTF-8"), 256))
-    keys = scratch.keep(docs.select("doc_id", digest.alias("digest")))
-    bits = _PAGE
-    while bits < min(max_bits, BITS_PER_ROW * keys.count()):
-        bits *= 2
-    pages = scratch.keep(repeated_filter(keys, bits))
-    rows = keys
-    for k, probe in enumerate(_probes(bits)):
-        side = pages.select(F.col("page").alias(f"page{k}"), F.col("bitmap").alias(f"bitmap{k}"))
-        rows = rows.withColumn(f"cell{k}", probe).withColumn(f"page{k}", F.floor(F.col(f"cell{k}") / _PAGE).cast("long"))
-        rows = rows.join(F.broadcast(side), f"page{k}", "left").withColumn(f"hit{k}", _bit(F.col(f"bitmap{k}"), F.col(f"cell{k}") % _PAGE)).drop(f"bitmap{k}", f"page{k}")
-    rows = rows.select("doc_id", "digest", (F.col("hit0") & F.col("hit1")).alias("maybe"))
-    alone = rows.where(~F.col("maybe")).select("doc_id", "digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    some = rows.where("maybe").select("doc_id", "digest")
+    keys, pages, bits = _first_pass(docs, Scratch(spark, "exact"), max_bits)
+    rows = _maybe(keys, pages, bits)
+    alone = rows.where(~F.col("_maybe")).select("doc_id", "digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    some = rows.where("_maybe").select("doc_id", "digest")
     groups = some.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     some = some.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)), F.lit(0)).cast("int"))
@@ -72,21 +82,21 @@ def exact_groups(docs: DataFrame, spark: SparkSession | None = None, *, max_bits
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def drop_copies(docs: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+def drop_copies(docs: DataFrame, spark: SparkSession | None = None, *, max_bits: int = MAX_BITS) -> DataFrame:
     """The documents that stay, with all their columns. Of rows that repeat a doc_id and text, one stays.
 
-    Only the ids of dropped documents shuffle against the input; a row is dropped by id and digest together.
+    Only documents that the filter lets through shuffle with their texts, by digest and doc_id together, so a large
+    group of copies spreads over the tasks.
     """
     spark = spark or docs.sparkSession
     scratch = Scratch(spark, "exact-drop")
-    found = exact_groups(docs, spark)
-    gone = scratch.keep(found.where("group_size > 1").select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept"), F.unhex("text_sha256").alias("_digest")).distinct())
-    digest = F.unhex(F.sha2(F.encode(normalized(F.col("text")), "UTF-8"), 256))
-    tagged = docs.withColumn("_d", digest)
-    out = tagged.join(gone, (tagged["doc_id"].eqNullSafe(gone["_id"])) & (tagged["_d"] == gone["_digest"]), "left")
-    alone = out.where("_kept is null").drop("_id", "_kept", "_digest", "_d")
-    first = out.where("_kept").drop("_id", "_kept", "_digest").dropDuplicates(["doc_id", "_d"]).drop("_d")
-    return alone.unionByName(first)
+    keys, pages, bits = _first_pass(docs, scratch, max_bits)
+    some = _maybe(keys, pages, bits).where("_maybe")
+    stay = scratch.keep(some.groupBy("digest").agg(F.min("doc_id").alias("_keep")).withColumnRenamed("digest", "_stay"))
+    rows = _maybe(docs.withColumn("_digest", _digest(F.col("text"))), pages, bits, "_digest")
+    first = rows.where("_maybe").join(stay, (F.col("_digest") == F.col("_stay")) & F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    first = first.dropDuplicates(["doc_id", "_digest"])
+    return rows.where(~F.col("_maybe")).unionByName(first).select(*docs.columns)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -267,8 +268,6 @@ def toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def _flags(lexicon: Lexicon):
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def flag(text: pd.Series) -> pd.Series:
         return pd.Series([lexicon.score(t or "") >= 0.5 for t in text], dtype=bool)
