@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, html_text, mixing, near_dedup, secrets, substring_dedup, toxicity
+from . import decontamination, exact_dedup, html_text, license_scan, lm_scores, mixing, near_dedup, secrets, substring_dedup, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_html_extraction": html_text.op3_html_extraction,
+    "op4_lm_scores": lm_scores.op4_lm_scores,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_license_scan": license_scan.op6_license_scan,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_benchmark_decontamination": decontamination.op9_benchmark_decontamination,
@@ -17,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_minhash_near_dedup": near_dedup.SQL,
+    "op4_lm_scores": lm_scores.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
     "op7_substring_dedup": substring_dedup.SQL,
 }
