@@ -1,18 +1,18 @@
 """Near-duplicate groups by banded MinHash, odd sketches and a confirmation on full shingle sets.
 
 1. One pass over the texts gives each document its number of distinct shingles, a 128-bit fingerprint of the set, its
-   band keys and its odd sketch: the MinHash samples folded into a parity bitmap.
+   band keys and its odd sketch: MinHash samples folded into a parity bitmap.
 2. Documents with the same set form a class of which the smallest id goes on; copies never meet in a bucket.
 3. In each bucket of a band, every class is proposed with the bucket's smallest id only. For each class the proposal
    whose sketches differ in the fewest bits is confirmed on full sets, and the links give components.
 4. Buckets that still hold several components are compared in cells of bounded size, where only pairs of different
-   components whose sketches agree closely enough are proposed; these are confirmed too, and components are joined.
+   components whose sketches agree closely enough are proposed: first each class's best partner, then, between the
+   components that are left, all. These are confirmed too, and components are joined.
 Links inside a component need no confirmation, so a bucket of near copies costs rows in proportion to its members.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,24 +31,35 @@ from ._text import U
 class NearDedup:
     """words: shingle length; percent: least similarity of a link, 100 * intersection >= percent * union.
 
-    With 28 bands of 4 rows a pair at 0.8 shares no band with a probability of 4e-7. The sketch drops a candidate only
-    if it says five standard deviations less than percent.
+    With 28 bands of 4 rows a pair at 0.8 shares no band with a probability of 4e-7. The odd sketch folds up to `bins`
+    samples of one more permutation (the least hash of each bin) into `sketch_bits`, and drops a candidate only if it
+    is well below percent: at least 4.7 standard deviations, as measured by simulation for 5 to 10,000 shingles.
     """
 
     words: int = 5
     percent: int = 80
     bands: int = 28
     rows: int = 4
-    sketch_bits: int = 512
+    bins: int = 2048
+    sketch_bits: int = 2048
     cell: int = 512
 
-    @property
-    def most_different(self) -> int:
-        """Sketch bits in which a pair of that similarity differs, plus five standard deviations of both samplings."""
-        k, n, j = self.bands * self.rows, self.sketch_bits, self.percent / 100
-        low = max(0.0, j - 5 * math.sqrt(j * (1 - j) / k))
-        odd = n * (1 - math.exp(-4 * k * (1 - low) / n)) / 2
-        return min(n, math.ceil(odd + 2 * math.sqrt(n) / 2))
+    def most_apart(self, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """Sketch bits in which two sets of n and m shingles differ at most, if they are as similar as percent."""
+        j, k, bits = self.percent / 100, self.bins, self.sketch_bits
+
+        def filled(x):
+            return k * -np.expm1(-x / k)
+
+        union = (n + m) / (1 + j)
+        both = filled(union)
+        # Samples that differ: each bin of the union is equal with probability j, less the variance that full bins save.
+        apart = filled(n) + filled(m) - 2 * j * both
+        spread = 2 * np.sqrt(both * j * (1 - j) * (1 - both / (union + 1e-9)) + 0.02 * union * union / k + 1)
+        apart = np.maximum(apart, 0) + 3 * spread
+        # Flips of the same bit cancel.
+        odd = bits / 2 * -np.expm1(-2 * apart / bits)
+        return np.minimum(bits, odd + 3 * np.sqrt(apart * apart / bits / 2 + 0.25))
 
 
 def _seeds(k: int) -> np.ndarray:
@@ -70,13 +81,26 @@ def _band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return key
 
 
-def _odd_sketch(sig: np.ndarray, bits: int) -> bytes:
-    """Each sample (its number and value) flips one of the bits, so equal samples cancel in the XOR of two sketches."""
-    at = _text.mix(sig ^ _text.mix(np.arange(1, len(sig) + 1, dtype=U))) % U(bits)
-    odd = np.bincount(at.astype(np.int64), minlength=bits) & 1
+def _odd_sketch(sets: np.ndarray, spec: NearDedup) -> bytes:
+    """Each sample flips one of the bits, so samples that two sets share cancel in the XOR of their sketches."""
+    v = np.sort(_text.mix(sets, 41))
+    bins = v // U((1 << 64) // spec.bins)
+    first = np.ones(len(v), dtype=bool)
+    first[1:] = bins[1:] != bins[:-1]
+    at = _text.mix(v[first], 43) % U(spec.sketch_bits)
+    odd = np.bincount(at.astype(np.int64), minlength=spec.sketch_bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+
+
+def _bitmaps(column) -> np.ndarray:
+    got = column.to_pylist()
+    return np.frombuffer(b"".join(got), dtype=U).reshape(len(got), -1)
+
+
 _FEATURES = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch binary"
 
 
@@ -96,7 +120,7 @@ def _features(spec: NearDedup):
                     if len(x):
                         sig = _signature(x, seeds)
                         keys.append(_band_keys(sig, spec.rows).view(np.int64))
-                        sketch.append(_odd_sketch(sig, spec.sketch_bits))
+                        sketch.append(_odd_sketch(x, spec))
                     else:
                         keys.append(None)
                         sketch.append(None)
@@ -131,14 +155,27 @@ def _confirm(percent: int):
     return run
 
 
-def _within_cells(most: int):
-    """Rows sorted by (key, cell): pairs of different components whose sketches differ in at most `most` bits.
+def _proposals(spec: NearDedup):
+    """a, b, their sketches and sizes: the pairs that may be similar enough, and in how many bits they differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = _differ(_bitmaps(batch.column(2)), _bitmaps(batch.column(3)))
+            ok = apart <= spec.most_apart(*(batch.column(i).to_numpy().astype(float) for i in (4, 5)))
+            got = batch.filter(pa.array(ok))
+            yield pa.record_batch([got.column(0), got.column(1), pa.array(apart[ok])], names=["a", "b", "apart"])
+
+    return run
+
+
+def _within_cells(spec: NearDedup, best_only: bool):
+    """Rows sorted by (key, cell): pairs of different components that may be similar enough.
 
     In a cell of two blocks only pairs across the blocks count. A cell has a bounded number of rows, and one that
-    spans Arrow batches is carried over.
+    spans Arrow batches is carried over. best_only: of each row only the pair whose sketches differ least.
     """
 
-    def pairs(cell: np.ndarray, rep: np.ndarray, comp: np.ndarray, side: np.ndarray, sketch: np.ndarray):
+    def pairs(cell, comp, side, size, sketch):
         for lag in range(1, len(cell)):
             i = np.flatnonzero(cell[lag:] == cell[:-lag])
             if not len(i):
@@ -147,8 +184,9 @@ def _within_cells(most: int):
             ok = (comp[i] != comp[j]) & ((side[i] < 0) | (side[i] != side[j]))
             i, j = i[ok], j[ok]
             if len(i):
-                near = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64) <= most
-                yield np.minimum(rep[i[near]], rep[j[near]]), np.maximum(rep[i[near]], rep[j[near]])
+                apart = _differ(sketch[i], sketch[j])
+                near = apart <= spec.most_apart(size[i], size[j])
+                yield i[near], j[near], apart[near]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -156,15 +194,23 @@ def _within_cells(most: int):
         def emit(table: pa.Table) -> Iterator[pa.RecordBatch]:
             if not table.num_rows:
                 return
-            cols = {n: table.column(n).to_numpy() for n in ("key", "cell", "rep", "comp", "side")}
+            cols = {n: table.column(n).to_numpy() for n in ("key", "cell", "rep", "comp", "side", "n_shingles")}
             new = np.ones(table.num_rows, dtype=bool)
             new[1:] = (cols["key"][1:] != cols["key"][:-1]) | (cols["cell"][1:] != cols["cell"][:-1])
-            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=U).reshape(table.num_rows, -1)
-            got = list(pairs(np.cumsum(new), cols["rep"], cols["comp"], cols["side"], sketch))
-            if got:
-                a, b = np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got])
-                one = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), dtype=np.int64)
-                yield pa.record_batch([pa.array(one[:, 0]), pa.array(one[:, 1])], names=["a", "b"])
+            got = list(pairs(np.cumsum(new), cols["comp"], cols["side"], cols["n_shingles"].astype(float), _bitmaps(table.column("sketch"))))
+            if not got:
+                return
+            i, j, apart = (np.concatenate([g[k] for g in got]) for k in range(3))
+            if best_only:
+                own = np.concatenate([i, j])
+                order = np.lexsort((np.concatenate([j, i]), np.concatenate([apart, apart]), own))
+                first = np.ones(len(order), dtype=bool)
+                first[1:] = own[order][1:] != own[order][:-1]
+                pick = np.unique(order[first] % max(1, len(i)))
+                i, j = i[pick], j[pick]
+            a, b = np.minimum(cols["rep"][i], cols["rep"][j]), np.maximum(cols["rep"][i], cols["rep"][j])
+            one = np.unique(np.stack([a, b], 1), axis=0)
+            yield pa.record_batch([pa.array(one[:, 0]), pa.array(one[:, 1])], names=["a", "b"])
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -172,7 +218,8 @@ def _within_cells(most: int):
             if not table.num_rows:
                 continue
             key, cell = table.column("key").to_numpy(), table.column("cell").to_numpy()
-            last = int(np.flatnonzero((key != key[-1]) | (cell != cell[-1]))[-1]) + 1 if ((key != key[-1]) | (cell != cell[-1])).any() else 0
+            other = np.flatnonzero((key != key[-1]) | (cell != cell[-1]))
+            last = int(other[-1]) + 1 if len(other) else 0
             yield from emit(table.slice(0, last))
             rest = table.slice(last)
         if rest is not None:
@@ -200,35 +247,34 @@ def near_groups(docs: DataFrame, spec: NearDedup = NearDedup(), spark: SparkSess
     slim = live.select("doc_id", "n_shingles", "s1", "s2", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int").alias("salt"))
     members = scratch.keep(slim.join(classes, ["s1", "s2", "salt"]).select("doc_id", "n_shingles", "class_id"))
     reps = members.where("doc_id = class_id").select("doc_id").distinct()
-    reps = scratch.keep(live.join(reps, "doc_id").groupBy("doc_id").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).withColumnRenamed("doc_id", "rep"))
+    reps = live.join(reps, "doc_id").groupBy("doc_id").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
+    reps = scratch.keep(reps.withColumnRenamed("doc_id", "rep"))
 
-    # Buckets of one class are of no use; the count and the minimum combine before the shuffle.
+    # A bucket of one class is of no use; the count and the minimum combine before the shuffle.
     bands = reps.select(F.explode("bands").alias("key"), "rep")
     heads = bands.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("head")).where("size > 1")
-    buckets = scratch.keep(bands.join(heads, "key"))
-    sketches = reps.select("rep", "sketch")
-    proposed = buckets.where("rep != head").select("rep", "head").distinct()
-    proposed = proposed.join(sketches, "rep").join(sketches.select(F.col("rep").alias("head"), F.col("sketch").alias("other")), "head")
-    apart = _bits_apart("sketch", "other", spec.sketch_bits)
-    first = proposed.withColumn("apart", apart).where(F.col("apart") <= spec.most_different)
-    first = scratch.keep(first.groupBy("rep").agg(F.min(F.struct("apart", "head")).alias("best")).select(F.col("best.head").alias("a"), F.col("rep").alias("b")))
-    links = scratch.keep(_confirmed(first, text, spec, scratch))
+    buckets = scratch.keep(bands.join(heads, "key").select("key", "rep", "head"))
+    shared = scratch.keep(buckets.select("rep").distinct())
+    sets = text.join(shared.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(spec), "doc_id long, shingles binary")
+    sets = scratch.keep(sets.groupBy("doc_id").agg(F.first("shingles").alias("shingles")))
+    sketches = scratch.keep(reps.join(shared, "rep", "left_semi").select("rep", "sketch", "n_shingles"))
+
+    proposed = buckets.where("rep != head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
+    proposed = proposed.join(sketches.toDF("a", "x", "n"), "a").join(sketches.toDF("b", "y", "m"), "b")
+    proposed = proposed.select("a", "b", "x", "y", "n", "m").mapInArrow(_proposals(spec), "a long, b long, apart long")
+    best = proposed.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best"))
+    tested = scratch.keep(best.select(F.col("best.a").alias("a"), "b"))
+    links = scratch.keep(_confirmed(tested, sets, spec))
     comp = scratch.keep(components(links, scratch))
 
-    # The buckets that still hold several components, in cells of two blocks of rows.
-    state = buckets.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component", "head", "size")
-    mixed = state.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 != c1").drop("c0", "c1")
-    rows = state.join(mixed, "key").join(sketches, "rep")
-    blocks = F.ceil(F.col("size") / spec.cell).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    rows = rows.select("key", (low * F.col("blocks") + high).cast("long").alias("cell"), "rep", "comp", F.when(low == high, -1).otherwise(F.col("block")).cast("int").alias("side"), "sketch")
-    cells = rows.repartition("key", "cell").sortWithinPartitions("key", "cell")
-    second = cells.mapInArrow(_within_cells(spec.most_different), "a long, b long").distinct()
-    more = _confirmed(scratch.keep(second), text, spec, scratch)
-    links = scratch.keep(links.union(more))
-    comp = components(links, scratch)
+    # Buckets that still hold several components: first each class's best partner there, then all that remains.
+    for best_only in (True, False):
+        cells = _cells(buckets.select("key", "rep"), comp, sketches, spec)
+        found = cells.mapInArrow(_within_cells(spec, best_only), "a long, b long").distinct()
+        new = scratch.keep(found.join(tested, ["a", "b"], "left_anti"))
+        links = scratch.keep(links.union(_confirmed(new, sets, spec)))
+        tested = tested.union(new)
+        comp = scratch.keep(components(links, scratch))
 
     found = members.join(comp.withColumnRenamed("node", "class_id"), "class_id", "left")
     found = found.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"), "class_id")
@@ -237,21 +283,21 @@ def near_groups(docs: DataFrame, spec: NearDedup = NearDedup(), spark: SparkSess
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id")
 
 
-def _bits_apart(x: str, y: str, bits: int):
-    """Population count of the XOR of two sketches, eight bytes at a time."""
-    total = F.lit(0)
-    for i in range(0, bits // 4, 8):
-        part = [F.conv(F.substring(F.hex(c), i + 1, 8), 16, 10).cast("long") for c in (x, y)]
-        total = total + F.bit_count(part[0].bitwiseXOR(part[1]))
-    return total
+def _cells(buckets: DataFrame, comp: DataFrame, sketches: DataFrame, spec: NearDedup) -> DataFrame:
+    """The rows of buckets with several components, in cells of two blocks of rows each, sorted by cell."""
+    state = buckets.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    mixed = state.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 != c1").select("key", "size")
+    rows = state.join(mixed, "key").join(sketches, "rep")
+    rows = rows.withColumn("blocks", F.ceil(F.col("size") / spec.cell).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    rows = rows.select("key", (low * F.col("blocks") + high).cast("long").alias("cell"), "rep", "comp", F.when(low == high, -1).otherwise(F.col("block")).cast("int").alias("side"), "n_shingles", "sketch")
+    return rows.repartition("key", "cell").sortWithinPartitions("key", "cell")
 
 
-def _confirmed(pairs: DataFrame, text: DataFrame, spec: NearDedup, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; only the sets of documents in a pair are made."""
-    need = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
-    sets = scratch.keep(text.join(need, "doc_id", "left_semi").mapInArrow(_sets(spec), "doc_id long, shingles binary").groupBy("doc_id").agg(F.first("shingles").alias("shingles")))
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+def _confirmed(pairs: DataFrame, sets: DataFrame, spec: NearDedup) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_confirm(spec.percent), "a long, b long")
 
 
