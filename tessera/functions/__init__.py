@@ -1 +1 @@
-
+"""Column expressions over pixel samples, rows of samples, rectangles and flags."""

@@ -1 +1 @@
-
+"""DataFrame operators on rasters, candidates, rectangles and layers."""

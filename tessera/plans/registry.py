@@ -2,5 +2,264 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import raster as R
+from tessera.operators import layout, predict
+from tessera.sources import views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+# DuckDB forms of the views.
+_PX = """px AS (SELECT label::BIGINT AS image_id, vec_id AS y, unnest(range(len(embedding)))::BIGINT AS x,
+  unnest(list_transform(embedding, lambda v: ((floor(v * 128)::BIGINT + 128) % 256 + 256) % 256)) AS p FROM embeddings)"""
+_RGBA = _PX + """, rgba AS (SELECT image_id, y, x // 4 AS x, max(p) FILTER (x % 4 = 0) AS r, max(p) FILTER (x % 4 = 1) AS g, max(p) FILTER (x % 4 = 2) AS b, max(p) FILTER (x % 4 = 3) AS a FROM px GROUP BY ALL)"""
+_RECT = "rects AS (SELECT p_partkey AS id, p_brand AS grp, p_size::BIGINT AS w, (51 - p_size)::BIGINT AS h FROM part)"
+_NEAR = _PX + """, l AS (SELECT image_id, y, x, p, coalesce(lag(p) OVER r, 0) AS l, coalesce(lag(p) OVER c, 0) AS u FROM px WINDOW r AS (PARTITION BY y ORDER BY x), c AS (PARTITION BY image_id, x ORDER BY y)),
+n AS (SELECT *, coalesce(lag(u) OVER (PARTITION BY y ORDER BY x), 0) AS c FROM l),
+q AS (SELECT *, CASE WHEN abs(u - c) <= abs(l - c) AND abs(u - c) <= abs(l + u - 2 * c) THEN l WHEN abs(l - c) <= abs(l + u - 2 * c) THEN u ELSE c END AS s FROM n),
+e AS (SELECT image_id, y, x, p AS none, (p - l + 256) % 256 AS delta, (p - u + 256) % 256 AS up, (p - s + 256) % 256 AS paeth FROM q)"""
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _sums(column: str, source: str = "e") -> str:
+    return f"SELECT image_id, y, sum({column})::BIGINT AS total, sum({column} * (x + 1))::BIGINT AS moment FROM {source} GROUP BY image_id, y"
+
+
+@query(f"WITH {_NEAR} {_sums('delta')}")
+def delta_residual(spark, sf_dir):
+    return predict.summary(views.rows(spark, sf_dir).withColumn("e", R.delta_row(F.col("row"))), "e")
+
+
+@query(f"WITH {_PX} {_sums('p', 'px')}")
+def delta_decode(spark, sf_dir):
+    rows = views.rows(spark, sf_dir)
+    return predict.summary(rows.withColumn("p", R.undelta_row(R.delta_row(F.col("row")))), "p")
+
+
+@query(f"WITH {_NEAR} {_sums('up')}")
+def up_residual(spark, sf_dir):
+    return predict.summary(predict.residuals(views.rows(spark, sf_dir)), "up")
+
+
+@query(f"WITH {_PX} SELECT image_id, x, sum(p)::BIGINT AS total, sum(p * (y + 1))::BIGINT AS moment FROM px GROUP BY image_id, x")
+def up_decode(spark, sf_dir):
+    p = predict.undo_up(predict.residuals(views.rows(spark, sf_dir)), "up")
+    return p.groupBy("image_id", F.col("x").cast("long").alias("x")).agg(F.sum("p").alias("total"), F.sum(F.col("p") * (F.col("y") + 1)).alias("moment"))
+
+
+@query(f"WITH {_NEAR} {_sums('paeth')}")
+def paeth_residual(spark, sf_dir):
+    return predict.summary(predict.residuals(views.rows(spark, sf_dir)), "paeth")
+
+
+_KINDS = """, t AS (SELECT image_id, y, x, 0 AS rank, 'None' AS transform, r, g, b FROM rgba
+UNION ALL SELECT image_id, y, x, 1, 'SubGreen', (r - g + 256) % 256, g, (b - g + 256) % 256 FROM rgba
+UNION ALL SELECT image_id, y, x, 2, 'SubRed', r, (g - r + 256) % 256, (b - r + 256) % 256 FROM rgba
+UNION ALL SELECT image_id, y, x, 3, 'SubBlue', (r - b + 256) % 256, (g - b + 256) % 256, b FROM rgba),
+costs AS (SELECT image_id, rank, transform, sum(least(r, 256 - r))::BIGINT AS cost_r, sum(least(g, 256 - g))::BIGINT AS cost_g, sum(least(b, 256 - b))::BIGINT AS cost_b FROM t GROUP BY ALL)"""
+
+
+@query(f"WITH {_RGBA}{_KINDS} SELECT image_id, transform, cost_r, cost_g, cost_b FROM costs")
+def color_transform_costs(spark, sf_dir):
+    return predict.transform_costs(views.pixels(spark, sf_dir)).drop("rank")
+
+
+@query(f"WITH {_RGBA} SELECT image_id, t.transform, sum(r + 3 * g + 5 * b)::BIGINT AS checksum FROM rgba, (VALUES ('None'), ('SubGreen'), ('SubRed'), ('SubBlue')) t(transform) GROUP BY ALL")
+def color_inverse(spark, sf_dir):
+    p = predict.restored(predict.transformed(views.pixels(spark, sf_dir)))
+    return p.groupBy("image_id", "transform").agg(F.sum(F.col("r") + 3 * F.col("g") + 5 * F.col("b")).alias("checksum"))
+
+
+@query(f"WITH {_RGBA}{_KINDS}, s AS (SELECT *, cost_r + cost_g + cost_b AS cost FROM costs), m AS (SELECT image_id, arg_min(transform, cost * 10 + rank) AS best, min(cost) AS cost, max(cost) FILTER (rank = 0) AS plain FROM s GROUP BY image_id) SELECT image_id, CASE WHEN cost * 10000 <= plain * 9950 THEN best ELSE 'None' END AS transform FROM m")
+def transform_choice(spark, sf_dir):
+    return predict.choose_transform(predict.transform_costs(views.pixels(spark, sf_dir)))
+
+
+@query(f"WITH {_NEAR}, m AS (SELECT image_id, x % 4 AS channel, sum(least(none, 256 - none))::BIGINT AS none, sum(least(delta, 256 - delta))::BIGINT AS delta, sum(least(up, 256 - up))::BIGINT AS up, sum(least(paeth, 256 - paeth))::BIGINT AS paeth FROM e GROUP BY ALL) SELECT *, CASE WHEN none * 10000 <= (CASE WHEN paeth * 10000 <= least(delta, up) * 9200 THEN paeth ELSE least(delta, up) END) * 9800 THEN 'None' WHEN paeth * 10000 <= least(delta, up) * 9200 THEN 'Paeth' WHEN delta <= up THEN 'Delta' ELSE 'Up' END AS predictor FROM m")
+def predictor_choice(spark, sf_dir):
+    e = predict.residuals(views.rows(spark, sf_dir)).select("image_id", F.explode(F.arrays_zip("none", "delta", "up", "paeth", F.sequence(F.lit(0), F.size("none") - 1).alias("x"))).alias("z"))
+    kinds = ("none", "delta", "up", "paeth")
+    m = e.groupBy("image_id", (F.col("z.x") % 4).cast("long").alias("channel")).agg(*[F.sum(R.magnitude(F.col(f"z.{k}"))).alias(k) for k in kinds])
+    return m.withColumn("predictor", predict.choose_predictor(*[F.col(k) for k in kinds]))
+
+
+_ALPHA = "CASE WHEN image_id % 4 = 0 THEN 255 WHEN image_id % 4 = 1 THEN 0 WHEN image_id % 4 = 2 THEN CASE WHEN a >= 128 THEN 255 ELSE 0 END ELSE a END"
+
+
+@query(f"WITH {_RGBA}, m AS (SELECT image_id, {_ALPHA} AS a FROM rgba) SELECT image_id, CASE WHEN min(a) = 255 THEN 'Opaque255' WHEN max(a) = 0 THEN 'Transparent0' WHEN bool_and(a IN (0, 255)) THEN 'Mask1Bit' ELSE 'Normal' END AS mode FROM m GROUP BY image_id")
+def alpha_mode(spark, sf_dir):
+    p = views.pixels(spark, sf_dir).withColumn("a", F.expr(_ALPHA))
+    return p.groupBy("image_id").agg(R.alpha_mode().alias("mode"))
+
+
+@query(f"WITH {_RGBA} SELECT image_id, y, x // 8 AS byte_no, sum((CASE WHEN a >= 128 THEN 1 ELSE 0 END) << (x % 8)::INT)::BIGINT AS byte FROM rgba GROUP BY ALL")
+def alpha_mask_pack(spark, sf_dir):
+    bit = F.expr("shiftleft(CASE WHEN a >= 128 THEN 1L ELSE 0L END, cast(x % 8 as int))")
+    return views.pixels(spark, sf_dir).groupBy("image_id", "y", F.floor(F.col("x") / 8).alias("byte_no")).agg(F.sum(bit).alias("byte"))
+
+
+@query(f"WITH {_RECT} SELECT id, (w << 48) + (h << 32) + ((id % 65536) << 16) + (w + h) AS packed, w AS x, h AS y, id % 65536 AS w, w + h AS h FROM rects")
+def rect_pack_unpack(spark, sf_dir):
+    r = views.rects(spark, sf_dir).select("id", R.pack_rect(F.col("w"), F.col("h"), F.col("id") % 65536, F.col("w") + F.col("h")).alias("packed"))
+    return r.select("id", "packed", *[c.alias(n) for c, n in zip(R.unpack_rect(F.col("packed")), "xywh", strict=True)])
+
+
+@query("SELECT p_partkey AS id, p_partkey // 65536 % 65536 AS pixfmt, p_partkey // 256 % 256 AS qval, p_partkey % 256 AS channels, p_partkey % 2 = 1 AS predictor, CASE p_partkey // 2 % 4 WHEN 0 THEN 'Normal' WHEN 1 THEN 'Opaque255' WHEN 2 THEN 'Transparent0' ELSE 'Mask1Bit' END AS alpha, p_partkey // 8 % 2 = 1 AS has_meta, p_partkey // 16 % 4 AS transform FROM part")
+def flags_parse(spark, sf_dir):
+    f = F.col("p_partkey")
+    bits = lambda n, mask: F.shiftright(f, n).bitwiseAND(F.lit(mask))
+    alpha = F.element_at(F.array(*map(F.lit, ("Normal", "Opaque255", "Transparent0", "Mask1Bit"))), (bits(1, 3) + 1).cast("int"))
+    return views.table(spark, sf_dir, "part").select(f.alias("id"), bits(16, 65535).alias("pixfmt"), bits(8, 255).alias("qval"), bits(0, 255).alias("channels"), (bits(0, 1) == 1).alias("predictor"), alpha.alias("alpha"), (bits(3, 1) == 1).alias("has_meta"), bits(4, 3).alias("transform"))
+
+
+@query(f"WITH {_RGBA} SELECT image_id, (((77 * r + 150 * g + 29 * b) >> 8) >> 3)::INT AS q, count(*) AS n FROM rgba GROUP BY ALL")
+def luma_quant(spark, sf_dir):
+    q = F.shiftright(R.luma(F.col("r"), F.col("g"), F.col("b")), 3)
+    return views.pixels(spark, sf_dir).groupBy("image_id", q.alias("q")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_RGBA} SELECT image_id, min(r) AS min_r, max(r) AS max_r, round(avg(r), 6) AS mean_r, min(g) AS min_g, max(g) AS max_g, round(avg(g), 6) AS mean_g, min(b) AS min_b, max(b) AS max_b, round(avg(b), 6) AS mean_b FROM rgba GROUP BY image_id")
+def channel_stats(spark, sf_dir):
+    stats = [x for c in "rgb" for x in (F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"), F.round(F.avg(c), 6).alias(f"mean_{c}"))]
+    return views.pixels(spark, sf_dir).groupBy("image_id").agg(*stats)
+
+
+@query(f"WITH {_PX}, n AS (SELECT a.image_id, a.y, sum(abs(a.p - b.p))::BIGINT AS cost FROM px a JOIN (SELECT image_id, y, lag(y) OVER (PARTITION BY image_id ORDER BY y) AS up FROM (SELECT DISTINCT image_id, y FROM px)) k ON k.y = a.y JOIN px b ON b.y = k.up AND b.x = a.x GROUP BY ALL) SELECT * FROM n")
+def edge_cost(spark, sf_dir):
+    rows = predict.with_above(views.rows(spark, sf_dir)).where("above is not null")
+    return rows.select("image_id", "y", R.l1(F.col("row"), F.col("above")).alias("cost"))
+
+
+@query(f"WITH {_PX}, i AS (SELECT y AS id, (avg(p)::DOUBLE * 4)::BIGINT AS bucket FROM (SELECT y, floor(avg(p)) AS p FROM px GROUP BY y) GROUP BY y), k AS (SELECT id, bucket, row_number() OVER (PARTITION BY bucket ORDER BY id DESC) AS rn FROM i), c AS (SELECT a.id, b.id AS other, (SELECT 0) AS z FROM i a JOIN k b ON b.bucket BETWEEN a.bucket - 3 AND a.bucket + 3 AND b.rn <= 64 AND a.id <> b.id), d AS (SELECT c.id, c.other, sum(abs(p.p - q.p))::BIGINT AS cost FROM c JOIN px p ON p.y = c.id JOIN px q ON q.y = c.other AND q.x = p.x GROUP BY ALL) SELECT id, arg_min(other, cost * 100000000 + other) AS other, min(cost) AS cost FROM d GROUP BY id")
+def bucket_nearest(spark, sf_dir):
+    mean = F.floor(R.total(F.col("row")) / F.size("row")) * 4
+    return layout.nearest(views.rows(spark, sf_dir).select(F.col("y").alias("id"), mean.alias("bucket"), F.col("row").alias("edge")))
+
+
+@query(f"WITH {_RECT} SELECT row_number() OVER (ORDER BY w * h DESC, greatest(w, h) DESC, id) - 1 AS ordinal, id FROM rects")
+def area_order(spark, sf_dir):
+    return layout.area_order(views.rects(spark, sf_dir))
+
+
+_SHELF = f"""WITH RECURSIVE {_RECT}, o AS (SELECT *, w + 4 AS pw, h + 4 AS ph, row_number() OVER (PARTITION BY grp ORDER BY w * h DESC, greatest(w, h) DESC, id) AS n FROM rects),
+s AS (SELECT grp, 0::BIGINT AS n, 0::BIGINT AS id, 0::BIGINT AS cx, 0::BIGINT AS cy, 0::BIGINT AS shelf, 0::BIGINT AS x, 0::BIGINT AS y, 0::BIGINT AS w, 0::BIGINT AS h, false AS placed FROM (SELECT DISTINCT grp FROM rects)
+UNION ALL SELECT grp, n, id, CASE WHEN ok THEN nx + pw ELSE nx END, ny, CASE WHEN ok THEN greatest(ns, ph) ELSE ns END, CASE WHEN ok THEN nx + 2 END, CASE WHEN ok THEN ny + 2 END, w, h, ok FROM (
+  SELECT *, fits AND ny + ph <= 256 AS ok FROM (
+    SELECT s.grp, o.n, o.id, o.w, o.h, o.pw, o.ph, o.pw <= 256 AND o.ph <= 256 AS fits,
+      CASE WHEN o.pw <= 256 AND o.ph <= 256 AND s.cx + o.pw > 256 THEN 0 ELSE s.cx END AS nx,
+      CASE WHEN o.pw <= 256 AND o.ph <= 256 AND s.cx + o.pw > 256 THEN s.cy + s.shelf ELSE s.cy END AS ny,
+      CASE WHEN o.pw <= 256 AND o.ph <= 256 AND s.cx + o.pw > 256 THEN 0 ELSE s.shelf END AS ns
+    FROM s JOIN o ON o.grp = s.grp AND o.n = s.n + 1)))
+"""
+
+
+@query(_SHELF + "SELECT grp, id, x, y, w, h, placed FROM s WHERE n > 0")
+def shelf_pack(spark, sf_dir):
+    return layout.shelf_pack(views.rects(spark, sf_dir), 256, 2)
+
+
+@query(_SHELF + "SELECT p.p_partkey AS id FROM part p WHERE EXISTS (SELECT 1 FROM s WHERE s.placed AND s.id = p.p_partkey)")
+def chunk_semi(spark, sf_dir):
+    placed = layout.shelf_pack(views.rects(spark, sf_dir), 256, 2).where("placed")
+    return views.rects(spark, sf_dir).select("id").join(placed, "id", "left_semi")
+
+
+@query(_SHELF + "SELECT p.p_partkey AS id FROM part p WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.placed AND s.id = p.p_partkey)")
+def chunk_anti(spark, sf_dir):
+    placed = layout.shelf_pack(views.rects(spark, sf_dir), 256, 2).where("placed")
+    return views.rects(spark, sf_dir).select("id").join(placed, "id", "left_anti")
+
+
+@query("SELECT doc_id, source, n_chars, (sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) - n_chars)::BIGINT AS \"offset\" FROM documents")
+def blob_offsets(spark, sf_dir):
+    return layout.offsets(views.table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "source", "doc_id", "n_chars")
+
+
+@query(f"WITH RECURSIVE {_RECT}, m AS (SELECT id, 0 AS level, w, h FROM rects UNION ALL SELECT id, level + 1, greatest(1, w // 2), greatest(1, h // 2) FROM m WHERE w > 1 OR h > 1) SELECT * FROM m")
+def mip_dims(spark, sf_dir):
+    return layout.mip_levels(views.rects(spark, sf_dir))
+
+
+@query("WITH r AS (SELECT label::BIGINT AS image_id, vec_id AS y, list_transform(embedding, lambda v: ((floor(v * 128)::BIGINT + 128) % 256 + 256) % 256) AS p FROM embeddings) SELECT image_id, y, (3 * p[1] + 3 * p[-1] + list_sum(p[2:-2]))::BIGINT - 0 AS total FROM r")
+def pad_replicate(spark, sf_dir):
+    rows = views.rows(spark, sf_dir)
+    return rows.select("image_id", "y", R.total(layout.pad_row(F.col("row"), 2)).alias("total"))
+
+
+@query("WITH h AS (SELECT label::BIGINT AS image_id, count(*) AS h, 64::BIGINT AS w FROM embeddings GROUP BY label), n AS (SELECT *, least(h, greatest(1, least(1024, w * h) // w)) AS n FROM h) SELECT image_id, i, i * h // n AS y FROM (SELECT image_id, h, n, unnest(range(n)) AS i FROM n)")
+def sample_rows(spark, sf_dir):
+    heights = views.rows(spark, sf_dir).groupBy("image_id").agg(F.count("*").alias("h")).withColumn("w", F.lit(64).cast("long"))
+    return predict.sample_rows(heights, 1024)
+
+
+@query(f"WITH {_PX} SELECT image_id, y, x, round(avg(p) OVER (PARTITION BY y ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS mean FROM px")
+def box_blur(spark, sf_dir):
+    n = F.size("row")
+    around = F.transform("row", lambda v, i: F.slice("row", F.greatest(i - 1, F.lit(1)), F.least(i + 3, n) - F.greatest(i - 1, F.lit(1)) + 1))
+    mean = F.transform(around, lambda a: F.round(R.total(a) / F.size(a), 6))
+    return views.rows(spark, sf_dir).select("image_id", "y", F.posexplode(mean).alias("x", "mean")).withColumn("x", F.col("x").cast("long"))
+
+
+@query(f"WITH {_PX}, v AS (SELECT image_id, y, x, list(p) OVER (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS c FROM px), w AS (SELECT image_id, y, x, list_sort(flatten(list(c) OVER (PARTITION BY y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))) AS s FROM v) SELECT image_id, y, x, s[len(s) // 2 + 1] AS median FROM w")
+def median3(spark, sf_dir):
+    by = Window.partitionBy("image_id").orderBy("y")
+    rows = views.rows(spark, sf_dir).withColumn("up", F.lag("row").over(by)).withColumn("down", F.lead("row").over(by))
+    near = lambda c, i: F.coalesce(F.slice(F.col(c), F.greatest(i, F.lit(1)), F.least(i + 2, F.size("row")) - F.greatest(i, F.lit(1)) + 1), F.expr("cast(array() as array<bigint>)"))
+    median = F.transform("row", lambda v, i: F.sort_array(F.concat(near("row", i), near("up", i), near("down", i))))
+    median = F.transform(median, lambda s: F.element_at(s, F.floor(F.size(s) / 2).cast("int") + 1))
+    return rows.select("image_id", "y", F.posexplode(median).alias("x", "median")).withColumn("x", F.col("x").cast("long"))
+
+
+_EXT = "('png', 'jpg', 'jpeg', 'bmp', 'tga', 'tif', 'tiff', 'gif', 'dng')"
+
+
+@query(f"WITH n AS (SELECT page_id, url || CASE page_id % 3 WHEN 0 THEN '.PNG' WHEN 1 THEN '.jpeg' ELSE '' END AS path FROM pages) SELECT page_id, path FROM n WHERE lower(regexp_extract(path, '[.]([^./]+)$', 1)) IN {_EXT}")
+def ext_filter(spark, sf_dir):
+    path = F.concat("url", F.expr("CASE page_id % 3 WHEN 0 THEN '.PNG' WHEN 1 THEN '.jpeg' ELSE '' END"))
+    named = views.table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
+    return named.where(F.expr(f"lower(regexp_extract(path, '[.]([^./]+)$', 1)) IN {_EXT}"))
+
+
+@query("WITH s AS (SELECT page_id, string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS p FROM pages) SELECT page_id, p[1] || ':' || array_to_string(p[2:], '/') AS resource FROM s WHERE len(p) > 1 AND p[1] <> '' AND array_to_string(p[2:], '/') <> ''")
+def resource_location(spark, sf_dir):
+    parts = views.table(spark, sf_dir, "pages").select("page_id", F.split(F.regexp_replace("url", "^[a-z]+://", ""), "/").alias("p"))
+    path = F.array_join(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))), "/")
+    return parts.where((F.size("p") > 1) & (F.col("p")[0] != "") & (path != "")).select("page_id", F.concat(F.col("p")[0], F.lit(":"), path).alias("resource"))
+
+
+@query("SELECT c_custkey AS id, c_name || '.mcmeta' AS sidecar, o.n FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON o.o_custkey = c.c_custkey")
+def sidecar_left(spark, sf_dir):
+    orders = views.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"))
+    return views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat("c_name", F.lit(".mcmeta")).alias("sidecar")).join(orders, "id", "left")
+
+
+@query("SELECT c_custkey AS id, c_name AS resource FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+def sidecar_anti(spark, sf_dir):
+    c = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("resource"))
+    return c.join(views.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), "id", "left_anti")
+
+
+@query(f"WITH {_RGBA}, k AS (SELECT image_id, y, row_number() OVER (PARTITION BY image_id ORDER BY y) - 1 AS sy FROM (SELECT DISTINCT image_id, y FROM rgba)), s AS (SELECT r.image_id, k.sy, r.x AS sx, r.r, r.g, r.b, r.a FROM rgba r JOIN k USING (image_id, y)) SELECT s.image_id, ty, tx, (r * a + 127) // 255 AS r, (g * a + 127) // 255 AS g, (b * a + 127) // 255 AS b FROM s JOIN (SELECT unnest(range(24)) AS tx) ON floor(tx / 1.5) = sx JOIN (SELECT unnest(range(24)) AS ty) ON floor(ty / 1.5) = sy")
+def viewport_render(spark, sf_dir):
+    by = Window.partitionBy("image_id").orderBy("y")
+    # A scale of 1.5: each target pixel takes the source pixel below it, over black.
+    rows = views.rows(spark, sf_dir).withColumn("sy", F.row_number().over(by) - 1).where("sy < 16")
+    px = views.pixels(spark, sf_dir).join(rows.select("image_id", "y", "sy"), ["image_id", "y"])
+    grid = lambda s: F.filter(F.sequence(F.lit(0), F.lit(23)), lambda t: F.floor(t / 1.5) == F.col(s))
+    t = px.withColumn("tx", F.explode(grid("x"))).withColumn("ty", F.explode(grid("sy")))
+    over = [F.floor((F.col(c) * F.col("a") + 127) / 255).alias(c) for c in "rgb"]
+    return t.select("image_id", F.col("ty").cast("long").alias("ty"), F.col("tx").cast("long").alias("tx"), *over)

@@ -1 +1 @@
-
+"""Tables as rasters, rectangles and layers."""
