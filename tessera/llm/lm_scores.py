@@ -61,7 +61,6 @@ def _bigrams(part: int, slices: int):
                 doc = np.repeat(np.arange(lo, hi), np.diff(ptr))
                 own = _text.mix(doc.astype(U), 3)
                 _, back_w, count_w = np.unique(_text.mix(w ^ own), return_inverse=True, return_counts=True)
-                # A text's last word is no context.
                 _, back_u, count_u = np.unique(_text.mix(u ^ own), return_inverse=True, return_counts=True)
                 pair = _text.mix(_text.mix(u, 7) * U(3) + w)
                 mine = np.flatnonzero((pair >> U(20)) % U(slices) == U(part))
@@ -72,6 +71,14 @@ def _bigrams(part: int, slices: int):
     return run
 
 
+def _summed(rows: DataFrame, total: int, spec: Backoff) -> DataFrame:
+    """Sums per document; c is the count of the context for seen bigrams, else that of the word."""
+    left = F.col("c") - F.col("own")
+    seen = F.log(F.col("others") / F.greatest(left, F.col("others")))
+    logp = F.when(F.col("seen"), seen).otherwise(F.log(spec.alpha * F.greatest(left, F.lit(1)) / F.lit(float(total))))
+    return rows.groupBy("doc_id").agg(F.sum(logp * F.col("n")).alias("log_score"), F.sum("n").alias("n_words"), F.sum(F.when(F.col("seen"), F.col("n")).otherwise(0)).alias("n_seen"))
+
+
 def scores(docs: DataFrame, spec: Backoff = Backoff(), spark: SparkSession | None = None) -> DataFrame:  # noqa: B008
     """One row per document with a doc_id: doc_id, n_words, n_seen, log_score, mean_log.
 
@@ -84,8 +91,7 @@ def scores(docs: DataFrame, spec: Backoff = Backoff(), spark: SparkSession | Non
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     words = scratch.keep(text.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("c")))
     total = words.where(F.col("word") != START).agg(F.sum("c")).first()[0] or 1
-    # Contexts: all words but the last of each text; their count is short by the texts that end with the word, which
-    # is left as it is, as both sides of the ratio then come from one table.
+    # A word's count as a context is taken to be its count as a word.
     head = words.orderBy(F.col("c").desc(), "word").limit(spec.head)
     head = scratch.keep(head)
     tail = words.join(F.broadcast(head.select("word")), "word", "left_anti").withColumnRenamed("c", "tail_c")
@@ -95,16 +101,16 @@ def scores(docs: DataFrame, spec: Backoff = Backoff(), spark: SparkSession | Non
         rows = text.mapInArrow(_bigrams(part, spec.slices), "doc_id long, u long, w long, n int, own_u int, own_w int")
         met = rows.repartition("u", "w")
         counts = met.groupBy("u", "w").agg(F.sum("n").alias("c2"))
-        joined = met.where("doc_id is not null").join(counts, ["u", "w"])
+        # Both sides of this join read one exchange; what it gives is written once and read for head and tail.
+        joined = met.join(counts, ["u", "w"])
         seen = F.col("c2") > F.col("n")
         need = joined.select("doc_id", "n", seen.alias("seen"), (F.col("c2") - F.col("n")).alias("others"), F.when(seen, F.col("u")).otherwise(F.col("w")).alias("word"), F.when(seen, F.col("own_u")).otherwise(F.col("own_w")).alias("own"))
-        need = need.join(F.broadcast(head), "word", "left")
-        known = need.where("c is not null")
+        need = scratch.keep(need.join(F.broadcast(head), "word", "left").select("doc_id", "n", "seen", "others", "own", "c", F.when(F.col("c").isNull(), F.col("word")).alias("word")))
         rest = need.where("c is null").drop("c").join(tail.withColumnRenamed("tail_c", "c"), "word")
-        every = known.unionByName(rest)
-        count = F.greatest(F.col("c") - F.col("own"), F.lit(1))
-        logp = F.when(F.col("seen"), F.log(F.col("others") / F.greatest(F.col("c") - F.col("own"), F.col("others")))).otherwise(F.log(spec.alpha * count / F.lit(float(total))))
-        parts.append(scratch.keep(every.groupBy("doc_id").agg(F.sum(logp * F.col("n")).alias("log_score"), F.sum("n").alias("n_words"), F.sum(F.when(F.col("seen"), F.col("n")).otherwise(0)).alias("n_seen"))))
+        known, rest = (_summed(x, total, spec) for x in (need.where("c is not null"), rest))
+        both = known.unionByName(rest).groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("log_score", "n_words", "n_seen")])
+        parts.append(scratch.keep(both))
+        scratch.drop(need)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
