@@ -175,7 +175,7 @@ def _within_cells(spec: NearDedup, best_only: bool):
     spans Arrow batches is carried over. best_only: of each row only the pair whose sketches differ least.
     """
 
-    def pairs(cell, comp, side, size, sketch):
+    def pairs(cell, key, comp, side, size, sketch, bands):
         for lag in range(1, len(cell)):
             i = np.flatnonzero(cell[lag:] == cell[:-lag])
             if not len(i):
@@ -186,7 +186,10 @@ def _within_cells(spec: NearDedup, best_only: bool):
             if len(i):
                 apart = _differ(sketch[i], sketch[j])
                 near = apart <= spec.most_apart(size[i], size[j])
-                yield i[near], j[near], apart[near]
+                i, j, apart = i[near], j[near], apart[near]
+                # A pair that meets in several bands counts in the first of them.
+                first = (bands[i] == bands[j]).argmax(1) == (bands[i] == key[i][:, None]).argmax(1)
+                yield i[first], j[first], apart[first]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -197,7 +200,8 @@ def _within_cells(spec: NearDedup, best_only: bool):
             cols = {n: table.column(n).to_numpy() for n in ("key", "cell", "rep", "comp", "side", "n_shingles")}
             new = np.ones(table.num_rows, dtype=bool)
             new[1:] = (cols["key"][1:] != cols["key"][:-1]) | (cols["cell"][1:] != cols["cell"][:-1])
-            got = list(pairs(np.cumsum(new), cols["comp"], cols["side"], cols["n_shingles"].astype(float), _bitmaps(table.column("sketch"))))
+            bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+            got = list(pairs(np.cumsum(new), cols["key"], cols["comp"], cols["side"], cols["n_shingles"].astype(float), _bitmaps(table.column("sketch")), bands))
             if not got:
                 return
             i, j, apart = (np.concatenate([g[k] for g in got]) for k in range(3))
@@ -257,10 +261,11 @@ def near_groups(docs: DataFrame, spec: NearDedup = NearDedup(), spark: SparkSess
     shared = scratch.keep(buckets.select("rep").distinct())
     sets = text.join(shared.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(spec), "doc_id long, shingles binary")
     sets = scratch.keep(sets.groupBy("doc_id").agg(F.first("shingles").alias("shingles")))
-    sketches = scratch.keep(reps.join(shared, "rep", "left_semi").select("rep", "sketch", "n_shingles"))
+    sketches = scratch.keep(reps.join(shared, "rep", "left_semi").select("rep", "sketch", "n_shingles", "bands"))
 
     proposed = buckets.where("rep != head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    proposed = proposed.join(sketches.toDF("a", "x", "n"), "a").join(sketches.toDF("b", "y", "m"), "b")
+    of = sketches.select("rep", "sketch", "n_shingles")
+    proposed = proposed.join(of.toDF("a", "x", "n"), "a").join(of.toDF("b", "y", "m"), "b")
     proposed = proposed.select("a", "b", "x", "y", "n", "m").mapInArrow(_proposals(spec), "a long, b long, apart long")
     best = proposed.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best"))
     tested = scratch.keep(best.select(F.col("best.a").alias("a"), "b"))
@@ -291,7 +296,7 @@ def _cells(buckets: DataFrame, comp: DataFrame, sketches: DataFrame, spec: NearD
     rows = rows.withColumn("blocks", F.ceil(F.col("size") / spec.cell).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    rows = rows.select("key", (low * F.col("blocks") + high).cast("long").alias("cell"), "rep", "comp", F.when(low == high, -1).otherwise(F.col("block")).cast("int").alias("side"), "n_shingles", "sketch")
+    rows = rows.select("key", (low * F.col("blocks") + high).cast("long").alias("cell"), "rep", "comp", F.when(low == high, -1).otherwise(F.col("block")).cast("int").alias("side"), "n_shingles", "sketch", "bands")
     return rows.repartition("key", "cell").sortWithinPartitions("key", "cell")
 
 
