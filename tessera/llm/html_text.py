@@ -241,9 +241,9 @@ def templates(pages: DataFrame, spec: Template, scratch: Scratch) -> DataFrame:
     each = rows.groupBy("host", "token").agg(F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.count("*").alias("support"))
     each = scratch.keep(each)
     every = each.groupBy("token").agg(F.sum("vector").alias("vector"), F.sum("support").alias("support"))
-    total = pages.agg(F.count("*").alias("pages"))
+    total = pages.count()
     of_host = each.join(hosts, "host").where(F.col("pages") >= spec.few).select("host", "token", "vector", "support", "pages")
-    of_all = every.crossJoin(F.broadcast(total)).select(F.lit(None).cast("string").alias("host"), "token", "vector", "support", "pages")
+    of_all = every.select(F.lit(None).cast("string").alias("host"), "token", "vector", "support", F.lit(total).cast("long").alias("pages"))
     frequent = of_host.unionByName(of_all).where(F.col("support") >= F.col("pages") * spec.share)
     classes = frequent.groupBy("host", "vector").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= spec.large)
     return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
