@@ -5,6 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Of the orientations 1 to 8, those that swap the axes and those that then flip x and y.
+SWAPS, FLIPS_X, FLIPS_Y = (5, 6, 7, 8), (2, 3, 6, 7), (3, 4, 7, 8)
+
+
+def oriented(pixels: DataFrame, orientation: Column, w: Column, h: Column) -> DataFrame:
+    """pixels with x and y as seen in an orientation from 1 to 8; w and h are the sides before it. No shuffle."""
+    swap = orientation.isin(*SWAPS)
+    x, y = F.when(swap, F.col("y")).otherwise(F.col("x")), F.when(swap, F.col("x")).otherwise(F.col("y"))
+    right, low = F.when(swap, h).otherwise(w) - 1, F.when(swap, w).otherwise(h) - 1
+    return pixels.withColumns({"x": F.when(orientation.isin(*FLIPS_X), right - x).otherwise(x).cast("long"), "y": F.when(orientation.isin(*FLIPS_Y), low - y).otherwise(y).cast("long")})
+
 
 def area_order(rects: DataFrame) -> DataFrame:
     """ordinal, id: by area, longer side (both falling) and id. A histogram of areas gives each area's first ordinal,

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import raster as R
-from tessera.operators import layout, predict
-from tessera.sources import views
+from tessera.operators import layout, predict, resample
+from tessera.sources import container, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -263,3 +263,53 @@ def viewport_render(spark, sf_dir):
     t = px.withColumn("tx", F.explode(grid("x"))).withColumn("ty", F.explode(grid("sy")))
     over = [F.floor((F.col(c) * F.col("a") + 127) / 255).alias(c) for c in "rgb"]
     return t.select("image_id", F.col("ty").cast("long").alias("ty"), F.col("tx").cast("long").alias("tx"), *over)
+
+
+_WHOLE = _PX + """, k AS (SELECT image_id, y, row_number() OVER (PARTITION BY image_id ORDER BY y) - 1 AS sy FROM (SELECT DISTINCT image_id, y FROM px)),
+bytes AS (SELECT px.image_id, k.sy * 64 + px.x AS pos, px.p FROM px JOIN k USING (image_id, y))"""
+_DIGEST = f"WITH {_WHOLE} SELECT image_id, 16::BIGINT AS width, count(*) // 64 AS height, 4 AS channels, sum(p)::BIGINT AS total, sum(p * (pos + 1))::BIGINT AS moment FROM bytes GROUP BY image_id"
+
+
+def _digest(images: DataFrame) -> DataFrame:
+    """Two sums over the bytes of each image; the bytes are read in the JVM."""
+    at = images.select("image_id", "width", "height", "channels", F.posexplode(F.expr("regexp_extract_all(hex(rgba), '..', 0)")).alias("at", "byte"))
+    p = F.conv("byte", 16, 10).cast("long")
+    return at.groupBy("image_id", "width", "height", "channels").agg(F.sum(p).alias("total"), F.sum(p * (F.col("at") + 1)).alias("moment"))
+
+
+@query(_DIGEST)
+def container_roundtrip(spark, sf_dir):
+    return _digest(container.decode(container.encode(views.images(spark, sf_dir))).where("error is null"))
+
+
+@query(_DIGEST)
+def paeth_decode(spark, sf_dir):
+    return _digest(container.decode(container.encode(views.images(spark, sf_dir), "fast", "Paeth")).where("error is null"))
+
+
+@query(f"WITH {_RGBA}, m AS (SELECT image_id, count(*) // 16 AS height, CASE WHEN min(a) = 255 THEN 'Opaque255' WHEN max(a) = 0 THEN 'Transparent0' WHEN bool_and(a IN (0, 255)) THEN 'Mask1Bit' ELSE 'Normal' END AS alpha FROM rgba GROUP BY image_id) SELECT image_id, 2 AS version, 16::BIGINT AS width, height, 4 AS channels, alpha, CASE WHEN alpha IN ('Normal', 'Mask1Bit') THEN 4 ELSE 3 END AS streams, (48 * height + CASE alpha WHEN 'Normal' THEN 16 * height WHEN 'Mask1Bit' THEN 2 * height ELSE 0 END)::BIGINT AS plain_size FROM m")
+def container_inspect(spark, sf_dir):
+    head = container.inspect(container.encode(views.images(spark, sf_dir))).where("error is null")
+    return head.select("image_id", "version", "width", "height", "channels", "alpha", F.size("streams").alias("streams"), R.total(F.col("streams.orig_size")).alias("plain_size"))
+
+
+@query()
+def lanczos_resize(spark, sf_dir):
+    return _digest(resample.resize(views.images(spark, sf_dir), 8, 8).withColumn("channels", F.lit(4)))
+
+
+@query()
+def greedy_order(spark, sf_dir):
+    """Rows of each image as items: their edges are the first and last quarter."""
+    edge = {"head": F.slice("row", 1, 16), "tail": F.slice("row", -16, 16)}
+    items = views.rows(spark, sf_dir).select(F.col("image_id").alias("grp"), F.col("y").alias("id"), R.total(F.col("row")).alias("area"), *[e.alias(n) for n, e in edge.items()], *[F.shiftright(F.floor(R.total(e) / 16).cast("int"), 3).alias(f"{n}_q") for n, e in edge.items()])
+    return resample.greedy_order(items)
+
+
+@query(f"WITH {_RGBA}, k AS (SELECT image_id, y, row_number() OVER (PARTITION BY image_id ORDER BY y) - 1 AS sy FROM (SELECT DISTINCT image_id, y FROM rgba)), s AS (SELECT r.image_id, r.x, k.sy AS y, r.r FROM rgba r JOIN k USING (image_id, y) WHERE k.sy < 8) SELECT image_id, o.o AS orientation, CASE o.o WHEN 1 THEN x WHEN 2 THEN 15 - x WHEN 3 THEN 15 - x WHEN 4 THEN x WHEN 5 THEN y WHEN 6 THEN 7 - y WHEN 7 THEN 7 - y ELSE y END::BIGINT AS x, CASE o.o WHEN 1 THEN y WHEN 2 THEN y WHEN 3 THEN 7 - y WHEN 4 THEN 7 - y WHEN 5 THEN x WHEN 6 THEN x WHEN 7 THEN 15 - x ELSE 15 - x END::BIGINT AS y, r FROM s, (SELECT unnest(range(1, 9))::INT AS o) o")
+def orient_crop(spark, sf_dir):
+    """The first eight rows of each image in all eight orientations."""
+    by = Window.partitionBy("image_id").orderBy("y")
+    keep = views.rows(spark, sf_dir).withColumn("sy", F.row_number().over(by) - 1).where("sy < 8").select("image_id", "y", "sy")
+    px = views.pixels(spark, sf_dir).join(keep, ["image_id", "y"]).select("image_id", "x", F.col("sy").cast("long").alias("y"), "r", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("orientation"))
+    return layout.oriented(px, F.col("orientation"), F.lit(16), F.lit(8))

@@ -25,3 +25,11 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, grp, w, h: a rectangle of each part, in groups by brand."""
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("grp"), F.col("p_size").cast("long").alias("w"), (51 - F.col("p_size")).cast("long").alias("h"))
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id, width, height, channels, rgba: the rows of an image, in order, as the bytes of one raster."""
+    line = F.array_join(F.transform("row", lambda v: F.lpad(F.hex(v), 2, "0")), "")
+    ordered = F.array_sort(F.collect_list(F.struct("y", line.alias("hex"))))
+    whole = rows(spark, sf_dir).groupBy("image_id").agg(ordered.alias("lines"))
+    return whole.select("image_id", F.lit(16).cast("long").alias("width"), F.size("lines").cast("long").alias("height"), F.lit(4).alias("channels"), F.unhex(F.array_join("lines.hex", "")).alias("rgba"))
