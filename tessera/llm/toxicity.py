@@ -238,7 +238,7 @@ def learn(docs: DataFrame, labels: DataFrame, spec: Learning = Learning(), spark
         phrases = train.mapInArrow(_phrases(list(lexicon.weights)), "phrase string, label int, n long").groupBy("phrase").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("neg"))
         excused = phrases.where((F.col("neg") >= spec.least_support) & (F.col("neg") * n_pos >= F.col("pos") * n_neg)).orderBy(F.col("neg").desc(), "phrase").limit(spec.candidates)
         lexicon.exceptions = [r["phrase"].strip() for r in excused.collect()]
-    fit = train.mapInArrow(_features_of(lexicon), "label int, x0 double, x1 double").orderBy("label", "x0", "x1").toPandas()
+    fit = train.mapInArrow(_features_of(lexicon), "label int, x0 double, x1 double").toPandas().sort_values(["label", "x0", "x1"], ignore_index=True)
     w = _logistic(fit[["x0", "x1"]].to_numpy(), fit["label"].to_numpy().astype(float))
     if min(w[1:]) < 0:  # a longer clean text around the same words must not raise a score
         w = np.append(_logistic(fit[["x0"]].to_numpy(), fit["label"].to_numpy().astype(float)), 0.0)
