@@ -108,11 +108,22 @@ def train(spec: Scan = Scan()):  # noqa: B008
     return classes, features, w, b, temperature, templates
 
 
-def _line_grams(line: Column) -> Column:
-    words = F.split(F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"[^a-z0-9.\-]+", " "), r"(^|\s)[.\-]+|[.\-]+(?=\s|$)", " ")), r"\s+")
-    words = F.filter(words, lambda w: w != "")
-    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(1))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.expr("cast(array() as array<string>)"))
-    return F.array_distinct(F.concat(words, pairs))
+def _vocabulary() -> list[str]:
+    return sorted({w for v in NOTICES.values() for t in v for w in _words(t)})
+
+
+def _line_words(line: Column) -> Column:
+    """The words of a line in order, as _words cuts them; null where no notice has the word, so it is in no feature.
+
+    Dots and hyphens at a word's ends belong to the separator, which a look-behind lets start only at its first one.
+    """
+    words = F.split(F.concat(F.lit(" "), F.lower(line), F.lit(" ")), r"(?<![.\-])[.\-]*+[^a-z0-9.\-][^a-z0-9]*+")
+    return F.transform(words, lambda w: F.when(w.isin(_vocabulary()), w))
+
+
+def _pairs(words: Column) -> Column:
+    """Neighbours joined by a space; null where one of them is."""
+    return F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
 def license_lines(docs: DataFrame, spec: Scan = Scan(), spark: SparkSession | None = None) -> DataFrame:  # noqa: B008
@@ -121,7 +132,10 @@ def license_lines(docs: DataFrame, spec: Scan = Scan(), spark: SparkSession | No
     classes, features, w, b, temperature, templates = train(spec)
     model = spark.createDataFrame([(f, i, *map(float, w[i])) for i, f in enumerate(features)], ["gram", "id", *[f"w{k}" for k in range(len(classes))]])
     lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\n\r]+")).alias("line", "words"))
-    grams = lines.select("doc_id", "text_hash", "line", F.explode(_line_grams(F.col("words"))).alias("gram"))
+    # One select per step: an array that an expression names several times is computed as often.
+    known = lines.select("doc_id", "text_hash", "line", _line_words(F.col("words")).alias("words"))
+    grams = known.select("doc_id", "text_hash", "line", F.array_distinct(F.array_compact(F.concat("words", _pairs(F.col("words"))))).alias("grams"))
+    grams = grams.select("doc_id", "text_hash", "line", F.explode("grams").alias("gram"))
     # The model has a fixed number of rows, whatever the input.
     hits = grams.join(F.broadcast(model), "gram")
     per = hits.groupBy("doc_id", "text_hash", "line").agg(*[F.sum(f"w{k}").alias(f"z{k}") for k in range(len(classes))], F.collect_set("id").alias("ids"))

@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import decontamination as dec
 from tessera.llm import exact_dedup, html_text, license_scan, lm_scores, mixing, near_dedup, secrets, substring_dedup, toxicity
@@ -187,6 +188,16 @@ def test_license_lines(spark):
     assert got == {1: (1, "MIT"), 2: (0, ""), 3: (0, ""), 4: (1, "Apache-2.0")}
 
 
+def test_license_words_are_the_trained_ones(spark):
+    lines = ["", " ", "..", "-MIT- License.", "the BSD..license - and - GPL v2.0.", "Licensed under the...Apache\u00e9License, Version 2.0", "a.-.b CC-BY--SA 4.0-", "\u0130 license", "x" * 50 + "." * 3000 + " license"]
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, line string").select("i", license_scan._line_words(F.col("line")).alias("w")).select("i", "w", license_scan._pairs(F.col("w")).alias("p"))
+    vocabulary = set(license_scan._vocabulary())
+    for i, words, pairs in df.collect():
+        want = license_scan._words(lines[i])
+        assert [w for w in words if w] == [w for w in want if w in vocabulary]
+        assert [p for p in pairs if p] == [f"{a} {b}" for a, b in zip(want, want[1:]) if {a, b} <= vocabulary]
+
+
 def test_lm_scores(spark):
     docs = _docs(spark, [(1, "a b c"), (2, "a b d"), (3, None), (4, "Z")])
     got = {r["doc_id"]: (r["n_words"], r["n_seen"]) for r in lm_scores.scores(docs, spark=spark).collect()}
