@@ -82,3 +82,35 @@ def nearest(items: DataFrame, band: int = 3, newest: int = 64) -> DataFrame:
     left = items.select("id", "edge", F.explode(F.sequence(F.col("bucket") - band, F.col("bucket") + band)).alias("at"))
     pairs = left.join(right, "at").where("id != other").select("id", "other", l1(F.col("edge"), F.col("theirs")).alias("cost"))
     return pairs.groupBy("id").agg(F.min(F.struct("cost", "other")).alias("best")).select("id", "best.other", "best.cost")
+
+
+def _all_fit(sizes: list[tuple[int, int]], side: int, pad: int) -> bool:
+    x = y = shelf = 0
+    for w, h in sizes:
+        w, h = w + 2 * pad, h + 2 * pad
+        if x + w > side:
+            x, y, shelf = 0, y + shelf, 0
+        if x + w > side or y + h > side:
+            return False
+        x, shelf = x + w, max(shelf, h)
+    return True
+
+
+def least_side(rects: DataFrame, limit: int, pad: int) -> DataFrame:
+    """grp, side: per sheet the side at which a binary search up to limit ends, packing shelves in area order.
+
+    At limit itself nothing is tried, as all that can be said then is that no smaller side was found. A sheet's sizes
+    are gathered into one row of its group, so a sheet must fit in a task.
+    """
+
+    @F.udf("long")
+    def search(sizes):
+        sizes = [(s["w"], s["h"]) for s in sizes]
+        low, high = max([1, *(max(s) + 2 * pad for s in sizes)]), limit
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (low, middle) if _all_fit(sizes, middle, pad) else (middle + 1, high)
+        return low
+
+    order = F.struct((-F.col("w") * F.col("h")).alias("a"), (-F.greatest("w", "h")).alias("b"), "id", "w", "h")
+    return rects.groupBy("grp").agg(F.array_sort(F.collect_list(order)).alias("sizes")).select("grp", search("sizes").alias("side"))

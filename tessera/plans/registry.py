@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import names
 from tessera.functions import raster as R
 from tessera.operators import layout, predict, resample
-from tessera.sources import container, views
+from tessera.sources import container, packfile, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -313,3 +314,30 @@ def orient_crop(spark, sf_dir):
     keep = views.rows(spark, sf_dir).withColumn("sy", F.row_number().over(by) - 1).where("sy < 8").select("image_id", "y", "sy")
     px = views.pixels(spark, sf_dir).join(keep, ["image_id", "y"]).select("image_id", "x", F.col("sy").cast("long").alias("y"), "r", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("orientation"))
     return layout.oriented(px, F.col("orientation"), F.lit(16), F.lit(8))
+
+
+_PATH = "concat('in/', p_name, CASE p_size % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.tar.gz' ELSE '' END)"
+
+
+@query(rf"""WITH p AS (SELECT p_partkey AS id, p_size AS n, {_PATH} AS path FROM part),
+s AS (SELECT *, regexp_replace(path, '\.[^./]*$', '') AS base, nullif(regexp_extract(path, '\.([^./]*)$', 1), '') AS ext FROM p)
+SELECT id, base, base || '.tile' AS encoded, base || '_' || n || '.' || coalesce(ext, 'tile') AS sheet, base || '_mip' || n || '.' || coalesce(ext, 'tile') AS level,
+  CASE WHEN ext = 'png' THEN 'png' ELSE 'raw' END AS format FROM s""")
+def output_names(spark, sf_dir):
+    p = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("n"), F.expr(_PATH).alias("path"))
+    path, n = F.col("path"), F.col("n")
+    return p.select("id", names.stem(path).alias("base"), names.with_extension(path, "tile").alias("encoded"), names.numbered(path, "_", n, "tile").alias("sheet"), names.numbered(path, "_mip", n, "tile").alias("level"), names.blob_format(path).alias("format"))
+
+
+@query()
+def least_side(spark, sf_dir):
+    return layout.least_side(views.rects(spark, sf_dir), 16384, 2)
+
+
+@query("SELECT label::BIGINT AS pack_id, 0::BIGINT AS sheet, 16::BIGINT AS width, count(*) AS height, 64 * count(*) AS n_bytes FROM embeddings GROUP BY label")
+def pack_roundtrip(spark, sf_dir):
+    """Each image as the only sheet of a pack: written, inspected and sliced out again."""
+    sheet = F.struct(F.lit(0).cast("long").alias("index"), "width", "height", F.lit(1).cast("long").alias("entries"), F.col("rgba").alias("content"))
+    packs = views.images(spark, sf_dir).select(F.col("image_id").alias("pack_id"), F.lit("p").alias("name"), F.lit("").alias("description"), F.lit(None).cast("string").alias("pack_mcmeta"), F.lit(None).cast("binary").alias("icon"), F.lit(None).cast("string").alias("icon_format"), F.array(sheet).alias("atlases"))
+    got = packfile.sheets(packfile.write(packs))
+    return got.select("pack_id", F.col("index").alias("sheet"), "width", "height", F.length("content").cast("long").alias("n_bytes"))
