@@ -1,6 +1,6 @@
 """Stupid-backoff scores of documents under the corpus's own n-gram counts, without the document itself.
 
-Bigrams are exploded with their document, joined to their count table by hash, and what they then need, the count of
+Bigrams are exploded with their document, partitioned by hash with their counts, and what they then need, the count of
 the context if the bigram occurs elsewhere or else that of the word, is joined from the word count table. A bounded
 head of the most frequent words, where all hot keys are, is broadcast; the tail is joined by hash. Sums per document
 finish it. The bigrams are taken in slices of their hash space, one after the other, so that the shuffle on disk is a
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _text
@@ -99,10 +99,9 @@ def scores(docs: DataFrame, spec: Backoff = Backoff(), spark: SparkSession | Non
     parts = []
     for part in range(spec.slices):
         rows = text.mapInArrow(_bigrams(part, spec.slices), "doc_id long, u long, w long, n int, own_u int, own_w int")
-        met = rows.repartition("u", "w")
-        counts = met.groupBy("u", "w").agg(F.sum("n").alias("c2"))
-        # Both sides of this join read one exchange; what it gives is written once and read for head and tail.
-        joined = met.join(counts, ["u", "w"])
+        # One exchange gives each row its bigram's count. A join with the counts would run Python and shuffle twice, as
+        # its two sides read different columns. Long groups spill.
+        joined = rows.withColumn("c2", F.sum("n").over(Window.partitionBy("u", "w")))
         seen = F.col("c2") > F.col("n")
         need = joined.select("doc_id", "n", seen.alias("seen"), (F.col("c2") - F.col("n")).alias("others"), F.when(seen, F.col("u")).otherwise(F.col("w")).alias("word"), F.when(seen, F.col("own_u")).otherwise(F.col("own_w")).alias("own"))
         need = scratch.keep(need.join(F.broadcast(head), "word", "left").select("doc_id", "n", "seen", "others", "own", "c", F.when(F.col("c").isNull(), F.col("word")).alias("word")))
