@@ -61,12 +61,17 @@ def _bigrams(part: int, slices: int):
                 doc = np.repeat(np.arange(lo, hi), np.diff(ptr))
                 own = _text.mix(doc.astype(U), 3)
                 _, back_w, count_w = np.unique(_text.mix(w ^ own), return_inverse=True, return_counts=True)
-                _, back_u, count_u = np.unique(_text.mix(u ^ own), return_inverse=True, return_counts=True)
+                # As a context a word occurs as often as as a word, but for the document's last one.
+                own_w = count_w[back_w]
+                own_u = np.empty_like(own_w)
+                own_u[1:] = own_w[:-1]
+                own_u -= u == np.repeat(w[ptr[1:] - 1], np.diff(ptr))
+                own_u[first] = 1
                 pair = _text.mix(_text.mix(u, 7) * U(3) + w)
                 mine = np.flatnonzero((pair >> U(20)) % U(slices) == U(part))
                 _, at, count = np.unique(_text.mix(pair[mine] ^ own[mine]), return_index=True, return_counts=True)
                 at = mine[at]
-                yield pa.record_batch([pa.array(ids[doc[at]]), _text.signed(u[at]), _text.signed(w[at]), pa.array(count.astype(np.int32)), pa.array(count_u[back_u[at]].astype(np.int32)), pa.array(count_w[back_w[at]].astype(np.int32))], names=["doc_id", "u", "w", "n", "own_u", "own_w"])
+                yield pa.record_batch([pa.array(ids[doc[at]]), _text.signed(u[at]), _text.signed(w[at]), pa.array(count.astype(np.int32)), pa.array(own_u[at].astype(np.int32)), pa.array(own_w[at].astype(np.int32))], names=["doc_id", "u", "w", "n", "own_u", "own_w"])
 
     return run
 
