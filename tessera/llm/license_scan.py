@@ -132,10 +132,11 @@ def license_lines(docs: DataFrame, spec: Scan = Scan(), spark: SparkSession | No
     classes, features, w, b, temperature, templates = train(spec)
     model = spark.createDataFrame([(f, i, *map(float, w[i])) for i, f in enumerate(features)], ["gram", "id", *[f"w{k}" for k in range(len(classes))]])
     lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\n\r]+")).alias("line", "words"))
-    # One select per step: an array that an expression names several times is computed as often.
+    # One select per step: an array that an expression names several times is computed as often. An
+    # inner explode would name them again, in a filter pushed below all steps; the join drops the outer one's nulls.
     known = lines.select("doc_id", "text_hash", "line", _line_words(F.col("words")).alias("words"))
     grams = known.select("doc_id", "text_hash", "line", F.array_distinct(F.array_compact(F.concat("words", _pairs(F.col("words"))))).alias("grams"))
-    grams = grams.select("doc_id", "text_hash", "line", F.explode("grams").alias("gram"))
+    grams = grams.select("doc_id", "text_hash", "line", F.explode_outer("grams").alias("gram"))
     # The model has a fixed number of rows, whatever the input.
     hits = grams.join(F.broadcast(model), "gram")
     per = hits.groupBy("doc_id", "text_hash", "line").agg(*[F.sum(f"w{k}").alias(f"z{k}") for k in range(len(classes))], F.collect_set("id").alias("ids"))
