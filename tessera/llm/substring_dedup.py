@@ -28,8 +28,8 @@ from . import _text
 from ._scratch import Scratch
 from ._text import U
 
-#: Bytes of a window's fingerprint beside the 64 bits of its seed.
-_MARK = 5
+#: Bytes of a window's fingerprint. All windows that meet have the same seed, so its 64 bits don't tell them apart.
+_MARK = 8
 
 
 @dataclass(frozen=True)
@@ -75,7 +75,6 @@ def _seed_rows(spec: Repeats):
                 parts = []
                 for a, b in _text.chunks(text.slice(lo, hi - lo)):
                     row, start, count, seed, window, first = _segments(*_text.words(text.slice(lo + a, b - a)), spec)
-                    mark = window & U((1 << 8 * _MARK) - 1)
                     whole = window[:0]
                     if len(first):
                         total = np.zeros(len(window) + 1, dtype=U)
@@ -87,7 +86,7 @@ def _seed_rows(spec: Repeats):
                     offset = np.zeros(len(first) + 1, dtype=np.int64)
                     np.cumsum(count * _MARK, out=offset[1:])
                     pick = np.repeat(first - offset[:-1] // _MARK, count) + np.arange(offset[-1] // _MARK)
-                    marks = mark[pick].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_MARK].tobytes()
+                    marks = window[pick].astype("<u8").tobytes()
                     parts.append((ids[lo + a + row], start, count, seed, _text.mix(whole ^ seed, 1) + count.astype(U), pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offset), pa.py_buffer(marks)])))
                 doc, start, count, seed, whole = (np.concatenate([p[i] for p in parts]) for i in range(5))
                 marks = pa.concat_arrays([p[5] for p in parts])
@@ -123,10 +122,7 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         live = np.flatnonzero(~sure)
         if len(live):
             data = batch.column(4).drop_null()
-            flat = np.frombuffer(b"".join(data.to_pylist()), dtype=np.uint8).reshape(-1, _MARK)
-            mark = np.zeros((len(flat), 8), dtype=np.uint8)
-            mark[:, :_MARK] = flat
-            mark = mark.view("<u8").ravel().astype(U)
+            mark = np.frombuffer(b"".join(data.to_pylist()), dtype="<u8").astype(U)
             own = np.repeat(live, count[live])
             nth = np.arange(len(own)) - np.repeat(np.cumsum(count[live]) - count[live], count[live])
             s, d = seed[own], doc[own]

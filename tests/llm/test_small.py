@@ -90,6 +90,14 @@ def test_repeats(spark, texts):
         assert (r["n_words"], r["n_removed"], r["kept_text"]) == (len(w), len(gone), kept.decode())
 
 
+def test_repeats_of_one_seed_stay_apart(spark):
+    # These windows share their seed and the lowest 40 bits of their hashes.
+    tail = " of the long passage that all documents in this set share here"
+    pairs = [(1061112, 2954135), (2137894, 2600184), (343789, 1069602)]
+    docs = _docs(spark, [(i, f"n{n}{tail}") for i, n in enumerate(x for p in pairs for x in p)])
+    assert all(r["n_removed"] == 0 for r in substring_dedup.remove_repeats(docs, spark=spark).collect())
+
+
 def test_distance_and_contamination(spark):
     def slow(p, t):
         row = [0] * (len(t) + 1)
