@@ -3,11 +3,13 @@
 Match positions come from a marker that regexp_replace puts around each match: pieces between markers alternate, and
 their lengths in code points add up to offsets.
 
-The battery takes runs of 16 or more [A-Za-z0-9+/_-] whose characters fit an encoding (hexadecimal, base 32, upper-case
-alphanumeric, base 64). Three statistics have a known distribution for random strings: chi-squared of the alphabet's
+The battery takes runs of 16 or more [A-Za-z0-9+/_-] whose characters fit an encoding (hexadecimal, base 32 and
+alphanumeric of either case, base 64 with or without digits). Three statistics have a known distribution for random strings: chi-squared of the alphabet's
 uniformity, runs above and below the alphabet's middle, and lag-one serial correlation. A string must agree with all
 three, and must have more changes of character class than names and numbers in text have; that gives a p-value, and
-Benjamini-Hochberg thresholds by length class, read from a histogram over all candidates, decide.
+Benjamini-Hochberg thresholds by length class, read from a histogram over all candidates, decide. Lower-case runs and
+runs without digits, which names in text share, have length classes of their own. Letters of one case alone have no
+change of class: to the battery they are words.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ HEX = r"[0-9a-f]+"
 CANDIDATE = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 # Two noncharacters: the marker, and what stands for it where a text has it.
 _MARK, _STAND_IN = "\ufdd0", "\ufdd1"
-_ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "upper": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+_ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "upper": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower32": "abcdefghijklmnopqrstuvwxyz234567", "lower": "0123456789abcdefghijklmnopqrstuvwxyz", "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+# Added to the length class: kinds that names in text share don't dilute the others' control.
+_GROUPS = {"hex": 0, "base32": 0, "upper": 0, "base64": 0, "lower32": 100, "lower": 100, "letters": 200}
 
 
 @dataclass(frozen=True)
@@ -78,9 +82,12 @@ def _battery(c: Column, spec: Battery) -> Column:
         .when(digit & upper & s.rlike("^[A-Z2-7]+$"), F.lit("base32"))
         .when(digit & upper & s.rlike("^[A-Z0-9]+$"), F.lit("upper"))
         .when(digit & upper & lower, F.lit("base64"))
+        .when(digit & lower & s.rlike("^[a-z2-7]+$"), F.lit("lower32"))
+        .when(digit & lower & s.rlike("^[a-z0-9]+$"), F.lit("lower"))
+        .when(upper & lower, F.lit("letters"))
     )
     folded = F.when(kind == "hex", F.lower(s)).otherwise(F.translate(s, "-_", "+/"))
-    known = F.create_map(*[x for k, v in _ALPHABETS.items() for x in (F.lit(k), F.lit(v))])
+    known, groups = (F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v))]) for table in (_ALPHABETS, _GROUPS))
 
     def stats(p: Column) -> Column:
         alphabet, text = p["alphabet"], p["text"]
@@ -99,9 +106,9 @@ def _battery(c: Column, spec: Battery) -> Column:
         z_mix = (edges - spec.change * (n - 1)) / F.sqrt(spec.change * (1 - spec.change) * (n - 1))
         p_random = F.least(_tail(z_chi), 2 * _tail(F.abs(z_runs)), 2 * _tail(F.abs(z_serial)))
         score = F.least(F.lit(400.0), F.floor(-10 * F.log10(F.greatest(_tail(z_mix), F.lit(1e-40)))))
-        return F.struct(p["start"].alias("start"), p["end"].alias("end"), F.floor(F.log2(n) * 2).cast("int").alias("bin"), score.cast("int").alias("score"), (p_random >= spec.least_p / 3).alias("random"))
+        return F.struct(p["start"].alias("start"), p["end"].alias("end"), (F.floor(F.log2(n) * 2).cast("int") + p["group"]).alias("bin"), score.cast("int").alias("score"), (p_random >= spec.least_p / 3).alias("random"))
 
-    base = F.struct(c["start"].alias("start"), c["end"].alias("end"), folded.alias("text"), F.element_at(known, kind).alias("alphabet"))
+    base = F.struct(c["start"].alias("start"), c["end"].alias("end"), folded.alias("text"), F.element_at(known, kind).alias("alphabet"), F.element_at(groups, kind).alias("group"))
     return F.when(kind.isNotNull(), F.transform(F.array(base), stats)[0])
 
 
@@ -110,7 +117,7 @@ def _thresholds(scanned: DataFrame, spec: Battery) -> dict[int, int]:
     each = scanned.select(F.explode("candidates").alias("c")).select("c.*")
     table = each.groupBy("bin", "score").agg(F.count("*").alias("n"), F.sum(F.col("random").cast("long")).alias("found"))
     table.createOrReplaceTempView("_tessera_scores")
-    # At most 401 scores for each of some twenty length classes.
+    # At most 401 scores for each of some sixty length classes.
     kept = each.sparkSession.sql(
         f"""SELECT bin, min(score) AS least FROM (
           SELECT bin, score, sum(n) OVER (PARTITION BY bin) AS m, sum(found) OVER (PARTITION BY bin ORDER BY score DESC) AS over FROM _tessera_scores)

@@ -176,6 +176,18 @@ def test_secrets(spark):
     assert got[2]["spans"] == "assign:2:17"
 
 
+def test_secrets_of_every_alphabet(spark):
+    rng = random.Random(8)
+    lower, b32, b64 = "abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    tokens = ["".join(rng.choices(a, k=n)) for a, n in ((lower, 32), (b32, 64), (b64, 32)) for _ in range(20)]
+    words = ["internationalization", "AbstractUserFactoryBean", "CONSTANTNAMESINCAPITALS", "chapter2section14page", "getElementsByTagNameList"]
+    got = secrets.scan(_docs(spark, list(enumerate(tokens + words))), secrets.Battery(), spark).collect()
+    found = {r["doc_id"] for r in got if r["n_random"]}
+    # Some have too few changes of class to be told from names.
+    assert min(sum(i in found for i in range(k, k + 20)) for k in (0, 20, 40)) >= 12
+    assert not found & set(range(60, 65))
+
+
 def test_html():
     page = "<html><head><title>t</title></head><body><nav>Menu</nav><div class='cookie-notice'>ok</div><article><header><h1>A &amp; B</h1></header><p>One  two<p>three <b>x</b>y<br>z<div class=ad>buy</div><form>f</form></p></article><div id=comments>no</div><footer>c</footer>"
     assert html_text.extract(page) == "A & B\nOne two\nthree xy z"
