@@ -3,9 +3,13 @@
 Training, on the driver: a multinomial logistic regression over word one- and two-grams of the notices below, with
 random cuts and fillers of them as further rows, and paragraphs of other text as the class `unknown`; a temperature
 fitted on cuts that training didn't use calibrates it. The model is a table of some thousand features.
-Scanning: lines are paragraphs; their distinct n-grams are exploded and joined to the broadcast features, so lines
-without any never leave the scan. A family is reported if its calibrated probability is high enough and the line
-holds most of one of the family's notices (template comparison); other lines with licence words are unknown.
+Scanning: blank lines part paragraphs. Units are a paragraph's lines and, if it has several, windows of its words
+that overlap by half, so that a notice wrapped over lines stands whole in one. Their distinct n-grams are exploded and
+joined to the broadcast features. A family is reported if its calibrated probability is high enough and the unit holds
+most of one of the family's notices (template comparison); other units with licence words are unknown. A window claims
+its lines that have part in the notice, unless one of them holds the notice alone.
+Each notice has words without which less than the share for unknown is left of it; paragraphs without any of these
+can't give a row and leave the scan first.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._scratch import Scratch
+
 # Public licence notices by family.
 NOTICES = {
     "AGPL": ["licensed under the GNU Affero General Public License version 3", "this program is free software under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
@@ -43,10 +49,12 @@ OTHER = ["the driver must show a license and a copy of the form at the desk", "f
 
 @dataclass(frozen=True)
 class Scan:
-    """least: calibrated probability of a family; cover: share of a notice's n-grams that a line must hold."""
+    """least: calibrated probability of a family; cover: share of a notice's n-grams that a unit must hold;
+    part: share of one at which a unit is unknown at least."""
 
     least: float = 0.6
     cover: float = 0.7
+    part: float = 0.4
     seed: int = 20
 
 
@@ -112,47 +120,110 @@ def _vocabulary() -> list[str]:
     return sorted({w for v in NOTICES.values() for t in v for w in _words(t)})
 
 
-def _line_words(line: Column) -> Column:
-    """The words of a line in order, as _words cuts them; null where no notice has the word, so it is in no feature.
+def _stride() -> int:
+    """Half a window: half as many words again as the longest notice has, for what stands between its words."""
+    return max(len(_words(t)) for v in NOTICES.values() for t in v) * 3 // 2
+
+
+@lru_cache(maxsize=4)
+def _needed(part: float) -> tuple[str, ...]:
+    """Words of which any unit that holds the share `part` of a notice has one at least."""
+    plain, needed = {w for t in OTHER for w in _words(t)}, set()
+    for notice in (_words(t) for v in NOTICES.values() for t in v):
+        grams = _grams(notice)
+        left = {g for g in grams if not needed & set(g.split())}
+        words = sorted(set(notice), key=lambda w: (w in STOP, w in plain, -sum(w in g.split() for g in grams), w))
+        while len(left) >= part * len(grams):
+            w = words.pop(0)
+            needed.add(w)
+            left = {g for g in left if w not in g.split()}
+    return tuple(sorted(needed))
+
+
+def _tokens(line: Column) -> Column:
+    """The words of a line in order, as _words cuts them, and empty strings at the ends.
 
     Dots and hyphens at a word's ends belong to the separator, which a look-behind lets start only at its first one.
     """
-    words = F.split(F.concat(F.lit(" "), F.lower(line), F.lit(" ")), r"(?<![.\-])[.\-]*+[^a-z0-9.\-][^a-z0-9]*+")
+    return F.split(F.concat(F.lit(" "), F.lower(line), F.lit(" ")), r"(?<![.\-])[.\-]*+[^a-z0-9.\-][^a-z0-9]*+")
+
+
+def _known(words: Column) -> Column:
+    """Null where no notice has the word, so it is in no feature."""
     return F.transform(words, lambda w: F.when(w.isin(_vocabulary()), w))
 
 
+def _line_words(line: Column) -> Column:
+    return _known(_tokens(line))
+
+
+def _units(lines: Column) -> Column:
+    """unit, first and last line, words: each line from unit 0 on, and windows of several lines' words from -1 down."""
+    n = _stride()
+    own = F.filter(F.transform(lines, lambda w, i: F.struct(i.alias("unit"), i.alias("lo"), i.alias("hi"), w.alias("words"))), lambda u: F.size(u["words"]) > 0)
+    run = F.flatten(F.transform(lines, lambda ws, i: F.transform(ws, lambda w: F.struct(w.alias("w"), i.alias("line")))))
+
+    def window(part: Column, k: Column) -> Column:
+        return F.struct((-k - 1).alias("unit"), part[0]["line"].alias("lo"), F.element_at(part, -1)["line"].alias("hi"), F.transform(part, lambda x: x["w"]).alias("words"))
+
+    # One lambda binds the run, so that it is built once.
+    windows = F.transform(F.array(run), lambda r: F.transform(F.transform(F.sequence(F.lit(0), F.greatest((F.size(r) - n - 1), F.lit(0)), F.lit(n)), lambda at: F.slice(r, at + 1, 2 * n)), window))[0]
+    several = F.size(F.filter(lines, lambda w: F.size(w) > 0)) > 1
+    return F.when(several, F.concat(own, windows)).otherwise(own)
+
+
 def _pairs(words: Column) -> Column:
     """Neighbours joined by a space; null where one of them is."""
     return F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
 def license_lines(docs: DataFrame, spec: Scan = Scan(), spark: SparkSession | None = None) -> DataFrame:  # noqa: B008
-    """One row per line that a licence family, or the unknown class with licence words, claims: doc_id, text_hash, line (from 0), family, probability, cover."""
+    """doc_id, text_hash, paragraph and line (from 0, in the paragraph), family: a row per line and family, or the
+    unknown class with licence words, that claims the line alone or in a window; a line can be claimed as both."""
     spark = spark or docs.sparkSession
+    scratch = Scratch(spark, "licences")
     classes, features, w, b, temperature, templates = train(spec)
     model = spark.createDataFrame([(f, i, *map(float, w[i])) for i, f in enumerate(features)], ["gram", "id", *[f"w{k}" for k in range(len(classes))]])
-    lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\n\r]+")).alias("line", "words"))
+    paragraphs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"(?>\r\n|[\n\r])[^\S\n\r]*+[\n\r]\s*+")).alias("paragraph", "body"))
+    paragraphs = paragraphs.where(F.lower("body").rlike("(?<![a-z0-9])(?:" + "|".join(map(re.escape, _needed(spec.part))) + ")"))
     # One select per step: an array that an expression names several times is computed as often. An
     # inner explode would name them again, in a filter pushed below all steps; the join drops the outer one's nulls.
-    known = lines.select("doc_id", "text_hash", "line", _line_words(F.col("words")).alias("words"))
-    grams = known.select("doc_id", "text_hash", "line", F.array_distinct(F.array_compact(F.concat("words", _pairs(F.col("words"))))).alias("grams"))
-    grams = grams.select("doc_id", "text_hash", "line", F.explode_outer("grams").alias("gram"))
+    key = ["doc_id", "text_hash", "paragraph"]
+    lines = paragraphs.select(*key, F.transform(F.split("body", r"[\n\r]+"), lambda x: _known(F.filter(_tokens(x), lambda t: t != ""))).alias("lines"))
+    units = lines.select(*key, F.explode_outer(_units(F.col("lines"))).alias("u")).select(*key, "u.*")
+    unit = [*key, "unit", "lo", "hi"]
+    grams = units.select(*unit, F.array_distinct(F.array_compact(F.concat("words", _pairs(F.col("words"))))).alias("grams"))
+    grams = grams.select(*unit, F.explode_outer("grams").alias("gram"))
     # The model has a fixed number of rows, whatever the input.
     hits = grams.join(F.broadcast(model), "gram")
-    per = hits.groupBy("doc_id", "text_hash", "line").agg(*[F.sum(f"w{k}").alias(f"z{k}") for k in range(len(classes))], F.collect_set("id").alias("ids"))
-    z = [(F.col(f"z{k}") + float(b[k])) / float(temperature) for k in range(len(classes))]
+    per = hits.groupBy(*unit).agg(*[F.sum(f"w{k}").alias(f"z{k}") for k in range(len(classes))], F.collect_set("id").alias("ids"), F.count("*").alias("n"))
+    # A text that stands in several rows of one doc_id counts once.
+    z = [(F.col(f"z{k}") * F.size("ids") / F.col("n") + float(b[k])) / float(temperature) for k in range(len(classes))]
     top = F.greatest(*z)
     total = sum((F.exp(x - top) for x in z), F.lit(0.0))
     best = F.array_max(F.array(*[F.struct(x.alias("z"), F.lit(k).alias("k")) for k, x in enumerate(z)]))
-    per = per.select("doc_id", "text_hash", "line", "ids", best.alias("best"), total.alias("total"), top.alias("top"))
-    held = F.array(*[F.struct(F.lit(k).alias("k"), (F.size(F.array_intersect(F.col("ids"), F.array(*map(F.lit, t)))) / F.lit(float(len(t)))).alias("cover")) for k, t in templates])
-    cover = F.array_max(F.transform(F.filter(held, lambda h: h["k"] == F.col("best")["k"]), lambda h: h["cover"]))
-    any_cover = F.array_max(F.transform(held, lambda h: h["cover"]))
-    per = per.withColumn("probability", F.exp(F.col("best")["z"] - F.col("top")) / F.col("total")).withColumn("cover", F.coalesce(cover, F.lit(0.0))).withColumn("any", any_cover)
-    sure = (F.col("best")["k"] > 0) & (F.col("probability") >= spec.least) & (F.col("cover") >= spec.cover)
+    per = per.select(*unit, "ids", best.alias("best"), total.alias("total"), top.alias("top"))
+    held = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("t"), (F.size(F.array_intersect(F.col("ids"), F.array(*map(F.lit, t)))) / F.lit(float(len(t)))).alias("cover")) for i, (k, t) in enumerate(templates)])
+    per = per.withColumn("held", F.filter(held, lambda h: h["cover"] > 0)).withColumn("probability", F.exp(F.col("best")["z"] - F.col("top")) / F.col("total"))
+    full = F.filter("held", lambda h: (h["k"] == F.col("best")["k"]) & (h["cover"] >= spec.cover))
+    part = F.filter("held", lambda h: h["cover"] >= spec.part)
+    sure = (F.col("best")["k"] > 0) & (F.col("probability") >= spec.least) & (F.size(full) > 0)
     names = F.array(*map(F.lit, classes))
-    out = per.withColumn("family", F.when(sure, F.element_at(names, F.col("best")["k"] + 1)).when(F.col("any") >= 0.4, F.lit("unknown")))
-    return out.where("family is not null").select("doc_id", "text_hash", "line", "family", "probability", "cover")
+    per = per.withColumn("family", F.when(sure, F.element_at(names, F.col("best")["k"] + 1)).when(F.size(part) > 0, F.lit("unknown"))).withColumn("of", F.when(sure, F.transform(full, lambda h: h["t"])).otherwise(F.transform(part, lambda h: h["t"])))
+    per = scratch.keep(per.select(*unit, "ids", "held", "family", "of"))
+    alone = per.where("unit >= 0 and family is not null").select(*key, "lo", "family")
+    windows = per.where("unit < 0 and family is not null").select(*[F.col(c).alias(f"_{c}") for c in key], F.col("lo").alias("a"), F.col("hi").alias("b"), "family", "of")
+    own = per.where("unit >= 0").groupBy(*key).agg(F.collect_list(F.struct("lo", "ids", "held")).alias("own"))
+    met = own.join(windows, F.expr("doc_id <=> _doc_id and text_hash = _text_hash and paragraph = _paragraph"))
+    within = met.select(*key, "family", "of", F.filter("own", lambda x: (x["lo"] >= F.col("a")) & (x["lo"] <= F.col("b"))).alias("own"))
+    least = F.when(F.col("family") == "unknown", F.lit(spec.part)).otherwise(F.lit(spec.cover))
+    wrapped = F.filter("of", lambda t: ~F.exists("own", lambda x: F.exists(x["held"], lambda h: (h["t"] == t) & (h["cover"] >= least))))
+    table = F.array(*[F.array(*map(F.lit, t)) for _, t in templates])
+    of = F.flatten(F.transform("of", lambda t: F.get(table, t)))
+    within = within.withColumn("of", wrapped).where(F.size("of") > 0).withColumn("of", of)
+    claimed = F.filter("own", lambda x: F.size(F.array_intersect(x["ids"], F.col("of"))) * 2 >= F.size(x["ids"]))
+    joined = within.select(*key, F.explode(F.transform(claimed, lambda x: x["lo"])).alias("lo"), "family")
+    return alone.unionByName(joined).withColumnRenamed("lo", "line").distinct()
 
 
 def scan(docs: DataFrame, spec: Scan = Scan(), spark: SparkSession | None = None) -> DataFrame:  # noqa: B008
@@ -163,10 +234,11 @@ def scan(docs: DataFrame, spec: Scan = Scan(), spark: SparkSession | None = None
     """
     spark = spark or docs.sparkSession
     found = license_lines(docs, spec, spark)
-    # Equal rows share their lines, so a set of lines counts them once.
+    # Equal rows share their lines, so a set of lines counts them once. A line with a family isn't unknown.
+    sure, unknown = (F.collect_set(F.when(c, F.struct("paragraph", "line"))) for c in (F.col("family") != "unknown", F.col("family") == "unknown"))
     by = found.groupBy("doc_id", "text_hash").agg(
-        F.size(F.collect_set(F.when(F.col("family") != "unknown", F.col("line")))).cast("long").alias("n_lines"),
-        F.size(F.collect_set(F.when(F.col("family") == "unknown", F.col("line")))).cast("long").alias("n_unknown"),
+        F.size(sure).cast("long").alias("n_lines"),
+        F.size(F.array_except(unknown, sure)).cast("long").alias("n_unknown"),
         F.array_join(F.sort_array(F.collect_set(F.when(F.col("family") != "unknown", F.col("family")))), ",").alias("families"),
     ).withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash")
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"))

@@ -208,6 +208,23 @@ def test_license_lines(spark):
     assert got == {1: (1, "MIT"), 2: (0, ""), 3: (0, ""), 4: (1, "Apache-2.0")}
 
 
+def test_wrapped_licenses(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the Software), to deal"
+    prose = "\n".join(f"line {i} of the story as told by the author in the old town" for i in range(30))
+    narrow = mit.replace("\n", " ").replace(" ", "\r\n * ")
+    texts = [gpl, mit, f"{prose}\n{gpl}\n{prose}", narrow, prose, "--\nHello.\nReleased under the MIT License.\n*\nbye", mit.replace("a copy\n", "a copy\n \n")]
+    docs = _docs(spark, list(enumerate(texts)))
+    got = {r["doc_id"]: (r["families"], r["n_lines"], r["n_unknown"]) for r in license_scan.scan(docs.union(docs.where("doc_id = 4")), spark=spark).collect()}
+    assert [got[i][0] for i in range(7)] == ["GPL", "MIT", "GPL", "MIT", "", "MIT", ""]
+    assert got[0][1] >= 2 and got[1][1] == 2 and got[2][1] >= 2 and got[3][1] > 10 and got[5][1] == 1
+
+
+def test_needed_words():
+    for notice in (set(license_scan._grams(license_scan._words(t))) for v in license_scan.NOTICES.values() for t in v):
+        assert len([g for g in notice if not set(g.split()) & set(license_scan._needed(0.4))]) < 0.4 * len(notice)
+
+
 def test_license_words_are_the_trained_ones(spark):
     lines = ["", " ", "..", "-MIT- License.", "the BSD..license - and - GPL v2.0.", "Licensed under the...Apache\u00e9License, Version 2.0", "a.-.b CC-BY--SA 4.0-", "\u0130 license", "x" * 50 + "." * 3000 + " license"]
     df = spark.createDataFrame(list(enumerate(lines)), "i int, line string").select("i", license_scan._line_words(F.col("line")).alias("w")).select("i", "w", license_scan._pairs(F.col("w")).alias("p"))
