@@ -3,11 +3,12 @@
 Tokens of a page are its start tags, each with its path and its class and id, and its whole text nodes with their
 path. Tokens of a host whose occurrence vectors over the host's pages are the same form an equivalence class; the
 vector is compared by a sum of hashes of (page, count), so a class comes from two aggregations and no page list is
-ever built. A class is valid if it is frequent (most of the host's pages) and large. The valid classes nest into a
-template by the paths of their tokens; what stands between template tokens are the slots. A page's main text is what
-its slots hold inside the article: the template's article element, or where there is none, the element whose slots
-hold most text outside links. Text nodes that belong to the template stay out of it, as do parts that pages give to
-menus, notices, forms and comments. Hosts with few pages take the template of all pages together.
+ever built. A class is valid if it is frequent (most of the host's pages) and large. The valid classes together are
+the template, a set of tokens: their order and nesting aren't tested beyond the paths that tokens carry. What isn't a
+template token fills the slots. The main elements are found by tag and class name, all outermost ones in page order, or
+where a page marks none, as the element whose slots hold most text outside links. The main text is what their slots
+hold, without the parts that pages give to menus, notices, forms and comments by tag or whole class name. Pages of
+hosts with few pages take the template of all pages together.
 """
 
 from __future__ import annotations
@@ -42,13 +43,17 @@ class Template:
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_RAW = {"script", "style", "textarea", "title", "noscript", "template", "svg", "iframe", "object", "math"}
+_RAW = {"script", "style", "textarea", "title", "template", "svg", "iframe", "object"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = {"address", "article", "aside", "blockquote", "body", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-_NEVER = {"nav", "footer", "aside", "form", "head", "button", "select", "menu", "dialog", "label", "input"} | _RAW
+_NEVER = {"nav", "footer", "aside", "form", "head", "button", "select", "menu", "dialog", "input"} | _RAW
+# Content inside an article, not where a page marks none.
+_OUTSIDE = {"header", "label", "noscript"}
 # An end tag that is left out: a start tag on the left closes an open one of the right.
 _CLOSES = {"p": _BLOCK - {"body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 _ASIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side-bar|widget|menu|nav\w*|breadcrumbs?|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|social|related|recommended|comments?|comment-list|reply|replies|respond|disqus|footer|masthead|site-header|page-header|toolbar|pagination|pager|copyright|legal)(?:$|[\s_-])", re.I)
+_WORD = _ASIDE.pattern[len(r"(?:^|[\s_-])") : -len(r"(?:$|[\s_-])")]
+_WHOLE = re.compile(rf"(?:^|\s){_WORD}(?:[_-]{_WORD})*(?=$|\s)", re.I)
 _MAIN = re.compile(r"(?:^|[\s_-])(?:article|post|entry|content|story|main)(?:[\s_-](?:body|content|text))?(?:$|\s)", re.I)
 
 
@@ -133,14 +138,15 @@ def tokens(root: Node) -> Counter:
 
 
 def _aside(node: Node, inside: bool) -> bool:
-    if node.tag in _NEVER or (node.tag == "header" and not inside):
+    if node.tag in _NEVER or (node.tag in _OUTSIDE and not inside):
         return True
     if not node.attrs:
         return False
     if "hidden" in node.attrs.split("=")[0] or "aria-hidden=true" in node.attrs or re.search(r"role=(?:navigation|banner|contentinfo|complementary|search|form|dialog|alert)", node.attrs):
         return True
     names = re.sub(r"(?:class|id|role)=", " ", node.attrs)
-    return bool(_ASIDE.search(names)) and node.tag not in ("article", "main", "body")
+    # Of an article's parts a name such as related-work says nothing, one made of listed words alone does.
+    return bool((_WHOLE if inside else _ASIDE).search(names)) and node.tag not in ("article", "main", "body")
 
 
 def _weight(node: Node, template: frozenset, inside: bool) -> int:
@@ -157,18 +163,33 @@ def _weight(node: Node, template: frozenset, inside: bool) -> int:
     return total
 
 
-def _find_main(root: Node, template: frozenset) -> tuple[Node, bool]:
+def _ancestors(node: Node) -> Iterator[Node]:
+    while node.parent:
+        node = node.parent
+        yield node
+
+
+def _find_main(root: Node, template: frozenset) -> tuple[list[Node], bool]:
     every, stack = [], [root]
     while stack:
         x = stack.pop()
         every.append(x)
         stack.extend(c for c in reversed(x.children) if isinstance(c, Node) and not _aside(c, False))
+    taken: set[Node] = set()
+    above: set[Node] = set()
     for wanted in (lambda x: x.tag == "article", lambda x: x.tag == "main" or "role=main" in x.attrs, lambda x: bool(x.attrs) and bool(_MAIN.search(re.sub(r"(?:class|id)=", " ", x.attrs)))):
-        found = [x for x in every if wanted(x)]
-        if found:
-            # The outermost ones of the host's template, if it has such; of these the one with most text.
-            known = [x for x in found if template and key(x.path) in template] or found
-            return max(known, key=lambda x: _weight(x, template, True)), True
+        # The outermost ones that neither lie in one taken before nor hold one; every lists parents first.
+        fresh = set()
+        for x in every:
+            if x in above or not wanted(x):
+                continue
+            up = list(_ancestors(x))
+            if not any(u in taken or u in fresh for u in up):
+                fresh.add(x)
+        taken |= fresh
+        above |= {u for x in fresh for u in _ancestors(x)}
+    if taken:
+        return [x for x in every if x in taken], True
     # The deepest element that still holds most of the page's slot text.
     at, total = root, _weight(root, template, False)
     while total:
@@ -176,15 +197,13 @@ def _find_main(root: Node, template: frozenset) -> tuple[Node, bool]:
         if not inner:
             break
         at = max(inner, key=lambda x: x[0])[1]
-    return at, False
+    return [at], False
 
 
-def extract(page: str, template: frozenset = frozenset()) -> str:
-    """The main text, blocks joined by newlines."""
-    root = parse(page)
-    main, sure = _find_main(root, template)
+def _blocks(main: list[Node], sure: bool, template: frozenset) -> str:
     blocks: list[str] = []
     parts: list[str] = []
+    tops = set(main)
 
     def flush() -> None:
         text = _squeeze("".join(parts))
@@ -192,8 +211,7 @@ def extract(page: str, template: frozenset = frozenset()) -> str:
         if text:
             blocks.append(text)
 
-    # In an article that the page marks itself, text is content even where many pages share it.
-    todo: list = [main]
+    todo: list = [y for x in reversed(main) for y in (None, x)]
     while todo:
         x = todo.pop()
         if x is None:
@@ -201,7 +219,7 @@ def extract(page: str, template: frozenset = frozenset()) -> str:
         elif isinstance(x, tuple):
             if sure or not template or key(f"{x[1].path}#{_squeeze(x[0])}") not in template:
                 parts.append(x[0])
-        elif x is main or not _aside(x, sure):
+        elif x in tops or not _aside(x, sure):
             if x.tag == "br":
                 parts.append(" ")
                 continue
@@ -213,6 +231,13 @@ def extract(page: str, template: frozenset = frozenset()) -> str:
     return "\n".join(blocks)
 
 
+def extract(page: str, template: frozenset = frozenset()) -> str:
+    """The main text, blocks joined by newlines."""
+    main, sure = _find_main(parse(page), template)
+    text = _blocks(main, sure, template)
+    return text
+
+
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)"
 
 

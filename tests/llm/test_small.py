@@ -202,6 +202,11 @@ def test_pages(spark):
     assert got[3]["text"] == ("Text number 3 " * 9).strip() and got[50]["text"] == "" == got[51]["text"]
 
 
+def test_whole_articles():
+    page = "<body><article><p>One</p><section class='related-work'>two</section><div class=legal-analysis>three</div><label>four</label><math><mi>x</mi></math><div class=social-share>no</div></article><div class=related>no</div><article>five</article><div class=entry-content>six</div></body>"
+    assert html_text.extract(page) == "One\ntwo\nthree\nfourx\nfive\nsix"
+
+
 def test_license_lines(spark):
     docs = _docs(spark, [(1, "Hello.\nReleased under the MIT License.\nbye"), (2, None), (3, "the free version of the water"), (4, "Licensed under the Apache License, Version 2.0.")])
     got = {r["doc_id"]: (r["n_lines"], r["families"]) for r in license_scan.scan(docs, spark=spark).collect()}
