@@ -7,8 +7,9 @@ ever built. A class is valid if it is frequent (most of the host's pages) and la
 the template, a set of tokens: their order and nesting aren't tested beyond the paths that tokens carry. What isn't a
 template token fills the slots. The main elements are found by tag and class name, all outermost ones in page order, or
 where a page marks none, as the element whose slots hold most text outside links. The main text is what their slots
-hold, without the parts that pages give to menus, notices, forms and comments by tag or whole class name. Pages of
-hosts with few pages take the template of all pages together.
+hold: text nodes of the template stay out of it, as do parts that pages give to menus, notices, forms and comments by
+tag or whole class name. If all text of the main elements is in the template, it stays. Pages of hosts with few pages
+take the template of all pages together, if these are enough.
 """
 
 from __future__ import annotations
@@ -217,7 +218,7 @@ def _blocks(main: list[Node], sure: bool, template: frozenset) -> str:
         if x is None:
             flush()
         elif isinstance(x, tuple):
-            if sure or not template or key(f"{x[1].path}#{_squeeze(x[0])}") not in template:
+            if not template or key(f"{x[1].path}#{_squeeze(x[0])}") not in template:
                 parts.append(x[0])
         elif x in tops or not _aside(x, sure):
             if x.tag == "br":
@@ -235,7 +236,8 @@ def extract(page: str, template: frozenset = frozenset()) -> str:
     """The main text, blocks joined by newlines."""
     main, sure = _find_main(parse(page), template)
     text = _blocks(main, sure, template)
-    return text
+    # Copies of one page make all their text the template's.
+    return _blocks(main, sure, frozenset()) if sure and template and not text else text
 
 
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)"
@@ -268,7 +270,7 @@ def templates(pages: DataFrame, spec: Template, scratch: Scratch) -> DataFrame:
     every = each.groupBy("token").agg(F.sum("vector").alias("vector"), F.sum("support").alias("support"))
     total = pages.count()
     of_host = each.join(hosts, "host").where(F.col("pages") >= spec.few).select("host", "token", "vector", "support", "pages")
-    of_all = every.select(F.lit(None).cast("string").alias("host"), "token", "vector", "support", F.lit(total).cast("long").alias("pages"))
+    of_all = every.select(F.lit(None).cast("string").alias("host"), "token", "vector", "support", F.lit(total).cast("long").alias("pages")).where(F.col("pages") >= spec.few)
     frequent = of_host.unionByName(of_all).where(F.col("support") >= F.col("pages") * spec.share)
     classes = frequent.groupBy("host", "vector").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= spec.large)
     return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))

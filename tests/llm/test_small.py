@@ -207,6 +207,16 @@ def test_whole_articles():
     assert html_text.extract(page) == "One\ntwo\nthree\nfourx\nfive\nsix"
 
 
+def test_template_inside_articles(spark):
+    page = "<body><article><h1>Title {0}</h1><p>Text number {0}</p><div class=x>Read our other stories</div><div class=y>Printed daily</div></article></body>"
+    rows = [(i, f"http://h.org/{i}", page.format(i)) for i in range(12)] + [(i, f"http://same.org/{i}", page.format("s")) for i in range(20, 30)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string"), spark=spark).collect()}
+    assert got[3] == "Title 3\nText number 3"
+    assert got[20] == "Title s\nText number s\nRead our other stories\nPrinted daily"
+    one = html_text.main_texts(spark.createDataFrame(rows[:1], "page_id long, url string, html string"), spark=spark).first()
+    assert one["text"] == "Title 0\nText number 0\nRead our other stories\nPrinted daily"
+
+
 def test_license_lines(spark):
     docs = _docs(spark, [(1, "Hello.\nReleased under the MIT License.\nbye"), (2, None), (3, "the free version of the water"), (4, "Licensed under the Apache License, Version 2.0.")])
     got = {r["doc_id"]: (r["n_lines"], r["families"]) for r in license_scan.scan(docs, spark=spark).collect()}
