@@ -114,3 +114,26 @@ def least_side(rects: DataFrame, limit: int, pad: int) -> DataFrame:
 
     order = F.struct((-F.col("w") * F.col("h")).alias("a"), (-F.greatest("w", "h")).alias("b"), "id", "w", "h")
     return rects.groupBy("grp").agg(F.array_sort(F.collect_list(order)).alias("sizes")).select("grp", search("sizes").alias("side"))
+
+
+def pad_image(rows: DataFrame, pad: int) -> DataFrame:
+    """Rows (image_id, y, row) of images with their edges and corners repeated pad times on each side; y counts from 0."""
+    by = Window.partitionBy("image_id")
+    at = rows.withColumn("k", F.row_number().over(by.orderBy("y")).cast("long") - 1).withColumn("h", F.count("*").over(by))
+    first = F.when(F.col("k") == 0, F.lit(0).cast("long")).otherwise(F.col("k") + pad)
+    last = F.when(F.col("k") == F.col("h") - 1, F.col("k") + 2 * pad).otherwise(F.col("k") + pad)
+    return at.select("image_id", F.explode(F.sequence(first, last)).alias("y"), pad_row(F.col("row"), pad).alias("row"))
+
+
+def box_blur(rows: DataFrame, radius: int) -> DataFrame:
+    """image_id, y, x, mean: each row's means, then the means of these down the columns; windows end at the edges.
+
+    All rows of an image are of one width, so the mean of means is the sum of sums over both windows' sizes.
+    """
+    n = F.size("row")
+    low, high = (lambda i: F.greatest(i - radius, F.lit(0))), (lambda i: F.least(i + radius, n - 1))
+    sums = F.transform("row", lambda v, i: F.struct(F.aggregate(F.slice("row", low(i) + 1, high(i) - low(i) + 1), F.lit(0).cast("long"), lambda a, x: a + x).alias("s"), (high(i) - low(i) + 1).alias("n")))
+    near = F.collect_list("sums").over(Window.partitionBy("image_id").orderBy("y").rowsBetween(-radius, radius))
+    both = rows.select("image_id", "y", sums.alias("sums")).withColumn("near", near)
+    total = F.transform("sums", lambda v, i: F.aggregate("near", F.lit(0).cast("long"), lambda a, r: a + F.get(r, i)["s"]) / (v["n"] * F.size("near")))
+    return both.select("image_id", "y", F.posexplode(total).alias("x", "mean")).withColumn("x", F.col("x").cast("long"))

@@ -215,6 +215,19 @@ def box_blur(spark, sf_dir):
     return views.rows(spark, sf_dir).select("image_id", "y", F.posexplode(mean).alias("x", "mean")).withColumn("x", F.col("x").cast("long"))
 
 
+@query(f"WITH {_PX}, s AS (SELECT image_id, y, x, sum(p) OVER h AS s, count(*) OVER h AS n FROM px WINDOW h AS (PARTITION BY y ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) SELECT image_id, y, x, round(sum(s) OVER v::DOUBLE / sum(n) OVER v, 6) AS mean FROM s WINDOW v AS (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")
+def box_blur_image(spark, sf_dir):
+    """Both passes; box_blur is the horizontal one."""
+    return layout.box_blur(views.rows(spark, sf_dir), 2).withColumn("mean", F.round("mean", 6))
+
+
+@query(f"WITH {_PX}, k AS (SELECT image_id, x, p, row_number() OVER (PARTITION BY image_id, x ORDER BY y) - 1 AS k, count(*) OVER (PARTITION BY image_id, x) AS h FROM px), g AS (SELECT image_id, h, ty, unnest(range(68)) AS tx FROM (SELECT DISTINCT image_id, h, unnest(range(h + 4)) AS ty FROM k)) SELECT image_id, ty AS y, sum(p)::BIGINT AS total, sum(p * (tx + 1))::BIGINT AS moment FROM g JOIN k USING (image_id, h) WHERE k.k = least(greatest(ty - 2, 0), h - 1) AND k.x = least(greatest(tx - 2, 0), 63) GROUP BY image_id, ty")
+def pad_replicate_image(spark, sf_dir):
+    """All four sides and the corners; pad_replicate is left and right."""
+    moment = R.total(F.transform("row", lambda v, i: v * (i + 1)))
+    return layout.pad_image(views.rows(spark, sf_dir), 2).select("image_id", "y", R.total(F.col("row")).alias("total"), moment.alias("moment"))
+
+
 @query(f"WITH {_PX}, v AS (SELECT image_id, y, x, list(p) OVER (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS c FROM px), w AS (SELECT image_id, y, x, list_sort(flatten(list(c) OVER (PARTITION BY y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))) AS s FROM v) SELECT image_id, y, x, s[len(s) // 2 + 1] AS median FROM w")
 def median3(spark, sf_dir):
     by = Window.partitionBy("image_id").orderBy("y")
