@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import ahocorasick
 import pandas as pd
@@ -17,11 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text
+from ._scratch import Scratch
 
 
 @dataclass(frozen=True)
 class Matching:
-    """percent: edits allowed for each hundred characters; shortest: fewer characters than that are no item.
+    """percent: edits allowed for each hundred characters; shortest: items of fewer characters match as whole words, unchanged.
 
     Items are taken in blocks of at most block_chars characters, each matched against all rows, so what a task holds
     of the items has a fixed bound.
@@ -77,10 +79,10 @@ class Items:
     def __init__(self, items: list[tuple[int, str]], spec: Matching):
         self.spec = spec
         self.items = [(i, fold(t)) for i, t in items]
-        self._automaton = None
+        self._automaton = self._short = None
 
     def __getstate__(self):
-        return {"spec": self.spec, "items": self.items, "_automaton": None}
+        return {"spec": self.spec, "items": self.items, "_automaton": None, "_short": None}
 
     def budget(self, item: str) -> int:
         return len(item) * self.spec.percent // 100
@@ -99,12 +101,32 @@ class Items:
                 self._automaton.make_automaton()
         return self._automaton
 
+    def short(self):
+        """An automaton of the items too short for edits, with their ids."""
+        if self._short is None:
+            ids: dict[str, list[int]] = {}
+            for item_id, item in self.items:
+                if 0 < len(item) < self.spec.shortest:
+                    ids.setdefault(item, []).append(item_id)
+            self._short = ahocorasick.Automaton()
+            for item, of in ids.items():
+                self._short.add_word(item, (len(item), of))
+            if ids:
+                self._short.make_automaton()
+        return self._short
+
     def find(self, text: str) -> dict[int, int]:
         """item_id -> least distance, of the items within their budget."""
-        a, found, tried = self.automaton(), {}, {}
-        if not len(a):
+        a, short, found, tried = self.automaton(), self.short(), {}, {}
+        if not len(a) and not len(short):
             return found
         text = fold(text)
+        for end, (n, of) in short.iter(text) if len(short) else ():
+            # No letter or digit goes on across either end.
+            if not (text[end].isalnum() and text[end + 1 : end + 2].isalnum()) and not (text[end + 1 - n].isalnum() and end >= n and text[end - n].isalnum()):
+                found.update(dict.fromkeys(of, 0))
+        if not len(a):
+            return found
         for end, (n, places) in a.iter(text):
             for k, at in places:
                 item_id, item = self.items[k]
@@ -149,21 +171,34 @@ def _blocks(benchmark: DataFrame, spec: Matching) -> Iterator[Items]:
 def contamination(docs: DataFrame, benchmark: DataFrame, spec: Matching = Matching()) -> DataFrame:  # noqa: B008
     """One row per document: doc_id, contaminated, item_ids (sorted), distances.
 
-    Case and white space don't count. Items with nulls, or shorter than spec.shortest, match nothing. Null and empty
-    texts hold nothing; rows that repeat are matched each; an empty table gives an empty result, and an empty benchmark
-    finds every document clean. Other columns are ignored.
+    Case and white space don't count. Items with nulls match nothing, and those shorter than spec.shortest only as
+    whole words. Null and empty texts hold nothing; rows that repeat are matched each, however many blocks the items
+    take; an empty table gives an empty result, and an empty benchmark finds every document clean. Other columns are
+    ignored.
     """
-    out = None
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    for items in _blocks(benchmark, spec):
-        part = text.mapInArrow(_match(items), "doc_id long, item_ids array<long>, distances array<int>")
-        out = part if out is None else out.union(part.where("size(item_ids) > 0"))
-        many = out is not part
-    if out is None:
+    blocks = _blocks(benchmark, spec)
+    first, second = next(blocks, None), next(blocks, None)
+    schema = "item_ids array<long>, distances array<int>"
+    if first is None:
         out = text.select("doc_id", F.expr("cast(array() as array<long>) item_ids"), F.expr("cast(array() as array<int>) distances"))
-    elif many:
-        both = out.select("doc_id", F.arrays_zip("item_ids", "distances").alias("z")).groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("z"))).alias("z"))
-        out = both.select("doc_id", F.col("z.item_ids").alias("item_ids"), F.col("z.distances").alias("distances"))
+    elif second is None:
+        out = text.mapInArrow(_match(first), f"doc_id long, {schema}")
+    else:
+        # Rows have keys of their own, written once, so that all blocks see the same ones.
+        keyed = Scratch(docs.sparkSession, "leaks").keep(text.withColumn("row", F.monotonically_increasing_id()))
+        hits = None
+        for items in chain((first, second), blocks):
+            part = keyed.select(F.col("row").alias("doc_id"), "text").mapInArrow(_match(items), f"doc_id long, {schema}").where("size(item_ids) > 0")
+            hits = part if hits is None else hits.union(part)
+        z = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("item_ids", "distances"))))
+        hits = hits.groupBy(F.col("doc_id").alias("row")).agg(z.alias("z"))
+        # An id whose texts are in several blocks stands once, with its least distance.
+        once = F.filter("z", lambda x, i: (i == 0) | (F.get("z", i - 1)["item_ids"] != x["item_ids"]))
+        hits = hits.select("row", once.alias("z"))
+        none = "cast(array() as array<struct<item_ids:long,distances:int>>)"
+        out = keyed.select("row", "doc_id").join(hits, "row", "left").select("doc_id", F.coalesce("z", F.expr(none)).alias("z"))
+        out = out.select("doc_id", F.col("z.item_ids").alias("item_ids"), F.col("z.distances").alias("distances"))
     return out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "distances")
 
 

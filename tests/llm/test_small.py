@@ -123,6 +123,16 @@ def test_distance_and_contamination(spark):
     assert sorted(r["doc_id"] for r in dec.drop_contaminated(docs, bench).collect()) == [3, 4, 5]
 
 
+def test_blocks_change_nothing_and_short_items_match(spark):
+    bench = spark.createDataFrame([(1, "the quick brown fox jumps over"), (2, "pack my box with five dozen jugs"), (3, "Short one"), (2, "sphinx of black quartz judge my vow")], "item_id long, text string")
+    texts = ["x the quick brown fox jumps over y", "pack my box with five dozen jugs", "a short  one.", "a short ones"]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[2]), (8, texts[3]), (9, f"{texts[1]} sphinx of black quartz judge my vow"), (10, None)]
+    docs = _docs(spark, rows, lambda i: "s")
+    got = [sorted(map(str, dec.contamination(docs, bench, dec.Matching(block_chars=n)).collect())) for n in (8_000_000, 1, 60)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
+    assert [r["item_ids"] for r in dec.contamination(docs, bench).collect()] == [[1], [2], [3], [3], [], [2], []]
+
+
 def test_toxicity(spark):
     assert toxicity.fold("You 1D10T, lоsér!") == " you idiot loser "
     lex = toxicity.Lexicon({" idiot ": 4.0, " vequ": 4.0}, ["idiot proof"])
