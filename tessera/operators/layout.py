@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.raster import l1
+
 #: Of the orientations 1 to 8, those that swap the axes and those that then flip x and y.
 SWAPS, FLIPS_X, FLIPS_Y = (5, 6, 7, 8), (2, 3, 6, 7), (3, 4, 7, 8)
 
@@ -18,37 +23,42 @@ def oriented(pixels: DataFrame, orientation: Column, w: Column, h: Column) -> Da
 
 
 def area_order(rects: DataFrame) -> DataFrame:
-    """ordinal, id: by area, longer side (both falling) and id. A histogram of areas gives each area's first ordinal,
-    so no window holds all rows."""
-    r = rects.withColumn("area", F.col("w") * F.col("h"))
-    sizes = r.groupBy("area").agg(F.count("*").alias("n"))
-    before = Window.orderBy(F.col("area").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))).drop("n")
-    own = Window.partitionBy("area").orderBy(F.greatest("w", "h").desc(), "id")
-    return r.join(sizes, "area").select((F.col("first") + F.row_number().over(own) - 1).alias("ordinal"), "id")
+    """ordinal, id: by area, longer side (both falling) and id.
+
+    Rows are counted in cells of one area, longer side and run of ids; cumulative counts of areas, and of the cells of
+    an area, say where each cell begins. So a window holds all areas, the cells of an area or the rows of a cell (65,536
+    where ids are unique), never all rows, also where most rectangles are of one size.
+    """
+    key = ["area", "long", "run"]
+    r = rects.select("id", (F.col("w") * F.col("h")).alias("area"), F.greatest("w", "h").alias("long"), F.floor(F.col("id") / 65536).alias("run"))
+    cells = r.groupBy(*key).agg(F.count("*").alias("n"))
+    areas = cells.groupBy("area").agg(F.sum("n").alias("n"))
+    upto = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    areas = areas.select("area", upto(Window.orderBy(F.col("area").desc())).alias("first"))
+    cells = cells.withColumn("inner", upto(Window.partitionBy("area").orderBy(F.col("long").desc(), "run"))).drop("n")
+    starts = cells.join(areas, "area").select(*key, (F.col("first") + F.col("inner")).alias("start"))
+    own = Window.partitionBy(*key).orderBy("id")
+    return r.join(starts, key).select((F.col("start") + F.row_number().over(own) - 1).alias("ordinal"), "id")
 
 
 def shelf_pack(rects: DataFrame, side: int, pad: int) -> DataFrame:
     """grp, id, x, y, w, h, placed: each group on shelves of its own sheet, in area order.
 
     A rectangle wider or higher than the sheet changes nothing; one that opens a new shelf keeps it open even if it
-    then doesn't fit. x and y are of the inner rectangle. A group is one sheet's worth of rectangles.
+    then doesn't fit. x and y are of the inner rectangle. A group is one sheet's worth of rectangles: they are gathered
+    into a row and placed in one linear pass.
     """
     item = F.struct((-F.col("w") * F.col("h")).alias("k"), (-F.greatest("w", "h")).alias("m"), "id", "w", "h")
     groups = rects.groupBy("grp").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.expr("named_struct('x', 0L, 'y', 0L, 'shelf', 0L, 'out', cast(array() as array<struct<id:bigint,x:bigint,y:bigint,w:bigint,h:bigint,placed:boolean>>))")
 
-    def step(s: Column, t: Column) -> Column:
-        w, h = t["w"] + 2 * pad, t["h"] + 2 * pad
-        fits = (w <= side) & (h <= side)
-        wraps = fits & (s["x"] + w > side)
-        x, y = F.when(wraps, F.lit(0).cast("long")).otherwise(s["x"]), F.when(wraps, s["y"] + s["shelf"]).otherwise(s["y"])
-        shelf = F.when(wraps, F.lit(0).cast("long")).otherwise(s["shelf"])
-        ok = fits & (y + h <= side)
-        one = F.struct(t["id"].alias("id"), F.when(ok, x + pad).alias("x"), F.when(ok, y + pad).alias("y"), t["w"].alias("w"), t["h"].alias("h"), ok.alias("placed"))
-        return F.struct(F.when(ok, x + w).otherwise(x).alias("x"), y.alias("y"), F.when(ok, F.greatest(shelf, h)).otherwise(shelf).alias("shelf"), F.concat(s["out"], F.array(one)).alias("out"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, items in enumerate(batch.column(1).to_pylist()):
+                at = shelve([(t["w"], t["h"]) for t in items], side, pad)
+                columns = [[t["id"] for t in items], [p and p[0] for p in at], [p and p[1] for p in at], [t["w"] for t in items], [t["h"] for t in items]]
+                yield pa.record_batch([batch.column(0).take(pa.array([i] * len(items))), *(pa.array(c, pa.int64()) for c in columns), pa.array([p is not None for p in at])], names=["grp", "id", "x", "y", "w", "h", "placed"])
 
-    return groups.select("grp", F.explode(F.aggregate("items", start, step, lambda s: s["out"])).alias("p")).select("grp", "p.*")
+    return groups.mapInArrow(run, f"grp {groups.schema['grp'].dataType.simpleString()}, id long, x long, y long, w long, h long, placed boolean")
 
 
 def offsets(blobs: DataFrame, by: str, order: str, length: str) -> DataFrame:
@@ -72,28 +82,44 @@ def pad_row(row: Column, pad: int) -> Column:
 def nearest(items: DataFrame, band: int = 3, newest: int = 64) -> DataFrame:
     """id, other, cost: the item of least L1 cost whose bucket is within the band; ties to the smaller id.
 
-    items: id, bucket, edge. Of each bucket only the newest (largest id) are looked at, so a bucket has a bounded number
-    of candidates; the band is an equi-join on exploded buckets.
+    items: id, bucket, edge. Of each bucket only the newest (largest id) are looked at, so a bucket is one row of at most
+    so many edges. An item meets the buckets of its band by an equi-join on exploded buckets, where its edge travels once
+    per bucket that exists, and finds the cheapest of each inside the row.
     """
-    from tessera.functions.raster import l1
-
+    of = F.slice(F.sort_array(F.collect_list(F.struct("id", "edge")), False), 1, newest)
     latest = Window.partitionBy("bucket").orderBy(F.col("id").desc())
-    right = items.withColumn("rn", F.row_number().over(latest)).where(F.col("rn") <= newest).select(F.col("bucket").alias("at"), F.col("id").alias("other"), F.col("edge").alias("theirs"))
+    right = items.withColumn("rn", F.row_number().over(latest)).where(F.col("rn") <= newest).groupBy(F.col("bucket").alias("at")).agg(of.alias("theirs"))
     left = items.select("id", "edge", F.explode(F.sequence(F.col("bucket") - band, F.col("bucket") + band)).alias("at"))
-    pairs = left.join(right, "at").where("id != other").select("id", "other", l1(F.col("edge"), F.col("theirs")).alias("cost"))
-    return pairs.groupBy("id").agg(F.min(F.struct("cost", "other")).alias("best")).select("id", "best.other", "best.cost")
+    costs = F.transform(F.filter("theirs", lambda t: t["id"] != F.col("id")), lambda t: F.struct(l1(F.col("edge"), t["edge"]).alias("cost"), t["id"].alias("other")))
+    pairs = left.join(right, "at").select("id", F.array_min(costs).alias("best")).where("best is not null")
+    return pairs.groupBy("id").agg(F.min("best").alias("best")).select("id", "best.other", "best.cost")
 
 
-def _all_fit(sizes: list[tuple[int, int]], side: int, pad: int) -> bool:
+def shelve(sizes: list[tuple[int, int]], side: int, pad: int) -> list[tuple[int, int] | None]:
+    """Inner corners of rectangles on the shelves of one sheet, in the order given; None where one doesn't fit."""
     x = y = shelf = 0
-    for w, h in sizes:
-        w, h = w + 2 * pad, h + 2 * pad
+    out: list[tuple[int, int] | None] = []
+    for w, h in ((w + 2 * pad, h + 2 * pad) for w, h in sizes):
+        if max(w, h) > side:
+            out.append(None)
+            continue
         if x + w > side:
             x, y, shelf = 0, y + shelf, 0
-        if x + w > side or y + h > side:
-            return False
+        if y + h > side:
+            out.append(None)
+            continue
+        out.append((x + pad, y + pad))
         x, shelf = x + w, max(shelf, h)
-    return True
+    return out
+
+
+def search_side(sizes: list[tuple[int, int]], limit: int, pad: int) -> int:
+    """Where a binary search up to limit ends for the least side that holds all sizes in their order."""
+    low, high = max([1, *(max(s) + 2 * pad for s in sizes)]), limit
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (middle + 1, high) if None in shelve(sizes, middle, pad) else (low, middle)
+    return low
 
 
 def least_side(rects: DataFrame, limit: int, pad: int) -> DataFrame:
@@ -103,17 +129,38 @@ def least_side(rects: DataFrame, limit: int, pad: int) -> DataFrame:
     are gathered into one row of its group, so a sheet must fit in a task.
     """
 
-    @F.udf("long")
-    def search(sizes):
-        sizes = [(s["w"], s["h"]) for s in sizes]
-        low, high = max([1, *(max(s) + 2 * pad for s in sizes)]), limit
-        while low < high:
-            middle = (low + high) // 2
-            low, high = (low, middle) if _all_fit(sizes, middle, pad) else (middle + 1, high)
-        return low
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [search_side([(s["w"], s["h"]) for s in sizes], limit, pad) for sizes in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(sides, pa.int64())], names=["grp", "side"])
 
     order = F.struct((-F.col("w") * F.col("h")).alias("a"), (-F.greatest("w", "h")).alias("b"), "id", "w", "h")
-    return rects.groupBy("grp").agg(F.array_sort(F.collect_list(order)).alias("sizes")).select("grp", search("sizes").alias("side"))
+    sheets = rects.groupBy("grp").agg(F.array_sort(F.collect_list(order)).alias("sizes"))
+    return sheets.mapInArrow(run, f"grp {sheets.schema['grp'].dataType.simpleString()}, side long")
+
+
+def placed_items(placements: DataFrame, items: DataFrame) -> DataFrame:
+    """Placements (grp, id, x, y, w, h) with the columns of their items; one without an item raises an error.
+
+    The join is by grp and id, so a large table of items is shuffled once by both.
+    """
+    joined = placements.join(items.withColumn("_found", F.lit(True)), ["grp", "id"], "left")
+    missing = F.raise_error(F.concat(F.lit("no item "), F.col("id").cast("string")))
+    return joined.withColumn("id", F.when(F.col("_found"), F.col("id")).otherwise(missing)).drop("_found")
+
+
+def rect_at(points: DataFrame, rects: DataFrame, cell: int = 64) -> DataFrame:
+    """points (sheet, px, py) with the id of the rectangle (sheet, id, x, y, w, h) that holds each; null outside all.
+
+    Rectangles are exploded into the cells of a grid that they meet, so the lookup is an equi-join by sheet and cell; of
+    rectangles that overlap, the smallest id counts. Points that repeat are looked up each.
+    """
+    span = lambda at, size: F.explode(F.sequence(F.floor(F.col(at) / cell), F.floor((F.col(at) + F.col(size) - 1) / cell)))
+    grid = rects.where("w > 0 and h > 0").withColumn("_cx", span("x", "w")).withColumn("_cy", span("y", "h"))
+    inside = F.expr("px >= x and px < x + w and py >= y and py < y + h")
+    keyed = points.withColumns({"_row": F.monotonically_increasing_id(), "_cx": F.floor(F.col("px") / cell), "_cy": F.floor(F.col("py") / cell)})
+    found = keyed.join(grid, ["sheet", "_cx", "_cy"], "left").groupBy("_row", *points.columns).agg(F.min(F.when(inside, F.col("id"))).alias("id"))
+    return found.drop("_row")
 
 
 def pad_image(rows: DataFrame, pad: int) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import raster as R
+from tessera.sources import container
 
 #: A dearer choice must bring the size to this share of the cheaper one's, in ten thousandths.
 PAETH_SHARE, NONE_SHARE, TRANSFORM_SHARE = 9200, 9800, 9950
@@ -22,10 +27,29 @@ def residuals(rows: DataFrame) -> DataFrame:
 
 
 def undo_up(residual: DataFrame, column: str) -> DataFrame:
-    """Samples from up residuals: running sums down each column of an image."""
-    long = residual.select("image_id", "y", F.posexplode(column).alias("x", "e"))
-    down = Window.partitionBy("image_id", "x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
-    return long.select("image_id", "y", "x", R.wrap(F.sum("e").over(down)).alias("p"))
+    """Samples from up residuals: running sums down each column of an image, in one pass over its whole rows.
+
+    Rows of an image meet in one task in order of y and are folded with the sums so far, one row of memory for an image.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, None
+        for batch in batches:
+            out = []
+            for i, row in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                e = row.values.to_numpy(zero_copy_only=False)
+                sums = (sums + e) % 256 if i == now and sums is not None else e % 256
+                now = i
+                out.append(sums)
+            size = [len(r) for r in out]
+            flat = np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+            rows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat.astype(np.int64)))
+            yield pa.record_batch([batch.column(0), batch.column(1), rows], names=["image_id", "y", "row"])
+
+    rows = residual.select(F.col("image_id").cast("long").alias("image_id"), F.col("y").cast("long").alias("y"), F.col(column).cast("array<bigint>").alias("e"))
+    ordered = rows.repartition("image_id").sortWithinPartitions("image_id", "y")
+    whole = ordered.mapInArrow(run, "image_id long, y long, row array<bigint>")
+    return whole.select("image_id", "y", F.posexplode("row").alias("x", "p"))
 
 
 def summary(rows: DataFrame, column: str) -> DataFrame:
@@ -77,3 +101,18 @@ def sample_rows(heights: DataFrame, budget: int = 256 * 1024) -> DataFrame:
     """image_id, i, y: evenly spread rows within a budget of samples; heights has image_id, w, h."""
     n = F.least("h", F.greatest(F.lit(1).cast("long"), F.floor(F.least(F.lit(budget), F.col("w") * F.col("h")) / F.col("w"))))
     return heights.withColumn("n", n).select("image_id", "h", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")).select("image_id", "i", F.floor(F.col("i") * F.col("h") / F.col("n")).alias("y"))
+
+
+def candidate_sizes(images: DataFrame, level: int = 3) -> DataFrame:
+    """image_id, transform, channel, predictor, size: the compressed size of each channel's sampled rows under all four
+    transforms and all four predictors, of images (image_id, width, height, rgba). One image at a time, no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, w, h, rgba in zip(*batch.columns, strict=True):
+                px = np.frombuffer(rgba.as_buffer(), dtype=np.uint8).reshape(h.as_py(), w.as_py(), 4)
+                rows = [(t, "RGB"[k], p, n) for t in container.TRANSFORMS for k, plane in enumerate(container.recolour([np.ascontiguousarray(px[..., k]) for k in range(3)], t, -1)) for p, n in container.sampled_sizes(plane, level).items()]
+                cols = [pa.array([i.as_py()] * len(rows), pa.int64()), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64())))]
+                yield pa.record_batch(cols, names=["image_id", "transform", "channel", "predictor", "size"])
+
+    return images.selectExpr("cast(image_id as bigint) image_id", "width", "height", "rgba").mapInArrow(run, "image_id long, transform string, channel string, predictor string, size long")

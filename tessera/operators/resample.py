@@ -70,15 +70,29 @@ def resize_pixels(px: np.ndarray, width: int, height: int, radius: int) -> np.nd
     return resample(across, height, radius)
 
 
+def whole_radius(width: int, height: int) -> int:
+    """The smaller side of the image that is resized, one sample at least."""
+    return max(ONE, min(width, height) * ONE)
+
+
+def taps(width: int, height: int, new_width: int, new_height: int, radius: int | None = None) -> int:
+    """Weights that resizing one image uses: none if its size stays, else those of each target pixel of both passes."""
+    if (width, height) == (new_width, new_height):
+        return 0
+    radius = radius or whole_radius(width, height)
+    across, down = kernel(width, new_width, radius), kernel(height, new_height, radius)
+    return sum(map(len, across)) * height + sum(map(len, down)) * new_width
+
+
 def resize(images: DataFrame, width: int, height: int, radius: int | None = None) -> DataFrame:
-    """image_id, width, height, rgba of images resized; by default the radius is the smaller target side, 1 at least."""
-    radius = radius or max(ONE, min(width, height) * ONE)
+    """image_id, width, height, rgba of images resized; by default an image's radius is its own smaller side, 1 at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, w, h, rgba in zip(*batch.columns, strict=True):
-                px = np.frombuffer(rgba.as_py(), dtype=np.uint8).reshape(h.as_py(), w.as_py(), 4)
-                body = np.ascontiguousarray(resize_pixels(px, width, height, radius)).tobytes()
+                w, h = w.as_py(), h.as_py()
+                px = np.frombuffer(rgba.as_py(), dtype=np.uint8).reshape(h, w, 4)
+                body = np.ascontiguousarray(resize_pixels(px, width, height, radius or whole_radius(w, h))).tobytes()
                 yield pa.record_batch([pa.array([i.as_py()], pa.int64()), pa.array([width], pa.int64()), pa.array([height], pa.int64()), pa.array([body], pa.binary())], names=["image_id", "width", "height", "rgba"])
 
     return images.selectExpr("cast(image_id as bigint) image_id", "width", "height", "rgba").mapInArrow(run, "image_id long, width long, height long, rgba binary")

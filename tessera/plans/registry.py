@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import names
+from tessera.functions import header, names
 from tessera.functions import raster as R
-from tessera.operators import layout, predict, resample
-from tessera.sources import container, packfile, views
+from tessera.operators import filters, layout, predict, resample, view
+from tessera.sources import container, images, packfile, respack, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,8 +109,9 @@ def alpha_mode(spark, sf_dir):
 
 @query(f"WITH {_RGBA} SELECT image_id, y, x // 8 AS byte_no, sum((CASE WHEN a >= 128 THEN 1 ELSE 0 END) << (x % 8)::INT)::BIGINT AS byte FROM rgba GROUP BY ALL")
 def alpha_mask_pack(spark, sf_dir):
-    bit = F.expr("shiftleft(CASE WHEN a >= 128 THEN 1L ELSE 0L END, cast(x % 8 as int))")
-    return views.pixels(spark, sf_dir).groupBy("image_id", "y", F.floor(F.col("x") / 8).alias("byte_no")).agg(F.sum(bit).alias("byte"))
+    alpha = F.transform(R.deinterleaved(F.col("row"), 4)[3], lambda a: F.when(a >= 128, 255).otherwise(0))
+    packed = views.rows(spark, sf_dir).select("image_id", "y", F.posexplode(R.mask_bytes(alpha)).alias("byte_no", "byte"))
+    return packed.select("image_id", "y", F.col("byte_no").cast("long").alias("byte_no"), F.col("byte").cast("long").alias("byte"))
 
 
 @query(f"WITH {_RECT} SELECT id, (w << 48) + (h << 32) + ((id % 65536) << 16) + (w + h) AS packed, w AS x, h AS y, id % 65536 AS w, w + h AS h FROM rects")
@@ -122,9 +123,8 @@ def rect_pack_unpack(spark, sf_dir):
 @query("SELECT p_partkey AS id, p_partkey // 65536 % 65536 AS pixfmt, p_partkey // 256 % 256 AS qval, p_partkey % 256 AS channels, p_partkey % 2 = 1 AS predictor, CASE p_partkey // 2 % 4 WHEN 0 THEN 'Normal' WHEN 1 THEN 'Opaque255' WHEN 2 THEN 'Transparent0' ELSE 'Mask1Bit' END AS alpha, p_partkey // 8 % 2 = 1 AS has_meta, p_partkey // 16 % 4 AS transform FROM part")
 def flags_parse(spark, sf_dir):
     f = F.col("p_partkey")
-    bits = lambda n, mask: F.shiftright(f, n).bitwiseAND(F.lit(mask))
-    alpha = F.element_at(F.array(*map(F.lit, ("Normal", "Opaque255", "Transparent0", "Mask1Bit"))), (bits(1, 3) + 1).cast("int"))
-    return views.table(spark, sf_dir, "part").select(f.alias("id"), bits(16, 65535).alias("pixfmt"), bits(8, 255).alias("qval"), bits(0, 255).alias("channels"), (bits(0, 1) == 1).alias("predictor"), alpha.alias("alpha"), (bits(3, 1) == 1).alias("has_meta"), bits(4, 3).alias("transform"))
+    fields = header.parse_flags(f) | header.parse_feature(f)
+    return views.table(spark, sf_dir, "part").select(f.alias("id"), *[c.alias(n) for n, c in fields.items() if n != "transform"], F.shiftright(f, 4).bitwiseAND(F.lit(3)).alias("transform"))
 
 
 @query(f"WITH {_RGBA} SELECT image_id, (((77 * r + 150 * g + 29 * b) >> 8) >> 3)::INT AS q, count(*) AS n FROM rgba GROUP BY ALL")
@@ -209,10 +209,7 @@ def sample_rows(spark, sf_dir):
 
 @query(f"WITH {_PX} SELECT image_id, y, x, round(avg(p) OVER (PARTITION BY y ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS mean FROM px")
 def box_blur(spark, sf_dir):
-    n = F.size("row")
-    around = F.transform("row", lambda v, i: F.slice("row", F.greatest(i - 1, F.lit(1)), F.least(i + 3, n) - F.greatest(i - 1, F.lit(1)) + 1))
-    mean = F.transform(around, lambda a: F.round(R.total(a) / F.size(a), 6))
-    return views.rows(spark, sf_dir).select("image_id", "y", F.posexplode(mean).alias("x", "mean")).withColumn("x", F.col("x").cast("long"))
+    return filters.blurred_rows(views.rows(spark, sf_dir), 2).withColumn("mean", F.round("mean", 6))
 
 
 @query(f"WITH {_PX}, s AS (SELECT image_id, y, x, sum(p) OVER h AS s, count(*) OVER h AS n FROM px WINDOW h AS (PARTITION BY y ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) SELECT image_id, y, x, round(sum(s) OVER v::DOUBLE / sum(n) OVER v, 6) AS mean FROM s WINDOW v AS (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")
@@ -230,53 +227,30 @@ def pad_replicate_image(spark, sf_dir):
 
 @query(f"WITH {_PX}, v AS (SELECT image_id, y, x, list(p) OVER (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS c FROM px), w AS (SELECT image_id, y, x, list_sort(flatten(list(c) OVER (PARTITION BY y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))) AS s FROM v) SELECT image_id, y, x, s[len(s) // 2 + 1] AS median FROM w")
 def median3(spark, sf_dir):
-    by = Window.partitionBy("image_id").orderBy("y")
-    rows = views.rows(spark, sf_dir).withColumn("up", F.lag("row").over(by)).withColumn("down", F.lead("row").over(by))
-    near = lambda c, i: F.coalesce(F.slice(F.col(c), F.greatest(i, F.lit(1)), F.least(i + 2, F.size("row")) - F.greatest(i, F.lit(1)) + 1), F.expr("cast(array() as array<bigint>)"))
-    median = F.transform("row", lambda v, i: F.sort_array(F.concat(near("row", i), near("up", i), near("down", i))))
-    median = F.transform(median, lambda s: F.element_at(s, F.floor(F.size(s) / 2).cast("int") + 1))
-    return rows.select("image_id", "y", F.posexplode(median).alias("x", "median")).withColumn("x", F.col("x").cast("long"))
+    return filters.median3(views.rows(spark, sf_dir))
 
 
 _EXT = "('png', 'jpg', 'jpeg', 'bmp', 'tga', 'tif', 'tiff', 'gif', 'dng')"
 
 
-@query(f"WITH n AS (SELECT page_id, url || CASE page_id % 3 WHEN 0 THEN '.PNG' WHEN 1 THEN '.jpeg' ELSE '' END AS path FROM pages) SELECT page_id, path FROM n WHERE lower(regexp_extract(path, '[.]([^./]+)$', 1)) IN {_EXT}")
+@query(f"WITH n AS (SELECT page_id, url || CASE page_id % 3 WHEN 0 THEN '.PNG' WHEN 1 THEN '.jpeg' ELSE '' END AS path FROM pages) SELECT page_id, path FROM n WHERE lower(regexp_extract(path, '[^/][.]([^./]+)$', 1)) IN {_EXT}")
 def ext_filter(spark, sf_dir):
     path = F.concat("url", F.expr("CASE page_id % 3 WHEN 0 THEN '.PNG' WHEN 1 THEN '.jpeg' ELSE '' END"))
-    named = views.table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
-    return named.where(F.expr(f"lower(regexp_extract(path, '[.]([^./]+)$', 1)) IN {_EXT}"))
+    return views.table(spark, sf_dir, "pages").select("page_id", path.alias("path")).where(images.is_image(F.col("path")))
 
 
-@query("WITH s AS (SELECT page_id, string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS p FROM pages) SELECT page_id, p[1] || ':' || array_to_string(p[2:], '/') AS resource FROM s WHERE len(p) > 1 AND p[1] <> '' AND array_to_string(p[2:], '/') <> ''")
+@query("WITH s AS (SELECT page_id, list_filter(string_split(regexp_replace(url, '^[a-z]+://', ''), '/'), lambda x: x <> '') AS p FROM pages) SELECT page_id, p[1] || ':' || array_to_string(p[2:], '/') AS resource FROM s WHERE len(p) > 1 AND p[1] <> '' AND array_to_string(p[2:], '/') <> ''")
 def resource_location(spark, sf_dir):
-    parts = views.table(spark, sf_dir, "pages").select("page_id", F.split(F.regexp_replace("url", "^[a-z]+://", ""), "/").alias("p"))
-    path = F.array_join(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))), "/")
-    return parts.where((F.size("p") > 1) & (F.col("p")[0] != "") & (path != "")).select("page_id", F.concat(F.col("p")[0], F.lit(":"), path).alias("resource"))
-
-
-@query("SELECT c_custkey AS id, c_name || '.mcmeta' AS sidecar, o.n FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON o.o_custkey = c.c_custkey")
-def sidecar_left(spark, sf_dir):
-    orders = views.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"))
-    return views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat("c_name", F.lit(".mcmeta")).alias("sidecar")).join(orders, "id", "left")
-
+    relative = views.table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("p")).where("p rlike '^[^/]+/+[^/]'")
+    return relative.select("page_id", respack.location(F.col("p")).alias("resource"))
 
-@query("SELECT c_custkey AS id, c_name AS resource FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
-def sidecar_anti(spark, sf_dir):
-    c = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("resource"))
-    return c.join(views.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), "id", "left_anti")
 
-
-@query(f"WITH {_RGBA}, k AS (SELECT image_id, y, row_number() OVER (PARTITION BY image_id ORDER BY y) - 1 AS sy FROM (SELECT DISTINCT image_id, y FROM rgba)), s AS (SELECT r.image_id, k.sy, r.x AS sx, r.r, r.g, r.b, r.a FROM rgba r JOIN k USING (image_id, y)) SELECT s.image_id, ty, tx, (r * a + 127) // 255 AS r, (g * a + 127) // 255 AS g, (b * a + 127) // 255 AS b FROM s JOIN (SELECT unnest(range(24)) AS tx) ON floor(tx / 1.5) = sx JOIN (SELECT unnest(range(24)) AS ty) ON floor(ty / 1.5) = sy")
+@query(f"WITH {_RGBA}, k AS (SELECT image_id, y, row_number() OVER (PARTITION BY image_id ORDER BY y) - 1 AS sy FROM (SELECT DISTINCT image_id, y FROM rgba)), s AS (SELECT r.image_id, k.sy, r.x AS sx, r.r, r.g, r.b, r.a FROM rgba r JOIN k USING (image_id, y)) SELECT s.image_id, ty, tx, (r * a + 127) // 255 AS r, (g * a + 127) // 255 AS g, (b * a + 127) // 255 AS b FROM s JOIN (SELECT unnest(range(24)) AS tx) ON floor((tx + 0.5) / 1.5) = sx JOIN (SELECT unnest(range(24)) AS ty) ON floor((ty + 0.5) / 1.5) = sy")
 def viewport_render(spark, sf_dir):
-    by = Window.partitionBy("image_id").orderBy("y")
-    # A scale of 1.5: each target pixel takes the source pixel below it, over black.
-    rows = views.rows(spark, sf_dir).withColumn("sy", F.row_number().over(by) - 1).where("sy < 16")
-    px = views.pixels(spark, sf_dir).join(rows.select("image_id", "y", "sy"), ["image_id", "y"])
-    grid = lambda s: F.filter(F.sequence(F.lit(0), F.lit(23)), lambda t: F.floor(t / 1.5) == F.col(s))
-    t = px.withColumn("tx", F.explode(grid("x"))).withColumn("ty", F.explode(grid("sy")))
-    over = [F.floor((F.col(c) * F.col("a") + 127) / 255).alias(c) for c in "rgb"]
-    return t.select("image_id", F.col("ty").cast("long").alias("ty"), F.col("tx").cast("long").alias("tx"), *over)
+    """The top of each image in a window of 24 x 24 at a scale of 1.5."""
+    rank = views.rows(spark, sf_dir).select("image_id", "y", (F.row_number().over(Window.partitionBy("image_id").orderBy("y")).cast("long") - 1).alias("sy"))
+    px = views.pixels(spark, sf_dir).join(rank, ["image_id", "y"]).drop("y").withColumnRenamed("sy", "y")
+    return view.render(px, view.Viewport((16, 16), (24, 24), 1.5, (8.0, 8.0)))
 
 
 _WHOLE = _PX + """, k AS (SELECT image_id, y, row_number() OVER (PARTITION BY image_id ORDER BY y) - 1 AS sy FROM (SELECT DISTINCT image_id, y FROM px)),
@@ -284,11 +258,9 @@ bytes AS (SELECT px.image_id, k.sy * 64 + px.x AS pos, px.p FROM px JOIN k USING
 _DIGEST = f"WITH {_WHOLE} SELECT image_id, 16::BIGINT AS width, count(*) // 64 AS height, 4 AS channels, sum(p)::BIGINT AS total, sum(p * (pos + 1))::BIGINT AS moment FROM bytes GROUP BY image_id"
 
 
-def _digest(images: DataFrame) -> DataFrame:
-    """Two sums over the bytes of each image; the bytes are read in the JVM."""
-    at = images.select("image_id", "width", "height", "channels", F.posexplode(F.expr("regexp_extract_all(hex(rgba), '..', 0)")).alias("at", "byte"))
-    p = F.conv("byte", 16, 10).cast("long")
-    return at.groupBy("image_id", "width", "height", "channels").agg(F.sum(p).alias("total"), F.sum(p * (F.col("at") + 1)).alias("moment"))
+def _digest(found: DataFrame) -> DataFrame:
+    """Two sums over the bytes of each image."""
+    return found.select("image_id", "width", "height", "channels", R.byte_total(F.col("rgba")).alias("total"), R.byte_moment(F.col("rgba")).alias("moment"))
 
 
 @query(_DIGEST)
@@ -354,3 +326,6 @@ def pack_roundtrip(spark, sf_dir):
     packs = views.images(spark, sf_dir).select(F.col("image_id").alias("pack_id"), F.lit("p").alias("name"), F.lit("").alias("description"), F.lit(None).cast("string").alias("pack_mcmeta"), F.lit(None).cast("binary").alias("icon"), F.lit(None).cast("string").alias("icon_format"), F.array(sheet).alias("atlases"))
     got = packfile.sheets(packfile.write(packs))
     return got.select("pack_id", F.col("index").alias("sheet"), "width", "height", F.length("content").cast("long").alias("n_bytes"))
+
+
+from tessera.plans import assets  # noqa: E402, F401  its queries register themselves

@@ -8,13 +8,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tessera.functions import formats
+from tessera.functions.header import ALPHA, PREDICTORS, TRANSFORMS
 
 # Fixed values of the format.
 MAGIC, VERSION, PIXFMT_U8 = b"VRTX", 2, 1
-ALPHA = ("Normal", "Opaque255", "Transparent0", "Mask1Bit")
-TRANSFORMS = ("None", "SubGreen", "SubRed", "SubBlue")
-PREDICTORS = ("None", "Delta", "Paeth", "Up")
 LEVELS = {"fast": 8, "balance": 10, "compact": 16, "ultra": 22}
 MAX_SIDE, MAX_META = 22_000, 16 << 20
 SAMPLE_BYTES, SAMPLE_LEVEL = 256 * 1024, 3
@@ -84,11 +85,16 @@ def _sample(plane: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return plane[y], above
 
 
+def sampled_sizes(plane: np.ndarray, level: int = SAMPLE_LEVEL) -> dict[str, int]:
+    """The compressed size of evenly spread rows of a plane under each predictor."""
+    rows, above = _sample(plane)
+    pack = zstandard.ZstdCompressor(level=level)
+    return {k: len(pack.compress(np.ascontiguousarray(residual(rows, above, k)).tobytes())) for k in PREDICTORS}
+
+
 def _best_predictor(plane: np.ndarray) -> tuple[int, str]:
     """Size of the sample and the predictor: Paeth and None must each save enough."""
-    rows, above = _sample(plane)
-    pack = zstandard.ZstdCompressor(level=SAMPLE_LEVEL)
-    size = {k: len(pack.compress(np.ascontiguousarray(residual(rows, above, k)).tobytes())) for k in PREDICTORS}
+    size = sampled_sizes(plane)
     best = min(("Delta", "Up"), key=size.__getitem__)
     if size["Paeth"] < size[best] and size["Paeth"] * 10000 <= size[best] * 9200:
         best = "Paeth"
@@ -132,23 +138,33 @@ def pack(rgba: bytes, width: int, height: int, channels: int = 4, profile: str =
     return b"".join(out)
 
 
+def _front(data: bytes, strict: bool) -> tuple[str, int, int, int, int]:
+    """format, version, flags, sides and the place behind them. Without strict, a file without magic is a legacy one."""
+    if len(data) >= 17 and data[:4] == MAGIC:
+        version, flags, dims = struct.unpack_from("<BIQ", data, 4)
+        if version not in (1, VERSION):
+            raise ValueError(f"version {version}")
+        return "V1", version, flags, dims, 17
+    if strict or len(data) < 12:
+        raise ValueError("not a container")
+    return "Legacy", 0, *struct.unpack_from("<IQ", data), 12
+
+
 def parse(data: bytes, strict: bool = True) -> dict:
     """Header fields and streams (channel, orig_size, comp_size, predictor, offset); ValueError says what is wrong.
 
-    Version 1 has no transform. strict: limits on sides and metadata, and nothing may follow the last stream.
+    Before version 2 there is no transform. Legacy files have neither magic nor version, and stream headers without a
+    predictor: it is Delta for all of them if the feature byte says so, but None for a mask. strict: magic, limits on
+    sides and metadata, and nothing after the last stream.
     """
-    if len(data) < 17 or data[:4] != MAGIC:
-        raise ValueError("not a container")
-    version, flags, dims = struct.unpack_from("<BIQ", data, 4)
-    if version not in (1, VERSION):
-        raise ValueError(f"version {version}")
+    kind, version, flags, dims, at = _front(data, strict)
     pixfmt, feature, channels = flags >> 16, flags >> 8 & 255, flags & 255
     width, height = dims >> 32, dims & 0xFFFFFFFF
     if pixfmt != PIXFMT_U8 or channels not in (3, 4) or not width or not height:
         raise ValueError("pixel format, channels or size")
     if strict and max(width, height) > MAX_SIDE:
         raise ValueError("side over the limit")
-    at, meta = 17, None
+    meta = None
     if feature >> 3 & 1:
         if at + 4 > len(data):
             raise ValueError("truncated metadata")
@@ -156,23 +172,28 @@ def parse(data: bytes, strict: bool = True) -> dict:
         if (strict and n > MAX_META) or at + 4 + n > len(data):
             raise ValueError("metadata too long or truncated")
         meta, at = data[at + 4 : at + 4 + n], at + 4 + n
-    alpha, plane = ALPHA[feature >> 1 & 3], width * height
+    alpha, plane, front = ALPHA[feature >> 1 & 3], width * height, at
     sizes = [plane] * 3
     if channels == 4 and alpha in ("Normal", "Mask1Bit"):
         sizes.append(plane if alpha == "Normal" else (plane + 7) // 8)
-    streams = []
+    streams, step = [], 17 if kind == "V1" else 16
     for k, want in enumerate(sizes):
-        if at + 17 > len(data):
+        if at + step > len(data):
             raise ValueError("truncated stream header")
-        orig, comp, kind = struct.unpack_from("<QQB", data, at)
-        at += 17
-        if orig != want or kind >= len(PREDICTORS) or at + comp > len(data) or (k == 3 and alpha == "Mask1Bit" and kind):
+        orig, comp = struct.unpack_from("<QQ", data, at)
+        mask = k == 3 and alpha == "Mask1Bit"
+        number = data[at + 16] if kind == "V1" else int(feature & 1 and not mask)
+        at += step
+        if orig != want or number >= len(PREDICTORS) or at + comp > len(data) or (mask and number):
             raise ValueError(f"stream {k}: size, predictor or end")
-        streams.append({"channel": "RGBA"[k], "orig_size": orig, "comp_size": comp, "predictor": PREDICTORS[kind], "offset": at})
+        streams.append({"channel": "RGBA"[k], "orig_size": orig, "comp_size": comp, "predictor": PREDICTORS[number], "offset": at})
         at += comp
     if strict and at != len(data):
         raise ValueError("bytes after the last stream")
-    return {"version": version, "width": width, "height": height, "channels": channels, "alpha": alpha, "transform": TRANSFORMS[feature >> 4 & 3] if version > 1 else "None", "meta": meta, "streams": streams}
+    return {
+        "format": kind, "version": version, "pixfmt": pixfmt, "qval": feature, "width": width, "height": height, "channels": channels, "has_predictor": bool(feature & 1), "alpha": alpha,
+        "transform": TRANSFORMS[feature >> 4 & 3] if version > 1 else "None", "plane_size": plane, "raw_planar_size": plane * channels, "meta": meta, "stream_offset": front, "end_offset": at, "file_size": len(data), "streams": streams,
+    }
 
 
 def unpack(data: bytes, strict: bool = True) -> tuple[dict, bytes]:
@@ -199,52 +220,84 @@ def unpack(data: bytes, strict: bool = True) -> tuple[dict, bytes]:
 
 
 def encode(images: DataFrame, profile: str = "balance", predictor: str | None = None) -> DataFrame:
-    """image_id, content of images (image_id, width, height, channels, rgba): one image at a time, no shuffle."""
+    """image_id, content of images (image_id, width, height, channels, rgba, and meta if there is such a column): one image
+    at a time, no shuffle."""
+    meta = "meta" if "meta" in images.columns else "cast(null as binary) meta"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, w, h, c, rgba in zip(*batch.columns, strict=True):
-                body = pack(rgba.as_py(), w.as_py(), h.as_py(), c.as_py(), profile, None, predictor)
-                yield pa.record_batch([pa.array([i.as_py()], pa.int64()), pa.array([body], pa.binary())], names=["image_id", "content"])
+            bodies = [pack(rgba.as_py(), w.as_py(), h.as_py(), c.as_py(), profile, m.as_py(), predictor) for w, h, c, rgba, m in zip(*batch.columns[1:], strict=True)]
+            yield pa.record_batch([batch.column(0), pa.array(bodies, pa.binary())], names=["image_id", "content"])
+
+    return images.selectExpr("cast(image_id as bigint) image_id", "width", "height", "channels", "rgba", meta).mapInArrow(run, "image_id long, content binary")
+
 
-    return images.selectExpr("cast(image_id as bigint) image_id", "width", "height", "channels", "rgba").mapInArrow(run, "image_id long, content binary")
+def encode_column(width: Column, height: Column, rgba: Column, channels: int = 4, profile: str = "balance") -> Column:
+    """Container bytes of images in columns; null where there are no pixels."""
 
+    @F.arrow_udf("binary")
+    def run(w: pa.Array, h: pa.Array, px: pa.Array) -> pa.Array:
+        return pa.array([None if p is None else pack(p, a, b, channels, profile) for a, b, p in zip(w.to_pylist(), h.to_pylist(), px.to_pylist(), strict=True)], pa.binary())
 
-_HEAD = "image_id long, version int, width long, height long, channels int, alpha string, transform string, streams array<struct<channel:string,orig_size:bigint,comp_size:bigint,predictor:string,offset:bigint>>, error string"
+    return run(width, height, rgba)
+
+
+_STREAM = pa.struct([("channel", pa.string()), ("orig_size", pa.int64()), ("comp_size", pa.int64()), ("predictor", pa.string()), ("offset", pa.int64())])
+_FIELDS = {"image_id": pa.int64(), "format": pa.string(), "version": pa.int32(), "pixfmt": pa.int32(), "qval": pa.int32(), "width": pa.int64(), "height": pa.int64(), "channels": pa.int32(), "has_predictor": pa.bool_(), "alpha": pa.string(), "transform": pa.string(), "plane_size": pa.int64(), "raw_planar_size": pa.int64(), "meta": pa.binary(), "stream_offset": pa.int64(), "end_offset": pa.int64(), "file_size": pa.int64(), "streams": pa.list_(_STREAM), "error": pa.string()}
+_NAMES = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.bool_(): "boolean", pa.binary(): "binary", pa.list_(_STREAM): "array<struct<channel:string,orig_size:bigint,comp_size:bigint,predictor:string,offset:bigint>>"}
+_HEAD = ", ".join(f"{n} {_NAMES[t]}" for n, t in _FIELDS.items())
 
 
 def inspect(files: DataFrame, strict: bool = True) -> DataFrame:
-    """Headers of files (image_id, content); a bad file has nulls and says why in error."""
+    """Headers of files (image_id, content), nothing decompressed; a bad file has nulls and says why in error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream = pa.struct([("channel", pa.string()), ("orig_size", pa.int64()), ("comp_size", pa.int64()), ("predictor", pa.string()), ("offset", pa.int64())])
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.list_(stream), pa.string()]
-        names = ["image_id", "version", "width", "height", "channels", "alpha", "transform", "streams", "error"]
         for batch in batches:
             out = []
             for i, body in zip(batch.column(0), batch.column(1), strict=True):
                 try:
-                    row = {**parse(body.as_py() or b"", strict), "error": None}
+                    row = parse(body.as_py() or b"", strict)
                 except ValueError as e:
                     row = {"error": str(e)}
                 out.append({**row, "image_id": i.as_py()})
-            yield pa.record_batch([pa.array([r.get(n) for r in out], t) for n, t in zip(names, types, strict=True)], names=names)
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema(_FIELDS.items()))
 
     return files.selectExpr("cast(image_id as bigint) image_id", "content").mapInArrow(run, _HEAD)
 
 
+def stream_stats(heads: DataFrame) -> DataFrame:
+    """image_id, channel, orig_size, comp_size, percent (of a plane, also for a mask) and the file's ratio, of inspect()'s rows."""
+    s = heads.where("error is null").select("image_id", "channels", "plane_size", "raw_planar_size", "file_size", F.posexplode("streams").alias("i", "s"))
+    return s.select("image_id", formats.channel_name(F.col("i"), F.col("channels")).alias("channel"), "s.orig_size", "s.comp_size", formats.percent(F.col("s.comp_size"), F.col("plane_size")).alias("percent"), (F.col("raw_planar_size") / F.col("file_size")).alias("ratio"))
+
+
+def totals(heads: DataFrame) -> DataFrame:
+    """One row of all sound files of inspect(): files, raw and stored bytes, stream bytes, metadata bytes and the ratio."""
+    streams = F.aggregate("streams", F.lit(0).cast("long"), lambda a, s: a + s["comp_size"])
+    out = heads.where("error is null").agg(F.count("*").alias("files"), F.sum("raw_planar_size").alias("raw"), F.sum("file_size").alias("stored"), F.sum(streams).alias("streams"), F.coalesce(F.sum(F.length("meta")), F.lit(0)).cast("long").alias("meta"))
+    return out.withColumn("ratio", F.col("raw") / F.nullif(F.col("stored"), F.lit(0)))
+
+
 def decode(files: DataFrame, strict: bool = True) -> DataFrame:
-    """image_id, width, height, channels, rgba, error of files (image_id, content)."""
+    """image_id, width, height, channels, rgba, error of files (image_id, content). A batch of pixels is yielded once it has 8 MB."""
+    types = pa.schema([("image_id", pa.int64()), ("width", pa.int64()), ("height", pa.int64()), ("channels", pa.int32()), ("rgba", pa.binary()), ("error", pa.string())])
+
+    def one(i: int, body: bytes | None) -> dict:
+        try:
+            head, rgba = unpack(body or b"", strict)
+            return {"image_id": i, **{k: head[k] for k in ("width", "height", "channels")}, "rgba": rgba}
+        except ValueError as e:
+            return {"image_id": i, "error": str(e)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, body in zip(batch.column(0), batch.column(1), strict=True):
-                try:
-                    head, rgba = unpack(body.as_py() or b"", strict)
-                    row = (i.as_py(), head["width"], head["height"], head["channels"], rgba, None)
-                except ValueError as e:
-                    row = (i.as_py(), None, None, None, None, str(e))
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.string())
-                yield pa.record_batch([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=["image_id", "width", "height", "channels", "rgba", "error"])
+            rows, size = [], 0
+            for i, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows.append(one(i, body.as_py()))
+                size += len(rows[-1].get("rgba") or b"")
+                if size > 8 << 20:
+                    yield pa.RecordBatch.from_pylist(rows, schema=types)
+                    rows, size = [], 0
+            yield pa.RecordBatch.from_pylist(rows, schema=types)
 
     return files.selectExpr("cast(image_id as bigint) image_id", "content").mapInArrow(run, "image_id long, width long, height long, channels int, rgba binary, error string")

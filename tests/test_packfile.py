@@ -51,7 +51,7 @@ def test_least_side(spark):
     # Too large an item gives its own padded side, beyond the limit.
     assert got["b"] == 3 and got["c"] == 902
     ordered = [(4, 4), (5, 3), (2, 2)]
-    assert layout._all_fit(ordered, got["a"], 1) and not layout._all_fit(ordered, got["a"] - 1, 1)
+    assert None not in layout.shelve(ordered, got["a"], 1) and None in layout.shelve(ordered, got["a"] - 1, 1)
     for side, all_in in ((got["a"], True), (got["a"] - 1, False)):
         assert (layout.shelf_pack(rects.where("grp = 'a'"), side, 1).where("x is not null").count() == 3) is all_in
 
