@@ -8,29 +8,44 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_CLEANUP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's batches between the JVM and Python have 8 MB at most, or one row if that is larger.
+
+    The JVM's pool for them never shrinks, and with the default of 64 MB it takes hundreds of MB of every executor.
+    """
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH))
+    if not 0 < now <= _BATCH_BYTES:
+        spark.conf.set(_BATCH, str(_BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where that is unset (tests, one machine) a new temporary folder."""
+    """spark.checkpoint.dir; where that is unset, a new temporary folder on one machine and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
 @contextmanager
-def _shuffles_go_after_use(spark: SparkSession):
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def _held(spark: SparkSession, conf: dict[str, str]):
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 class Scratch:
@@ -42,12 +57,14 @@ class Scratch:
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
         self._n = 0
+        small_batches(spark)
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """df as a table, in folders by a column if one is named; that column then comes last."""
         self._n += 1
         path, schema = f"{self.base}/{self._n}", df.schema
-        with _shuffles_go_after_use(self.spark):
-            df.write.parquet(path)
+        with _held(self.spark, _CLEANUP):
+            (df.write.partitionBy(by) if by else df.write).parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
         return out

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _GRAM = U(0xD6E8FEB86659FD93)
 
@@ -80,7 +80,20 @@ def raw(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words(text: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and for each row the range of its words: (hash, ptr of rows + 1)."""
+    """Hashes of all words, and for each row the range of its words: (hash, ptr of rows + 1).
+
+    Rows are hashed in chunks, so beside the result it takes memory for one chunk, or for the longest text.
+    """
+    parts, ptrs, n = [], [np.zeros(1, dtype=np.int64)], 0
+    for lo, hi in chunks(text):
+        h, ptr = _hashed(text.slice(lo, hi - lo), lower)
+        parts.append(h)
+        ptrs.append(ptr[1:] + n)
+        n += len(h)
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=U), np.concatenate(ptrs)
+
+
+def _hashed(text: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     data, off = raw(text)
     n = len(data)
     if not n:

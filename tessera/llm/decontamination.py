@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text
-from ._scratch import Scratch
+from ._scratch import Scratch, small_batches
 
 
 @dataclass(frozen=True)
@@ -176,6 +176,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, spec: Matching = Matchi
     take; an empty table gives an empty result, and an empty benchmark finds every document clean. Other columns are
     ignored.
     """
+    small_batches(docs.sparkSession)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = _blocks(benchmark, spec)
     first, second = next(blocks, None), next(blocks, None)
@@ -204,6 +205,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, spec: Matching = Matchi
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, spec: Matching = Matching()) -> DataFrame:  # noqa: B008
     """The documents that hold no item, with all their columns."""
+    small_batches(docs.sparkSession)
     out = docs
     for items in _blocks(benchmark, spec):
         out = out.where(~_holds(items)(F.col("text").cast("string")))
