@@ -314,7 +314,7 @@ def keep_one(docs: DataFrame, spec: NearDedup = NearDedup(), spark: SparkSession
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), NearDedup(words=4), spark)
+    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), NearDedup(words=4), spark).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 SQL = r"""
