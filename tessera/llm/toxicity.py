@@ -2,14 +2,15 @@
 
 Texts are folded first: compatibility forms, accents, homoglyphs of other scripts and digits or signs inside words
 become plain letters, all else becomes single spaces. The lexicon, whole words and word beginnings, is learned from a
-bounded sample of labelled rows: terms that all but never occur in clean texts, chosen greedily while each explains
-toxic texts that no other term does, so words that merely come along in copies of one toxic text stay out. Phrases
+bounded sample of labelled rows: terms that all but never occur in clean texts, or all but never as often for the text's
+length as in toxic ones, chosen greedily while each explains toxic texts that no other term does, so words that merely come along in copies of one toxic text stay out. Phrases
 around a term that clean texts use as well become exceptions and excuse it. The summed weight and its share of the
 text's length go through a logistic calibration fitted on the same sample.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import unicodedata
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text
-from ._scratch import Scratch
+from ._scratch import Scratch, small_batches
 
 # Letters of other scripts that look like Latin ones, and digits and signs that stand for letters inside words.
 _LOOKALIKES = dict(zip("абсԁеһіјкӏмпорԛѕтуѵԝхьαβεηικνορτυχωⅼɡıʟ", "abcdehijklmnopqstuvwxbabenikvoptuxwlgil", strict=True))
@@ -49,17 +50,18 @@ def fold(text: str) -> str:
 
 @dataclass(frozen=True)
 class Learning:
-    """sample: most labelled rows that are read to learn; the rest bound the lexicon and its support."""
+    """sample: most labelled rows that are read to learn; dense: occurrences in a thousand words from which a term is dense
+    in a text; the rest are the support, purity and gain that a term needs, and the letters of word beginnings."""
 
     sample: int = 20_000
-    candidates: int = 4_000
     support: float = 0.004
     least_support: int = 3
-    most_clean: float = 0.02
+    most_clean: float = 0.04
     gain: float = 0.002
     least_gain: int = 2
     shortest: int = 4
     longest: int = 7
+    dense: float = 10.0
 
 
 @dataclass
@@ -114,36 +116,51 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _occurrences(folded: str, spec: Learning) -> tuple[Counter, int]:
+    """Counts of a text's words and word beginnings, and its number of words."""
+    words = Counter(folded.split())
+    count: Counter = Counter()
+    for w, n in words.items():
+        if len(w) >= spec.shortest - 1:
+            count[f" {w} "] += n
+        for k in range(spec.shortest, min(spec.longest, len(w)) + 1):
+            count[f" {w[:k]}"] += n
+    return count, words.total()
+
+
 def _terms(spec: Learning):
-    """Distinct words and word beginnings of each text, counted over a batch: term, positive, negative."""
+    """Terms over a batch: toxic and clean texts that have it, the same where it is dense, and for either a sum of the
+    toxic texts' hashes, by which terms of the same toxic texts are known."""
+    names = ["pos", "neg", "texts", "dense_pos", "dense_neg", "dense_texts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pos, neg = Counter(), Counter()
+            sums = {n: Counter() for n in names}
             for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                seen = set()
-                for w in set(fold(text or "").split()):
-                    if len(w) >= spec.shortest - 1:
-                        seen.add(f" {w} ")
-                    seen.update(f" {w[:n]}" for n in range(spec.shortest, min(spec.longest, len(w)) + 1))
-                (pos if label else neg).update(seen)
-            terms = list(pos.keys() | neg.keys())
-            yield pa.record_batch([pa.array(terms, pa.string()), pa.array([pos[t] for t in terms], pa.int64()), pa.array([neg[t] for t in terms], pa.int64())], names=["term", "pos", "neg"])
+                count, n = _occurrences(fold(text or ""), spec)
+                # 44 bits, so that the sum over the sample stays a long.
+                known = int.from_bytes(hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=6).digest()) >> 4
+                for terms, prefix in ((list(count), ""), ([t for t, c in count.items() if 1000 * c >= spec.dense * n], "dense_")):
+                    sums[prefix + ("pos" if label else "neg")].update(terms)
+                    if label:
+                        sums[f"{prefix}texts"].update(dict.fromkeys(terms, known))
+            every = list(sums["pos"].keys() | sums["neg"].keys())
+            yield pa.record_batch([pa.array(every, pa.string()), *(pa.array([x[t] for t in every], pa.int64()) for x in sums.values())], names=["term", *names])
 
     return run
 
 
-def _which(terms: list[str]):
-    """doc_id, label, the numbers of the terms in each text, and the phrases (word before, word after) around them."""
+def _which(terms: list[tuple[str, bool]], spec: Learning):
+    """The numbers of the terms that each text has; of those marked dense, where they are dense."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = ahocorasick.Automaton()
-        for i, t in enumerate(terms):
-            a.add_word(t, i)
-        a.make_automaton()
+        number = {t: i for i, (t, _) in enumerate(terms)}
         for batch in batches:
-            got = [sorted({i for _, i in a.iter(fold(t or ""))}) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(2).cast(pa.int32()), pa.array(got, pa.list_(pa.int32()))], names=["label", "terms"])
+            got = []
+            for text in batch.column(1).to_pylist():
+                count, n = _occurrences(fold(text or ""), spec)
+                got.append([i for t, c in count.items() if (i := number.get(t)) is not None and (not terms[i][1] or 1000 * c >= spec.dense * n)])
+            yield pa.record_batch([pa.array(got, pa.list_(pa.int32()))], names=["terms"])
 
     return run
 
@@ -200,7 +217,8 @@ def learn(docs: DataFrame, labels: DataFrame, spec: Learning = Learning(), spark
     """A lexicon from the labelled rows outside the held-out fifth.
 
     Rows of labels with nulls, and labels without a document, teach nothing. Without toxic rows the lexicon is empty
-    and scores all texts alike, below 0.5. At most spec.sample labels are read, those with the smallest hash.
+    and scores all texts alike, below 0.5. At most spec.sample labels are read, those with the smallest hash. Of rows that
+    repeat a doc_id the least text teaches; a doc_id or text labelled both ways counts as toxic.
     """
     spark = spark or docs.sparkSession
     scratch = Scratch(spark, "toxic")
@@ -208,19 +226,33 @@ def learn(docs: DataFrame, labels: DataFrame, spec: Learning = Learning(), spark
     sample = usable.select("doc_id", F.col("toxic").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(spec.sample)
     # At most spec.sample rows of twelve bytes are broadcast.
     text = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    train = scratch.keep(text.join(F.broadcast(scratch.keep(sample)), "doc_id").select("doc_id", "text", "label"))
+    train = text.join(F.broadcast(scratch.keep(sample)), "doc_id")
+    # One text for each doc_id, so that the sample bounds them, and of copies one: they teach no more.
+    train = train.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    train = train.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("doc_id")).agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    train = scratch.keep(train)
     n_pos, n_neg = (train.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()[i] or 0 for i in range(2))
     if not n_pos or not n_neg:
         return Lexicon()
     support = max(spec.least_support, int(spec.support * n_pos))
-    counts = train.mapInArrow(_terms(spec), "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    pure = counts.where((F.col("pos") >= support) & (F.col("neg") * n_pos <= F.col("pos") * n_neg * spec.most_clean))
-    rows = pure.orderBy(F.col("pos").desc(), "term").limit(spec.candidates).collect()
+    names = ("pos", "neg", "texts", "dense_pos", "dense_neg", "dense_texts")
+    counts = train.mapInArrow(_terms(spec), "term string, " + ", ".join(f"{c} long" for c in names)).groupBy("term").agg(*[F.sum(c).alias(c) for c in names])
+
+    def pure(pos: str, neg: str) -> Column:
+        return (F.col(pos) >= support) & (F.col(neg) * n_pos <= F.col(pos) * n_neg * spec.most_clean)
+
+    # A term counts where it is dense only if its mere presence says too little.
+    dense = ~pure("pos", "neg")
+    own = [F.when(dense, F.col(f"dense_{c}")).otherwise(F.col(c)).alias(c) for c in names[:3]]
+    found = counts.where(pure("pos", "neg") | pure("dense_pos", "dense_neg")).select("term", dense.alias("dense"), *own)
+    # Of terms that the same toxic texts have, one goes on: a text's near copies share all their rare words.
+    better = F.struct("neg", "dense", (~F.col("term").endswith(" ")).alias("part"), (-F.length("term")).alias("short"), "term", "pos")
+    rows = found.groupBy("texts").agg(F.min(better).alias("best")).select("best.*").orderBy(F.col("pos").desc(), "term").collect()
     terms = [r["term"] for r in rows]
     stats = {r["term"]: (r["pos"], r["neg"]) for r in rows}
     lexicon = Lexicon()
     if terms:
-        got = train.where("label = 1").mapInArrow(_which(terms), "label int, terms array<int>").collect()
+        got = train.where("label = 1").mapInArrow(_which([(r["term"], r["dense"]) for r in rows], spec), "terms array<int>").collect()
         posting: dict[int, set[int]] = {}
         for d, r in enumerate(got):
             for t in r["terms"]:
@@ -236,7 +268,7 @@ def learn(docs: DataFrame, labels: DataFrame, spec: Learning = Learning(), spark
             covered |= posting[best]
             order = [t for t in order if t != best and len(posting[t] - covered) >= least]
         phrases = train.mapInArrow(_phrases(list(lexicon.weights)), "phrase string, label int, n long").groupBy("phrase").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("neg"))
-        excused = phrases.where((F.col("neg") >= spec.least_support) & (F.col("neg") * n_pos >= F.col("pos") * n_neg)).orderBy(F.col("neg").desc(), "phrase").limit(spec.candidates)
+        excused = phrases.where((F.col("neg") >= spec.least_support) & (F.col("neg") * n_pos >= F.col("pos") * n_neg)).orderBy(F.col("neg").desc(), "phrase")
         lexicon.exceptions = [r["phrase"].strip() for r in excused.collect()]
     fit = train.mapInArrow(_features_of(lexicon), "label int, x0 double, x1 double").toPandas().sort_values(["label", "x0", "x1"], ignore_index=True)
     w = _logistic(fit[["x0", "x1"]].to_numpy(), fit["label"].to_numpy().astype(float))
@@ -262,6 +294,7 @@ def toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     Null and empty texts get the score of a text without hits. A null doc_id isn't held out. Repeated rows are scored
     each; an empty table gives an empty result; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = text.mapInArrow(_scores(lexicon), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -277,6 +310,7 @@ def _flags(lexicon: Lexicon):
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """The documents that score below 0.5, with all their columns."""
+    small_batches(docs.sparkSession)
     return docs.where(~_flags(lexicon)(F.col("text").cast("string")))
 
 
