@@ -1,15 +1,18 @@
 """Main text of web pages by deduction of each host's template from equivalence classes.
 
-Tokens of a page are its start tags, each with its path and its class and id, and its whole text nodes with their
-path. Tokens of a host whose occurrence vectors over the host's pages are the same form an equivalence class; the
-vector is compared by a sum of hashes of (page, count), so a class comes from two aggregations and no page list is
-ever built. A class is valid if it is frequent (most of the host's pages) and large. The valid classes together are
-the template, a set of tokens: their order and nesting aren't tested beyond the paths that tokens carry. What isn't a
-template token fills the slots. The main elements are found by tag and class name, all outermost ones in page order, or
-where a page marks none, as the element whose slots hold most text outside links. The main text is what their slots
-hold: text nodes of the template stay out of it, as do parts that pages give to menus, notices, forms and comments by
-tag or whole class name. If all text of the main elements is in the template, it stays. Pages of hosts with few pages
-take the template of all pages together, if these are enough.
+1. Tokens of a page are its start and end tags, each with its path of tags, classes and ids, and its whole text nodes
+   with their path. Tokens of a host whose occurrence vectors over the host's pages are the same form an equivalence
+   class; vectors are compared by a sum of hashes of (page, count), so a class comes from two aggregations and no page
+   list is ever built. A class goes on if it is frequent (most of the host's pages) and large.
+2. A second pass tests that a class's tokens stand in one order on the pages, and that its instances lie in one slot of
+   one class around them. Classes that do so on most pages are valid; nested in each other's slots they are the template.
+   The same pass sums up what each slot holds: text outside links, and how much of it stands in parts that their tags
+   and class names give to articles, or to menus, notices, forms and comments.
+3. Extraction walks a page along its host's template. Template text stays out. A slot is the article's if most of its text
+   has evidence for it and not against it; hosts without any such evidence take the slots that hold most of their text.
+   Within a slot, parts that pages themselves mark as menus, notices, forms or comments go. Content in a slot that the
+   template doesn't know, and pages that leave nothing this way, are judged by the page's own tags.
+Pages of hosts with few pages take the template of all pages together, if these are enough.
 """
 
 from __future__ import annotations
@@ -32,12 +35,16 @@ from ._scratch import Scratch
 
 @dataclass(frozen=True)
 class Template:
-    """few: hosts with fewer pages use all pages' template; share: of a host's pages, for a valid class; large: its
-    tokens at least. broadcast_rows: so many template rows are broadcast, more are joined by host in a salted shuffle."""
+    """few: hosts with fewer pages use all pages' template; share: of a host's pages, for a frequent class; large: its
+    tokens at least; agree: share of these pages on which order and nesting are the same; most: share of a host's text
+    that slots without evidence need. broadcast_rows: so many template rows are broadcast, more are joined by host in a
+    salted shuffle."""
 
     few: int = 5
     share: float = 0.6
     large: int = 3
+    agree: float = 0.9
+    most: float = 0.2
     broadcast_rows: int = 200_000
     salts: int = 16
 
@@ -123,19 +130,29 @@ def key(token: str) -> int:
     return int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def tokens(root: Node) -> Counter:
-    """Counts of a page's tokens: paths of start tags, and text nodes with their path."""
-    out: Counter = Counter()
-    stack = [root]
+def events(root: Node) -> Iterator[tuple[str, Node, str]]:
+    """A page in order: ("start", element, path), ("end", element, "/" and path), ("text", its element, its text)."""
+    stack: list = [(c, root) for c in reversed(root.children)]
     while stack:
-        node = stack.pop()
-        for c in node.children:
-            if isinstance(c, Node):
-                out[c.path] += 1
-                stack.append(c)
-            elif text := _squeeze(c):
-                out[f"{node.path}#{text}"] += 1
-    return out
+        x, parent = stack.pop()
+        if isinstance(x, str):
+            if text := _squeeze(x):
+                yield "text", parent, text
+        elif parent is None:
+            yield "end", x, f"/{x.path}"
+        else:
+            yield "start", x, x.path
+            stack.append((x, None))
+            stack.extend((c, x) for c in reversed(x.children))
+
+
+def token(kind: str, node: Node, value: str) -> str:
+    return f"{node.path}#{value}" if kind == "text" else value
+
+
+def tokens(root: Node) -> Counter:
+    """Counts of a page's tokens."""
+    return Counter(token(*e) for e in events(root))
 
 
 def _aside(node: Node, inside: bool) -> bool:
@@ -232,9 +249,179 @@ def _blocks(main: list[Node], sure: bool, template: frozenset) -> str:
     return "\n".join(blocks)
 
 
-def extract(page: str, template: frozenset = frozenset()) -> str:
-    """The main text, blocks joined by newlines."""
-    main, sure = _find_main(parse(page), template)
+class Nested:
+    """A host's template: the classes of its tokens, where each class is nested, and what is known of the slots.
+
+    A slot is a class and the token of it that was last seen; (0, 0) is the page itself.
+    """
+
+    def __init__(self, classes: dict[int, int], around: dict[int, tuple[int, int]], valid: set[int], slots: dict[tuple[int, int], tuple[int, int, int, int]], most: float):
+        self.size = Counter(classes.values())
+        self.classes = {t: c for t, c in classes.items() if c in valid}
+        self.text = frozenset(self.classes)
+        # What lies in a class that isn't valid belongs to the slot around it.
+        known: dict[tuple[int, int], list[int]] = {}
+        for slot, stats in slots.items():
+            seen = set()
+            while slot[0] and slot[0] not in valid:
+                seen.add(slot[0])
+                slot = around.get(slot[0], (0, 0))
+                slot = (0, 0) if slot[0] in seen else slot
+            have = known.setdefault(slot, [0, 0, 0, 0])
+            for k in range(4):
+                have[k] += stats[k]
+        self.main = self._main(known, most)
+        self.known = set(known)
+
+    @staticmethod
+    def _main(known: dict, most: float) -> set:
+        """Slots (text, of it in links, in article parts, in aside parts) that hold the article."""
+        clean = {s: v for s, v in known.items() if 2 * v[3] <= v[0]}
+        told = {s for s, v in clean.items() if 2 * v[2] > v[0]}
+        if told:
+            return told
+        plain = {s: v[0] - v[1] for s, v in clean.items()}
+        return {s for s, n in plain.items() if n and n >= most * sum(plain.values())}
+
+
+class Walk:
+    """Follows a page along classes of tokens. slot is where the walk is; instances(), what it has seen of each class."""
+
+    def __init__(self, classes: dict[int, int], size: Counter):
+        self.classes, self.size = classes, size
+        self.open: list[list] = []
+        self.seen: dict[int, list] = {}
+
+    @property
+    def slot(self) -> tuple[int, int]:
+        return (self.open[-1][0], self.open[-1][1][-1]) if self.open else (0, 0)
+
+    def step(self, t: int) -> bool:
+        """Takes the next token; False if it isn't of the classes."""
+        c = self.classes.get(t)
+        if c is None:
+            return False
+        at = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] == c), None)
+        if at is not None and t in self.open[at][1]:
+            self._close(at)
+            at = None
+        if at is None:
+            self.open.append([c, [], self.slot])
+            at = len(self.open) - 1
+        else:
+            self._close(at + 1)
+        self.open[at][1].append(t)
+        if len(self.open[at][1]) == self.size[c]:
+            self._close(at)
+        return True
+
+    def _close(self, at: int) -> None:
+        while len(self.open) > at:
+            c, order, around = self.open.pop()
+            have = self.seen.setdefault(c, [order, around, True])
+            have[2] = have[2] and have[0] == order and have[1] == around and len(order) == self.size[c]
+
+    def instances(self) -> dict[int, list]:
+        """class: the order of its tokens, the slot around it, and whether all its instances are alike and whole."""
+        self._close(0)
+        return self.seen
+
+
+def _evidence(root: Node) -> dict[Node, tuple[bool, bool]]:
+    """For each element whether it lies in a part that is marked as an article, and in one that is marked as something else."""
+    mains, sure = _find_main(root, frozenset())
+    tops = set(mains) if sure else set()
+    out, stack = {root: (root in tops, False)}, [root]
+    while stack:
+        x = stack.pop()
+        inside, aside = out[x]
+        for c in x.children:
+            if isinstance(c, Node):
+                mine = inside or c in tops
+                out[c] = (mine, aside or (c not in tops and _aside(c, mine)))
+                stack.append(c)
+    return out
+
+
+def _assemble(events_: Iterator[tuple[str, Node, str, bool]]) -> str:
+    """Blocks of the text nodes that are taken, joined by newlines."""
+    blocks: list[str] = []
+    parts: list[str] = []
+
+    def flush() -> None:
+        text = _squeeze("".join(parts))
+        parts.clear()
+        if text:
+            blocks.append(text)
+
+    for kind, node, value, taken in events_:
+        if kind == "text":
+            if taken:
+                parts.append(value)
+        elif node.tag == "br":
+            parts.append(" ")
+        elif node.tag in _BLOCK:
+            flush()
+    flush()
+    return "\n".join(blocks)
+
+
+def _raw_events(root: Node) -> Iterator[tuple[str, Node, str]]:
+    """As events(), but text is as it stands, also where it is white space."""
+    stack: list = [(c, root) for c in reversed(root.children)]
+    while stack:
+        x, parent = stack.pop()
+        if isinstance(x, str):
+            yield "text", parent, x
+        elif parent is None:
+            yield "end", x, f"/{x.path}"
+        else:
+            yield "start", x, x.path
+            stack.append((x, None))
+            stack.extend((c, x) for c in reversed(x.children))
+
+
+def _in_slots(root: Node, nested: Nested, hashes: Hashes) -> str:
+    evidence, walk = _evidence(root), Walk(nested.classes, nested.size)
+
+    def judged() -> Iterator[tuple[str, Node, str, bool]]:
+        for kind, node, value in _raw_events(root):
+            if kind != "text":
+                walk.step(hashes(value))
+                yield kind, node, value, False
+                continue
+            text = _squeeze(value)
+            if text and walk.step(hashes(token(kind, node, text))):
+                continue
+            inside, aside = evidence[node]
+            own = walk.slot in nested.main if walk.slot in nested.known else inside
+            yield kind, node, value, own and not aside
+
+    return _assemble(judged())
+
+
+class Hashes(dict):
+    """Tokens' hashes; those that come again, such as paths of tags, are computed once."""
+
+    def __missing__(self, t: str) -> int:
+        if len(self) > 50_000:
+            self.clear()
+        self[t] = key(t)
+        return self[t]
+
+    def __call__(self, t: str) -> int:
+        return self[t] if len(t) < 200 else key(t)
+
+
+def extract(page: str, template: frozenset | Nested = frozenset(), hashes: Hashes | None = None) -> str:
+    """The main text, blocks joined by newlines; by the template's slots, or by the page's own marks where it has none."""
+    root = parse(page)
+    if isinstance(template, Nested):
+        text = _in_slots(root, template, hashes or Hashes()) if template.main else ""
+        if text:
+            return text
+        template = template.text
+    main, sure = _find_main(root, template)
     text = _blocks(main, sure, template)
     # Copies of one page make all their text the template's.
     return _blocks(main, sure, frozenset()) if sure and template and not text else text
@@ -245,23 +432,24 @@ _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)"
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """host, token and this page's part of the token's occurrence vector."""
+    hashes = Hashes()
     for batch in batches:
-        host, token, vector = [], [], []
+        host, token_, vector = [], [], []
         for h, p in zip(batch.column(0).to_pylist(), _text.plain(batch.column(1)), strict=True):
             text = p.as_py()
             count = tokens(parse(text))
             if not count:
                 continue
             host.extend([h] * len(count))
-            token.extend(map(key, count))
+            token_.extend(map(hashes, count))
             page = np.uint64(key(text) & 0xFFFFFFFFFFFFFFFF)
             vector.append(_text.mix(np.fromiter(count.values(), dtype=np.uint64) + page).view(np.int64) >> 8)
         if host:
-            yield pa.record_batch([pa.array(host, pa.string()), pa.array(token, pa.int64()), pa.array(np.concatenate(vector))], names=["host", "token", "vector"])
+            yield pa.record_batch([pa.array(host, pa.string()), pa.array(token_, pa.int64()), pa.array(np.concatenate(vector))], names=["host", "token", "vector"])
 
 
-def templates(pages: DataFrame, spec: Template, scratch: Scratch) -> DataFrame:
-    """(host, tokens): the tokens of the valid classes of each host with pages enough, and of all pages, at host null."""
+def candidates(pages: DataFrame, spec: Template, scratch: Scratch) -> DataFrame:
+    """(host, tokens, classes): the tokens of frequent and large classes of each host with pages enough, and of all pages, at host null."""
     hosts = pages.groupBy("host").agg(F.count("*").alias("pages"))
     rows = pages.select("host", "html").mapInArrow(_vectors, "host string, token long, vector long")
     # Sums wrap nothing: 56-bit parts in decimals. Partial sums leave one row per task, host and token.
@@ -273,20 +461,106 @@ def templates(pages: DataFrame, spec: Template, scratch: Scratch) -> DataFrame:
     of_all = every.select(F.lit(None).cast("string").alias("host"), "token", "vector", "support", F.lit(total).cast("long").alias("pages")).where(F.col("pages") >= spec.few)
     frequent = of_host.unionByName(of_all).where(F.col("support") >= F.col("pages") * spec.share)
     classes = frequent.groupBy("host", "vector").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= spec.large)
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    # A class's number is its least token; 0 is the page itself.
+    classes = classes.select("host", "tokens", F.transform("tokens", lambda t: F.array_min("tokens")).alias("classes"))
+    return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list("classes")).alias("classes"))
+
+
+_SEEN = "host string, class long, orders long, around long, gap long, n long, text long, links long, inside long, aside long"
+
 
+def _nesting(general: dict[int, int]):
+    """What pages say of a template's classes and slots. Class rows (n 1 for each page): orders is a hash of the order of
+    tokens, 0 if the instances differ, around and gap the slot around. Slot rows (n null): class and gap, and the characters
+    of text, of it in links, in article parts and in aside parts."""
 
-def _texts(general: frozenset):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, sizes = Hashes(), Counter(general.values())
         for batch in batches:
-            texts = []
+            found: Counter = Counter()
+            slots: dict = {}
             cache: dict = {}
-            for page, host, own in zip(_text.plain(batch.column(2)), batch.column(3).to_pylist(), batch.column(4), strict=True):
-                if not own.is_valid:
-                    t = general
-                elif (t := cache.get(host)) is None:
-                    t = cache[host] = frozenset(own.as_py())
-                texts.append(extract(page.as_py(), t))
+            for page, host, of, named in zip(_text.plain(batch.column(0)), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                root = parse(page.as_py())
+                evidence = _evidence(root)
+                own = None
+                if of.is_valid:
+                    if host not in cache:
+                        classes = dict(zip(of.as_py(), named.as_py(), strict=True))
+                        cache[host] = classes, Counter(classes.values())
+                    own = cache[host]
+                for h, (classes, size) in ([(host, own)] if own else []) + [(None, (general, sizes))] * bool(general):
+                    walk, links = Walk(classes, size), 0
+                    for kind, node, value in events(root):
+                        links += (kind == "start") - (kind == "end") if node.tag == "a" and kind != "text" else 0
+                        if not walk.step(hashes(token(kind, node, value))) and kind == "text":
+                            inside, aside = evidence[node]
+                            have = slots.setdefault((h, *walk.slot), [0, 0, 0, 0])
+                            for k, yes in enumerate((True, links > 0, inside, aside)):
+                                have[k] += len(value) * yes
+                    for c, (order, around, alike) in walk.instances().items():
+                        found[h, c, hash_of(order) if alike else 0, *around] += 1
+            rows = [(h, c, o, a, g, n, None, None, None, None) for (h, c, o, a, g), n in found.items()] + [(h, c, None, None, g, None, *v) for (h, c, g), v in slots.items()]
+            yield pa.record_batch([pa.array([r[k] for r in rows], pa.string() if k == 0 else pa.int64()) for k in range(10)], names=["host", "class", "orders", "around", "gap", "n", "text", "links", "inside", "aside"])
+
+    return run
+
+
+def hash_of(order: list[int]) -> int:
+    return key(",".join(map(str, order)))
+
+
+def templates(pages: DataFrame, spec: Template, scratch: Scratch) -> DataFrame:
+    """(host, tokens, classes, nests, slots): nests are (class, around, gap, valid), slots (class, gap, text, links, inside, aside)."""
+    found = scratch.keep(candidates(pages, spec, scratch))
+    general = _general(found)
+    general = dict(zip(general["tokens"], general["classes"], strict=True)) if general else {}
+    rows = _with_template(pages, found, ["tokens", "classes"], spec)
+    seen = scratch.keep(rows.select("html", "host", "tokens", "classes").mapInArrow(_nesting(general), _SEEN).groupBy("host", "class", "orders", "around", "gap").agg(*[F.sum(c).alias(c) for c in ("n", "text", "links", "inside", "aside")]))
+    # The order and the slot around that most pages have; a class is valid if that is nearly all of them.
+    nests = seen.where("n is not null").groupBy("host", "class").agg(F.sum("n").alias("pages"), F.max(F.struct(F.when(F.col("orders") == 0, 0).otherwise(F.col("n")).alias("n"), "around", "gap")).alias("best"))
+    nests = nests.select("host", F.struct("class", F.col("best.around").alias("around"), F.col("best.gap").alias("gap"), (F.col("best.n") >= F.col("pages") * spec.agree).alias("valid")).alias("nest")).groupBy("host").agg(F.collect_list("nest").alias("nests"))
+    slots = seen.where("n is null").groupBy("host").agg(F.collect_list(F.struct("class", "gap", "text", "links", "inside", "aside")).alias("slots"))
+    key_ = lambda df: df.withColumn("k", F.coalesce("host", F.lit("\0")))
+    out = key_(found).join(key_(nests).drop("host"), "k", "left").join(key_(slots).drop("host"), "k", "left")
+    return out.select("host", "tokens", "classes", "nests", "slots")
+
+
+def _general(found: DataFrame):
+    """The one row of all pages together: its tokens are those that most of all pages have."""
+    rows = found.where("host is null").take(1)
+    return rows[0].asDict(recursive=True) if rows else None
+
+
+def _with_template(rows: DataFrame, found: DataFrame, columns: list[str], spec: Template) -> DataFrame:
+    own = found.where("host is not null").select("host", *columns)
+    if (own.agg(F.sum(F.size("tokens"))).first()[0] or 0) <= spec.broadcast_rows:
+        return rows.join(F.broadcast(own), "host", "left")
+    salted = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spec.salts - 1))))
+    return rows.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.lit(spec.salts)), F.lit(0)).cast("int")).join(salted, ["host", "salt"], "left")
+
+
+def _nested(row: dict, most: float) -> Nested:
+    nests, slots = row["nests"] or [], row["slots"] or []
+    return Nested(dict(zip(row["tokens"], row["classes"], strict=True)), {n["class"]: (n["around"], n["gap"]) for n in nests}, {n["class"] for n in nests if n["valid"]}, {(s["class"], s["gap"]): (s["text"], s["links"], s["inside"], s["aside"]) for s in slots}, most)
+
+
+def _texts(general: dict | None, spec: Template):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, hashes = _nested(general, spec.most) if general else frozenset(), Hashes()
+        cache: dict = {}
+        for batch in batches:
+            texts = []
+            columns = [batch.column(k) for k in range(4, 8)]
+            for i, (page, host) in enumerate(zip(_text.plain(batch.column(2)), batch.column(3).to_pylist(), strict=True)):
+                t = every
+                if columns[0][i].is_valid:
+                    if host not in cache:
+                        if len(cache) > 200:
+                            cache.clear()
+                        cache[host] = _nested({n: c[i].as_py() for n, c in zip(("tokens", "classes", "nests", "slots"), columns, strict=True)}, spec.most)
+                    t = cache[host]
+                texts.append(extract(page.as_py(), t, hashes))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return run
@@ -304,16 +578,8 @@ def main_texts(pages: DataFrame, spec: Template = Template(), spark: SparkSessio
     host = F.nullif(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1)), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
     found = scratch.keep(templates(rows, spec, scratch))
-    # One row: the tokens that most of all pages have.
-    general = found.where("host is null").select("tokens").take(1)
-    general = frozenset(general[0]["tokens"]) if general else frozenset()
-    own = found.where("host is not null")
-    if (own.agg(F.sum(F.size("tokens"))).first()[0] or 0) <= spec.broadcast_rows:
-        joined = rows.join(F.broadcast(own), "host", "left")
-    else:
-        salted = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spec.salts - 1))))
-        joined = rows.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.lit(spec.salts)), F.lit(0)).cast("int")).join(salted, ["host", "salt"], "left")
-    return joined.select("page_id", "url", "html", "host", "tokens").mapInArrow(_texts(general), "page_id long, url string, text string, n_chars long")
+    joined = _with_template(rows, found, ["tokens", "classes", "nests", "slots"], spec)
+    return joined.select("page_id", "url", "html", "host", "tokens", "classes", "nests", "slots").mapInArrow(_texts(_general(found), spec), "page_id long, url string, text string, n_chars long")
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
