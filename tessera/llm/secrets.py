@@ -4,19 +4,22 @@ Match positions come from a marker that regexp_replace puts around each match: p
 their lengths in code points add up to offsets.
 
 The battery takes runs of 16 or more [A-Za-z0-9+/_-] whose characters fit an encoding (hexadecimal, base 32 and
-alphanumeric of either case, base 64 with or without digits). Three statistics have a known distribution for random strings: chi-squared of the alphabet's
-uniformity, runs above and below the alphabet's middle, and lag-one serial correlation. A string must agree with all
-three, and must have more changes of character class than names and numbers in text have; that gives a p-value, and
-Benjamini-Hochberg thresholds by length class, read from a histogram over all candidates, decide. Lower-case runs and
-runs without digits, which names in text share, have length classes of their own. Letters of one case alone have no
-change of class: to the battery they are words.
+alphanumeric of either case, base 64 with or without digits), and makes three statistics of each: chi-squared of the
+alphabet's uniformity, runs (of characters of one class, and above and below the alphabet's middle) and lag-one serial
+correlation. Each has a known distribution for random strings and another for text of the same length and encoding, whose
+letters are uneven, whose classes change seldom and whose neighbours are alike. A string must not differ from random ones
+in any test. How unlikely the three are for text gives three p-values; their Cauchy combination, which holds for tests
+that depend on each other, is the string's p-value, and Benjamini-Hochberg thresholds by length class, read from a
+histogram over all candidates, decide. Lower-case runs and runs without digits, which names in text share, have length
+classes of their own. Letters of one case alone are words to the battery.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._scratch import Scratch
@@ -27,24 +30,34 @@ HEX = r"[0-9a-f]+"
 CANDIDATE = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 # Two noncharacters: the marker, and what stands for it where a text has it.
 _MARK, _STAND_IN = "\ufdd0", "\ufdd1"
+#: Pieces of a text that are folded at a time.
+_BLOCK = 256
 _ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "upper": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower32": "abcdefghijklmnopqrstuvwxyz234567", "lower": "0123456789abcdefghijklmnopqrstuvwxyz", "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+# Sums of squares and cubes of the alphabet's shares in text: letters of words, and for hexadecimal the digits of numbers.
+_UNEVEN = {k: (0.1, 0.01) if k == "hex" else (0.065, 0.0055) for k in _ALPHABETS}
 # Added to the length class: kinds that names in text share don't dilute the others' control.
 _GROUPS = {"hex": 0, "base32": 0, "upper": 0, "base64": 0, "lower32": 100, "lower": 100, "letters": 200}
 
 
 @dataclass(frozen=True)
 class Battery:
-    """rate: false discoveries among those found in a length class; least_p: randomness tests must not fall below;
-    change: chance that two neighbours in text's names and numbers differ in class."""
+    """rate: false discoveries among those found in a length class; least_p: randomness tests must not fall below.
+
+    Of text: change is the chance that two neighbours in names and numbers differ in class, alike their correlation.
+    """
 
     rate: float = 0.01
     least_p: float = 0.001
     change: float = 0.15
+    alike: float = 0.3
 
 
 def _matches(text: Column, pattern: str) -> Column:
     """Array of (start, end, found) of the leftmost non-overlapping matches."""
     pieces = F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
+    # Pieces alternate between text and matches, so in a block of an even number of them every second one is a match.
+    # Blocks are folded by themselves and then moved to where they begin: arrays grow by a block's matches or by blocks,
+    # never by a text's matches.
     empty = F.expr("named_struct('at', 0, 'odd', false, 'out', cast(array() as array<struct<start:int,end:int,found:string>>))")
 
     def step(acc: Column, x: Column) -> Column:
@@ -52,8 +65,18 @@ def _matches(text: Column, pattern: str) -> Column:
         one = F.array(F.struct(acc["at"].alias("start"), end.alias("end"), x.alias("found")))
         return F.struct(end.alias("at"), (~acc["odd"]).alias("odd"), F.when(acc["odd"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
+    def moved(m: Column, by: Column) -> Column:
+        return F.struct((m["start"] + by).alias("start"), (m["end"] + by).alias("end"), m["found"].alias("found"))
+
+    def join(acc: Column, block: Column) -> Column:
+        here = F.transform(block["out"], lambda m: moved(m, acc["at"]))
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["out"], F.array(here)).alias("out"))
+
+    # One lambda binds the pieces, so that they are made once.
+    blocks = F.transform(F.array(pieces), lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / _BLOCK).cast("int")), lambda k: F.aggregate(F.slice(p, k * _BLOCK + 1, _BLOCK), empty, step)))[0]
+    whole = F.aggregate(blocks, F.expr("named_struct('at', 0, 'out', cast(array() as array<array<struct<start:int,end:int,found:string>>>))"), join, lambda acc: F.flatten(acc["out"]))
     none = F.expr("cast(array() as array<struct<start:int,end:int,found:string>>)")
-    return F.when(text.rlike(pattern), F.aggregate(pieces, empty, step, lambda acc: acc["out"])).otherwise(none)
+    return F.when(text.rlike(pattern), whole).otherwise(none)
 
 
 def _named(spans: Column, kind: str, order: int) -> Column:
@@ -74,7 +97,7 @@ def _tail(z: Column) -> Column:
 
 
 def _battery(c: Column, spec: Battery) -> Column:
-    """For a match: its span, length class, score (-10 log10 p of text's class changes) and whether all tests agree; null without an encoding."""
+    """For a match: its span, length class, score (-10 log10 of text's combined p) and whether it may be random; null without an encoding."""
     s = F.regexp_replace(c["found"], "=+$", "")
     digit, upper, lower = s.rlike("[0-9]"), s.rlike("[A-Z]"), s.rlike("[a-z]")
     kind = (
@@ -87,7 +110,8 @@ def _battery(c: Column, spec: Battery) -> Column:
         .when(upper & lower, F.lit("letters"))
     )
     folded = F.when(kind == "hex", F.lower(s)).otherwise(F.translate(s, "-_", "+/"))
-    known, groups = (F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v))]) for table in (_ALPHABETS, _GROUPS))
+    tables = (_ALPHABETS, _GROUPS, {k: v[0] for k, v in _UNEVEN.items()}, {k: v[1] for k, v in _UNEVEN.items()})
+    known, groups, twice, thrice = (F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v))]) for table in tables)
 
     def stats(p: Column) -> Column:
         alphabet, text = p["alphabet"], p["text"]
@@ -105,10 +129,19 @@ def _battery(c: Column, spec: Battery) -> Column:
         edges = F.size(F.filter(F.split(F.regexp_replace(classes, "([\u0001\u0002\u0003])\\1*", "$1"), ""), lambda ch: ch != "")) - 1
         z_mix = (edges - spec.change * (n - 1)) / F.sqrt(spec.change * (1 - spec.change) * (n - 1))
         p_random = F.least(_tail(z_chi), 2 * _tail(F.abs(z_runs)), 2 * _tail(F.abs(z_serial)))
-        score = F.least(F.lit(400.0), F.floor(-10 * F.log10(F.greatest(_tail(z_mix), F.lit(1e-40)))))
+        # The same statistics for text: the moments of a sum of squared multinomial counts with uneven shares.
+        s2, s3 = p["squares"], p["cubes"]
+        text_squares = n + n * (n - 1) * s2
+        text_spread = F.sqrt(2 * n * (n - 1) * (s2 + 2 * (n - 2) * s3 - (2 * n - 3) * s2 * s2))
+        against = [(text_squares - squares) / text_spread, z_mix, (spec.alike - serial / (n - 1)) * F.sqrt(n - 1)]
+        # Cauchy combination: the mean of the tests' cotangents, turned back into a p-value.
+        bounded = [F.least(F.greatest(_tail(z), F.lit(1e-38)), F.lit(1 - 1e-9)) for z in against]
+        cotangents = [F.when(q < 1e-6, 1 / (math.pi * q)).otherwise(F.cos(math.pi * q) / F.sin(math.pi * q)) for q in bounded]
+        combined = F.atan2(F.lit(1.0), sum(cotangents, F.lit(0.0)) / 3) / math.pi
+        score = F.least(F.lit(400.0), F.floor(-10 * F.log10(F.greatest(combined, F.lit(1e-40)))))
         return F.struct(p["start"].alias("start"), p["end"].alias("end"), (F.floor(F.log2(n) * 2).cast("int") + p["group"]).alias("bin"), score.cast("int").alias("score"), (p_random >= spec.least_p / 3).alias("random"))
 
-    base = F.struct(c["start"].alias("start"), c["end"].alias("end"), folded.alias("text"), F.element_at(known, kind).alias("alphabet"), F.element_at(groups, kind).alias("group"))
+    base = F.struct(c["start"].alias("start"), c["end"].alias("end"), folded.alias("text"), F.element_at(known, kind).alias("alphabet"), F.element_at(groups, kind).alias("group"), F.element_at(twice, kind).alias("squares"), F.element_at(thrice, kind).alias("cubes"))
     return F.when(kind.isNotNull(), F.transform(F.array(base), stats)[0])
 
 
@@ -116,16 +149,11 @@ def _thresholds(scanned: DataFrame, spec: Battery) -> dict[int, int]:
     """Least score of each length class at which expected false finds stay within the rate; a row per length class."""
     each = scanned.select(F.explode("candidates").alias("c")).select("c.*")
     table = each.groupBy("bin", "score").agg(F.count("*").alias("n"), F.sum(F.col("random").cast("long")).alias("found"))
-    table.createOrReplaceTempView("_tessera_scores")
+    every, above = Window.partitionBy("bin"), Window.partitionBy("bin").orderBy(F.col("score").desc())
+    table = table.withColumn("m", F.sum("n").over(every)).withColumn("over", F.sum("found").over(above))
     # At most 401 scores for each of some sixty length classes.
-    kept = each.sparkSession.sql(
-        f"""SELECT bin, min(score) AS least FROM (
-          SELECT bin, score, sum(n) OVER (PARTITION BY bin) AS m, sum(found) OVER (PARTITION BY bin ORDER BY score DESC) AS over FROM _tessera_scores)
-        WHERE m * pow(10, -score / 10) <= {spec.rate} * over GROUP BY bin"""
-    )
-    out = {r["bin"]: r["least"] for r in kept.collect()}
-    each.sparkSession.catalog.dropTempView("_tessera_scores")
-    return out
+    within = table.where(F.col("m") * F.pow(F.lit(10.0), -F.col("score") / 10) <= spec.rate * F.col("over"))
+    return {r["bin"]: r["least"] for r in within.groupBy("bin").agg(F.min("score").alias("least")).collect()}
 
 
 def scan(docs: DataFrame, spec: Battery = Battery(), spark: SparkSession | None = None) -> DataFrame:  # noqa: B008
