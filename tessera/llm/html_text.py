@@ -160,7 +160,7 @@ def _aside(node: Node, inside: bool) -> bool:
         return True
     if not node.attrs:
         return False
-    if "hidden" in node.attrs.split("=")[0] or "aria-hidden=true" in node.attrs or re.search(r"role=(?:navigation|banner|contentinfo|complementary|search|form|dialog|alert)", node.attrs):
+    if re.search(r"(?:^|\s)hidden=", node.attrs) or "aria-hidden=true" in node.attrs or re.search(r"role=(?:navigation|banner|contentinfo|complementary|search|form|dialog|alert)", node.attrs):
         return True
     names = re.sub(r"(?:class|id|role)=", " ", node.attrs)
     # Of an article's parts a name such as related-work says nothing, one made of listed words alone does.
