@@ -7,8 +7,11 @@ windows: they are its extensions to the left and right up to the length threshol
 Join: occurrences meet by seed hash. A window is removed if the same one is there from a smaller doc_id. Runs of
 removed windows are the maximal repeats; their words go in one last pass over the texts.
 
-Pre-aggregation: among the rows of one Arrow batch, only the smallest doc_id of equal extensions travels; the others
-are removed already. A seed that a third of all documents hold so sends at most a few rows a batch.
+Pre-aggregation: among the rows of one slice of text, only the smallest doc_id of equal extensions travels; the others
+are removed already. A seed inside a passage that a third of all documents hold so sends at most a few rows a slice.
+At the passage's ends its seeds meet different extensions in each document. Seeds with more such rows than a task should
+have are counted in a pass of their own; their windows travel one by one, each to where its own fingerprint belongs, so
+equal windows still meet and the others spread.
 """
 
 from __future__ import annotations
@@ -34,11 +37,18 @@ _MARK = 8
 
 @dataclass(frozen=True)
 class Repeats:
-    """length: words of a repeat at least; seed: words of an anchor. Each Arrow slice holds slice_bytes of text."""
+    """length: words of a repeat at least; seed: words of an anchor. Each slice holds slice_bytes of text.
+
+    hot: a seed with so many rows is split by window, so a task carries no more marks of one seed; below that, one with
+    a share of 1 / hot_share of all rows is, if it has hot_least. There are at most rows / hot, or hot_share, such seeds.
+    """
 
     length: int = 13
     seed: int = 5
     slice_bytes: int = 8 << 20
+    hot: int = 500_000
+    hot_share: int = 5_000
+    hot_least: int = 2_000
 
 
 def _segments(h: np.ndarray, ptr: np.ndarray, spec: Repeats):
@@ -65,50 +75,99 @@ def _segments(h: np.ndarray, ptr: np.ndarray, spec: Repeats):
     return row[first], first - ptr[row[first]], count, seeds[at[first]], window, first
 
 
-def _seed_rows(spec: Repeats):
-    """doc_id, start, windows, seed, marks; rows without marks are removals that are certain already."""
+def _anchored(text: pa.Array, spec: Repeats):
+    """Document row, start, windows, seed, a hash of the extensions, first window and all windows' fingerprints of a slice."""
+    out, rows, n = [], 0, 0
+    for a, b in _text.chunks(text):
+        row, start, count, seed, window, first = _segments(*_text.words(text.slice(a, b - a)), spec)
+        whole = window[:0]
+        if len(first):
+            total = np.zeros(len(window) + 1, dtype=U)
+            np.cumsum(_text.mix(window, 3) * (np.arange(len(window), dtype=U) * U(2) + U(1)), out=total[1:])
+            flat = np.zeros(len(window) + 1, dtype=U)
+            np.cumsum(_text.mix(window, 3), out=flat[1:])
+            end = first + count
+            whole = (total[end] - total[first]) - (flat[end] - flat[first]) * (first.astype(U) * U(2))
+        out.append((row + rows, start, count, seed, _text.mix(whole ^ seed, 1) + count.astype(U), first + n, window))
+        rows, n = rows + b - a, n + len(window)
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+
+def _least_of_equals(doc: np.ndarray, whole: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by seed and extensions, and the rows of which a smaller doc_id has the same."""
+    order = np.lexsort((doc, whole, seed))
+    s, w, d = seed[order], whole[order], doc[order]
+    head = np.ones(len(order), dtype=bool)
+    head[1:] = (s[1:] != s[:-1]) | (w[1:] != w[:-1])
+    least = d[np.maximum.accumulate(np.where(head, np.arange(len(d)), 0))] if len(d) else d
+    return order, order[d > least]
+
+
+def _ids(column: pa.Array) -> np.ndarray:
+    return column.cast(pa.int64()).to_numpy(zero_copy_only=False)
+
+
+def _busy_seeds(spec: Repeats):
+    """seed, n: how many rows of a slice a seed would send, where it is more than a few."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, text = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _text.plain(batch.column(1))
+            ids, text = _ids(batch.column(0)), _text.plain(batch.column(1))
             for lo, hi in _text.chunks(text, spec.slice_bytes):
-                parts = []
-                for a, b in _text.chunks(text.slice(lo, hi - lo)):
-                    row, start, count, seed, window, first = _segments(*_text.words(text.slice(lo + a, b - a)), spec)
-                    whole = window[:0]
-                    if len(first):
-                        total = np.zeros(len(window) + 1, dtype=U)
-                        np.cumsum(_text.mix(window, 3) * (np.arange(len(window), dtype=U) * U(2) + U(1)), out=total[1:])
-                        flat = np.zeros(len(window) + 1, dtype=U)
-                        np.cumsum(_text.mix(window, 3), out=flat[1:])
-                        end = first + count
-                        whole = (total[end] - total[first]) - (flat[end] - flat[first]) * (first.astype(U) * U(2))
-                    offset = np.zeros(len(first) + 1, dtype=np.int64)
-                    np.cumsum(count * _MARK, out=offset[1:])
-                    pick = np.repeat(first - offset[:-1] // _MARK, count) + np.arange(offset[-1] // _MARK)
-                    marks = window[pick].astype("<u8").tobytes()
-                    parts.append((ids[lo + a + row], start, count, seed, _text.mix(whole ^ seed, 1) + count.astype(U), pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offset), pa.py_buffer(marks)])))
-                doc, start, count, seed, whole = (np.concatenate([p[i] for p in parts]) for i in range(5))
-                marks = pa.concat_arrays([p[5] for p in parts])
-                order = np.lexsort((doc, whole, seed))
-                s, w, d = seed[order], whole[order], doc[order]
-                head = np.ones(len(order), dtype=bool)
-                head[1:] = (s[1:] != s[:-1]) | (w[1:] != w[:-1])
-                least = d[np.maximum.accumulate(np.where(head, np.arange(len(d)), 0))] if len(d) else d
-                again = order[d > least]
+                row, _, _, seed, whole, _, _ = _anchored(text.slice(lo, hi - lo), spec)
+                order, again = _least_of_equals(ids[lo + row], whole, seed)
                 travels = np.ones(len(order), dtype=bool)
                 travels[again] = False
-                empty = np.zeros(len(order), dtype=bool)
-                empty[again] = True
-                marks = pa.compute.if_else(pa.array(empty), pa.scalar(None, pa.large_binary()), marks).cast(pa.binary())
+                busy, n = np.unique(seed[travels], return_counts=True)
+                busy, n = busy[n > 3], n[n > 3]
+                # The null seed has the number of rows in all.
+                seeds, n = pa.array([None, *busy.view(np.int64).tolist()], pa.int64()), pa.array([int(travels.sum()), *n.tolist()], pa.int64())
+                yield pa.record_batch([seeds, n], names=["seed", "n"])
+
+    return run
+
+
+def _seed_rows(spec: Repeats, hot: np.ndarray):
+    """doc_id, start, windows, seed, marks; rows without marks are removals that are certain already. hot: sorted seeds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, text = _ids(batch.column(0)), _text.plain(batch.column(1))
+            for lo, hi in _text.chunks(text, spec.slice_bytes):
+                row, start, count, seed, whole, first, window = _anchored(text.slice(lo, hi - lo), spec)
+                if len(hot) and len(seed):
+                    split = hot[np.minimum(np.searchsorted(hot, seed), len(hot) - 1)] == seed
+                    n = np.where(split, count, 1)
+                    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    row, start, first, of = np.repeat(row, n), np.repeat(start, n) + nth, np.repeat(first, n) + nth, np.repeat(split, n)
+                    own = _text.mix(window[first], 21)
+                    count, seed, whole = np.where(of, 1, np.repeat(count, n)), np.where(of, own, np.repeat(seed, n)), np.where(of, own, np.repeat(whole, n))
+                doc = ids[lo + row]
+                offset = np.zeros(len(first) + 1, dtype=np.int64)
+                np.cumsum(count * _MARK, out=offset[1:])
+                pick = np.repeat(first - offset[:-1] // _MARK, count) + np.arange(offset[-1] // _MARK)
+                marks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offset), pa.py_buffer(window[pick].astype("<u8").tobytes())])
+                order, again = _least_of_equals(doc, whole, seed)
+                sure = np.zeros(len(order), dtype=bool)
+                sure[again] = True
+                marks = pa.compute.if_else(pa.array(sure), pa.scalar(None, pa.large_binary()), marks).cast(pa.binary())
                 # Removals spread over all partitions; only what travels must meet by seed.
-                key = np.where(travels, seed, _text.mix(doc.view(U), 9))
+                key = np.where(sure, _text.mix(doc.view(U), 9), seed)
                 for i in range(0, len(order), 200_000):
                     yield pa.record_batch([pa.array(doc[i : i + 200_000]), pa.array(start[i : i + 200_000].astype(np.int32)), pa.array(count[i : i + 200_000].astype(np.int32)), _text.signed(key[i : i + 200_000]), marks.slice(i, 200_000)], names=["doc_id", "start", "windows", "seed", "marks"])
 
     return run
 
 
+def _hot_seeds(text: DataFrame, spec: Repeats, scratch: Scratch) -> np.ndarray:
+    """The seeds that are split by window, sorted; a set of bounded size."""
+    counts = scratch.keep(text.mapInArrow(_busy_seeds(spec), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")))
+    total = counts.where("seed is null").agg(F.sum("n")).first()[0] or 0
+    limit = min(spec.hot, max(spec.hot_least, total // spec.hot_share))
+    rows = counts.where("seed is not null").where(F.col("n") >= limit).select("seed").toPandas()
+    return np.sort(rows["seed"].to_numpy(dtype=np.int64).view(U))
+
+
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by seed and doc_id; out: doc_id, start and a bit for each removed window of an occurrence.
 
@@ -188,7 +247,8 @@ def remove_repeats(docs: DataFrame, spec: Repeats = Repeats(), spark: SparkSessi
     spark = spark or docs.sparkSession
     scratch = Scratch(spark, "repeats")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = text.where("doc_id is not null").mapInArrow(_seed_rows(spec), "doc_id long, start int, windows int, seed long, marks binary")
+    known = text.where("doc_id is not null")
+    rows = known.mapInArrow(_seed_rows(spec, _hot_seeds(known, spec, scratch)), "doc_id long, start int, windows int, seed long, marks binary")
     met = rows.repartition("seed").sortWithinPartitions("seed", "doc_id")
     hits = scratch.keep(met.mapInArrow(_extend, "doc_id long, start int, bits long"))
     by_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("start", "bits")).alias("hits"))
