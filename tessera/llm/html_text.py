@@ -23,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -155,16 +156,31 @@ def tokens(root: Node) -> Counter:
     return Counter(token(*e) for e in events(root))
 
 
-def _aside(node: Node, inside: bool) -> bool:
-    if node.tag in _NEVER or (node.tag in _OUTSIDE and not inside):
+@lru_cache(maxsize=1 << 16)
+def _is_aside(tag: str, attrs: str, inside: bool) -> bool:
+    if tag in _NEVER or (tag in _OUTSIDE and not inside):
         return True
-    if not node.attrs:
+    if not attrs:
         return False
-    if re.search(r"(?:^|\s)hidden=", node.attrs) or "aria-hidden=true" in node.attrs or re.search(r"role=(?:navigation|banner|contentinfo|complementary|search|form|dialog|alert)", node.attrs):
+    if re.search(r"(?:^|\s)hidden=", attrs) or "aria-hidden=true" in attrs or re.search(r"role=(?:navigation|banner|contentinfo|complementary|search|form|dialog|alert)", attrs):
         return True
-    names = re.sub(r"(?:class|id|role)=", " ", node.attrs)
+    names = re.sub(r"(?:class|id|role)=", " ", attrs)
     # Of an article's parts a name such as related-work says nothing, one made of listed words alone does.
-    return bool((_WHOLE if inside else _ASIDE).search(names)) and node.tag not in ("article", "main", "body")
+    return bool((_WHOLE if inside else _ASIDE).search(names)) and tag not in ("article", "main", "body")
+
+
+def _aside(node: Node, inside: bool) -> bool:
+    return _is_aside(node.tag, node.attrs, inside)
+
+
+@lru_cache(maxsize=1 << 16)
+def _rank(tag: str, attrs: str) -> int:
+    """What an element is marked as: 0 an article, 1 the main part, 2 content by name, 3 nothing of these."""
+    if tag == "article":
+        return 0
+    if tag == "main" or "role=main" in attrs:
+        return 1
+    return 2 if attrs and _MAIN.search(re.sub(r"(?:class|id)=", " ", attrs)) else 3
 
 
 def _weight(node: Node, template: frozenset, inside: bool) -> int:
@@ -195,11 +211,12 @@ def _find_main(root: Node, template: frozenset) -> tuple[list[Node], bool]:
         stack.extend(c for c in reversed(x.children) if isinstance(c, Node) and not _aside(c, False))
     taken: set[Node] = set()
     above: set[Node] = set()
-    for wanted in (lambda x: x.tag == "article", lambda x: x.tag == "main" or "role=main" in x.attrs, lambda x: bool(x.attrs) and bool(_MAIN.search(re.sub(r"(?:class|id)=", " ", x.attrs)))):
+    marked = [(x, r) for x in every if (r := _rank(x.tag, x.attrs)) < 3]
+    for rank in range(3):
         # The outermost ones that neither lie in one taken before nor hold one; every lists parents first.
         fresh = set()
-        for x in every:
-            if x in above or not wanted(x):
+        for x, r in marked:
+            if x in above or r != rank:
                 continue
             up = list(_ancestors(x))
             if not any(u in taken or u in fresh for u in up):
@@ -483,23 +500,25 @@ def _nesting(general: dict[int, int]):
             for page, host, of, named in zip(_text.plain(batch.column(0)), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 root = parse(page.as_py())
                 evidence = _evidence(root)
-                own = None
+                # Pages of hosts that have no template of their own speak for the general one.
+                h, (classes, size) = None, (general, sizes)
                 if of.is_valid:
                     if host not in cache:
-                        classes = dict(zip(of.as_py(), named.as_py(), strict=True))
-                        cache[host] = classes, Counter(classes.values())
-                    own = cache[host]
-                for h, (classes, size) in ([(host, own)] if own else []) + [(None, (general, sizes))] * bool(general):
-                    walk, links = Walk(classes, size), 0
-                    for kind, node, value in events(root):
-                        links += (kind == "start") - (kind == "end") if node.tag == "a" and kind != "text" else 0
-                        if not walk.step(hashes(token(kind, node, value))) and kind == "text":
-                            inside, aside = evidence[node]
-                            have = slots.setdefault((h, *walk.slot), [0, 0, 0, 0])
-                            for k, yes in enumerate((True, links > 0, inside, aside)):
-                                have[k] += len(value) * yes
-                    for c, (order, around, alike) in walk.instances().items():
-                        found[h, c, hash_of(order) if alike else 0, *around] += 1
+                        own = dict(zip(of.as_py(), named.as_py(), strict=True))
+                        cache[host] = own, Counter(own.values())
+                    h, (classes, size) = host, cache[host]
+                if not classes:
+                    continue
+                walk, links = Walk(classes, size), 0
+                for kind, node, value in events(root):
+                    links += (kind == "start") - (kind == "end") if node.tag == "a" and kind != "text" else 0
+                    if not walk.step(hashes(token(kind, node, value))) and kind == "text":
+                        inside, aside = evidence[node]
+                        have = slots.setdefault((h, *walk.slot), [0, 0, 0, 0])
+                        for k, yes in enumerate((True, links > 0, inside, aside)):
+                            have[k] += len(value) * yes
+                for c, (order, around, alike) in walk.instances().items():
+                    found[h, c, hash_of(order) if alike else 0, *around] += 1
             rows = [(h, c, o, a, g, n, None, None, None, None) for (h, c, o, a, g), n in found.items()] + [(h, c, None, None, g, None, *v) for (h, c, g), v in slots.items()]
             yield pa.record_batch([pa.array([r[k] for r in rows], pa.string() if k == 0 else pa.int64()) for k in range(10)], names=["host", "class", "orders", "around", "gap", "n", "text", "links", "inside", "aside"])
 
