@@ -279,12 +279,59 @@ def container_inspect(spark, sf_dir):
     return head.select("image_id", "version", "width", "height", "channels", "alpha", F.size("streams").alias("streams"), R.total(F.col("streams.orig_size")).alias("plain_size"))
 
 
-@query()
+# Fixed-point numbers with 32 fraction bits as wide integers: products round down, quotients towards 0.
+_ONE = 1 << 32
+
+
+def _product(a: str, b: str) -> str:
+    p = f"(({a})::HUGEINT * ({b}))"
+    return f"(CASE WHEN {p} >= 0 THEN {p} // {_ONE} ELSE -((-{p} + {_ONE - 1}) // {_ONE}) END)"
+
+
+def _quotient(a: str, b: str) -> str:
+    return f"(sign({a})::INT * sign({b})::INT * ((abs({a})::HUGEINT * {_ONE}) // abs({b})))"
+
+
+def _pass(name: str, of: str, line: str, along: str) -> str:
+    """One resampling pass of the rows (image_id, line, along, c, v, n, radius) to 8 samples along."""
+    sinc = ""
+    for k, x in enumerate(("d", "e")):
+        before = f"{name}{'k' if not k else 'd'}"
+        sinc += f""", {name}{x}1 AS (SELECT *, {_product(resample.PI, f"{x} % {_ONE}")} AS t FROM {before}), {name}{x}2 AS (SELECT *, {_product("t", "t")} AS t2 FROM {name}{x}1),
+{name}{x}3 AS (SELECT *, t + {_product(_product("t2", "t"), f"{resample.C3} + {_product(f'{resample.C5} + {_product(resample.C7, "t2")}', 't2')}")} AS sine FROM {name}{x}2),
+{name}{x} AS (SELECT * EXCLUDE (t, t2, sine), CASE WHEN {x} = 0 THEN {_ONE} ELSE {_quotient(f"(CASE WHEN ({x} // {_ONE}) % 2 = 1 THEN -sine ELSE sine END)", _product(resample.PI, x))} END AS s{x} FROM {name}{x}3)"""
+    return f"""{name}n AS (SELECT DISTINCT n, radius FROM {of}),
+{name}c AS (SELECT n, radius, i, {_product(f"i * {_ONE} + {_ONE // 2}", f"(n * {_ONE}) // 8")} - {_ONE // 2} AS centre FROM {name}n, (SELECT unnest(range(8)) AS i)),
+{name}k AS (SELECT n, radius, i, s, d, {_quotient("d", "radius")} AS e FROM (SELECT *, abs(centre - s * {_ONE}::HUGEINT) AS d FROM (SELECT *, unnest(range(n)) AS s FROM {name}c)) WHERE d < radius){sinc},
+{name}w AS (SELECT n, radius, i, s, {_product("sd", "se")} AS w FROM {name}e),
+{name}v AS (SELECT n, radius, i, s, {_quotient("w", "total")} AS w FROM (SELECT *, sum(w) OVER (PARTITION BY n, radius, i) AS total FROM {name}w) WHERE total <> 0),
+{name} AS (SELECT image_id, {line}, i AS {along}, c, greatest(0, least(255, (sum(v * w::HUGEINT) - (CASE WHEN sum(v * w::HUGEINT) < 0 THEN {_ONE - 1} ELSE 0 END))::HUGEINT // {_ONE}))::BIGINT AS v FROM {of} JOIN {name}v k USING (n, radius) WHERE k.s = {of}.{along} GROUP BY image_id, {line}, i, c)"""
+
+
+_LANCZOS = f"""WITH {_PX}, y0 AS (SELECT image_id, y, row_number() OVER (PARTITION BY image_id ORDER BY y) - 1 AS k, count(*) OVER (PARTITION BY image_id) AS h FROM (SELECT DISTINCT image_id, y FROM px)),
+src AS (SELECT image_id, k AS y, x // 4 AS x, x % 4 AS c, p AS v, 16 AS n, least(16, h) * {_ONE} AS radius FROM px JOIN y0 USING (image_id, y)), {_pass("across", "src", "y", "x")},
+turned AS (SELECT a.*, h AS n, least(16, h) * {_ONE} AS radius FROM across a JOIN (SELECT DISTINCT image_id, h FROM y0) USING (image_id)), {_pass("down", "turned", "x", "y")}
+SELECT image_id, 8::BIGINT AS width, 8::BIGINT AS height, 4 AS channels, sum(v)::BIGINT AS total, sum(v * ((y * 8 + x) * 4 + c + 1))::BIGINT AS moment FROM down GROUP BY image_id"""
+
+
+@query(_LANCZOS)
 def lanczos_resize(spark, sf_dir):
     return _digest(resample.resize(views.images(spark, sf_dir), 8, 8).withColumn("channels", F.lit(4)))
 
 
-@query()
+_GREEDY = """WITH RECURSIVE r AS (SELECT label::BIGINT AS grp, vec_id AS id, list_transform(embedding, lambda v: ((floor(v * 128)::BIGINT + 128) % 256 + 256) % 256) AS p FROM embeddings),
+e AS (SELECT grp, id, list_sum(p)::BIGINT AS area, p[:16] AS head, p[-16:] AS tail FROM r),
+q AS (SELECT *, (list_sum(head)::BIGINT // 16) >> 3 AS hq, (list_sum(tail)::BIGINT // 16) >> 3 AS tq FROM e),
+i AS (SELECT *, row_number() OVER (PARTITION BY grp, hq ORDER BY id DESC) AS rn, row_number() OVER (PARTITION BY grp ORDER BY area DESC, id DESC) AS first FROM q),
+s AS (SELECT grp, id, [id] AS used, 0::BIGINT AS ordinal FROM i WHERE first = 1
+UNION ALL SELECT grp, coalesce(-best.n, lowest), list_append(used, coalesce(-best.n, lowest)), ordinal + 1 FROM (
+  SELECT s.grp, s.used, s.ordinal, min(n.id) AS lowest,
+    min(struct_pack(c := list_sum(list_transform(range(1, 17), lambda k: abs(c.tail[k] - n.head[k]))), d := abs(n.hq - c.tq), s := (n.hq > c.tq)::INT, n := -n.id)) FILTER (abs(n.hq - c.tq) <= 3 AND n.rn <= 64) AS best
+  FROM s JOIN i c ON c.grp = s.grp AND c.id = s.id JOIN i n ON n.grp = s.grp AND NOT list_contains(s.used, n.id) GROUP BY s.grp, s.used, s.ordinal))
+SELECT grp, id, ordinal FROM s"""
+
+
+@query(_GREEDY)
 def greedy_order(spark, sf_dir):
     """Rows of each image as items: their edges are the first and last quarter."""
     edge = {"head": F.slice("row", 1, 16), "tail": F.slice("row", -16, 16)}
@@ -314,7 +361,15 @@ def output_names(spark, sf_dir):
     return p.select("id", names.stem(path).alias("base"), names.with_extension(path, "tile").alias("encoded"), names.numbered(path, "_", n, "tile").alias("sheet"), names.numbered(path, "_mip", n, "tile").alias("level"), names.blob_format(path).alias("format"))
 
 
-@query()
+_SEARCH = f"""WITH RECURSIVE {_RECT}, g AS (SELECT grp, list_concat([struct_pack(w := 0::BIGINT, h := 0::BIGINT, x := 0::BIGINT, y := 0::BIGINT, s := 0::BIGINT, ok := true)], list(struct_pack(w := w + 4, h := h + 4, x := 0::BIGINT, y := 0::BIGINT, s := 0::BIGINT, ok := true) ORDER BY w * h DESC, greatest(w, h) DESC, id)) AS items, greatest(1, max(greatest(w, h)) + 4) AS low FROM rects GROUP BY grp),
+b AS (SELECT grp, low, 16384::BIGINT AS high FROM g
+UNION ALL SELECT grp, CASE WHEN fits THEN low ELSE m + 1 END, CASE WHEN fits THEN m ELSE high END FROM (
+  SELECT grp, t.low, high, m, list_reduce(items, lambda a, e: struct_pack(w := e.w, h := e.h, x := CASE WHEN a.x + e.w > m THEN e.w ELSE a.x + e.w END, y := CASE WHEN a.x + e.w > m THEN a.y + a.s ELSE a.y END, s := CASE WHEN a.x + e.w > m THEN e.h ELSE greatest(a.s, e.h) END, ok := a.ok AND CASE WHEN a.x + e.w > m THEN a.y + a.s ELSE a.y END + e.h <= m)).ok AS fits
+  FROM (SELECT *, (low + high) // 2 AS m FROM b WHERE low < high) t JOIN g USING (grp)))
+SELECT grp, low AS side FROM b WHERE low >= high"""
+
+
+@query(_SEARCH)
 def least_side(spark, sf_dir):
     return layout.least_side(views.rects(spark, sf_dir), 16384, 2)
 
