@@ -56,7 +56,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-        self._n = 0
+        self._n, self._kept = 0, []
         small_batches(spark)
 
     def keep(self, df: DataFrame, by: str | None = None) -> DataFrame:
@@ -67,9 +67,20 @@ class Scratch:
             (df.write.partitionBy(by) if by else df.write).parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
+        self._kept.append(path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            jpath = self.spark._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
+            self._delete(t._scratch_path)
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        """Drops every table but these, which a result still reads."""
+        for path in set(self._kept) - {t._scratch_path for t in tables}:
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        if path in self._kept:
+            self._kept.remove(path)
+            jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jpath, True)

@@ -187,10 +187,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, spec: Matching = Matchi
         out = text.mapInArrow(_match(first), f"doc_id long, {schema}")
     else:
         # Rows have keys of their own, written once, so that all blocks see the same ones.
-        keyed = Scratch(docs.sparkSession, "leaks").keep(text.withColumn("row", F.monotonically_increasing_id()))
+        scratch = Scratch(docs.sparkSession, "leaks")
+        keyed = scratch.keep(text.withColumn("row", F.monotonically_increasing_id()))
         hits = None
         for items in chain((first, second), blocks):
-            part = keyed.select(F.col("row").alias("doc_id"), "text").mapInArrow(_match(items), f"doc_id long, {schema}").where("size(item_ids) > 0")
+            # One block at a time: neither the driver nor a plan ever holds several.
+            part = scratch.keep(keyed.select(F.col("row").alias("doc_id"), "text").mapInArrow(_match(items), f"doc_id long, {schema}").where("size(item_ids) > 0"))
             hits = part if hits is None else hits.union(part)
         z = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("item_ids", "distances"))))
         hits = hits.groupBy(F.col("doc_id").alias("row")).agg(z.alias("z"))
@@ -206,10 +208,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, spec: Matching = Matchi
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, spec: Matching = Matching()) -> DataFrame:  # noqa: B008
     """The documents that hold no item, with all their columns."""
     small_batches(docs.sparkSession)
-    out = docs
-    for items in _blocks(benchmark, spec):
-        out = out.where(~_holds(items)(F.col("text").cast("string")))
-    return out
+    blocks = _blocks(benchmark, spec)
+    first, second = next(blocks, None), next(blocks, None)
+    text = F.col("text").cast("string")
+    if first is None:
+        return docs
+    if second is None:
+        return docs.where(~_holds(first)(text))
+    scratch = Scratch(docs.sparkSession, "leaks-drop")
+    keyed = scratch.keep(docs.select(F.struct("*").alias("row"), text.alias("text"), F.monotonically_increasing_id().alias("key")))
+    hits = None
+    for items in chain((first, second), blocks):
+        part = scratch.keep(keyed.where(_holds(items)(F.col("text"))).select("key"))
+        hits = part if hits is None else hits.union(part)
+    return keyed.join(hits.distinct(), "key", "left_anti").select("row.*")
 
 
 def _holds(items: Items):

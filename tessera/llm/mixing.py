@@ -153,6 +153,7 @@ def balance(docs: DataFrame, spec: Mix = Mix(), spark: SparkSession | None = Non
         new = scratch.keep(shifted.withColumn("copies", copies).drop("cell", "until", "step", "miss"))
         scratch.drop(out)
         out = new
+    scratch.drop_all_but(out)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 

@@ -281,6 +281,7 @@ def near_groups(docs: DataFrame, spec: NearDedup = NearDedup(), spark: SparkSess
         tested = tested.union(new)
         comp = scratch.keep(components(links, scratch))
 
+    scratch.drop_all_but(feats, members, comp)
     found = members.join(comp.withColumnRenamed("node", "class_id"), "class_id", "left")
     found = found.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"), "class_id")
     none = feats.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))

@@ -233,6 +233,7 @@ def learn(docs: DataFrame, labels: DataFrame, spec: Learning = Learning(), spark
     train = scratch.keep(train)
     n_pos, n_neg = (train.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()[i] or 0 for i in range(2))
     if not n_pos or not n_neg:
+        scratch.drop_all_but()
         return Lexicon()
     support = max(spec.least_support, int(spec.support * n_pos))
     names = ("pos", "neg", "texts", "dense_pos", "dense_neg", "dense_texts")
@@ -275,6 +276,7 @@ def learn(docs: DataFrame, labels: DataFrame, spec: Learning = Learning(), spark
     if min(w[1:]) < 0:  # a longer clean text around the same words must not raise a score
         w = np.append(_logistic(fit[["x0"]].to_numpy(), fit["label"].to_numpy().astype(float)), 0.0)
     lexicon.bias, lexicon.slope = float(w[0]), (float(max(w[1], 0.0)), float(w[2]))
+    scratch.drop_all_but()
     return lexicon
 
 

@@ -393,6 +393,9 @@ def test_contamination_against_a_slow_search(spark):
     for spec_ in (spec, dec.Matching(percent=10, block_chars=50)):
         got = {r["doc_id"]: list(zip(r["item_ids"], r["distances"], strict=True)) for r in dec.contamination(documents(spark, rows), bench, spec_).collect()}
         assert got == {i: slow_find(items, t, spec) for i, t in rows}
+        left = dec.drop_contaminated(documents(spark, rows + rows[:3]), bench, spec_)
+        assert sorted(r["doc_id"] for r in left.collect()) == sorted(i for i, t in rows + rows[:3] if not slow_find(items, t, spec))
+        assert left.columns == documents(spark, []).columns
 
 
 # --- op10: the tilts solve the dual
