@@ -8,7 +8,7 @@ alphanumeric of either case, base 64 with or without digits), and makes three st
 alphabet's uniformity, runs (of characters of one class, and above and below the alphabet's middle) and lag-one serial
 correlation. Each has a known distribution for random strings and another for text of the same length and encoding, whose
 letters are uneven, whose classes change seldom and whose neighbours are alike. A string must not differ from random ones
-in any test. How unlikely the three are for text gives three p-values; their Cauchy combination, which holds for tests
+in any test. How unlikely the three are for text gives three p-values; Brown's combination of them, which allows for tests
 that depend on each other, is the string's p-value, and Benjamini-Hochberg thresholds by length class, read from a
 histogram over all candidates, decide. Lower-case runs and runs without digits, which names in text share, have length
 classes of their own. Letters of one case alone are words to the battery.
@@ -16,7 +16,6 @@ classes of their own. Letters of one case alone are words to the battery.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -134,10 +133,11 @@ def _battery(c: Column, spec: Battery) -> Column:
         text_squares = n + n * (n - 1) * s2
         text_spread = F.sqrt(2 * n * (n - 1) * (s2 + 2 * (n - 2) * s3 - (2 * n - 3) * s2 * s2))
         against = [(text_squares - squares) / text_spread, z_mix, (spec.alike - serial / (n - 1)) * F.sqrt(n - 1)]
-        # Cauchy combination: the mean of the tests' cotangents, turned back into a p-value.
-        bounded = [F.least(F.greatest(_tail(z), F.lit(1e-38)), F.lit(1 - 1e-9)) for z in against]
-        cotangents = [F.when(q < 1e-6, 1 / (math.pi * q)).otherwise(F.cos(math.pi * q) / F.sin(math.pi * q)) for q in bounded]
-        combined = F.atan2(F.lit(1.0), sum(cotangents, F.lit(0.0)) / 3) / math.pi
+        # Brown's combination: the sum of -2 log p is about 1.5 times a chi-squared number of 4 degrees, where three
+        # independent tests would have 6, so that tests which depend on each other don't count as three.
+        bounded = [F.least(F.greatest(_tail(z), F.lit(1e-38)), F.lit(1.0)) for z in against]
+        half = sum((-F.log(q) for q in bounded), F.lit(0.0)) / 1.5
+        combined = F.exp(-half) * (1 + half)
         score = F.least(F.lit(400.0), F.floor(-10 * F.log10(F.greatest(combined, F.lit(1e-40)))))
         return F.struct(p["start"].alias("start"), p["end"].alias("end"), (F.floor(F.log2(n) * 2).cast("int") + p["group"]).alias("bin"), score.cast("int").alias("score"), (p_random >= spec.least_p / 3).alias("random"))
 

@@ -319,8 +319,8 @@ def slow_battery(found, spec):
     edges = sum(a != b for a, b in zip(kind_of, kind_of[1:], strict=False))
     spread = math.sqrt(2 * n * (n - 1) * (s2 + 2 * (n - 2) * s3 - (2 * n - 3) * s2 * s2))
     z = [(n + n * (n - 1) * s2 - squares) / spread, (edges - spec.change * (n - 1)) / math.sqrt(spec.change * (1 - spec.change) * (n - 1)), (spec.alike - serial / (n - 1)) * math.sqrt(n - 1)]
-    cot = [1 / math.tan(math.pi * min(max(tail(v), 1e-38), 1 - 1e-9)) for v in z]
-    p = math.atan2(1, sum(cot) / 3) / math.pi
+    x = -2 * sum(math.log(min(max(tail(v), 1e-38), 1.0)) for v in z) / 1.5
+    p = math.exp(-x / 2) * (1 + x / 2)
     return -10 * math.log10(max(p, 1e-40)), random_p >= spec.least_p / 3
 
 
