@@ -237,8 +237,11 @@ def license_lines(docs: DataFrame, spec: Scan = Scan(), spark: SparkSession | No
     total = sum((F.exp(x - top) for x in z), F.lit(0.0))
     best = F.array_max(F.array(*[F.struct(x.alias("z"), F.lit(k).alias("k")) for k, x in enumerate(z)]))
     per = per.select(*unit, "ids", best.alias("best"), total.alias("total"), top.alias("top"))
-    held = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("t"), (F.size(F.array_intersect(F.col("ids"), F.array(*map(F.lit, t)))) / F.lit(float(len(t)))).alias("cover")) for i, (k, t) in enumerate(templates)])
-    per = per.withColumn("held", F.filter(held, lambda h: h["cover"] > 0)).withColumn("probability", F.exp(F.col("best")["z"] - F.col("top")) / F.col("total"))
+    # Shares below the least that counts are never used, so a unit meets only templates short enough for its n-grams.
+    some = min(spec.part, spec.cover)
+    cover = lambda t: F.size(F.array_intersect(F.col("ids"), F.array(*map(F.lit, t)))) / F.lit(float(len(t)))
+    held = F.array(*[F.when(F.size("ids") >= some * len(t), F.struct(F.lit(k).alias("k"), F.lit(i).alias("t"), cover(t).alias("cover"))) for i, (k, t) in enumerate(templates)])
+    per = per.withColumn("held", F.filter(held, lambda h: h["cover"] >= some)).withColumn("probability", F.exp(F.col("best")["z"] - F.col("top")) / F.col("total"))
     full = F.filter("held", lambda h: (h["k"] == F.col("best")["k"]) & (h["cover"] >= spec.cover))
     part = F.filter("held", lambda h: h["cover"] >= spec.part)
     sure = (F.col("best")["k"] > 0) & (F.col("probability") >= spec.least) & (F.size(full) > 0)
