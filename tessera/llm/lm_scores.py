@@ -214,7 +214,7 @@ def scores(docs: DataFrame, spec: Backoff = Backoff(), spark: SparkSession | Non
     are ignored.
     """
     spark = spark or docs.sparkSession
-    scratch = Scratch(spark, "lm")
+    scratch = Scratch(spark, "lm", long_rows=True)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = scratch.keep(text.mapInArrow(_blocks(spec), _BLOCK))
     total = blocks.agg(F.sum("n_words")).first()[0] or 0

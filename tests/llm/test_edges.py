@@ -5,9 +5,11 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -263,6 +265,34 @@ def test_scores_against_a_slow_model(spark, order):
         assert got == want
 
 
+def test_blocks_travel_one_by_one(spark, monkeypatch):
+    """Batches of several blocks, and columns of all blocks of a file, took executors beyond their memory on large tables."""
+    keep, sizes, groups, nested = _scratch.Scratch.keep, [], [], []
+
+    def measured(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    def watched(self, df, by=None):
+        out = keep(self, df, by)
+        if "texts" in df.columns:
+            sizes.extend(keep(self, out.select("block", "texts").mapInArrow(measured, "n long, bytes long")).collect())
+            files = Path(out._scratch_path.removeprefix("file://").removeprefix("file:")).glob("*.parquet")
+            groups.extend(f.row_group(i).total_byte_size for f in map(pq.read_metadata, files) for i in range(f.num_row_groups))
+            with _scratch._held(spark, self._conf):
+                nested.append("Batched: true" in out._jdf.queryExecution().sparkPlan().treeString())
+        return out
+
+    monkeypatch.setattr(_scratch.Scratch, "keep", watched)
+    before = {k: spark.conf.get(k, None) for k in _scratch._LONG_CONF}
+    docs = spark.range(64, numPartitions=1).select(F.col("id").alias("doc_id"), F.expr("concat_ws(' ', transform(sequence(1, 9000), x -> sha2(concat(id, ':', x), 256)))").alias("text"))
+    got = lm_scores.scores(docs, spark=spark).collect()
+    assert len(got) == 64 and {(r["n_words"], r["n_seen"]) for r in got} == {(9000, 0)}
+    assert sum(r["n"] for r in sizes) > 8 and {r["n"] for r in sizes} == {1} and max(r["bytes"] for r in sizes) < 4 << 20
+    assert len(groups) > 1 and max(groups) < 24 << 20 and nested == [False]
+    assert {k: spark.conf.get(k, None) for k in before if k != _scratch._BATCH} == {k: v for k, v in before.items() if k != _scratch._BATCH}
+
+
 # --- op5
 
 
