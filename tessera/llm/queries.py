@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, html_text, license_scan, lm_scores, mixing, near_dedup, secrets, substring_dedup, toxicity
+from . import decontamination, exact_dedup, filter_audit, html_text, license_scan, lm_scores, mixing, near_dedup, secrets, substring_dedup, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_benchmark_decontamination": decontamination.op9_benchmark_decontamination,
     "op10_entropy_balancing": mixing.op10_entropy_balancing,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op4_lm_scores": lm_scores.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
     "op7_substring_dedup": substring_dedup.SQL,
+    "op11_filter_audit": filter_audit.SQL,
 }
