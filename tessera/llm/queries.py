@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, filter_audit, html_text, license_scan, lm_scores, mixing, near_dedup, secrets, substring_dedup, toxicity
+from . import curve_neighbours, decontamination, exact_dedup, filter_audit, html_text, license_scan, lm_scores, mixing, near_dedup, secrets, spelling, substring_dedup, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_benchmark_decontamination": decontamination.op9_benchmark_decontamination,
     "op10_entropy_balancing": mixing.op10_entropy_balancing,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_curve_neighbours": curve_neighbours.op12_curve_neighbours,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 ORACLES = {
