@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -138,8 +138,13 @@ def pack(rgba: bytes, width: int, height: int, channels: int = 4, profile: str =
     return b"".join(out)
 
 
-def _front(data: bytes, strict: bool) -> tuple[str, int, int, int, int]:
+#: Reads n bytes at a place, or fewer where the file ends.
+Ranges = Callable[[int, int], bytes]
+
+
+def _front(read: Ranges, strict: bool) -> tuple[str, int, int, int, int]:
     """format, version, flags, sides and the place behind them. Without strict, a file without magic is a legacy one."""
+    data = read(0, 17)
     if len(data) >= 17 and data[:4] == MAGIC:
         version, flags, dims = struct.unpack_from("<BIQ", data, 4)
         if version not in (1, VERSION):
@@ -150,60 +155,70 @@ def _front(data: bytes, strict: bool) -> tuple[str, int, int, int, int]:
     return "Legacy", 0, *struct.unpack_from("<IQ", data), 12
 
 
-def parse(data: bytes, strict: bool = True) -> dict:
-    """Header fields and streams (channel, orig_size, comp_size, predictor, offset); ValueError says what is wrong.
+def walk(read: Ranges, size: int, strict: bool = True, metadata: bool = True, wanted: Callable[[dict], bool] | None = None) -> dict | None:
+    """Header fields and streams (channel, orig_size, comp_size, predictor, offset) of a file of so many bytes, read in
+    ranges; ValueError says what is wrong.
 
     Before version 2 there is no transform. Legacy files have neither magic nor version, and stream headers without a
     predictor: it is Delta for all of them if the feature byte says so, but None for a mask. strict: magic, limits on
-    sides and metadata, and nothing after the last stream.
+    sides and metadata, and nothing after the last stream. metadata: whether its bytes are read too. wanted: sees the
+    fields before metadata and streams are looked at; where it says no, the walk ends and returns None.
     """
-    kind, version, flags, dims, at = _front(data, strict)
+    kind, version, flags, dims, at = _front(read, strict)
     pixfmt, feature, channels = flags >> 16, flags >> 8 & 255, flags & 255
     width, height = dims >> 32, dims & 0xFFFFFFFF
     if pixfmt != PIXFMT_U8 or channels not in (3, 4) or not width or not height:
         raise ValueError("pixel format, channels or size")
     if strict and max(width, height) > MAX_SIDE:
         raise ValueError("side over the limit")
-    meta = None
+    alpha, plane = ALPHA[feature >> 1 & 3], width * height
+    head = {
+        "format": kind, "version": version, "pixfmt": pixfmt, "qval": feature, "width": width, "height": height, "channels": channels, "has_predictor": bool(feature & 1), "alpha": alpha,
+        "transform": TRANSFORMS[feature >> 4 & 3] if version > 1 else "None", "plane_size": plane, "raw_planar_size": plane * channels, "meta": None, "file_size": size,
+    }
+    if wanted is not None and not wanted(head):
+        return None
     if feature >> 3 & 1:
-        if at + 4 > len(data):
+        if at + 4 > size:
             raise ValueError("truncated metadata")
-        n = struct.unpack_from("<I", data, at)[0]
-        if (strict and n > MAX_META) or at + 4 + n > len(data):
+        n = struct.unpack("<I", read(at, 4))[0]
+        if (strict and n > MAX_META) or at + 4 + n > size:
             raise ValueError("metadata too long or truncated")
-        meta, at = data[at + 4 : at + 4 + n], at + 4 + n
-    alpha, plane, front = ALPHA[feature >> 1 & 3], width * height, at
+        head["meta"], at = read(at + 4, n) if metadata else None, at + 4 + n
+    head["stream_offset"] = at
     sizes = [plane] * 3
     if channels == 4 and alpha in ("Normal", "Mask1Bit"):
         sizes.append(plane if alpha == "Normal" else (plane + 7) // 8)
     streams, step = [], 17 if kind == "V1" else 16
     for k, want in enumerate(sizes):
-        if at + step > len(data):
+        if at + step > size:
             raise ValueError("truncated stream header")
-        orig, comp = struct.unpack_from("<QQ", data, at)
+        part = read(at, step)
+        orig, comp = struct.unpack_from("<QQ", part)
         mask = k == 3 and alpha == "Mask1Bit"
-        number = data[at + 16] if kind == "V1" else int(feature & 1 and not mask)
+        number = part[16] if kind == "V1" else int(feature & 1 and not mask)
         at += step
-        if orig != want or number >= len(PREDICTORS) or at + comp > len(data) or (mask and number):
+        if orig != want or number >= len(PREDICTORS) or at + comp > size or (mask and number):
             raise ValueError(f"stream {k}: size, predictor or end")
         streams.append({"channel": "RGBA"[k], "orig_size": orig, "comp_size": comp, "predictor": PREDICTORS[number], "offset": at})
         at += comp
-    if strict and at != len(data):
+    if strict and at != size:
         raise ValueError("bytes after the last stream")
-    return {
-        "format": kind, "version": version, "pixfmt": pixfmt, "qval": feature, "width": width, "height": height, "channels": channels, "has_predictor": bool(feature & 1), "alpha": alpha,
-        "transform": TRANSFORMS[feature >> 4 & 3] if version > 1 else "None", "plane_size": plane, "raw_planar_size": plane * channels, "meta": meta, "stream_offset": front, "end_offset": at, "file_size": len(data), "streams": streams,
-    }
+    return {**head, "end_offset": at, "streams": streams}
 
 
-def unpack(data: bytes, strict: bool = True) -> tuple[dict, bytes]:
-    """Header and RGBA bytes (alpha 255 for three channels)."""
-    head = parse(data, strict)
+def parse(data: bytes, strict: bool = True) -> dict:
+    """walk() of a file that is there as a whole."""
+    return walk(lambda at, n: data[at : at + n], len(data), strict)
+
+
+def pixels(head: dict, read: Ranges) -> bytes:
+    """The RGBA bytes of a file whose header walk() has read (alpha 255 for three channels)."""
     h, w = head["height"], head["width"]
     planes = []
     for s in head["streams"]:
         try:
-            body = zstandard.ZstdDecompressor().decompress(data[s["offset"] : s["offset"] + s["comp_size"]], max_output_size=s["orig_size"])
+            body = zstandard.ZstdDecompressor().decompress(read(s["offset"], s["comp_size"]), max_output_size=s["orig_size"])
         except zstandard.ZstdError as e:
             raise ValueError(f"stream {s['channel']}: {e}") from e
         if len(body) != s["orig_size"]:
@@ -216,7 +231,13 @@ def unpack(data: bytes, strict: bool = True) -> tuple[dict, bytes]:
     planes = recolour(planes[:3], head["transform"], 1) + planes[3:]
     if len(planes) == 3:
         planes.append(np.full((h, w), 0 if head["channels"] == 4 and head["alpha"] == "Transparent0" else 255, dtype=np.uint8))
-    return head, np.stack(planes, axis=-1).tobytes()
+    return np.stack(planes, axis=-1).tobytes()
+
+
+def unpack(data: bytes, strict: bool = True) -> tuple[dict, bytes]:
+    """Header and RGBA bytes of a file that is there as a whole."""
+    head = parse(data, strict)
+    return head, pixels(head, lambda at, n: data[at : at + n])
 
 
 def encode(images: DataFrame, profile: str = "balance", predictor: str | None = None) -> DataFrame:
