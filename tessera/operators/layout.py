@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.raster import l1
+from tessera.operators import prefix
 
 #: Of the orientations 1 to 8, those that swap the axes and those that then flip x and y.
 SWAPS, FLIPS_X, FLIPS_Y = (5, 6, 7, 8), (2, 3, 6, 7), (3, 4, 7, 8)
@@ -62,8 +63,8 @@ def shelf_pack(rects: DataFrame, side: int, pad: int) -> DataFrame:
 
 
 def offsets(blobs: DataFrame, by: str, order: str, length: str) -> DataFrame:
-    upto = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return blobs.withColumn("offset", F.sum(length).over(upto) - F.col(length))
+    """blobs with the offset of each in the file of its group: the lengths before it, in an order without ties."""
+    return prefix.running(blobs, [by], F.col(order), F.col(length), "offset")
 
 
 def mip_levels(rects: DataFrame) -> DataFrame:

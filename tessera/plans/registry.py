@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import header, names
 from tessera.functions import raster as R
-from tessera.operators import filters, layout, predict, resample, view
+from tessera.operators import filters, kernels, layout, predict, resample, view
 from tessera.sources import container, images, packfile, respack, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -316,7 +316,31 @@ SELECT image_id, 8::BIGINT AS width, 8::BIGINT AS height, 4 AS channels, sum(v):
 
 @query(_LANCZOS)
 def lanczos_resize(spark, sf_dir):
-    return _digest(resample.resize(views.images(spark, sf_dir), 8, 8).withColumn("channels", F.lit(4)))
+    """The kernel join, and two sums over each image's samples."""
+    rank = F.row_number().over(Window.partitionBy("image_id").orderBy("y")).cast("long") - 1
+    rows = kernels.resize(views.rows(spark, sf_dir).withColumn("y", rank), F.lit(8), F.lit(8))
+    total = R.total(F.col("row"))
+    sums = rows.groupBy("image_id").agg(F.max(F.floor(F.size("row") / 4)).alias("width"), F.count("*").alias("height"), F.lit(4).alias("channels"), F.sum(total).alias("total"), F.sum(R.moment(F.col("row")) + F.col("y") * F.size("row") * total).alias("moment"))
+    return sums.select("image_id", "width", "height", "channels", "total", "moment")
+
+
+@query(f"""WITH {_PX}, src AS (SELECT image_id, y, x, 0 AS c, p AS v, 64 AS n, {5 * _ONE} AS radius FROM px), {_pass("across", "src", "y", "x")}
+SELECT image_id, y, count(*) AS n, sum(v)::BIGINT AS total, sum(v * (x + 1))::BIGINT AS moment FROM across GROUP BY image_id, y""")
+def resample_rows(spark, sf_dir):
+    """Each row of samples by itself, from 64 to 8 of one channel, with a radius of five."""
+    lines = views.rows(spark, sf_dir).select("image_id", F.col("y").alias("line"), F.lit(8).alias("dst"), F.lit(5 * resample.ONE).alias("radius"), "row")
+    strips = kernels.resampled(lines, 1)
+    return strips.select("image_id", F.col("line").alias("y"), F.size("strip").cast("long").alias("n"), R.total(F.col("strip")).alias("total"), R.moment(F.col("strip")).alias("moment"))
+
+
+@query(f"""WITH {_RECT}, src AS (SELECT id AS image_id, 0 AS y, 0 AS x, 0 AS c, 0 AS v, unnest([w, h]) AS n, least(w, h) * {_ONE} AS radius FROM rects), {_pass("k", "src", "y", "x")},
+c AS (SELECT n, radius, count(*) AS taps FROM (SELECT *, sum(w) OVER (PARTITION BY n, radius, i) AS total FROM kw) WHERE total <> 0 AND w <> 0 GROUP BY n, radius)
+SELECT id AS image_id, CASE WHEN w = 8 AND h = 8 THEN 0 ELSE a.taps * h + b.taps * 8 END::BIGINT AS taps FROM rects JOIN c a ON a.n = w AND a.radius = least(w, h) * {_ONE} JOIN c b ON b.n = h AND b.radius = least(w, h) * {_ONE}""")
+def resize_taps(spark, sf_dir):
+    """Weights that resizing each rectangle to 8 by 8 would use."""
+    eight = F.lit(8).cast("long")
+    sizes = views.rects(spark, sf_dir).select(F.col("id").alias("image_id"), F.col("w").alias("width"), F.col("h").alias("height"), eight.alias("new_width"), eight.alias("new_height"), (F.least("w", "h") * resample.ONE).alias("radius"))
+    return kernels.resize_stats(sizes)
 
 
 _GREEDY = """WITH RECURSIVE r AS (SELECT label::BIGINT AS grp, vec_id AS id, list_transform(embedding, lambda v: ((floor(v * 128)::BIGINT + 128) % 256 + 256) % 256) AS p FROM embeddings),
