@@ -407,4 +407,4 @@ def pack_roundtrip(spark, sf_dir):
     return got.select("pack_id", F.col("index").alias("sheet"), "width", "height", F.length("content").cast("long").alias("n_bytes"))
 
 
-from tessera.plans import assets  # noqa: E402, F401  its queries register themselves
+from tessera.plans import assets, folders  # noqa: E402, F401  their queries register themselves

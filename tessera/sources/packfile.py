@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -49,26 +49,32 @@ def build(pack: dict, form: Format = Format()) -> bytes:  # noqa: B008
     return b"".join([_FRONT.pack(form.magic, form.version, len(raw)), raw, icon or b"", *(a["content"] for a in atlases)])
 
 
-def header(data: bytes | None, form: Format = Format()) -> dict:  # noqa: B008
-    """The checked header; ValueError says what is wrong."""
-    if data is None or len(data) < _FRONT.size or data[: len(form.magic)] != form.magic:
+def header_of(read: Callable[[int, int], bytes], size: int, form: Format = Format()) -> dict:  # noqa: B008
+    """The checked header of a file of so many bytes, of which nothing else is read; ValueError says what is wrong."""
+    front = read(0, _FRONT.size)
+    if len(front) < _FRONT.size or front[: len(form.magic)] != form.magic:
         raise ValueError("not a pack")
-    _, version, n = _FRONT.unpack_from(data)
+    _, version, n = _FRONT.unpack(front)
     if version != form.version:
         raise ValueError(f"pack version {version}")
-    if _FRONT.size + n > len(data):
+    if _FRONT.size + n > size:
         raise ValueError("pack header is cut")
-    head = msgpack.loads(bytes(data[_FRONT.size : _FRONT.size + n]))
+    head = msgpack.loads(bytes(read(_FRONT.size, n)))
     if not isinstance(head, dict) or head.get("kind") != form.kind or head.get("version") != form.version:
         raise ValueError("pack header of another kind")
     if head.get("blob_section_offset") != _FRONT.size + n:
         raise ValueError("blobs do not follow the header")
     for blob in [*([head["icon"]] if head.get("icon") else []), *(head.get("atlases") or [])]:
-        if blob["offset"] < _FRONT.size + n or blob["len"] < 0 or blob["offset"] + blob["len"] > len(data):
+        if blob["offset"] < _FRONT.size + n or blob["len"] < 0 or blob["offset"] + blob["len"] > size:
             raise ValueError("blob outside the pack")
     return head
 
 
+def header(data: bytes | None, form: Format = Format()) -> dict:  # noqa: B008
+    """header_of() a file that is there as a whole."""
+    return header_of(lambda at, n: (data or b"")[at : at + n], len(data or b""), form)
+
+
 def write(packs: DataFrame, form: Format = Format()) -> DataFrame:  # noqa: B008
     """pack_id, content: one pack file per row of pack_id, name, description, pack_mcmeta, icon, icon_format, atlases.
 

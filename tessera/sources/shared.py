@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import os
-import re
 import tempfile
 import uuid
+from urllib.parse import quote
 
 import pyarrow.fs
 from pyspark.sql import SparkSession
@@ -23,5 +23,10 @@ def folder(spark: SparkSession, tag: str) -> str:
 
 
 def opened(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """The file system of a URI or local path, and the path in it."""
-    return pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri) if ":" in uri.split("/", 1)[0] else "file://" + os.path.abspath(uri))
+    """The file system of a URI or local path, and the path in it. As in Spark's paths, nothing in it is escaped."""
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme:
+        return pyarrow.fs.LocalFileSystem(), os.path.abspath(uri)
+    if scheme == "file":
+        return pyarrow.fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pyarrow.fs.FileSystem.from_uri(f"{scheme}:{quote(rest, safe='/:@?&=')}")

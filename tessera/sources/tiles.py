@@ -90,9 +90,10 @@ def listing(root: str, extension: str = "") -> list[tuple[str, int]]:
 
 class TileReader(ds.DataSourceReader):
     def __init__(self, options: dict):
+        options = {k.lower(): v for k, v in options.items()}
         self.root, self.read_kind = options["path"], options.get("read", "headers")
         self.strict, self.extension = options.get("strict", "true").lower() == "true", options.get("extension", "")
-        self.most_files, self.most_bytes = int(options.get("partitionFiles", 1000)), int(options.get("partitionBytes", 128 << 20))
+        self.most_files, self.most_bytes = int(options.get("partitionfiles", 1000)), int(options.get("partitionbytes", 128 << 20))
         self.tests: list[Test] = []
 
     def pushFilters(self, filters):
