@@ -66,7 +66,7 @@ class PackReader(ds.DataSourceReader):
                 room = self.most_bytes
             out[-1].rows.append(s)
             room -= s.get("len", 0) + 1
-        return out
+        return out or [Sheets([])]
 
     def read(self, partition: Sheets) -> Iterator[pa.RecordBatch]:
         fs, _ = opened(self.root)

@@ -116,7 +116,7 @@ class TileReader(ds.DataSourceReader):
                 room_files, room_bytes = self.most_files, self.most_bytes
             out[-1].files.append((path, size))
             room_files, room_bytes = room_files - 1, room_bytes - cost
-        return out
+        return out or [Files([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         fs, _ = opened(self.root)
