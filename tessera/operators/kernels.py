@@ -80,10 +80,11 @@ def blocks(sizes: DataFrame) -> DataFrame:
     return every.join(by_block, [*key, "block"], "left").select(*key, "block", F.transform(targets, lambda i: F.coalesce(F.col("_by")[i], empty)).alias("kernel"))
 
 
-def resampled(lines: DataFrame, channels: int) -> DataFrame:
-    """image_id, line, block, strip of lines (image_id, line, dst, radius, row): strips of the resized lines, as arrays."""
+def resampled(lines: DataFrame, channels: int, kernels: DataFrame | None = None) -> DataFrame:
+    """image_id, line, block, strip of lines (image_id, line, dst, radius, row): strips of the resized lines, as arrays.
+    kernels: blocks() of all sizes that lines have, if they are there already."""
     keyed = lines.withColumn("src", F.floor(F.size("row") / channels)).withColumns({c: F.col(c).cast("long") for c in ("dst", "radius")})
-    kernels = blocks(keyed.select("src", "dst", "radius"))
+    kernels = blocks(keyed.select("src", "dst", "radius")) if kernels is None else kernels
     value = lambda taps, k: F.aggregate(taps, F.lit(0).cast("long"), lambda a, t: a + F.get("row", (t["s"] * channels + k).cast("int")) * t["w"])
     sample = lambda taps: F.array(*[F.least(F.lit(255), F.greatest(F.lit(0), F.shiftright(value(taps, k), 32))).cast("long") for k in range(channels)])
     return keyed.join(kernels, ["src", "dst", "radius"]).select("image_id", "line", "block", F.flatten(F.transform("kernel", sample)).alias("strip"))
@@ -97,7 +98,7 @@ def turned(strips: DataFrame, channels: int) -> DataFrame:
     return across.select("image_id", F.inline(lines))
 
 
-def resize(rows: DataFrame, width: Column, height: Column, channels: int = 4, radius: Column | None = None) -> DataFrame:
+def resize(rows: DataFrame, width: Column, height: Column, channels: int = 4, radius: Column | None = None, kernels: DataFrame | None = None) -> DataFrame:
     """image_id, y, row of images resized: rows (image_id, y, row) hold interleaved samples of 0 to 255, y counts from 0.
 
     width, height and radius are columns of an image; by default the radius is an image's smaller side, one sample at
@@ -106,8 +107,8 @@ def resize(rows: DataFrame, width: Column, height: Column, channels: int = 4, ra
     sides = rows.groupBy("image_id").agg(F.count("*").alias("_h"), F.first(F.floor(F.size("row") / channels)).alias("_w"), F.first(width).cast("long").alias("_width"), F.first(height).cast("long").alias("_height"), F.first(radius if radius is not None else F.lit(None)).cast("long").alias("_given"))
     sides = sides.withColumn("radius", F.coalesce("_given", F.greatest(F.lit(1).cast("long"), F.least("_w", "_h")) * ONE)).drop("_given", "_w")
     lines = rows.select("image_id", F.col("y").cast("long").alias("line"), "row").join(sides, "image_id")
-    across = turned(resampled(lines.withColumn("dst", F.col("_width")), channels), channels).join(sides, "image_id")
-    down = turned(resampled(across.withColumn("dst", F.col("_height")), channels), channels)
+    across = turned(resampled(lines.withColumn("dst", F.col("_width")), channels, kernels), channels).join(sides, "image_id")
+    down = turned(resampled(across.withColumn("dst", F.col("_height")), channels, kernels), channels)
     return down.select("image_id", F.col("line").alias("y"), "row")
 
 

@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import resample
-from tessera.sources import packfile
+from tessera.operators import compose, kernels, resample
+from tessera.operators.layout import mip_levels
+from tessera.sources import packfile, shared
 
 #: Padding around each level, and the longest side of an image.
 PAD, MAX_SIDE = 1, 22_000
@@ -93,6 +94,49 @@ def layout(levels: DataFrame, pad: int = PAD) -> DataFrame:
     return each.select("id", "side", "width", "height", "p.level", (F.col("p.x") + pad).alias("x"), (F.col("p.y") + pad).alias("y"))
 
 
+def level_rows(rows: DataFrame, levels: int | None = None, channels: int = 4) -> DataFrame:
+    """image_id, level, y, row: the levels of images (image_id, y, row), whose rows are of one width and count from 0.
+
+    Each level comes from the one before it, of all images in one round of the kernel join. The kernels of all rounds are
+    made at once, and a round writes its level into the shared folder, so that the next doesn't make it again. Rounds
+    end when all sides are one, or after levels.
+    """
+    spark, where = rows.sparkSession, shared.folder(rows.sparkSession, "levels")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{where}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{where}/{name}")
+
+    sizes = rows.groupBy(F.col("image_id").alias("id")).agg(F.first(F.floor(F.size("row") / channels)).alias("w"), F.count("*").alias("h"))
+    sizes = kept(mip_levels(sizes), "sizes")
+    after = sizes.select("id", (F.col("level") - 1).alias("level"), F.col("w").alias("nw"), F.col("h").alias("nh"))
+    steps = sizes.join(after, ["id", "level"]).withColumn("radius", F.least("w", "h") * resample.ONE)
+    if levels is not None:
+        steps = steps.where(F.col("level") < levels)
+    need = steps.select(F.col("w").alias("src"), F.col("nw").alias("dst"), "radius").union(steps.select("h", "nh", "radius"))
+    table, steps = kept(kernels.blocks(need), "kernels"), kept(steps.select(F.col("id").alias("image_id"), "level", "nw", "nh"), "steps")
+    now = kept(rows.select("image_id", F.col("y").cast("long").alias("y"), "row"), "0")
+    every = now.select("image_id", F.lit(0).alias("level"), "y", "row")
+    for k in range(steps.agg(F.max("level")).first()[0] + 1 if steps.limit(1).count() else 0):
+        larger = now.join(steps.where(F.col("level") == k).drop("level"), "image_id")
+        now = kept(kernels.resize(larger, F.col("nw"), F.col("nh"), channels, kernels=table), str(k + 1))
+        every = every.union(now.select("image_id", F.lit(k + 1), "y", "row"))
+    return every
+
+
+def chain_rows(rows: DataFrame, levels: int | None = None, pad: int = PAD, channels: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Rows (sheet, y, row) of one image of all levels for each image (image_id, y, row), and where they stand on it:
+    sheet, id (the level), x, y, w, h."""
+    made = level_rows(rows, levels, channels)
+    sizes = made.groupBy(F.col("image_id").alias("id"), "level").agg(F.first(F.floor(F.size("row") / channels)).alias("w"), F.count("*").alias("h"))
+    spots = layout(sizes, pad)
+    key = F.struct(F.col("id").alias("image_id"), "level")
+    at = spots.join(sizes, ["id", "level"]).select(F.col("id").alias("sheet"), key.alias("id"), "x", "y", "w", "h")
+    sheets = spots.groupBy(F.col("id").alias("sheet")).agg(F.first("width").alias("width"), F.first("height").alias("height"))
+    keyed = made.select(F.struct("image_id", "level").alias("id"), "y", "row")
+    return compose.sheets(keyed, at, sheets, pad, channels), at.withColumn("id", F.col("id.level"))
+
+
 def place(sizes: list[tuple[int, int]], pad: int = PAD) -> tuple[int, int, list[tuple[int, int]]]:
     """Width, height and inner corners of all levels of one image, as layout() has them."""
     outer = [(w + 2 * pad, h + 2 * pad) for w, h in sizes]

@@ -293,24 +293,24 @@ def _quotient(a: str, b: str) -> str:
 
 
 def _pass(name: str, of: str, line: str, along: str) -> str:
-    """One resampling pass of the rows (image_id, line, along, c, v, n, radius) to 8 samples along."""
+    """One resampling pass of the rows (image_id, line, along, c, v, n, m, radius) from n to m samples along."""
     sinc = ""
     for k, x in enumerate(("d", "e")):
         before = f"{name}{'k' if not k else 'd'}"
         sinc += f""", {name}{x}1 AS (SELECT *, {_product(resample.PI, f"{x} % {_ONE}")} AS t FROM {before}), {name}{x}2 AS (SELECT *, {_product("t", "t")} AS t2 FROM {name}{x}1),
 {name}{x}3 AS (SELECT *, t + {_product(_product("t2", "t"), f"{resample.C3} + {_product(f'{resample.C5} + {_product(resample.C7, "t2")}', 't2')}")} AS sine FROM {name}{x}2),
 {name}{x} AS (SELECT * EXCLUDE (t, t2, sine), CASE WHEN {x} = 0 THEN {_ONE} ELSE {_quotient(f"(CASE WHEN ({x} // {_ONE}) % 2 = 1 THEN -sine ELSE sine END)", _product(resample.PI, x))} END AS s{x} FROM {name}{x}3)"""
-    return f"""{name}n AS (SELECT DISTINCT n, radius FROM {of}),
-{name}c AS (SELECT n, radius, i, {_product(f"i * {_ONE} + {_ONE // 2}", f"(n * {_ONE}) // 8")} - {_ONE // 2} AS centre FROM {name}n, (SELECT unnest(range(8)) AS i)),
-{name}k AS (SELECT n, radius, i, s, d, {_quotient("d", "radius")} AS e FROM (SELECT *, abs(centre - s * {_ONE}::HUGEINT) AS d FROM (SELECT *, unnest(range(n)) AS s FROM {name}c)) WHERE d < radius){sinc},
-{name}w AS (SELECT n, radius, i, s, {_product("sd", "se")} AS w FROM {name}e),
-{name}v AS (SELECT n, radius, i, s, {_quotient("w", "total")} AS w FROM (SELECT *, sum(w) OVER (PARTITION BY n, radius, i) AS total FROM {name}w) WHERE total <> 0),
-{name} AS (SELECT image_id, {line}, i AS {along}, c, greatest(0, least(255, (sum(v * w::HUGEINT) - (CASE WHEN sum(v * w::HUGEINT) < 0 THEN {_ONE - 1} ELSE 0 END))::HUGEINT // {_ONE}))::BIGINT AS v FROM {of} JOIN {name}v k USING (n, radius) WHERE k.s = {of}.{along} GROUP BY image_id, {line}, i, c)"""
+    return f"""{name}n AS (SELECT DISTINCT n, m, radius FROM {of}),
+{name}c AS (SELECT n, m, radius, i, {_product(f"i * {_ONE} + {_ONE // 2}", f"(n * {_ONE}) // m")} - {_ONE // 2} AS centre FROM (SELECT *, unnest(range(m)) AS i FROM {name}n)),
+{name}k AS (SELECT n, m, radius, i, s, d, {_quotient("d", "radius")} AS e FROM (SELECT *, abs(centre - s * {_ONE}::HUGEINT) AS d FROM (SELECT *, unnest(range(n)) AS s FROM {name}c)) WHERE d < radius){sinc},
+{name}w AS (SELECT n, m, radius, i, s, {_product("sd", "se")} AS w FROM {name}e),
+{name}v AS (SELECT n, m, radius, i, s, {_quotient("w", "total")} AS w FROM (SELECT *, sum(w) OVER (PARTITION BY n, m, radius, i) AS total FROM {name}w) WHERE total <> 0),
+{name} AS (SELECT image_id, {line}, i AS {along}, c, greatest(0, least(255, (sum(v * k.w::HUGEINT) - (CASE WHEN sum(v * k.w::HUGEINT) < 0 THEN {_ONE - 1} ELSE 0 END))::HUGEINT // {_ONE}))::BIGINT AS v FROM {of} JOIN {name}v k USING (n, m, radius) WHERE k.s = {of}.{along} GROUP BY image_id, {line}, i, c)"""
 
 
 _LANCZOS = f"""WITH {_PX}, y0 AS (SELECT image_id, y, row_number() OVER (PARTITION BY image_id ORDER BY y) - 1 AS k, count(*) OVER (PARTITION BY image_id) AS h FROM (SELECT DISTINCT image_id, y FROM px)),
-src AS (SELECT image_id, k AS y, x // 4 AS x, x % 4 AS c, p AS v, 16 AS n, least(16, h) * {_ONE} AS radius FROM px JOIN y0 USING (image_id, y)), {_pass("across", "src", "y", "x")},
-turned AS (SELECT a.*, h AS n, least(16, h) * {_ONE} AS radius FROM across a JOIN (SELECT DISTINCT image_id, h FROM y0) USING (image_id)), {_pass("down", "turned", "x", "y")}
+src AS (SELECT image_id, k AS y, x // 4 AS x, x % 4 AS c, p AS v, 16 AS n, 8 AS m, least(16, h) * {_ONE} AS radius FROM px JOIN y0 USING (image_id, y)), {_pass("across", "src", "y", "x")},
+turned AS (SELECT a.*, h AS n, 8 AS m, least(16, h) * {_ONE} AS radius FROM across a JOIN (SELECT DISTINCT image_id, h FROM y0) USING (image_id)), {_pass("down", "turned", "x", "y")}
 SELECT image_id, 8::BIGINT AS width, 8::BIGINT AS height, 4 AS channels, sum(v)::BIGINT AS total, sum(v * ((y * 8 + x) * 4 + c + 1))::BIGINT AS moment FROM down GROUP BY image_id"""
 
 
@@ -324,7 +324,7 @@ def lanczos_resize(spark, sf_dir):
     return sums.select("image_id", "width", "height", "channels", "total", "moment")
 
 
-@query(f"""WITH {_PX}, src AS (SELECT image_id, y, x, 0 AS c, p AS v, 64 AS n, {5 * _ONE} AS radius FROM px), {_pass("across", "src", "y", "x")}
+@query(f"""WITH {_PX}, src AS (SELECT image_id, y, x, 0 AS c, p AS v, 64 AS n, 8 AS m, {5 * _ONE} AS radius FROM px), {_pass("across", "src", "y", "x")}
 SELECT image_id, y, count(*) AS n, sum(v)::BIGINT AS total, sum(v * (x + 1))::BIGINT AS moment FROM across GROUP BY image_id, y""")
 def resample_rows(spark, sf_dir):
     """Each row of samples by itself, from 64 to 8 of one channel, with a radius of five."""
@@ -333,7 +333,7 @@ def resample_rows(spark, sf_dir):
     return strips.select("image_id", F.col("line").alias("y"), F.size("strip").cast("long").alias("n"), R.total(F.col("strip")).alias("total"), R.moment(F.col("strip")).alias("moment"))
 
 
-@query(f"""WITH {_RECT}, src AS (SELECT id AS image_id, 0 AS y, 0 AS x, 0 AS c, 0 AS v, unnest([w, h]) AS n, least(w, h) * {_ONE} AS radius FROM rects), {_pass("k", "src", "y", "x")},
+@query(f"""WITH {_RECT}, src AS (SELECT id AS image_id, 0 AS y, 0 AS x, 0 AS c, 0 AS v, unnest([w, h]) AS n, 8 AS m, least(w, h) * {_ONE} AS radius FROM rects), {_pass("k", "src", "y", "x")},
 c AS (SELECT n, radius, count(*) AS taps FROM (SELECT *, sum(w) OVER (PARTITION BY n, radius, i) AS total FROM kw) WHERE total <> 0 AND w <> 0 GROUP BY n, radius)
 SELECT id AS image_id, CASE WHEN w = 8 AND h = 8 THEN 0 ELSE a.taps * h + b.taps * 8 END::BIGINT AS taps FROM rects JOIN c a ON a.n = w AND a.radius = least(w, h) * {_ONE} JOIN c b ON b.n = h AND b.radius = least(w, h) * {_ONE}""")
 def resize_taps(spark, sf_dir):
@@ -407,4 +407,4 @@ def pack_roundtrip(spark, sf_dir):
     return got.select("pack_id", F.col("index").alias("sheet"), "width", "height", F.length("content").cast("long").alias("n_bytes"))
 
 
-from tessera.plans import assets, folders  # noqa: E402, F401  their queries register themselves
+from tessera.plans import assets, folders, pixels  # noqa: E402, F401  their queries register themselves
