@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import raster as R
-from tessera.sources import container
+from tessera.sources import container, shared
 
 #: A dearer choice must bring the size to this share of the cheaper one's, in ten thousandths.
 PAETH_SHARE, NONE_SHARE, TRANSFORM_SHARE = 9200, 9800, 9950
@@ -52,6 +52,54 @@ def undo_up(residual: DataFrame, column: str) -> DataFrame:
     return whole.select("image_id", "y", F.posexplode("row").alias("x", "p"))
 
 
+def undo_paeth(residual: DataFrame, column: str, tile: int = 64) -> DataFrame:
+    """image_id, y, row of Paeth residuals (image_id, y, column), y from 0: the samples, as a wave over tiles.
+
+    A tile needs the last row of the tile above, the last column of the one to its left and the corner between them. So
+    tiles are undone by anti-diagonals, one round for each; all tiles of a round, of all images, are independent rows, an
+    image is spread over as many tasks, and what tiles leave to their neighbours is written to the shared folder. Within
+    a tile its rows are folded, and within a row its samples.
+    """
+    spark, where = residual.sparkSession, shared.folder(residual.sparkSession, "paeth")
+    zero = lambda n: F.array_repeat(F.lit(0).cast("long"), n)
+    rows = residual.select("image_id", F.floor(F.col("y") / tile).alias("ty"), "y", F.col(column).cast("array<bigint>").alias("_e"))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("_e") - 1) / tile).cast("int")), lambda k: F.struct(k.cast("long").alias("tx"), F.slice("_e", k * tile + 1, F.lit(tile)).alias("e")))
+    cut = rows.where("size(_e) > 0").select("image_id", "ty", "y", F.inline(parts))
+    tiles = cut.groupBy("image_id", "ty", "tx").agg(F.array_sort(F.collect_list(F.struct("y", "e"))).alias("lines"))
+    tiles.write.parquet(f"{where}/tiles")
+    tiles = spark.read.schema(tiles.schema).parquet(f"{where}/tiles")
+    last, done = tiles.agg(F.max(F.col("tx") + F.col("ty"))).first()[0], []
+    for wave in range(-1 if last is None else last + 1):
+        now = tiles.where(F.col("tx") + F.col("ty") == wave)
+        for name, back, dx, dy, edge in (("_top", 1, 0, 1, F.element_at("out", -1)["row"]), ("_left", 1, 1, 0, F.transform("out", lambda r: F.element_at(r["row"], -1))), ("_corner", 2, 1, 1, F.element_at(F.element_at("out", -1)["row"], -1))):
+            if wave >= back:
+                at = done[wave - back].select("image_id", (F.col("ty") + dy).alias("ty"), (F.col("tx") + dx).alias("tx"), edge.alias(name))
+                now = now.join(at, ["image_id", "ty", "tx"], "left")
+        have = set(now.columns)
+        width = F.size(F.col("lines")[0]["e"])
+        top = F.coalesce("_top", zero(width)) if "_top" in have else zero(width)
+        left = F.coalesce("_left", zero(F.size("lines"))) if "_left" in have else zero(F.size("lines"))
+        corner = F.coalesce("_corner", F.lit(0).cast("long")) if "_corner" in have else F.lit(0).cast("long")
+        # The state holds the row above with the sample to its left before it, and all rows so far.
+        empty = F.array().cast("array<struct<y:bigint,row:array<bigint>>>")
+        start = F.struct(F.concat(F.array(corner), top).alias("above"), empty.alias("out"))
+        each = F.zip_with("lines", left, lambda r, v: F.struct(r["y"].cast("long").alias("y"), r["e"].alias("e"), v.alias("left")))
+
+        def step(state, r):
+            sample = lambda acc, x: F.concat(acc, F.array(R.wrap(F.get(r["e"], x) + R.paeth(F.get(acc, x), F.get(state["above"], x + 1), F.get(state["above"], x)))))
+            line = F.aggregate(F.sequence(F.lit(0), F.size(r["e"]) - 1), F.array(r["left"]), sample)
+            return F.struct(line.alias("above"), F.concat(state["out"], F.array(F.struct(r["y"].alias("y"), F.slice(line, 2, F.size(r["e"])).alias("row")))).alias("out"))
+
+        out = now.select("image_id", "ty", "tx", F.aggregate(each, start, step, lambda st: st["out"]).alias("out"))
+        out.write.parquet(f"{where}/{wave}")
+        done.append(spark.read.schema(out.schema).parquet(f"{where}/{wave}"))
+    every = done[0] if done else tiles.select("image_id", "ty", "tx", F.array().cast("array<struct<y:bigint,row:array<bigint>>>").alias("out"))
+    for d in done[1:]:
+        every = every.union(d)
+    strips = every.select("image_id", "tx", F.inline("out")).groupBy("image_id", "y").agg(F.array_sort(F.collect_list(F.struct("tx", "row"))).alias("strips"))
+    return strips.select("image_id", "y", F.flatten(F.col("strips.row")).alias("row"))
+
+
 def summary(rows: DataFrame, column: str) -> DataFrame:
     return rows.select("image_id", "y", R.total(F.col(column)).alias("total"), R.moment(F.col(column)).alias("moment"))
 
@@ -97,6 +145,34 @@ def choose_transform(costs: DataFrame) -> DataFrame:
     return best.select("image_id", F.when(F.col("best.cost") * 10000 <= F.col("plain") * TRANSFORM_SHARE, F.col("best.transform")).otherwise("None").alias("transform"))
 
 
+def candidate_costs(rows: DataFrame) -> DataFrame:
+    """image_id, transform, channel, none, delta, up, paeth: the residuals' magnitudes of R, G and B of images (image_id, y,
+    row of RGBA samples) under all transforms and predictors, from one pass over whole rows with the row above each."""
+    planes = {c: R.deinterleaved(F.col(c), 4) for c in ("row", "above")}
+    less = lambda a, b: F.zip_with(a, b, lambda x, y: R.wrap(x - y))
+
+    def grid(of: str) -> list[tuple[str, str, Column]]:
+        r, g, b = (planes[of][k] for k in range(3))
+        kinds = {"None": (r, g, b), "SubGreen": (less(r, g), g, less(b, g)), "SubRed": (r, less(g, r), less(b, r)), "SubBlue": (less(r, b), less(g, b), b)}
+        return [(t, "RGB"[k], plane) for t, three in kinds.items() for k, plane in enumerate(three)]
+
+    cells = [F.struct(F.lit(t).alias("transform"), F.lit(c).alias("channel"), now.alias("line"), up.alias("over")) for (t, c, now), (_, _, up) in zip(grid("row"), grid("above"), strict=True)]
+    each = with_above(rows).select("image_id", F.explode(F.array(*cells)).alias("c")).select("image_id", "c.*")
+    cost = lambda e: F.sum(R.total(F.transform(e, R.magnitude)))
+    line, over = F.col("line"), F.col("over")
+    return each.groupBy("image_id", "transform", "channel").agg(cost(line).alias("none"), cost(R.delta_row(line)).alias("delta"), cost(R.up_row(line, over)).alias("up"), cost(R.paeth_row(line, over)).alias("paeth"))
+
+
+def choose_candidates(costs: DataFrame) -> DataFrame:
+    """costs of candidate_costs() with the predictor of each channel and whether its transform is the image's."""
+    known = costs.withColumn("predictor", choose_predictor(*[F.col(c) for c in ("none", "delta", "up", "paeth")]))
+    own = F.element_at(F.create_map(*[x for k in ("None", "Delta", "Up", "Paeth") for x in (F.lit(k), F.col(k.lower()))]), F.col("predictor"))
+    sums = known.groupBy("image_id", "transform").agg(*[F.sum(F.when(F.col("channel") == c.upper(), own)).alias(f"cost_{c}") for c in "rgb"])
+    rank = F.array_position(F.array(*[F.lit(t) for t in container.TRANSFORMS]), F.col("transform"))
+    best = choose_transform(sums.withColumn("rank", rank - 1)).withColumnRenamed("transform", "best")
+    return known.join(best, "image_id").withColumn("chosen", F.col("transform") == F.col("best")).drop("best")
+
+
 def sample_rows(heights: DataFrame, budget: int = 256 * 1024) -> DataFrame:
     """image_id, i, y: evenly spread rows within a budget of samples; heights has image_id, w, h."""
     n = F.least("h", F.greatest(F.lit(1).cast("long"), F.floor(F.least(F.lit(budget), F.col("w") * F.col("h")) / F.col("w"))))

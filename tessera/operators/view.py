@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,3 +89,39 @@ def render(pixels: DataFrame, at: Viewport) -> DataFrame:
     shown = inside.withColumn("tx", F.explode(span("x", 0))).withColumn("ty", F.explode(span("y", 1)))
     over = [R.premultiplied(F.col(c), F.col("a")).alias(c) for c in "rgb"]
     return shown.select("image_id", F.col("ty").cast("long").alias("ty"), F.col("tx").cast("long").alias("tx"), *over)
+
+
+#: What an event does to a viewport: its name in op, with the arguments a, b and c.
+MOVES = {
+    "zoom": lambda v, a, b, c: v.zoomed(a, b, c),
+    "pan": lambda v, a, b, c: v.panned(a, b),
+    "move": lambda v, a, b, c: v.panned(a, b, in_image=True),
+    "whole": lambda v, a, b, c: v.one_to_one(),
+    "fit": lambda v, a, b, c: Viewport.fitted(v.image, v.window),
+}
+
+
+def replay(events: DataFrame, window: tuple[int, int]) -> DataFrame:
+    """viewer, seq, scale, x, y after each event (viewer, seq, width, height, op, a, b, c) of viewers who begin with the
+    image of their first event fitted into the window.
+
+    Events are sorted by viewer and seq within their partition and pass by, with the state of one viewer at a time, so a
+    viewer may have any number of them. An unknown op, or one whose arguments are null, changes nothing.
+    """
+    types = [("viewer", pa.int64()), ("seq", pa.int64()), ("scale", pa.float64()), ("x", pa.float64()), ("y", pa.float64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, now = None, None
+        for batch in batches:
+            out = []
+            for viewer, seq, w, h, op, *args in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now is None or viewer != who:
+                    who, now = viewer, Viewport.fitted((w, h), window)
+                if op in MOVES and (op in ("whole", "fit") or None not in args[: 3 if op == "zoom" else 2]):
+                    now = MOVES[op](now, *args)
+                out.append((viewer, seq, now.scale, *now.centre))
+            yield pa.record_batch([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True) if out else [[]] * 5, types, strict=True)], names=[n for n, _ in types])
+
+    some = events.selectExpr("cast(viewer as bigint) viewer", "cast(seq as bigint) seq", "cast(width as int) width", "cast(height as int) height", "op", "cast(a as double) a", "cast(b as double) b", "cast(c as double) c")
+    ordered = some.repartition("viewer").sortWithinPartitions("viewer", "seq")
+    return ordered.mapInArrow(run, "viewer long, seq long, scale double, x double, y double")

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import raster as R
-from tessera.operators import compose, layout, mips
-from tessera.plans.registry import _ONE, _PX, _pass, query
+from tessera.operators import compose, layout, mips, predict, view
+from tessera.plans.registry import _KINDS, _ONE, _PX, _RGBA, _pass, query
+from tessera.plans.registry import _sums as _two_sums
 from tessera.sources import views
 
 
@@ -84,3 +85,57 @@ def brand_sheets(spark, sf_dir):
     sizes = at.groupBy("sheet").agg((F.max(F.col("x") + F.col("w")) + 1).alias("width"), F.lit(52).cast("long").alias("height"))
     made = compose.sheets(rows, at, sizes, 1, 1)
     return made.select("sheet", "y", F.size("row").cast("long").alias("n"), R.total(F.col("row")).alias("total"))
+
+
+@query(f"WITH {_PX} {_two_sums('p', 'px')}")
+def paeth_fold(spark, sf_dir):
+    """Paeth residuals of whole images undone in tiles of 24 samples, which leave smaller ones at the right and below."""
+    coded = predict.residuals(_counted(spark, sf_dir))
+    keys = _counted(spark, sf_dir).select("image_id", F.col("y").alias("k"))
+    first = views.rows(spark, sf_dir).groupBy("image_id").agg(F.sort_array(F.collect_list("y")).alias("ys"))
+    back = predict.undo_paeth(coded, "paeth", 24)
+    named = keys.join(first, "image_id").select("image_id", "k", F.get("ys", F.col("k").cast("int")).alias("own"))
+    met = back.withColumnRenamed("y", "k").join(named, ["image_id", "k"]).select("image_id", F.col("own").alias("y"), "row")
+    return predict.summary(met, "row")
+
+
+_GRID = f"""WITH {_RGBA}{_KINDS}, k AS (SELECT image_id, y, row_number() OVER (PARTITION BY image_id ORDER BY y) AS k FROM (SELECT DISTINCT image_id, y FROM t)),
+s AS (SELECT image_id, k, x, rank, transform, unnest(['R', 'G', 'B']) AS channel, unnest([r, g, b]) AS p FROM t JOIN k USING (image_id, y)),
+l AS (SELECT *, coalesce(lag(p) OVER a, 0) AS l, coalesce(lag(p) OVER d, 0) AS u FROM s WINDOW a AS (PARTITION BY image_id, transform, channel, k ORDER BY x), d AS (PARTITION BY image_id, transform, channel, x ORDER BY k)),
+n AS (SELECT *, coalesce(lag(u) OVER (PARTITION BY image_id, transform, channel, k ORDER BY x), 0) AS c FROM l),
+q AS (SELECT *, CASE WHEN abs(u - c) <= abs(l - c) AND abs(u - c) <= abs(l + u - 2 * c) THEN l WHEN abs(l - c) <= abs(l + u - 2 * c) THEN u ELSE c END AS s FROM n),
+e AS (SELECT image_id, rank, transform, channel, sum(least(p, 256 - p))::BIGINT AS none, sum(least((p - l + 256) % 256, 256 - (p - l + 256) % 256))::BIGINT AS delta, sum(least((p - u + 256) % 256, 256 - (p - u + 256) % 256))::BIGINT AS up, sum(least((p - s + 256) % 256, 256 - (p - s + 256) % 256))::BIGINT AS paeth FROM q GROUP BY ALL),
+f AS (SELECT *, CASE WHEN paeth * 10000 <= least(delta, up) * 9200 THEN paeth ELSE least(delta, up) END AS best FROM e),
+g AS (SELECT *, CASE WHEN none * 10000 <= best * 9800 THEN 'None' WHEN paeth * 10000 <= least(delta, up) * 9200 THEN 'Paeth' WHEN delta <= up THEN 'Delta' ELSE 'Up' END AS predictor FROM f),
+w AS (SELECT image_id, rank, transform, sum(CASE predictor WHEN 'None' THEN none WHEN 'Paeth' THEN paeth WHEN 'Delta' THEN delta ELSE up END) AS cost FROM g GROUP BY ALL),
+b AS (SELECT image_id, CASE WHEN min(cost) * 10000 <= max(cost) FILTER (rank = 0) * 9950 THEN first(transform ORDER BY cost, rank) ELSE 'None' END AS best FROM w GROUP BY image_id)
+SELECT image_id, transform, channel, none, delta, up, paeth, predictor, transform = b.best AS chosen FROM g JOIN b USING (image_id)"""
+
+
+@query(_GRID)
+def candidate_costs(spark, sf_dir):
+    """The costs of all transforms, channels and predictors of each image, and what they choose."""
+    return predict.choose_candidates(predict.candidate_costs(views.rows(spark, sf_dir)))
+
+
+_MOVES = """e AS (SELECT user_id AS viewer, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, event_id AS seq, user_id % 700 + 50 AS w, user_id % 500 + 40 AS h, event_type AS op, value, event_id % 320 AS mx, event_id % 240 AS my FROM events)"""
+_STEP = """RECURSIVE {moves}, f AS (SELECT *, least(greatest(least(320.0 / w, 240.0 / h, 1.0), 0.01), 8.0)::DOUBLE AS fitted FROM e),
+r AS (SELECT viewer, 0::BIGINT AS k, 0::BIGINT AS seq, w, h, fitted, fitted AS scale, w / 2::DOUBLE AS x, h / 2::DOUBLE AS y FROM f WHERE k = 1
+UNION ALL SELECT viewer, k, seq, w, h, fitted, scale, CASE WHEN 2 * (320 / scale / 2) >= w THEN w / 2::DOUBLE ELSE least(greatest(x, 320 / scale / 2), w - 320 / scale / 2) END, CASE WHEN 2 * (240 / scale / 2) >= h THEN h / 2::DOUBLE ELSE least(greatest(y, 240 / scale / 2), h - 240 / scale / 2) END FROM (
+  SELECT viewer, k, seq, w, h, fitted, s AS scale,
+    CASE op WHEN 'click' THEN (mx - 160::DOUBLE) / scale + x - (mx - 160::DOUBLE) / s WHEN 'view' THEN x - (mx - 160) / scale WHEN 'signup' THEN x + (mx - 160) WHEN 'error' THEN (160 - 160::DOUBLE) / scale + x - (160 - 160::DOUBLE) / s WHEN 'purchase' THEN w / 2::DOUBLE ELSE x END AS x,
+    CASE op WHEN 'click' THEN (my - 120::DOUBLE) / scale + y - (my - 120::DOUBLE) / s WHEN 'view' THEN y - (my - 120) / scale WHEN 'signup' THEN y + (my - 120) WHEN 'error' THEN (120 - 120::DOUBLE) / scale + y - (120 - 120::DOUBLE) / s WHEN 'purchase' THEN h / 2::DOUBLE ELSE y END AS y
+  FROM (SELECT r.*, f.k AS nk, f.seq AS nseq, f.op, f.mx, f.my, CASE f.op WHEN 'click' THEN least(greatest(r.scale * (CASE WHEN f.seq % 3 = 0 THEN 0.5 ELSE 1.25 END)::DOUBLE, r.fitted), 8.0::DOUBLE) WHEN 'error' THEN least(greatest(1.0::DOUBLE, r.fitted), 8.0::DOUBLE) WHEN 'purchase' THEN r.fitted ELSE r.scale END AS s FROM r JOIN f ON f.viewer = r.viewer AND f.k = r.k + 1) q (viewer, k0, seq0, w, h, fitted, scale, x, y, k, seq, op, mx, my, s)))"""
+
+
+@query(f"WITH {_STEP.format(moves=_MOVES)} SELECT viewer, seq, floor(scale * 1e6 + 0.5)::BIGINT AS scale, floor(x * 1e6 + 0.5)::BIGINT AS x, floor(y * 1e6 + 0.5)::BIGINT AS y FROM r WHERE k > 0")
+def viewport_replay(spark, sf_dir):
+    """Viewports after every event of their viewers: zooms, drags, moves, one to one and fits."""
+    e = views.table(spark, sf_dir, "events")
+    op = F.element_at(F.create_map(*[F.lit(v) for v in ("click", "zoom", "view", "pan", "signup", "move", "error", "whole", "purchase", "fit")]), F.col("event_type"))
+    mx, my = F.col("event_id") % 320, F.col("event_id") % 240
+    factor = F.when(F.col("event_id") % 3 == 0, 0.5).otherwise(1.25)
+    a, b = F.when(op == "zoom", factor).otherwise(mx - 160), F.when(op == "zoom", mx).otherwise(my - 120)
+    moves = e.select(F.col("user_id").alias("viewer"), F.col("event_id").alias("seq"), (F.col("user_id") % 700 + 50).alias("width"), (F.col("user_id") % 500 + 40).alias("height"), op.alias("op"), a.alias("a"), b.alias("b"), my.alias("c"))
+    micro = lambda c: F.floor(F.col(c) * 1e6 + 0.5).alias(c)
+    return view.replay(moves, (320, 240)).select("viewer", "seq", micro("scale"), micro("x"), micro("y"))
