@@ -51,7 +51,9 @@ class Template:
 
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+# Any attribute, name and then value, so that no name is found inside another's name or value.
+_ATTR = re.compile(r"""([^\s=>/"']+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_TOLD = {"class", "id", "role", "hidden", "aria-hidden"}
 _RAW = {"script", "style", "textarea", "title", "template", "svg", "iframe", "object"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = {"address", "article", "aside", "blockquote", "body", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
@@ -67,17 +69,51 @@ _MAIN = re.compile(r"(?:^|[\s_-])(?:article|post|entry|content|story|main)(?:[\s
 
 
 class Node:
-    __slots__ = ("attrs", "children", "key", "parent", "path", "tag")
+    __slots__ = ("attrs", "children", "key", "parent", "path", "tag", "wide")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        self.tag, self.attrs, self.parent, self.children, self.wide = tag, attrs, parent, [], False
         self.key = f"{tag}.{attrs}" if attrs else tag
         self.path = f"{parent.path}/{self.key}" if parent else ""
 
 
+@lru_cache(maxsize=1 << 16)
+def _attributes(inside: str) -> str:
+    """Those attributes of a start tag that tell what it is for, as name=value parts."""
+    found = ((k.lower(), v.strip("\"'").replace("=", "-")) for k, v in _ATTR.findall(inside))
+    return " ".join(f"{k}={v}" for k, v in found if k in _TOLD)
+
+
+def _text_size(node: Node) -> int:
+    """Characters of text outside links and controls."""
+    total, stack = 0, [node]
+    while stack:
+        for c in stack.pop().children:
+            if isinstance(c, str):
+                total += len(c.strip())
+            elif c.tag not in ("a", "label", "button", "select", "option"):
+                stack.append(c)
+    return total
+
+
+def _holds_the_page(form: Node, whole: int) -> bool:
+    """Whether a form is one that pages are wrapped in: it holds a marked article, or most of the page's text."""
+    if 2 * _text_size(form) > whole:
+        return True
+    stack = [form]
+    while stack:
+        for c in stack.pop().children:
+            if isinstance(c, Node):
+                if _rank(c.tag, c.attrs) < 2:
+                    return True
+                stack.append(c)
+    return False
+
+
 def parse(page: str) -> Node:
     """A tree of elements and text from any string; comments and declarations are left out, unclosed tags are closed."""
     root = at = Node("#root", "", None)
+    forms = []
     pos, n, low = 0, len(page), None
     while pos < n:
         m = _TOKEN.search(page, pos)
@@ -106,8 +142,7 @@ def parse(page: str) -> Node:
                 at = up.parent
                 break
             up = up.parent
-        attrs = " ".join(f"{k.lower()}={v.strip(chr(34) + chr(39))}" for k, v in _ATTR.findall(m[3])) if m[3] else ""
-        node = Node(tag, attrs, at)
+        node = Node(tag, _attributes(m[3]) if m[3] else "", at)
         at.children.append(node)
         if tag in _VOID or m[3].endswith("/"):
             continue
@@ -119,6 +154,12 @@ def parse(page: str) -> Node:
             pos = n if close < 0 else close + 1
             continue
         at = node
+        if tag == "form":
+            forms.append(node)
+    if forms:
+        whole = _text_size(root)
+        for form in forms:
+            form.wide = _holds_the_page(form, whole)
     return root
 
 
@@ -162,15 +203,15 @@ def _is_aside(tag: str, attrs: str, inside: bool) -> bool:
         return True
     if not attrs:
         return False
-    if re.search(r"(?:^|\s)hidden=", attrs) or "aria-hidden=true" in attrs or re.search(r"role=(?:navigation|banner|contentinfo|complementary|search|form|dialog|alert)", attrs):
+    if re.search(r"(?:^|\s)(?:hidden=|aria-hidden=true(?:\s|$)|role=(?:navigation|banner|contentinfo|complementary|search|form|dialog|alert)(?:\s|$))", attrs):
         return True
-    names = re.sub(r"(?:class|id|role)=", " ", attrs)
+    names = re.sub(r"(?:^|\s)(?:class|id|role)=", " ", attrs)
     # Of an article's parts a name such as related-work says nothing, one made of listed words alone does.
     return bool((_WHOLE if inside else _ASIDE).search(names)) and tag not in ("article", "main", "body")
 
 
 def _aside(node: Node, inside: bool) -> bool:
-    return _is_aside(node.tag, node.attrs, inside)
+    return not node.wide and _is_aside(node.tag, node.attrs, inside)
 
 
 @lru_cache(maxsize=1 << 16)
@@ -178,9 +219,9 @@ def _rank(tag: str, attrs: str) -> int:
     """What an element is marked as: 0 an article, 1 the main part, 2 content by name, 3 nothing of these."""
     if tag == "article":
         return 0
-    if tag == "main" or "role=main" in attrs:
+    if tag == "main" or re.search(r"(?:^|\s)role=main(?:\s|$)", attrs):
         return 1
-    return 2 if attrs and _MAIN.search(re.sub(r"(?:class|id)=", " ", attrs)) else 3
+    return 2 if attrs and _MAIN.search(re.sub(r"(?:^|\s)(?:class|id)=", " ", attrs)) else 3
 
 
 def _weight(node: Node, template: frozenset, inside: bool) -> int:

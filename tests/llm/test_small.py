@@ -198,6 +198,24 @@ def test_secrets_of_every_alphabet(spark):
     assert not found & set(range(60, 65))
 
 
+def test_html_attributes_are_whole_names():
+    """Names inside other attributes' names and values, and values that only begin like others, say nothing."""
+    kept = ['p title="hidden gems"', 'p data-hidden="false"', 'span data-role="dialog"', 'p aria-hidden="true-ish"', 'p title="role=dialog"', "p data-x='a class=menu b'", 'p alt=hidden', 'p data-class="cookie" id=one', 'p class="a" title="x > y hidden"', "p role=note", 'p data-aria-hidden=true']
+    for tag in kept:
+        assert html_text.extract(f"<article><p>One</p><{tag}>two</{tag.split()[0]}></article>").split() == ["One", "two"], tag
+    for tag in ("p hidden", 'p hidden=""', "p HIDDEN class=x", 'p aria-hidden="true"', "div role='dialog'", 'div class="cookie-notice"', "div id=menu", "p\nhidden\n", "div class = 'menu'"):
+        assert html_text.extract(f"<article><p>One</p><{tag}>two</{tag.split()[0]}></article>") == "One", tag
+
+
+def test_html_in_a_form_around_the_page():
+    inner = "<nav>Menu</nav><article><p>First part of it.</p><form class=search><label>Find</label><input><p>Go</p></form><p>Second part.</p></article>"
+    assert html_text.extract(f"<body><form action='/x' method=post>{inner}</form></body>") == "First part of it.\nSecond part."
+    plain = "<div><p>A long text of the page without any marks, in two parts.</p><p>This is the second of them.</p></div>"
+    assert html_text.extract(f"<body><nav>Menu</nav><form id=aspnetForm>{plain}<select><option>x</select></form></body>").split("\n")[-1] == "This is the second of them."
+    small = "<body><div><p>All that the page has to say stands here.</p></div><form><p>Write to us</p><input></form></body>"
+    assert html_text.extract(small) == "All that the page has to say stands here."
+
+
 def test_html():
     page = "<html><head><title>t</title></head><body><nav>Menu</nav><div class='cookie-notice'>ok</div><article><header><h1>A &amp; B</h1></header><p>One  two<p>three <b>x</b>y<br>z<div class=ad>buy</div><form>f</form></p></article><div id=comments>no</div><footer>c</footer>"
     assert html_text.extract(page) == "A & B\nOne two\nthree xy z"
