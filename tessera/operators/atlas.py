@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import names
-from tessera.operators import edges, layout, mips, resample
-from tessera.sources import container, packfile
+from tessera.operators import compose, edges, layout, mips, packing, resample
+from tessera.sources import container, packfile, shared
 
 #: The default and the greatest side of a sheet, and the padding around each image.
 SIDE, MAX_SIDE, PAD = 16_384, 22_000, 2
@@ -178,6 +178,31 @@ def sheets(images: DataFrame, o: Options = Options()) -> DataFrame:  # noqa: B00
     return own.groupBy("grp").applyInArrow(run, _SHEETS)
 
 
+def seeds(items: DataFrame) -> DataFrame:
+    """grp, id, area: of each group's items (grp, id, w, h) the largest, of equals the last."""
+    best = items.groupBy("grp").agg(F.max(F.struct((F.col("w") * F.col("h")).alias("area"), "id")).alias("best"))
+    return best.select("grp", "best.id", "best.area")
+
+
+def area_sheets(rows: DataFrame, limit: int = SIDE, pad: int = PAD, channels: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Sheets of any size, in area order: their rows (sheet, y, row), and where the images are: sheet, id, x, y, w, h.
+
+    rows are those of the images, (grp, id, y, row); a sheet is named by its group and number. Only rectangles pass through
+    one task a group, pixels go from the rows of images to the rows of sheets. sheets() also tries orders by edges and
+    encodes whole sheets, each in one task.
+    """
+    sizes = rows.groupBy("grp", "id").agg(F.first(F.floor(F.size("row") / channels)).alias("w"), F.count("*").alias("h"))
+    parts = packing.split(sizes, limit, pad).select(F.struct("grp", "sheet").alias("grp"), "id", "w", "h")
+    where = shared.folder(rows.sparkSession, "sheets")
+    parts.write.parquet(where)
+    parts = rows.sparkSession.read.schema(parts.schema).parquet(where)
+    sides = packing.least_side(parts, limit, pad)
+    placed = packing.pack_at(parts, sides, pad).select(F.col("grp").alias("sheet"), F.struct(F.col("grp.grp").alias("grp"), "id").alias("id"), "x", "y", "w", "h")
+    keyed = rows.select(F.struct("grp", F.col("id").cast("long").alias("id")).alias("id"), "y", "row")
+    made = compose.sheets(keyed, placed, sides.select(F.col("grp").alias("sheet"), F.col("side").alias("width"), F.col("side").alias("height")), pad, channels)
+    return made, placed
+
+
 def sheet_names(found: DataFrame, base: Column, ext: str) -> DataFrame:
     """found with path: the base alone if a group has one sheet, else numbered; levels below the first are named too."""
     many = F.max("sheet").over(Window.partitionBy("grp")) > 0

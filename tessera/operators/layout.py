@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.raster import l1
-from tessera.operators import prefix
+from tessera.operators import packing, prefix
 
 #: Of the orientations 1 to 8, those that swap the axes and those that then flip x and y.
 SWAPS, FLIPS_X, FLIPS_Y = (5, 6, 7, 8), (2, 3, 6, 7), (3, 4, 7, 8)
@@ -42,26 +39,6 @@ def area_order(rects: DataFrame) -> DataFrame:
     return r.join(starts, key).select((F.col("start") + F.row_number().over(own) - 1).alias("ordinal"), "id")
 
 
-def shelf_pack(rects: DataFrame, side: int, pad: int) -> DataFrame:
-    """grp, id, x, y, w, h, placed: each group on shelves of its own sheet, in area order.
-
-    A rectangle wider or higher than the sheet changes nothing; one that opens a new shelf keeps it open even if it
-    then doesn't fit. x and y are of the inner rectangle. A group is one sheet's worth of rectangles: they are gathered
-    into a row and placed in one linear pass.
-    """
-    item = F.struct((-F.col("w") * F.col("h")).alias("k"), (-F.greatest("w", "h")).alias("m"), "id", "w", "h")
-    groups = rects.groupBy("grp").agg(F.array_sort(F.collect_list(item)).alias("items"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, items in enumerate(batch.column(1).to_pylist()):
-                at = shelve([(t["w"], t["h"]) for t in items], side, pad)
-                columns = [[t["id"] for t in items], [p and p[0] for p in at], [p and p[1] for p in at], [t["w"] for t in items], [t["h"] for t in items]]
-                yield pa.record_batch([batch.column(0).take(pa.array([i] * len(items))), *(pa.array(c, pa.int64()) for c in columns), pa.array([p is not None for p in at])], names=["grp", "id", "x", "y", "w", "h", "placed"])
-
-    return groups.mapInArrow(run, f"grp {groups.schema['grp'].dataType.simpleString()}, id long, x long, y long, w long, h long, placed boolean")
-
-
 def offsets(blobs: DataFrame, by: str, order: str, length: str) -> DataFrame:
     """blobs with the offset of each in the file of its group: the lengths before it, in an order without ties."""
     return prefix.running(blobs, [by], F.col(order), F.col(length), "offset")
@@ -98,20 +75,8 @@ def nearest(items: DataFrame, band: int = 3, newest: int = 64) -> DataFrame:
 
 def shelve(sizes: list[tuple[int, int]], side: int, pad: int) -> list[tuple[int, int] | None]:
     """Inner corners of rectangles on the shelves of one sheet, in the order given; None where one doesn't fit."""
-    x = y = shelf = 0
-    out: list[tuple[int, int] | None] = []
-    for w, h in ((w + 2 * pad, h + 2 * pad) for w, h in sizes):
-        if max(w, h) > side:
-            out.append(None)
-            continue
-        if x + w > side:
-            x, y, shelf = 0, y + shelf, 0
-        if y + h > side:
-            out.append(None)
-            continue
-        out.append((x + pad, y + pad))
-        x, shelf = x + w, max(shelf, h)
-    return out
+    sheet = packing.Sheet(side, pad)
+    return [sheet.place(w, h) for w, h in sizes]
 
 
 def search_side(sizes: list[tuple[int, int]], limit: int, pad: int) -> int:
@@ -123,23 +88,6 @@ def search_side(sizes: list[tuple[int, int]], limit: int, pad: int) -> int:
     return low
 
 
-def least_side(rects: DataFrame, limit: int, pad: int) -> DataFrame:
-    """grp, side: per sheet the side at which a binary search up to limit ends, packing shelves in area order.
-
-    At limit itself nothing is tried, as all that can be said then is that no smaller side was found. A sheet's sizes
-    are gathered into one row of its group, so a sheet must fit in a task.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = [search_side([(s["w"], s["h"]) for s in sizes], limit, pad) for sizes in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(sides, pa.int64())], names=["grp", "side"])
-
-    order = F.struct((-F.col("w") * F.col("h")).alias("a"), (-F.greatest("w", "h")).alias("b"), "id", "w", "h")
-    sheets = rects.groupBy("grp").agg(F.array_sort(F.collect_list(order)).alias("sizes"))
-    return sheets.mapInArrow(run, f"grp {sheets.schema['grp'].dataType.simpleString()}, side long")
-
-
 def placed_items(placements: DataFrame, items: DataFrame) -> DataFrame:
     """Placements (grp, id, x, y, w, h) with the columns of their items; one without an item raises an error.
 

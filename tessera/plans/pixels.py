@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import raster as R
-from tessera.operators import compose, layout, mips, predict, view
-from tessera.plans.registry import _KINDS, _ONE, _PX, _RGBA, _pass, query
+from tessera.operators import atlas, compose, layout, mips, packing, predict, view
+from tessera.plans.registry import _KINDS, _ONE, _PX, _RECT, _RGBA, _pass, query
 from tessera.plans.registry import _sums as _two_sums
 from tessera.sources import views
 
@@ -139,3 +139,35 @@ def viewport_replay(spark, sf_dir):
     moves = e.select(F.col("user_id").alias("viewer"), F.col("event_id").alias("seq"), (F.col("user_id") % 700 + 50).alias("width"), (F.col("user_id") % 500 + 40).alias("height"), op.alias("op"), a.alias("a"), b.alias("b"), my.alias("c"))
     micro = lambda c: F.floor(F.col(c) * 1e6 + 0.5).alias(c)
     return view.replay(moves, (320, 240)).select("viewer", "seq", micro("scale"), micro("x"), micro("y"))
+
+
+@query(f"WITH {_ROWS} SELECT (image_id % 3)::INT AS grp, 0::BIGINT AS sheet, image_id AS id, w AS width, h AS height, sum(v)::BIGINT AS total, sum(v * ((y * w + x) * 4 + c + 1))::BIGINT AS moment FROM l0 GROUP BY image_id, w, h")
+def atlas_rows(spark, sf_dir):
+    """Images packed into three sheets, composed by rows and cut out of these again."""
+    rows = _counted(spark, sf_dir).select((F.col("image_id") % 3).cast("int").alias("grp"), F.col("image_id").alias("id"), "y", "row")
+    back = compose.cut_out(*atlas.area_sheets(rows, 1024))
+    return _sums(back.select(F.col("sheet.grp").alias("grp"), F.col("sheet.sheet").alias("sheet"), F.col("id.id").alias("id"), "y", "row"), "grp", "sheet", "id")
+
+
+_SPLIT = f"""WITH RECURSIVE {_RECT}, o AS (SELECT *, w + 4 AS pw, h + 4 AS ph, row_number() OVER (PARTITION BY grp ORDER BY w * h DESC, greatest(w, h) DESC, id) AS n FROM rects),
+s AS (SELECT grp, 1::BIGINT AS n, 0::BIGINT AS k, [struct_pack(x := 0::BIGINT, y := 0::BIGINT, s := 0::BIGINT)] AS open, NULL::BIGINT AS id, 0::BIGINT AS sheet, 0::BIGINT AS x, 0::BIGINT AS y, 0::BIGINT AS w, 0::BIGINT AS h FROM (SELECT DISTINCT grp FROM rects)
+UNION ALL SELECT grp, CASE WHEN ok THEN n + 1 ELSE n END, CASE WHEN ok THEN 0 ELSE k + 1 END,
+  list_concat(open[:k], [struct_pack(x := CASE WHEN ok THEN nx + pw ELSE nx END, y := ny, s := CASE WHEN ok THEN greatest(ns, ph) ELSE ns END)], open[k + 2:], CASE WHEN NOT ok AND k + 1 = len(open) THEN [struct_pack(x := 0::BIGINT, y := 0::BIGINT, s := 0::BIGINT)] ELSE [] END),
+  CASE WHEN ok THEN oid END, k, nx + 2, ny + 2, ow, oh FROM (
+  SELECT *, ny + ph <= 128 AS ok FROM (
+    SELECT s.grp, s.n, s.k, s.open, o.id AS oid, o.w AS ow, o.h AS oh, o.pw, o.ph, CASE WHEN open[k + 1].x + o.pw > 128 THEN 0 ELSE open[k + 1].x END AS nx,
+      CASE WHEN open[k + 1].x + o.pw > 128 THEN open[k + 1].y + open[k + 1].s ELSE open[k + 1].y END AS ny, CASE WHEN open[k + 1].x + o.pw > 128 THEN 0 ELSE open[k + 1].s END AS ns
+    FROM s JOIN o ON o.grp = s.grp AND o.n = s.n)))
+SELECT grp, id, sheet, x, y, w, h FROM s WHERE id IS NOT NULL"""
+
+
+@query(_SPLIT)
+def split_sheets(spark, sf_dir):
+    """The sheets of each brand's rectangles at a limit that takes several, and where each rectangle stands."""
+    return packing.split(views.rects(spark, sf_dir), 128, 2)
+
+
+@query(f"WITH {_RECT} SELECT grp, arg_max(id, (w * h, id)) AS id, max(w * h) AS area FROM rects GROUP BY grp")
+def seed_items(spark, sf_dir):
+    """Of each group the item that an order by edges begins with."""
+    return atlas.seeds(views.rects(spark, sf_dir))

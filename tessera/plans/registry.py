@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import header, names
 from tessera.functions import raster as R
-from tessera.operators import filters, kernels, layout, predict, resample, view
+from tessera.operators import filters, kernels, layout, packing, predict, resample, view
 from tessera.sources import container, images, packfile, respack, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,18 +170,18 @@ UNION ALL SELECT grp, n, id, CASE WHEN ok THEN nx + pw ELSE nx END, ny, CASE WHE
 
 @query(_SHELF + "SELECT grp, id, x, y, w, h, placed FROM s WHERE n > 0")
 def shelf_pack(spark, sf_dir):
-    return layout.shelf_pack(views.rects(spark, sf_dir), 256, 2)
+    return packing.shelf_pack(views.rects(spark, sf_dir), 256, 2)
 
 
 @query(_SHELF + "SELECT p.p_partkey AS id FROM part p WHERE EXISTS (SELECT 1 FROM s WHERE s.placed AND s.id = p.p_partkey)")
 def chunk_semi(spark, sf_dir):
-    placed = layout.shelf_pack(views.rects(spark, sf_dir), 256, 2).where("placed")
+    placed = packing.shelf_pack(views.rects(spark, sf_dir), 256, 2).where("placed")
     return views.rects(spark, sf_dir).select("id").join(placed, "id", "left_semi")
 
 
 @query(_SHELF + "SELECT p.p_partkey AS id FROM part p WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.placed AND s.id = p.p_partkey)")
 def chunk_anti(spark, sf_dir):
-    placed = layout.shelf_pack(views.rects(spark, sf_dir), 256, 2).where("placed")
+    placed = packing.shelf_pack(views.rects(spark, sf_dir), 256, 2).where("placed")
     return views.rects(spark, sf_dir).select("id").join(placed, "id", "left_anti")
 
 
@@ -395,7 +395,7 @@ SELECT grp, low AS side FROM b WHERE low >= high"""
 
 @query(_SEARCH)
 def least_side(spark, sf_dir):
-    return layout.least_side(views.rects(spark, sf_dir), 16384, 2)
+    return packing.least_side(views.rects(spark, sf_dir), 16384, 2)
 
 
 @query("SELECT label::BIGINT AS pack_id, 0::BIGINT AS sheet, 16::BIGINT AS width, count(*) AS height, 64 * count(*) AS n_bytes FROM embeddings GROUP BY label")

@@ -5,7 +5,7 @@ import os
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.sources import images, packfile, packs, tiles
+from tessera.sources import images, packfile, packs, tiles, walk
 
 
 def _png(w, h, seed):
@@ -80,3 +80,35 @@ def test_planning_reads_headers_alone(tmp_path):
 
 def test_an_empty_folder(spark, tmp_path):
     assert packs.read(spark, str(tmp_path)).count() == 0 and tiles.read(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_walks_follow_links_and_end_at_circles(spark, tmp_path):
+    top = tmp_path / "top [1]"
+    (top / "a" / "b").mkdir(parents=True)
+    for f in ("one.txt", "a/two.txt", "a/b/three.txt"):
+        (top / f).write_text(f)
+    (top / "again").symlink_to(top / "a" / "b")
+    (top / "a" / "b" / "up").symlink_to(top / "a")
+    (top / "gone").symlink_to(top / "nowhere")
+    (top / "self").symlink_to(top / "self")
+    rows = walk.files(spark, [str(top), str(top / "a"), str(top / "one.txt"), str(tmp_path / "missing")]).collect()
+    good = sorted(r["path"].removeprefix(f"file:{top}/") for r in rows if r["error"] is None)
+    # The link to b stands for a folder of its own, in which up leads to a, and there to b again, which ends it.
+    assert good == sorted(["one.txt", "a/two.txt", "a/b/three.txt", "again/three.txt", "again/up/two.txt"])
+    wrong = {r["path"].removeprefix(f"file:{tmp_path}/"): r["error"] for r in rows if r["error"] is not None}
+    assert set(wrong) == {"top [1]/a/b/up", "top [1]/again/up/b", "top [1]/gone", "top [1]/self", "missing"}
+    assert wrong["top [1]/a/b/up"] == f"a link back to {top}/a" and all(r["size"] is None for r in rows if r["error"])
+    body = {r["path"].rpartition("/")[2]: r["content"] for r in walk.contents(walk.files(spark, [str(top / "a" / "b")])).collect() if r["error"] is None}
+    assert body == {"three.txt": b"a/b/three.txt", "two.txt": b"a/two.txt"}
+
+
+def test_encoding_a_folder_with_links(spark, tmp_path):
+    root = tmp_path / "in"
+    (root / "a").mkdir(parents=True)
+    _, body = _png(3, 2, 1)
+    (root / "a" / "x.png").write_bytes(body)
+    (root / "b").symlink_to(root / "a")
+    (root / "a" / "up").symlink_to(root)
+    done = images.encode_folder(spark, str(root), profile="fast")
+    assert tuple(images.counts(done).first()) == (2, 0, 2)
+    assert _tree(tmp_path / "ENCODED") == ["a/x.tile", "b/x.tile"]

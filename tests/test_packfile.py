@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import names
-from tessera.operators import layout
+from tessera.operators import layout, packing
 from tessera.sources import msgpack, packfile
 
 
@@ -47,13 +47,13 @@ def test_metadata(spark):
 def test_least_side(spark):
     sizes = [(1, "a", 5, 3), (2, "a", 4, 4), (3, "a", 2, 2), (4, "b", 1, 1), (5, "c", 900, 1)]
     rects = spark.createDataFrame(sizes, "id long, grp string, w long, h long")
-    got = {r["grp"]: r["side"] for r in layout.least_side(rects, 64, 1).collect()}
+    got = {r["grp"]: r["side"] for r in packing.least_side(rects, 64, 1).collect()}
     # Too large an item gives its own padded side, beyond the limit.
     assert got["b"] == 3 and got["c"] == 902
     ordered = [(4, 4), (5, 3), (2, 2)]
     assert None not in layout.shelve(ordered, got["a"], 1) and None in layout.shelve(ordered, got["a"] - 1, 1)
     for side, all_in in ((got["a"], True), (got["a"] - 1, False)):
-        assert (layout.shelf_pack(rects.where("grp = 'a'"), side, 1).where("x is not null").count() == 3) is all_in
+        assert (packing.shelf_pack(rects.where("grp = 'a'"), side, 1).where("x is not null").count() == 3) is all_in
 
 
 def test_names(spark):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.functions import raster as R
-from tessera.operators import layout, predict
+from tessera.operators import layout, packing, predict
 
 
 def test_delta_round_trip(spark):
@@ -52,5 +52,5 @@ def test_blur_and_padding_reach_all_sides(spark):
 
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "id long, grp string, w long, h long")
-    assert layout.shelf_pack(df, 64, 1).count() == 0
+    assert packing.shelf_pack(df, 64, 1).count() == 0
     assert layout.area_order(df).count() == 0
