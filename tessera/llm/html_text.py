@@ -96,24 +96,21 @@ def _text_size(node: Node) -> int:
     return total
 
 
-def _holds_the_page(form: Node, whole: int) -> bool:
-    """Whether a form is one that pages are wrapped in: it holds a marked article, or most of the page's text."""
-    if 2 * _text_size(form) > whole:
-        return True
-    stack = [form]
-    while stack:
-        for c in stack.pop().children:
-            if isinstance(c, Node):
-                if _rank(c.tag, c.attrs) < 2:
-                    return True
-                stack.append(c)
-    return False
+def _judge_forms(root: Node, forms: list[Node], marked: list[Node]) -> None:
+    """Finds the forms that the page is wrapped in: around a marked article, or, on pages without one, most of the text."""
+    for x in marked:
+        for up in _ancestors(x):
+            up.wide = up.wide or up.tag == "form"
+    if not marked:
+        whole = _text_size(root)
+        for form in forms:
+            form.wide = 2 * _text_size(form) > whole
 
 
 def parse(page: str) -> Node:
     """A tree of elements and text from any string; comments and declarations are left out, unclosed tags are closed."""
     root = at = Node("#root", "", None)
-    forms = []
+    forms, marked = [], []
     pos, n, low = 0, len(page), None
     while pos < n:
         m = _TOKEN.search(page, pos)
@@ -156,10 +153,10 @@ def parse(page: str) -> Node:
         at = node
         if tag == "form":
             forms.append(node)
+        elif _rank(tag, node.attrs) < 2:
+            marked.append(node)
     if forms:
-        whole = _text_size(root)
-        for form in forms:
-            form.wide = _holds_the_page(form, whole)
+        _judge_forms(root, forms, marked)
     return root
 
 
