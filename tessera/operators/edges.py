@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from tessera.operators import resample
+from tessera.functions import raster as R
+from tessera.operators import kernels, resample
 
 #: Samples of a signature, lines of a band and the resampling radius in samples.
 SAMPLES, BAND, RADIUS = 64, 2, 5
@@ -55,3 +57,38 @@ def signatures(images: DataFrame, samples: int = SAMPLES) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(types))
 
     return images.selectExpr("cast(image_id as bigint) image_id", "width", "height", "rgba").mapInArrow(run, _SCHEMA)
+
+
+def edge_lines(rows: DataFrame, thickness: int = BAND) -> DataFrame:
+    """image_id, side, row: along each side of images (image_id, y, row of RGBA, y from 0) the premultiplied R, G and B, at the
+    top and left as integer means of so many lines. Bands at the bottom and right are the last line."""
+    pixel = lambda i: F.array(*[R.premultiplied(F.get("row", i * 4 + k), F.get("row", i * 4 + 3)).cast("long") for k in range(3)])
+    w = F.floor(F.size("row") / 4).cast("int")
+    px = rows.select("image_id", F.col("y").cast("long").alias("y"), F.transform(F.sequence(F.lit(0), w - 1), pixel).alias("px"))
+    px = px.join(px.groupBy("image_id").agg(F.count("*").alias("_h")), "image_id")
+    zero = F.array(*[F.lit(0).cast("long")] * 3)
+    mean = lambda some: F.transform(F.aggregate(some, zero, lambda a, p: F.zip_with(a, p, lambda x, y: x + y)), lambda v: F.floor(v / F.size(some)))
+    by_row = px.select("image_id", "y", mean(F.slice("px", 1, thickness)).alias("left"), F.element_at("px", -1).alias("right"))
+    upright = by_row.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("y", "left", "right"))).alias("l"))
+    upright = upright.select("image_id", F.explode(F.create_map(F.lit("left"), F.flatten("l.left"), F.lit("right"), F.flatten("l.right"))).alias("side", "row"))
+    first = px.where(F.col("y") < thickness).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("y", "px"))).alias("l"))
+    across = F.transform(F.sequence(F.lit(0), F.size(F.col("l")[0]["px"]) - 1), lambda i: mean(F.transform("l", lambda r: F.get(r["px"], i))))
+    top = first.select("image_id", F.lit("top").alias("side"), F.flatten(across).alias("row"))
+    bottom = px.where("y = _h - 1").select("image_id", F.lit("bottom").alias("side"), F.flatten("px").alias("row"))
+    return upright.union(top).union(bottom)
+
+
+def edge_signatures(rows: DataFrame, samples: int = SAMPLES, thickness: int = BAND, radius: int = RADIUS) -> DataFrame:
+    """image_id, side, edge, q: the signatures of all sides of images as arrays of 3 * samples numbers, and their buckets,
+    by the kernel join; images may be of any size, as only their bands meet."""
+    lines = edge_lines(rows, thickness).select(F.struct("image_id", "side").alias("image_id"), F.lit(0).alias("line"), F.lit(max(4, samples)).alias("dst"), F.lit(max(1, radius) * resample.ONE).alias("radius"), "row")
+    strips = kernels.resampled(lines, 3).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("block", "strip"))).alias("l"))
+    edge = strips.select("image_id.image_id", "image_id.side", F.flatten("l.strip").alias("edge"))
+    return edge.withColumn("q", edge_bucket(F.col("edge")))
+
+
+def edge_bucket(edge: Column) -> Column:
+    """The mean luma of an edge in 32 steps."""
+    n = F.floor(F.size(edge) / 3).cast("int")
+    luma = F.transform(F.sequence(F.lit(0), n - 1), lambda i: R.luma(*[F.get(edge, i * 3 + k) for k in range(3)]).cast("long"))
+    return F.shiftright(F.floor(R.total(luma) / n).cast("int"), 3)

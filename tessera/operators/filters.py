@@ -37,13 +37,14 @@ def median3(rows: DataFrame) -> DataFrame:
     return near3.select("image_id", "y", F.posexplode(median).alias("x", "median")).withColumn("x", F.col("x").cast("long"))
 
 
-def green_cast(pixels: DataFrame) -> DataFrame:
+def green_cast(pixels: DataFrame, samples: int = GREEN_SAMPLES) -> DataFrame:
     """image_id, green: whether the mean green is over 100 and over six times the mean red and blue, of every n-th pixel.
 
-    pixels: image_id, i (from 0, in order), r, g, b. n leaves some 65,536 pixels of an image.
+    pixels: image_id, i (from 0, in order), r, g, b. n leaves about so many samples of an image, all if it has fewer than
+    twice as many.
     """
     sizes = pixels.groupBy("image_id").agg((F.max("i") + 1).alias("pixels"))
-    step = F.greatest(F.lit(1), F.floor(F.col("pixels") / GREEN_SAMPLES))
+    step = F.greatest(F.lit(1), F.floor(F.col("pixels") / samples))
     means = pixels.join(sizes, "image_id").where(F.col("i") % step == 0).groupBy("image_id").agg(*[F.avg(c).alias(c) for c in "rgb"])
     return means.select("image_id", ((F.col("g") > 100) & (F.col("g") > 6 * F.col("r")) & (F.col("g") > 6 * F.col("b"))).alias("green"))
 

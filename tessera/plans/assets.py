@@ -144,16 +144,6 @@ def mip_layout(spark, sf_dir):
     return mips.layout(layout.mip_levels(views.rects(spark, sf_dir)))
 
 
-@query(f"WITH {_PX}, i AS (SELECT image_id, count(DISTINCT y) AS h, sum(p)::BIGINT AS total FROM px GROUP BY image_id) SELECT image_id, 1 + floor(log2(greatest(16, h)))::INT AS levels, total AS first_level, NULL::VARCHAR AS error FROM i")
-def mip_chain(spark, sf_dir):
-    """Level count of each whole chain, and the sum of the first level's samples cut out of the made image."""
-    made = mips.chains(views.images(spark, sf_dir))
-    first = F.col("levels")[0]
-    lines = F.transform(F.sequence(F.lit(0), first["h"] - 1), lambda r: F.call_function("substring", F.col("rgba"), ((first["y"] + r) * F.col("width") * 4 + first["x"] * 4 + 1).cast("int"), (first["w"] * 4).cast("int")))
-    total = R.byte_total(F.aggregate(lines, F.lit(b""), lambda a, x: F.concat(a, x)))
-    return made.select("image_id", F.size("levels").alias("n"), total.alias("first_level"), "error").withColumnRenamed("n", "levels")
-
-
 _JSON = """printf('{"kind":"tessera.mipchain","version":1,"pad":1,"levels":[{"level":0,"x":1,"y":1,"w":16,"h":%d},{"level":1,"x":19,"y":1,"w":8,"h":%d}]}', h, h // 2)"""
 
 
@@ -178,10 +168,12 @@ def planar_raw(spark, sf_dir):
     return files.select("image_id", R.byte_total(F.col("content")).alias("total"), R.byte_moment(F.col("content")).alias("moment"))
 
 
-@query("SELECT count(*) AS files, sum(64 * n)::BIGINT AS raw, 0::BIGINT AS meta, true AS smaller FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label)")
+@query("SELECT count(*) AS files, sum(64 * n)::BIGINT AS raw, sum(3 + length(label::VARCHAR))::BIGINT AS meta, sum(length(label::VARCHAR) + 3 + 4 + 17 + 17 * 4)::BIGINT AS beside FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label)")
 def encode_totals(spark, sf_dir):
-    t = container.totals(container.inspect(container.encode(views.images(spark, sf_dir), "fast")))
-    return t.select("files", "raw", "meta", (F.col("streams") < F.col("stored")).alias("smaller"))
+    """Sums over containers with metadata; what a file has beside its streams are headers and metadata."""
+    named = views.images(spark, sf_dir).withColumn("meta", F.concat(F.lit("id="), F.col("image_id").cast("string")).cast("binary"))
+    t = container.totals(container.inspect(container.encode(named, "fast")))
+    return t.select("files", "raw", "meta", (F.col("stored") - F.col("streams")).alias("beside"))
 
 
 @query("WITH i AS (SELECT label::BIGINT AS image_id, 16 * count(*) AS n FROM embeddings GROUP BY label) SELECT image_id, unnest(['R', 'G', 'B', 'A']) AS channel, n AS orig_size FROM i")
@@ -256,12 +248,16 @@ def atlas_sheets(spark, sf_dir):
     return atlas.sheets(found, atlas.Options(profile="fast")).select("grp", "sheet", "items", "error")
 
 
-@query("SELECT (label % 3)::VARCHAR AS grp, label::BIGINT AS id, 16::BIGINT AS w, count(*) AS h FROM embeddings GROUP BY label")
+@query(_DIGEST.replace("SELECT image_id, 16::BIGINT AS width", "SELECT (image_id % 3)::VARCHAR AS grp, image_id AS id, 16::BIGINT AS width"))
 def atlas_rects(spark, sf_dir):
-    """The rectangles that the sheets' metadata holds."""
+    """What the sheets hold at the rectangles that their metadata tell: the images."""
     found = views.images(spark, sf_dir).select((F.col("image_id") % 3).alias("grp"), F.col("image_id").alias("id"), "width", "height", "rgba")
     made = atlas.sheets(found, atlas.Options(profile="fast")).select(F.col("grp").cast("long").alias("image_id"), "content")
-    return packfile.rects(container.inspect(made).select("image_id", "meta"), F.col("meta")).select(F.col("image_id").cast("string").alias("grp"), "id", "w", "h")
+    at = packfile.rects(container.inspect(made).select("image_id", "meta"), F.col("meta"))
+    met = at.join(container.decode(made).where("error is null").select("image_id", F.col("width").alias("side"), "rgba"), "image_id")
+    lines = F.transform(F.sequence(F.lit(0).cast("long"), F.col("h") - 1), lambda r: F.call_function("substring", F.col("rgba"), ((F.col("y") + r) * F.col("side") * 4 + F.col("x") * 4 + 1).cast("int"), (F.col("w") * 4).cast("int")))
+    own = F.aggregate(lines, F.lit(b""), lambda a, x: F.concat(a, x))
+    return met.select(F.col("image_id").cast("string").alias("grp"), "id", F.col("w").alias("width"), F.col("h").alias("height"), F.lit(4).alias("channels"), R.byte_total(own).alias("total"), R.byte_moment(own).alias("moment"))
 
 
 @query()

@@ -109,3 +109,34 @@ def pack_description(spark, sf_dir):
     p = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_size")
     text = F.expr("""CASE p_size % 4 WHEN 0 THEN concat('{"pack": {"description": "', p_name, '", "pack_format": 3}}') WHEN 1 THEN concat('{"pack": {"description": {"text": "', p_name, '"}}}') WHEN 2 THEN '{"pack": {}}' ELSE '{"pack": ' END""")
     return p.select("id", names.description(text).alias("description"))
+
+
+@query("""SELECT 'i' || label || '.dng' AS path, 16::BIGINT AS width, count(*) AS height, NULL::VARCHAR AS error FROM embeddings GROUP BY label
+UNION ALL SELECT 't/' || p_partkey || '.dng', NULL, NULL, 'as an image: not an image that can be decoded; embedded JPEG: it needs a folder to pass through; sensor data: not decoded' FROM part
+UNION ALL SELECT 's' || s_suppkey || '.dng', NULL, NULL, 'as an image: not an image that can be decoded; embedded JPEG: ' || CASE WHEN s_suppkey % 2 = 0 THEN 'not a TIFF' ELSE 'no embedded JPEG' END || '; sensor data: not decoded' FROM supplier""")
+def raw_attempts(spark, sf_dir):
+    """Raw files of several kinds, and all that was tried in vain: PNG files by another name, TIFF files, texts and empty ones."""
+    png = images.png(container.encode(views.images(spark, sf_dir), "fast")).where("error is null").select(F.format_string("i%d.dng", "image_id").alias("path"), "content")
+    bare = F.unhex(F.lit("49492A00080000000000"))
+    other = views.table(spark, sf_dir, "supplier").select(F.format_string("s%d.dng", "s_suppkey").alias("path"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name").cast("binary")).otherwise(bare).alias("content"))
+    files = png.union(views.tiffs(spark, sf_dir)).union(other)
+    return images.raw_files(files).select("path", "width", "height", "error")
+
+
+@query(_DIGEST.replace("4 AS channels", "3 AS channels").replace("FROM bytes", "FROM (SELECT image_id, pos, CASE WHEN pos % 4 = 3 THEN 255 ELSE p END AS p FROM bytes)"))
+def rgb_pixels(spark, sf_dir):
+    """Images written with three channels: alpha is gone and reads as opaque."""
+    where = shared.folder(spark, "rgb")
+    tiles.write(views.images(spark, sf_dir).withColumns({"name": F.format_string("image-%d.tile", "image_id"), "channels": F.lit(3)}), where, profile="fast")
+    return _digest(tiles.read(spark, where, read="pixels").where("error is null").select(_id(), "width", "height", "channels", "rgba"))
+
+
+@query("SELECT label::BIGINT AS image_id, label % 4 = 0 AS strict, label % 4 IN (0, 3) AS lenient, CASE label % 4 WHEN 1 THEN 'stream 3: size, predictor or end' WHEN 2 THEN 'not a container' WHEN 3 THEN 'bytes after the last stream' END AS error FROM embeddings GROUP BY label")
+def container_faults(spark, sf_dir):
+    """Containers as they are, cut short, without their magic and with a byte too many, read strictly and leniently."""
+    whole = container.encode(views.images(spark, sf_dir), "fast")
+    n, fault = F.octet_length("content"), F.col("image_id") % 4
+    body = F.when(fault == 1, F.expr("substring(content, 1, octet_length(content) - 1)")).when(fault == 2, F.concat(F.lit(b"none"), F.expr("substring(content, 5)"))).when(fault == 3, F.concat("content", F.lit(b"x"))).otherwise(F.col("content"))
+    files = whole.where(n > 0).select("image_id", body.alias("content"))
+    strict, lenient = container.inspect(files).select("image_id", "error"), container.inspect(files, strict=False).select("image_id", F.col("error").alias("less"))
+    return strict.join(lenient, "image_id").select("image_id", F.col("error").isNull().alias("strict"), F.col("less").isNull().alias("lenient"), "error")

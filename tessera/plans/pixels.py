@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import raster as R
-from tessera.operators import atlas, compose, layout, mips, packing, predict, view
+from tessera.operators import atlas, compose, edges, filters, layout, mips, packing, predict, view
 from tessera.plans.registry import _KINDS, _ONE, _PX, _RECT, _RGBA, _pass, query
 from tessera.plans.registry import _sums as _two_sums
 from tessera.sources import views
@@ -50,6 +50,16 @@ def mip_pixels(spark, sf_dir):
     return _sums(compose.cut_out(sheets, at).withColumnsRenamed({"sheet": "image_id", "id": "level"}), "image_id", "level")
 
 
+@query(_levels())
+def mip_chain(spark, sf_dir):
+    """All levels of the image that one task makes of each image, cut out of its bytes."""
+    made = mips.chains(views.images(spark, sf_dir)).select("image_id", F.col("width").alias("_w"), "rgba", F.inline("levels"))
+    start = lambda r: ((F.col("y") + r) * F.col("_w") * 4 + F.col("x") * 4 + 1).cast("int")
+    lines = F.transform(F.sequence(F.lit(0).cast("long"), F.col("h") - 1), lambda r: F.call_function("substring", F.col("rgba"), start(r), (F.col("w") * 4).cast("int")))
+    own = F.aggregate(lines, F.lit(b""), lambda a, x: F.concat(a, x))
+    return made.select("image_id", F.col("level").cast("int").alias("level"), F.col("w").alias("width"), F.col("h").alias("height"), R.byte_total(own).alias("total"), R.byte_moment(own).alias("moment"))
+
+
 _AT = "spot AS (SELECT label % 3 AS sheet, label::BIGINT AS id, 16::BIGINT AS w, count(*) AS h, 20 * (row_number() OVER (PARTITION BY label % 3 ORDER BY label) - 1) + 2 AS x, label * 5 % 11::BIGINT - 3 AS y FROM embeddings GROUP BY label)"
 
 
@@ -171,3 +181,27 @@ def split_sheets(spark, sf_dir):
 def seed_items(spark, sf_dir):
     """Of each group the item that an order by edges begins with."""
     return atlas.seeds(views.rects(spark, sf_dir))
+
+
+@query(f"""WITH {_ROWS}, p AS (SELECT image_id, w, h, y, x, c, (v * a + 127) // 255 AS v FROM l0 JOIN (SELECT image_id, y, x, v AS a FROM l0 WHERE c = 3) USING (image_id, y, x) WHERE c < 3),
+src AS (SELECT image_id, 'top' AS y, x, c, sum(v) // 2 AS v, 16 AS n, 24 AS m, {5 * _ONE} AS radius FROM p WHERE y < 2 GROUP BY ALL UNION ALL SELECT image_id, 'bottom', x, c, v, 16, 24, {5 * _ONE} FROM p WHERE y = h - 1
+UNION ALL SELECT image_id, 'left', y, c, sum(v) // 2, h, 24, {5 * _ONE} FROM p WHERE x < 2 GROUP BY image_id, y, c, h UNION ALL SELECT image_id, 'right', y, c, v, h, 24, {5 * _ONE} FROM p WHERE x = 15), {_pass("e", "src", "y", "x")},
+q AS (SELECT image_id, y, sum((77 * r + 150 * g + 29 * b)::BIGINT >> 8)::BIGINT // 24 AS mean FROM (SELECT image_id, y, x, max(v) FILTER (c = 0) AS r, max(v) FILTER (c = 1) AS g, max(v) FILTER (c = 2) AS b FROM e GROUP BY ALL) GROUP BY ALL)
+SELECT image_id, y AS side, sum(v)::BIGINT AS total, sum(v * (x * 3 + c + 1))::BIGINT AS moment, (any_value(mean) >> 3)::INT AS q FROM e JOIN q USING (image_id, y) GROUP BY image_id, y""")
+def edge_signatures(spark, sf_dir):
+    """The edges of all sides, resampled to 24 samples."""
+    found = edges.edge_signatures(_counted(spark, sf_dir), 24)
+    return found.select("image_id", "side", R.total(F.col("edge")).alias("total"), R.moment(F.col("edge")).alias("moment"), "q")
+
+
+_TINT = [f"CASE WHEN image_id % 2 = 0 THEN {tint} ELSE {c} END AS {c}" for c, tint in (("r", "r % 20"), ("g", "120 + g % 100"), ("b", "CASE WHEN i % 4 = 0 THEN b % 20 ELSE 250 END"))]
+
+
+@query(f"WITH {_RGBA}, k AS (SELECT image_id, y, row_number() OVER (PARTITION BY image_id ORDER BY y) - 1 AS k FROM (SELECT DISTINCT image_id, y FROM rgba)), i AS (SELECT image_id, k * 16 + x AS i, count(*) OVER (PARTITION BY image_id) AS n, r, g, b FROM rgba JOIN k USING (image_id, y)), t AS (SELECT image_id, {', '.join(_TINT)} FROM i WHERE i % greatest(1, n // (SELECT 4 * min(c) FROM (SELECT count(*) AS c FROM embeddings GROUP BY label))) = 0) SELECT image_id, avg(g) > 100 AND avg(g) > 6 * avg(r) AND avg(g) > 6 * avg(b) AS green FROM t GROUP BY image_id")
+def green_cast_sampled(spark, sf_dir):
+    """Some pixels looked at, every fourth of the smallest image; in tinted images the others would say something else."""
+    counted = _counted(spark, sf_dir)
+    quads = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda x: F.struct((F.col("y") * 16 + x).alias("i"), *[F.get("row", x * 4 + k).alias(c) for k, c in enumerate("rgb")]))
+    px = counted.select("image_id", F.inline(quads)).selectExpr("image_id", "i", *_TINT)
+    least = counted.groupBy("image_id").count().agg(F.min("count")).first()[0] or 1
+    return filters.green_cast(px, least * 4)

@@ -398,13 +398,13 @@ def least_side(spark, sf_dir):
     return packing.least_side(views.rects(spark, sf_dir), 16384, 2)
 
 
-@query("SELECT label::BIGINT AS pack_id, 0::BIGINT AS sheet, 16::BIGINT AS width, count(*) AS height, 64 * count(*) AS n_bytes FROM embeddings GROUP BY label")
+@query(_DIGEST.replace("SELECT image_id, 16::BIGINT AS width", "SELECT image_id AS pack_id, 0::BIGINT AS sheet, 16::BIGINT AS width").replace(", 4 AS channels", ""))
 def pack_roundtrip(spark, sf_dir):
     """Each image as the only sheet of a pack: written, inspected and sliced out again."""
     sheet = F.struct(F.lit(0).cast("long").alias("index"), "width", "height", F.lit(1).cast("long").alias("entries"), F.col("rgba").alias("content"))
     packs = views.images(spark, sf_dir).select(F.col("image_id").alias("pack_id"), F.lit("p").alias("name"), F.lit("").alias("description"), F.lit(None).cast("string").alias("pack_mcmeta"), F.lit(None).cast("binary").alias("icon"), F.lit(None).cast("string").alias("icon_format"), F.array(sheet).alias("atlases"))
     got = packfile.sheets(packfile.write(packs))
-    return got.select("pack_id", F.col("index").alias("sheet"), "width", "height", F.length("content").cast("long").alias("n_bytes"))
+    return got.select("pack_id", F.col("index").alias("sheet"), "width", "height", R.byte_total(F.col("content")).alias("total"), R.byte_moment(F.col("content")).alias("moment"))
 
 
 from tessera.plans import assets, folders, pixels  # noqa: E402, F401  their queries register themselves

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tessera.operators import predict, view
+from tessera.operators import edges, predict, view
 from tessera.sources import container
 
 
@@ -63,3 +63,13 @@ def test_replay(spark):
 def test_one_viewer_with_a_third_of_all_events(spark):
     df = spark.range(30000).selectExpr("if(id % 3 = 0, 0, id) viewer", "id seq", "64 width", "64 height", "'zoom' op", "1.0001 a", "3 b", "3 c")
     assert view.replay(df, (8, 8)).where("viewer = 0").count() == 10000
+
+
+def test_edge_signatures_like_single_images(spark):
+    rng = np.random.default_rng(11)
+    images = {k: rng.integers(0, 256, (h, w, 4), dtype=np.uint8) for k, (w, h) in enumerate([(7, 5), (1, 1), (40, 3), (2, 70)])}
+    got = {(r["image_id"], r["side"]): (r["edge"], r["q"]) for r in edges.edge_signatures(_rows(spark, images), 16).collect()}
+    for k, px in images.items():
+        for side, e in edges.signature(px, 16).items():
+            assert got.pop((k, side)) == (e.ravel().tolist(), edges.bucket(e))
+    assert not got

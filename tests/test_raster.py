@@ -7,7 +7,7 @@ from tessera.operators import layout, packing, predict
 
 
 def test_delta_round_trip(spark):
-    plane = [[10, 20, 30, 40], [12, 22, 28, 41], [14, 19, 32, 43]]
+    plane = [[(37 * x + 91 * y * y) % 256 for x in range(5)] for y in range(4)]
     df = spark.createDataFrame([(1, y, r) for y, r in enumerate(plane)], "image_id long, y long, row array<long>")
     out = df.select("y", R.undelta_row(R.delta_row(F.col("row"))).alias("r")).orderBy("y").collect()
     assert [r["r"] for r in out] == plane
@@ -16,7 +16,7 @@ def test_delta_round_trip(spark):
 
 
 def test_every_transform_round_trips(spark):
-    rgb = zip([0, 17, 128, 255, 42, 201], [255, 19, 127, 0, 42, 11], [5, 200, 128, 1, 99, 77])
+    rgb = [((83 * k) % 256, (255 - 29 * k) % 256, (k * k * 7) % 256) for k in range(24)] + [(0, 0, 0), (255, 255, 255), (0, 255, 0)]
     df = spark.createDataFrame([(1, 0, i, *c) for i, c in enumerate(rgb)], "image_id long, y long, x long, r long, g long, b long")
     back = predict.restored(predict.transformed(df)).groupBy("transform").agg(F.sort_array(F.collect_list(F.struct("x", "r", "g", "b"))).alias("p")).collect()
     assert len(back) == 4 and len({str(r["p"]) for r in back}) == 1
