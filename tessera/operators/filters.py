@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import raster as R
@@ -99,3 +99,63 @@ def denoise(images: DataFrame) -> DataFrame:
             yield pa.record_batch([*batch.columns[:3], pa.array(bodies, pa.binary())], names=["image_id", "width", "height", "rgba"])
 
     return images.selectExpr("cast(image_id as bigint) image_id", "cast(width as bigint) width", "cast(height as bigint) height", "rgba").mapInArrow(run, "image_id long, width long, height long, rgba binary")
+
+
+def _near(c: str, i: Column) -> Column:
+    part = F.slice(F.col(c), F.greatest(i, F.lit(1)), F.least(i + 2, F.size(c)) - F.greatest(i, F.lit(1)) + 1)
+    return F.coalesce(part, F.expr("cast(array() as array<double>)"))
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+
+
+def _median_of(c: str) -> Column:
+    lists = F.transform(c, lambda v, i: F.sort_array(F.concat(_near(c, i), _near(f"_up_{c}", i), _near(f"_down_{c}", i))))
+    return F.transform(lists, lambda s: F.get(s, F.floor(F.size(s) / 2).cast("int")))
+
+
+def _mean_along(c: str, radius: int) -> Column:
+    low, high = (lambda i: F.greatest(i - radius, F.lit(0))), (lambda i: F.least(i + radius, F.size(c) - 1))
+    return F.transform(c, lambda v, i: _sum(F.slice(c, low(i) + 1, high(i) - low(i) + 1)) / (high(i) - low(i) + 1))
+
+
+def _mean_of(lines: str, c: str) -> Column:
+    return F.transform(c, lambda v, i: F.aggregate(lines, F.lit(0.0), lambda a, line: a + F.get(line, i)) / F.size(lines))
+
+
+def smoothed(rows: DataFrame, radii: dict[str, int]) -> DataFrame:
+    """rows (image_id, y and planes of doubles) with _s_<plane> for each plane: its 3 x 3 median, then blurred by the plane's
+    radius along and across; windows over whole rows of an image, which end at the borders."""
+    by, out = Window.partitionBy("image_id").orderBy("y"), rows
+    out = out.withColumns({f"{n}{c}": f(c).over(by) for c in radii for n, f in (("_up_", F.lag), ("_down_", F.lead))})
+    out = out.withColumns({f"_m_{c}": _median_of(c) for c in radii})
+    out = out.withColumns({f"_a_{c}": _mean_along(f"_m_{c}", r) for c, r in radii.items()})
+    out = out.withColumns({f"_l_{c}": F.collect_list(f"_a_{c}").over(by.rowsBetween(-r, r)) for c, r in radii.items()})
+    out = out.withColumns({f"_s_{c}": _mean_of(f"_l_{c}", c) for c in radii})
+    return out.select(*rows.columns, *[f"_s_{c}" for c in radii])
+
+
+def denoise_rows(rows: DataFrame) -> DataFrame:
+    """image_id, y, row of images (image_id, y, row of RGBA) denoised, by column expressions on whole rows: what denoised()
+    does to an image. Images with a side under 3 stay as they are."""
+    n = F.floor(F.size("row") / 4).cast("int")
+    at = lambda i, k: F.get("row", i * 4 + k).cast("double")
+    px = rows.select("image_id", "y", "row").withColumn("_h", F.count("*").over(Window.partitionBy("image_id")))
+    px = px.withColumn("_y", F.transform(F.sequence(F.lit(0), n - 1), lambda i: 0.299 * at(i, 0) + 0.587 * at(i, 1) + 0.114 * at(i, 2)))
+    px = px.withColumns({"_b": F.transform("_y", lambda v, i: at(i, 2) - v), "_r": F.transform("_y", lambda v, i: at(i, 0) - v)})
+    px = smoothed(px, {"_y": LUMA_RADIUS, "_b": CHROMA_RADIUS, "_r": CHROMA_RADIUS})
+    part = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
+    s = lambda c, i: F.get(f"_s__{c}", i)
+    told = F.transform("_y", lambda v, i: F.struct(v.alias("y"), part((170 - v) / 170).alias("dark"), part(F.abs(v - s("y", i)) / 45).alias("detail"), part((v - 175) / 80).alias("bright")))
+    px = px.withColumn("_told", told)
+    colour = lambda t: (0.70 + t["dark"] * 0.28) * (1 - t["bright"] * 0.55)
+    grey = lambda t: F.pow(t["dark"], F.lit(1.25)) * 0.18
+    drawn = lambda c, i, t: (F.get(f"_{c}", i) + (s(c, i) - F.get(f"_{c}", i)) * colour(t)) * (1 - grey(t))
+    light = lambda i, t: t["y"] + (s("y", i) - t["y"]) * (F.pow(t["dark"], F.lit(0.85)) * 0.70 * (1 - t["detail"] * 0.45))
+    px = px.withColumn("_new", F.transform("_told", lambda t, i: F.struct(light(i, t).alias("y"), drawn("b", i, t).alias("b"), drawn("r", i, t).alias("r"))))
+    byte = lambda v: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), v + 0.5)))
+    red, blue = (lambda t: t["y"] + t["r"]), (lambda t: t["y"] + t["b"])
+    green = lambda t: (t["y"] - 0.299 * red(t) - 0.114 * blue(t)) / 0.587
+    done = F.flatten(F.transform("_new", lambda t, i: F.array(byte(red(t)), byte(green(t)), byte(blue(t)), F.get("row", i * 4 + 3).cast("long"))))
+    return px.select("image_id", "y", F.when((F.col("_h") < 3) | (n < 3), F.col("row")).otherwise(done).alias("row"))

@@ -105,7 +105,9 @@ def resize(rows: DataFrame, width: Column, height: Column, channels: int = 4, ra
     least. Rows of an image are of one width. An image without rows is none in the result.
     """
     sides = rows.groupBy("image_id").agg(F.count("*").alias("_h"), F.first(F.floor(F.size("row") / channels)).alias("_w"), F.first(width).cast("long").alias("_width"), F.first(height).cast("long").alias("_height"), F.first(radius if radius is not None else F.lit(None)).cast("long").alias("_given"))
-    sides = sides.withColumn("radius", F.coalesce("_given", F.greatest(F.lit(1).cast("long"), F.least("_w", "_h")) * ONE)).drop("_given", "_w")
+    sides = sides.withColumn("radius", F.coalesce("_given", F.greatest(F.lit(1).cast("long"), F.least("_w", "_h")) * ONE)).drop("_given")
+    if kernels is None:
+        kernels = blocks(sides.select(F.col("_w").alias("src"), F.col("_width").alias("dst"), "radius").union(sides.select("_h", "_height", "radius")))
     lines = rows.select("image_id", F.col("y").cast("long").alias("line"), "row").join(sides, "image_id")
     across = turned(resampled(lines.withColumn("dst", F.col("_width")), channels, kernels), channels).join(sides, "image_id")
     down = turned(resampled(across.withColumn("dst", F.col("_height")), channels, kernels), channels)

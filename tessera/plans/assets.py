@@ -260,13 +260,6 @@ def atlas_rects(spark, sf_dir):
     return met.select(F.col("image_id").cast("string").alias("grp"), "id", F.col("w").alias("width"), F.col("h").alias("height"), F.lit(4).alias("channels"), R.byte_total(own).alias("total"), R.byte_moment(own).alias("moment"))
 
 
-@query()
-def denoise(spark, sf_dir):
-    """No SQL: tests hold the filter against a slow one."""
-    out = filters.denoise(views.images(spark, sf_dir))
-    return out.select("image_id", "width", "height", R.byte_total(F.col("rgba")).alias("total"))
-
-
 @query("SELECT p_partkey AS id, least(p_size, greatest(1, (p_size * 30 + 32) // 64))::BIGINT AS side, p_size * 30 // 64 AS pad FROM part")
 def atlas_mip_scaling(spark, sf_dir):
     size = F.col("p_size").cast("long")

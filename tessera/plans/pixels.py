@@ -205,3 +205,32 @@ def green_cast_sampled(spark, sf_dir):
     px = counted.select("image_id", F.inline(quads)).selectExpr("image_id", "i", *_TINT)
     least = counted.groupBy("image_id").count().agg(F.min("count")).first()[0] or 1
     return filters.green_cast(px, least * 4)
+
+
+def _window(of: str, name: str, radii: dict[str, int]) -> str:
+    """3 x 3 medians of planes, then means along and across."""
+    lists = ", ".join(f"list_sort(list(b.{c})) AS m{c}" for c in radii)
+    along = ", ".join(f"avg(m{c}[len(m{c}) // 2 + 1]) OVER (PARTITION BY image_id, k ORDER BY x ROWS BETWEEN {r} PRECEDING AND {r} FOLLOWING) AS a{c}" for c, r in radii.items())
+    across = ", ".join(f"avg(a{c}) OVER (PARTITION BY image_id, x ORDER BY k ROWS BETWEEN {r} PRECEDING AND {r} FOLLOWING) AS s{c}" for c, r in radii.items())
+    return f"{name}1 AS (SELECT a.image_id, a.k, a.x, {lists} FROM {of} a JOIN {of} b ON b.image_id = a.image_id AND b.k BETWEEN a.k - 1 AND a.k + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY ALL), {name}2 AS (SELECT image_id, k, x, {along} FROM {name}1), {name} AS (SELECT image_id, k, x, {across} FROM {name}2)"
+
+
+_DENOISED = f"""WITH {_RGBA}, k AS (SELECT image_id, y, row_number() OVER (PARTITION BY image_id ORDER BY y) - 1 AS k FROM (SELECT DISTINCT image_id, y FROM rgba)),
+p AS (SELECT image_id, k, x, r::DOUBLE AS r, g::DOUBLE AS g, b::DOUBLE AS b, a, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS l FROM rgba JOIN k USING (image_id, y)),
+c AS (SELECT *, b - l AS cb, r - l AS cr FROM p), {_window("c", "s", {"l": 2, "cb": 5, "cr": 5})},
+t AS (SELECT *, least(greatest((170 - l) / 170, 0), 1) AS dark, least(greatest(abs(l - sl) / 45, 0), 1) AS detail, least(greatest((l - 175) / 80, 0), 1) AS bright FROM c JOIN s USING (image_id, k, x)),
+n AS (SELECT *, l + (sl - l) * (pow(dark, 0.85) * 0.70::DOUBLE * (1 - detail * 0.45::DOUBLE)) AS l2, (cb + (scb - cb) * ((0.70::DOUBLE + dark * 0.28::DOUBLE) * (1 - bright * 0.55::DOUBLE))) * (1 - pow(dark, 1.25) * 0.18::DOUBLE) AS cb2, (cr + (scr - cr) * ((0.70::DOUBLE + dark * 0.28::DOUBLE) * (1 - bright * 0.55::DOUBLE))) * (1 - pow(dark, 1.25) * 0.18::DOUBLE) AS cr2 FROM t),
+v AS (SELECT image_id, k, x, a, l2 + cr2 AS r, (l2 - 0.299::DOUBLE * (l2 + cr2) - 0.114::DOUBLE * (l2 + cb2)) / 0.587::DOUBLE AS g, l2 + cb2 AS b FROM n),
+d AS (SELECT image_id, k, x, a, {", ".join(f"floor(least(greatest({c} + 0.5, 0), 255))::BIGINT AS {c}" for c in "rgb")} FROM v)"""
+
+
+@query(_DENOISED + " SELECT image_id, k AS y, sum(r + g + b + a)::BIGINT AS total, sum(r * (4 * x + 1) + g * (4 * x + 2) + b * (4 * x + 3) + a * (4 * x + 4))::BIGINT AS moment FROM d GROUP BY image_id, k")
+def denoise_rows(spark, sf_dir):
+    return predict.summary(filters.denoise_rows(_counted(spark, sf_dir)), "row")
+
+
+@query(_DENOISED + " SELECT image_id, 16::BIGINT AS width, count(*) // 16 AS height, sum(r + g + b + a)::BIGINT AS total FROM d GROUP BY image_id")
+def denoise(spark, sf_dir):
+    """The filter on whole images, one at a time."""
+    out = filters.denoise(views.images(spark, sf_dir))
+    return out.select("image_id", "width", "height", R.byte_total(F.col("rgba")).alias("total"))
