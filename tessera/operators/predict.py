@@ -27,7 +27,12 @@ def residuals(rows: DataFrame) -> DataFrame:
 
 
 def undo_up(residual: DataFrame, column: str) -> DataFrame:
-    """Samples from up residuals: running sums down each column of an image, in one pass over its whole rows.
+    """image_id, y, x, p: the samples of undo_up_rows()."""
+    return undo_up_rows(residual.withColumn("image_id", F.col("image_id").cast("long")), column).select("image_id", "y", F.posexplode("row").alias("x", "p"))
+
+
+def undo_up_rows(residual: DataFrame, column: str) -> DataFrame:
+    """image_id, y, row from up residuals: running sums down each column of an image, in one pass over its whole rows.
 
     Rows of an image meet in one task in order of y and are folded with the sums so far, one row of memory for an image.
     """
@@ -46,10 +51,36 @@ def undo_up(residual: DataFrame, column: str) -> DataFrame:
             rows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat.astype(np.int64)))
             yield pa.record_batch([batch.column(0), batch.column(1), rows], names=["image_id", "y", "row"])
 
-    rows = residual.select(F.col("image_id").cast("long").alias("image_id"), F.col("y").cast("long").alias("y"), F.col(column).cast("array<bigint>").alias("e"))
+    rows = residual.select("image_id", F.col("y").cast("long").alias("y"), F.col(column).cast("array<bigint>").alias("e"))
     ordered = rows.repartition("image_id").sortWithinPartitions("image_id", "y")
-    whole = ordered.mapInArrow(run, "image_id long, y long, row array<bigint>")
-    return whole.select("image_id", "y", F.posexplode("row").alias("x", "p"))
+    return ordered.mapInArrow(run, f"image_id {rows.schema['image_id'].dataType.simpleString()}, y long, row array<bigint>")
+
+
+def restored_lines(lines: DataFrame) -> DataFrame:
+    """image_id, y, row of planes (image_id, predictor, y, row of residuals, y from 0), by each plane's own predictor."""
+    of = lambda kind: lines.where(F.col("predictor") == kind).select("image_id", F.col("y").cast("long").alias("y"), F.col("row").cast("array<bigint>").alias("row"))
+    delta = of("Delta").select("image_id", "y", R.undelta_row(F.col("row")).alias("row"))
+    return of("None").union(delta).union(undo_up_rows(of("Up"), "row")).union(undo_paeth(of("Paeth"), "row"))
+
+
+def assembled(planes: DataFrame) -> DataFrame:
+    """image_id, y, row of RGBA samples of the planes (image_id, channel, y, row) of images (also width, channels, alpha and
+    transform): the transform is undone, and an alpha without a plane is 255, or 0 where it is transparent."""
+    key = ["image_id", "width", "channels", "alpha", "transform"]
+    own = lambda c: F.max(F.when(F.col("channel") == c.upper(), F.col("row"))).alias(c)
+    lines = planes.groupBy(*key, "y").agg(*[own(c) for c in "rgba"])
+    more = lambda a, b: F.zip_with(a, b, lambda x, y: R.wrap(x + y))
+    base = {"SubGreen": "g", "SubRed": "r", "SubBlue": "b"}
+    undone = {}
+    for c in "rgb":
+        value = F.col(c)
+        for kind, b in base.items():
+            if b != c:
+                value = F.when(F.col("transform") == kind, more(F.col(c), F.col(b))).otherwise(value)
+        undone[c] = value
+    flat = F.array_repeat(F.when((F.col("channels") == 4) & (F.col("alpha") == "Transparent0"), 0).otherwise(255).cast("long"), F.col("width").cast("int"))
+    both = lines.select("image_id", "y", *[undone[c].alias(f"_{c}") for c in "rgb"], F.coalesce("a", flat).alias("_a"))
+    return both.select("image_id", "y", R.interleaved([F.col(f"_{c}") for c in "rgba"]).alias("row"))
 
 
 def undo_paeth(residual: DataFrame, column: str, tile: int = 64) -> DataFrame:

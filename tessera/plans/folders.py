@@ -140,3 +140,16 @@ def container_faults(spark, sf_dir):
     files = whole.where(n > 0).select("image_id", body.alias("content"))
     strict, lenient = container.inspect(files).select("image_id", "error"), container.inspect(files, strict=False).select("image_id", F.col("error").alias("less"))
     return strict.join(lenient, "image_id").select("image_id", F.col("error").isNull().alias("strict"), F.col("less").isNull().alias("lenient"), "error")
+
+
+@query(_DIGEST)
+def plane_decode(spark, sf_dir):
+    """Images whose predictors and transforms the encoder chose, or were told, decoded on rows from lines of streams."""
+    where, px = shared.folder(spark, "planes"), views.images(spark, sf_dir)
+    for k, kind in enumerate((None, "Paeth", "Up", "Delta", "None")):
+        some = px.where(F.col("image_id") % 5 == k).withColumn("name", F.format_string("image-%d.tile", "image_id"))
+        tiles.write(some, where, overwrite=False, profile="fast", **({"predictor": kind} if kind else {}))
+    rows = tiles.pixel_rows(spark, where, partitionBytes="20000").withColumnRenamed("image_id", "path").select(_id(), "y", "row")
+    total = R.total(F.col("row"))
+    sums = rows.groupBy("image_id").agg(F.max(F.floor(F.size("row") / 4)).alias("width"), F.count("*").alias("height"), F.lit(4).alias("channels"), F.sum(total).alias("total"), F.sum(R.moment(F.col("row")) + F.col("y") * F.size("row") * total).alias("moment"))
+    return sums.select("image_id", "width", "height", "channels", "total", "moment")

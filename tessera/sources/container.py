@@ -234,6 +234,41 @@ def pixels(head: dict, read: Ranges) -> bytes:
     return np.stack(planes, axis=-1).tobytes()
 
 
+def lines(file: pa.NativeFile, head: dict, stream: dict) -> Iterator[list[int]]:
+    """The lines of one stream of an open file, as residuals, or as samples of a mask; only a line is in memory."""
+    w, h = head["width"], head["height"]
+    mask = stream["channel"] == "A" and head["alpha"] == "Mask1Bit"
+    file.seek(stream["offset"])
+    rest = stream["comp_size"]
+
+    class Part:
+        def read(self, n: int = -1) -> bytes:
+            nonlocal rest
+            data = file.read(min(rest, n if n >= 0 else rest))
+            rest -= len(data)
+            return data
+
+    try:
+        with zstandard.ZstdDecompressor().stream_reader(Part()) as source:
+            bits, at = np.zeros(0, dtype=np.uint8), 0
+            for _ in range(h):
+                n = max(0, (w - (len(bits) - at) + 7) // 8) if mask else w
+                body = b""
+                while len(body) < n and (more := source.read(n - len(body))):
+                    body += more
+                if len(body) < n:
+                    raise ValueError(f"stream {stream['channel']}: it ends early")
+                raw = np.frombuffer(body, dtype=np.uint8)
+                if mask:
+                    bits = np.concatenate([bits[at:], np.unpackbits(raw, bitorder="little")])
+                    yield (bits[:w].astype(np.int64) * 255).tolist()
+                    at = w
+                else:
+                    yield raw.astype(np.int64).tolist()
+    except zstandard.ZstdError as e:
+        raise ValueError(f"stream {stream['channel']}: {e}") from e
+
+
 def unpack(data: bytes, strict: bool = True) -> tuple[dict, bytes]:
     """Header and RGBA bytes of a file that is there as a whole."""
     head = parse(data, strict)

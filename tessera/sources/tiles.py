@@ -24,8 +24,10 @@ import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as ds
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tessera.operators import predict
 from tessera.sources import container
 from tessera.sources.shared import opened
 
@@ -35,9 +37,10 @@ _HEAD = {
     "alpha": pa.string(), "transform": pa.string(), "plane_size": pa.int64(), "raw_planar_size": pa.int64(),
 }
 _FIELDS = {"path": pa.string(), "file_size": pa.int64(), **_HEAD, "stream_offset": pa.int64(), "end_offset": pa.int64(), "streams": container._FIELDS["streams"], "bytes_read": pa.int64(), "error": pa.string()}
-_SQL = {pa.int64(): "bigint", pa.int32(): "int", pa.string(): "string", pa.bool_(): "boolean", pa.binary(): "binary"}
+_SQL = {pa.list_(pa.int64()): "array<bigint>", pa.int64(): "bigint", pa.int32(): "int", pa.string(): "string", pa.bool_(): "boolean", pa.binary(): "binary"}
 #: What a read holds beside the fields above.
-_MORE = {"headers": {}, "metadata": {"meta": pa.binary()}, "pixels": {"meta": pa.binary(), "rgba": pa.binary()}}
+_LINES = {"channel": pa.string(), "predictor": pa.string(), "y": pa.int64(), "row": pa.list_(pa.int64())}
+_MORE = {"headers": {}, "metadata": {"meta": pa.binary()}, "pixels": {"meta": pa.binary(), "rgba": pa.binary()}, "lines": _LINES}
 _STAGING, _PENDING = "_staging", "_pending"
 _BATCH = 8 << 20
 
@@ -68,7 +71,9 @@ class Test:
 
 @dataclass
 class Files(ds.InputPartition):
-    files: list[tuple[str, int]]
+    """Files, each with its bytes and the number of the one stream that is read of it, or None."""
+
+    files: list[tuple[str, int, int | None]]
 
 
 def _fields(read: str) -> dict[str, pa.DataType]:
@@ -110,12 +115,14 @@ class TileReader(ds.DataSourceReader):
         for path, size in listing(self.root, self.extension):
             if not all(t({"path": path, "file_size": size}) for t in early):
                 continue
-            cost = size if self.read_kind == "pixels" else 0
-            if room_files < 1 or room_bytes < cost:
-                out.append(Files([]))
-                room_files, room_bytes = self.most_files, self.most_bytes
-            out[-1].files.append((path, size))
-            room_files, room_bytes = room_files - 1, room_bytes - cost
+            cost = size if self.read_kind in ("pixels", "lines") else 0
+            for stream in range(4) if self.read_kind == "lines" else (None,):
+                part = cost if stream is None else cost // 4
+                if room_files < 1 or room_bytes < part:
+                    out.append(Files([]))
+                    room_files, room_bytes = self.most_files, self.most_bytes
+                out[-1].files.append((path, size, stream))
+                room_files, room_bytes = room_files - 1, room_bytes - part
         return out or [Files([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
@@ -123,7 +130,11 @@ class TileReader(ds.DataSourceReader):
         late = [t for t in self.tests if t.column in _HEAD]
         schema = pa.schema(_fields(self.read_kind).items())
         rows, held = [], 0
-        for path, size in partition.files:
+        for path, size, stream in partition.files:
+            if stream is not None:
+                for batch in self._lines(fs, path, size, stream, late):
+                    yield pa.RecordBatch.from_pylist(batch, schema=schema)
+                continue
             row = self._row(fs, path, size, late)
             if row is not None:
                 rows.append(row)
@@ -155,6 +166,28 @@ class TileReader(ds.DataSourceReader):
             return None if late else {"path": path, "file_size": size, "bytes_read": read[0], "error": str(e)}
 
 
+    def _lines(self, fs: pyarrow.fs.FileSystem, path: str, size: int, stream: int, late: list[Test]) -> Iterator[list[dict]]:
+        """Batches of the residual lines of one stream, decompressed as they are needed; a bad file is one row of its
+        first stream."""
+        try:
+            with fs.open_input_file(path) as f:
+                head = container.walk(lambda at, n: f.read_at(n, at), size, self.strict, False, lambda h: all(t(h) for t in late))
+                if head is None or stream >= len(head["streams"]):
+                    return
+                s, rows, held = head["streams"][stream], [], 0
+                known = {**head, "path": path, "file_size": size, "channel": s["channel"], "predictor": s["predictor"]}
+                for y, line in enumerate(container.lines(f, head, s)):
+                    rows.append({**known, "y": y, "row": line})
+                    held += 200 + 8 * len(line)
+                    if held > _BATCH:
+                        yield rows
+                        rows, held = [], 0
+                yield rows
+        except (ValueError, OSError) as e:
+            if stream == 0 and not late:
+                yield [{"path": path, "file_size": size, "error": str(e)}]
+
+
 @dataclass
 class Staged(ds.WriterCommitMessage):
     """What a task attempt has written: name, staged path and bytes of each file."""
@@ -250,7 +283,7 @@ def recover(root: str) -> int:
 
 
 class TileSource(ds.DataSource):
-    """Options: path; read: headers, metadata or pixels; strict; extension; partitionFiles, partitionBytes; of writes
+    """Options: path; read: headers, metadata, pixels, or lines (a row for each line of residuals of each stream); strict; extension; partitionFiles, partitionBytes; of writes
     profile and predictor."""
 
     @classmethod
@@ -279,6 +312,17 @@ def read(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return spark.read.format("tiles").options(**options).load(path)
 
 
+def pixel_rows(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """image_id (the path), y, row of RGBA of the containers of a folder. Streams are read by tasks of their own, line by
+    line, and predictors and transforms are undone on rows, so that no task holds an image. Bad files are left out."""
+    lines = read(spark, path, read="lines", **options).where("error is null")
+    plane = lines.withColumn("image_id", F.struct("path", "channel"))
+    rows = predict.restored_lines(plane.select("image_id", "predictor", "y", "row"))
+    heads = lines.where("y = 0").select(F.struct("path", "channel").alias("image_id"), "width", "channels", "alpha", "transform")
+    met = rows.join(heads, "image_id").select(F.col("image_id.path").alias("path"), F.col("image_id.channel").alias("channel"), "y", "row", "width", "channels", "alpha", "transform")
+    return predict.assembled(met.withColumnRenamed("path", "image_id"))
+
+
 def write(tiles: DataFrame, path: str, overwrite: bool = True, **options: str) -> None:
     """Writes name and content, or name, width, height, rgba and perhaps channels and meta, as one file a row."""
     register(tiles.sparkSession)

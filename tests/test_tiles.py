@@ -51,9 +51,9 @@ def test_pushed_filters(spark, folder):
     left = list(reader.pushFilters([tiles.ds.GreaterThan(("width",), 8), tiles.ds.StringContains(("path",), "/d0/"), tiles.ds.IsNull(("error",)), tiles.ds.EqualTo(("nowhere", "deep"), 1)]))
     assert len(left) == 2
     parts = reader.partitions()
-    assert [len(p.files) for p in parts] == [2, 2] and all("/d0/" in f for p in parts for f, _ in p.files)
+    assert [len(p.files) for p in parts] == [2, 2] and all("/d0/" in f for p in parts for f, _, _ in p.files)
     fs, _ = tiles.opened(str(folder))
-    small = next((f, s) for p in parts for f, s in p.files if "t00" in f)
+    small = next((f, s) for p in parts for f, s, _ in p.files if "t00" in f)
     assert reader._row(fs, *small, [t for t in reader.tests if t.column == "width"]) is None
 
 
@@ -78,7 +78,7 @@ def test_bad_files_say_why_and_filters_drop_them(spark, folder):
 def test_partitions_by_bytes(folder):
     reader = tiles.TileReader({"path": str(folder), "read": "pixels", "partitionBytes": "6000"})
     parts = reader.partitions()
-    assert len(parts) > 2 and all(sum(s for _, s in p.files[:-1]) < 6000 for p in parts)
+    assert len(parts) > 2 and all(sum(s for _, s, _ in p.files[:-1]) < 6000 for p in parts)
     assert sum(len(p.files) for p in parts) == 12
 
 
@@ -131,3 +131,28 @@ def test_attempts_that_nobody_reports_are_dropped(spark, folder):
     (lost / "0").write_bytes(b"half")
     writer.commit([None, tiles.Staged([])])
     assert not (folder / "_staging" / writer.job).exists() and len(_files(folder)) == 12
+
+
+def test_pixels_from_lines(spark, folder):
+    """All alpha modes and chosen predictors, streams in tasks of their own; a bad file doesn't harm the others."""
+    (folder / "bad.tile").write_bytes(b"VRTX")
+    good = (folder / "d0" / "t00.tile").read_bytes()
+    (folder / "cut.tile").write_bytes(good[:60])
+    reader = tiles.TileReader({"path": str(folder), "read": "lines", "partitionFiles": "1"})
+    assert len(reader.partitions()) == 4 * 14
+    got = {}
+    for r in tiles.pixel_rows(spark, str(folder), partitionFiles="5").orderBy("image_id", "y").collect():
+        got.setdefault(r["image_id"][-11:], []).append(bytes(r["row"]))
+    assert {n: b"".join(lines) for n, lines in got.items()} == {r[0][-11:]: bytes(r[3]) for r in _rows()}
+    bad = tiles.read(spark, str(folder), read="lines").where("error is not null").collect()
+    assert sorted(os.path.basename(r["path"]) for r in bad) == ["bad.tile", "cut.tile"]
+    assert tiles.read(spark, str(folder), read="lines").where("width >= 10 and channel = 'G'").select("path").distinct().count() == sum(r[1] >= 10 for r in _rows())
+
+
+@pytest.mark.parametrize("kind", container.PREDICTORS)
+def test_lines_of_every_predictor(spark, tmp_path, kind):
+    px = image(9, 7, lambda x, y: (x + y) % 2 * 255)
+    df = spark.createDataFrame([("a.tile", 9, 7, bytearray(px)), ("b.tile", 9, 7, bytearray(image(9, 7)))], "name string, width int, height int, rgba binary")
+    tiles.write(df, str(tmp_path / "t"), predictor=kind)
+    rows = tiles.pixel_rows(spark, str(tmp_path / "t")).orderBy("image_id", "y").collect()
+    assert b"".join(bytes(r["row"]) for r in rows) == px + image(9, 7)
