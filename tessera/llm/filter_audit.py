@@ -13,7 +13,7 @@ import json
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -72,8 +72,7 @@ def mask_counts(failed: DataFrame, labels: DataFrame, spec: Audit = Audit()) ->
     named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n"))
     texts = same.groupBy(*key).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("doc_id").isNull(), F.col("n")).otherwise(0)).alias("unnamed"), F.min(named).alias("first"))
     # A text's rows are now one for each part and pair of labels.
-    one = F.struct("part", "mask", *_LABELS, "n", "unnamed", "first")
-    texts = texts.groupBy("digest").agg(F.collect_list(one).alias("rows"), F.min("first.doc_id").alias("least")).select("least", F.inline("rows"))
+    texts = texts.withColumn("least", F.min("first.doc_id").over(Window.partitionBy("digest")))
     kept = F.col("unnamed") + F.when(F.col("first.doc_id") == F.col("least"), F.col("first.n")).otherwise(0)
     both = F.array(F.struct(F.col("mask").alias("mask"), kept.alias("n")), F.struct((F.col("mask") + bit).alias("mask"), (F.col("n") - kept).alias("n")))
     split = texts.select("part", *_LABELS, F.explode(both).alias("m")).select("part", *_LABELS, "m.mask", "m.n")
