@@ -32,8 +32,9 @@ _SPREAD = 5
 @dataclass(frozen=True)
 class Curves:
     """k: neighbours; every: queries are the ids that it divides; curves, dims, bits: of the orderings; sample: rows that
-    fit the curves, about; asked: queries answered exactly to set the window, about; recall: share of their neighbours that
-    it must find; block: rows of a block, about; wave: curves whose rows are shuffled at once."""
+    fit the curves, about, and values: numbers in these rows at most; asked: queries answered exactly to set the window,
+    about; recall: share of their neighbours that it must find; block: rows of a block, about; wave: curves whose rows are
+    shuffled at once."""
 
     k: int = 10
     every: int = 100
@@ -41,6 +42,7 @@ class Curves:
     dims: int = 8
     bits: int = 6
     sample: int = 16384
+    values: int = 1 << 22
     asked: int = 256
     recall: float = 0.96
     block: int = 8192
@@ -94,7 +96,7 @@ class Ordering:
         self.shares = np.linspace(0, 1, 257)
         self.axes, self.knots, self.shifts, self.keys, self.at = [], [], [], [], []
         for _ in range(spec.curves):
-            self.axes.append(np.linalg.qr(rng.standard_normal((dim, dim)))[0][:, :dims])
+            self.axes.append(np.linalg.qr(rng.standard_normal((dim, dims)))[0])
             self.knots.append(np.quantile(sample @ self.axes[-1], self.shares, axis=0))
             self.shifts.append(rng.random(dims))
             self.keys.append(np.zeros(0))
@@ -263,7 +265,7 @@ def neighbours(rows: DataFrame, spec: Curves = Curves(), spark: SparkSession | N
     n, asking = have.count(), queries.count()
     if not n or not asking:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    ordering = Ordering(matrix(_share(have, spec.sample, n, spec.seed)["v"], dim), spec)
+    ordering = Ordering(matrix(_share(have, min(spec.sample, max(256, spec.values // dim)), n, spec.seed)["v"], dim), spec)
     some = _share(queries, spec.asked, asking, spec.seed + 1)
     asked, asked_id = matrix(some["v"], dim), some["id"].to_numpy()
     near = _exact(have, asked, asked_id, spec.k).toArrow()
