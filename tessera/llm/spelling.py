@@ -263,6 +263,7 @@ def variants(docs: DataFrame, spec: Spelling = Spelling(), spark: SparkSession |
     near = scratch.keep(near_words(words, spec))
     told = words.join(near, "id", "left").withColumn("better", F.when(-F.col("best.n") >= F.col("n") * spec.ratio, F.col("best")))
     told = scratch.keep(told.select("id", "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), "better"))
+    scratch.drop(words, near)
     ends = roots(told.where("better is not null").select("id", F.col("better.id").alias("to"), F.col("better.word").alias("word")), scratch)
     out = told.join(ends, "id", "left")
     return out.select("word", F.col("better.word").alias("form"), F.coalesce("root", "word").alias("root"), "n", "n_near", (-F.col("better.n")).alias("form_n"))
