@@ -270,6 +270,8 @@ def neighbours(rows: DataFrame, spec: Curves = Curves(), spark: SparkSession | N
     asked, asked_id = matrix(some["v"], dim), some["id"].to_numpy()
     near = _exact(have, asked, asked_id, spec.k).toArrow()
     width = window(ordering, asked, matrix(near["v"], dim), near["asked"].to_numpy(), spec)
+    # A window also holds k rows beside the query's own, on either side and twice over, so that few rows are all met.
+    width = max(width, 2 * (spec.k + 1) / n)
 
     blocks = math.ceil(n / spec.block)
     tiles = math.ceil(asking * (2 * width + 1 / blocks) / spec.block)

@@ -73,6 +73,15 @@ def test_few_rows_and_none(spark):
     assert _got(cn.neighbours(_rows(spark, two), spec, spark)) == _slow(two, 10, 100)
 
 
+@pytest.mark.parametrize("n", [5, 11, 12, 40])
+def test_all_candidates_if_they_are_few(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(100 * i if i < n // 2 + 1 else i, rng.standard_normal(12).tolist()) for i in range(n)]
+    got, want = _got(cn.neighbours(_rows(spark, rows), cn.Curves(recall=0.5), spark)), _slow(rows, 10, 100)
+    assert {q: len(v) for q, v in got.items()} == {q: len(v) for q, v in want.items()}
+    assert n > 12 or got == want
+
+
 @pytest.mark.parametrize("noise", [0.02, 0.3])
 def test_recall_and_narrow_windows_where_data_allow(spark, noise):
     rng = np.random.default_rng(1)
