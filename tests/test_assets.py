@@ -181,6 +181,34 @@ def test_missing_items_and_points_outside(spark):
     assert sorted(((r["sheet"], r["px"], r["py"], r["id"]) for r in layout.rect_at(points, rects).collect()), key=str) == sorted([("s", 69, 69, 3), ("s", 69, 65, 2), ("s", 0, 0, None), ("t", 69, 69, None), ("s", 200, 65, 2), ("s", 200, 65, 2)], key=str)
 
 
+def test_points_meet_few_rows_however_many_rectangles_overlap(spark):
+    n, free = 3000, 40
+    rects = [("s", 10 + k, k * 7 % free - 9, k * 13 % free - 9, 1 + k % 50, 51 - k % 50) for k in range(n)] + [("s", 1, -5, -5, 0, 9), ("t", 2, 3, 3, 1 << 20, 1 << 20)]
+    points = [("s", k * 11 % 90 - 12, k * 17 % 90 - 12) for k in range(n)] + [("t", 1 << 19, 3), ("t", 2, 3), ("s", None, 1), (None, 1, 1)]
+    df = layout.rect_at(spark.createDataFrame(points, "sheet string, px long, py long"), spark.createDataFrame(rects, "sheet string, id long, x long, y long, w long, h long"))
+    inside = lambda p, r: p[0] == r[0] and None not in p and r[2] <= p[1] < r[2] + r[4] and r[3] <= p[2] < r[3] + r[5]
+    known = {p: min((r[1] for r in rects if inside(p, r)), default=None) for p in set(points)}
+    got = df.collect()
+    assert sorted(((r["sheet"], r["px"], r["py"], r["id"]) for r in got), key=str) == sorted(((*p, known[p]) for p in points), key=str)
+    # Pairs of points and rectangles of one place, which the lookup once made, are n * n / 4 here.
+    plan = df._jdf.queryExecution().executedPlan()
+    joined = []
+
+    def walk(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        if "Join" in name and node.metrics().contains("numOutputRows"):
+            joined.append(node.metrics().apply("numOutputRows").value())
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+
+    walk(plan)
+    assert joined and max(joined) < n * 100
+
+
 # --- files
 
 
