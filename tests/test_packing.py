@@ -83,3 +83,34 @@ def test_area_sheets_like_those_in_memory(spark):
 def test_one_group_with_all_rows(spark):
     rects = spark.range(60000).selectExpr("'one' grp", "id", "1 + id % 7 w", "1 + id % 5 h")
     assert packing.shelf_pack(rects, 16384, 0).where("placed").count() == 60000
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_sheets_in_turn_like_one_by_one(seed, monkeypatch):
+    rng = random.Random(seed)
+    top, limit = [(40, 70), (9, 12), (64, 64), (5, 128), (30, 33), (2, 7)][seed]
+    items = [(rng.randrange(1, top + 1), rng.randrange(1, top + 1)) for _ in range(1500)]
+    items = [i for i in items if max(i) + 2 <= limit]
+    items = items if seed % 2 else [items[k] for k in _ordered(items)]
+    slow, looks = [], 0
+    place = packing.Sheet.place
+
+    def counted(self, w, h):
+        nonlocal looks
+        looks += 1
+        return place(self, w, h)
+
+    monkeypatch.setattr(packing.Sheet, "place", counted)
+    fast = packing.Sheets(limit, 1)
+    got = [fast.place(w, h) for w, h in items]
+    # A look places a rectangle or closes a shelf that holds one.
+    assert looks <= 2 * len(items)
+    for (w, h), found in zip(items, got, strict=True):
+        for k in range(len(slow) + 1):
+            if k == len(slow):
+                slow.append(packing.Sheet(limit, 1))
+            at = place(slow[k], w, h)
+            if at is not None:
+                break
+        assert found == (k, *at)
+    assert fast.place(limit, 1) is None
