@@ -4,6 +4,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -349,6 +350,18 @@ def test_tiff(spark, order):
     assert numbers == {0x112: [6], 0x14A: [100, 200], 0x999: None}
 
 
+def test_small_files_share_batches(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, run, schema: made.append(run))
+    files = spark.createDataFrame([], "path string, content binary")
+    data = struct.pack("<2sHI", b"II", 42, 8) + ifd("<", [(0x100, 3, 1, b"\1\0\0\0")], 0)
+    batch = pa.record_batch([pa.array([f"f{k}" for k in range(500)]), pa.array([data] * 499 + [None], pa.binary())], names=["path", "content"])
+    for of, each in ((tiff.entries, 1), (images.decoded, 1)):
+        of(files)
+        out = list(made.pop()(iter([batch])))
+        assert len(out) == 1 and out[0].num_rows == 500 * each and out[0].column(0).to_pylist() == batch.column(0).to_pylist()
+
+
 # --- resource packs
 
 
