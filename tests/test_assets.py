@@ -124,6 +124,25 @@ def test_atlas_holds_every_image(spark):
     assert sheet["side"] == layout.search_side(sorted(sizes, key=lambda s: (-s[0] * s[1], -max(s))), 64, 1)
 
 
+def test_images_cut_out_of_sheets(spark):
+    sizes = [(4, 4), (2, 300), (9, 1), (5, 5)]
+    rows = [("7", i, w, h, bytearray(px(w, h, i).tobytes())) for i, (w, h) in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "grp string, id long, width int, height int, rgba binary")
+    made = atlas.sheets(df, atlas.Options(pad=1, profile="fast")).select(F.col("grp").cast("long").alias("image_id"), "content")
+    got = atlas.cut_out(made.union(spark.createDataFrame([(8, bytearray(b"no"))], "image_id long, content binary"))).collect()
+    assert {(r["image_id"], r["id"], r["width"], r["height"], bytes(r["rgba"])) for r in got if r["error"] is None} == {(7, i, w, h, bytes(b)) for _, i, w, h, b in rows}
+    assert [r["image_id"] for r in got if r["error"]] == [8] and len(got) == 5
+
+
+def test_sheets_are_drawn_in_strips(monkeypatch):
+    items = [atlas.Item(0, px(3, 2000, 1)), atlas.Item(1, px(40, 2, 2))]
+    most, zeros = [0], np.zeros
+    monkeypatch.setattr(container, "STRIP", 1 << 14)
+    monkeypatch.setattr(np, "zeros", lambda shape, *a, **k: (most.append(int(np.prod(shape))), zeros(shape, *a, **k))[1])
+    (sheet,) = atlas.build(items, atlas.Options(pad=1, profile="fast"))
+    assert max(most) <= 4 << 14 < sheet["side"] ** 2 and len(unpacked(sheet["content"])[1]) == sheet["side"]
+
+
 def test_smallest_file_of_the_orders_stays():
     items = [atlas.Item(i, px(8, 8, i % 3)) for i in range(6)]
     (best,) = atlas.build(items, atlas.Options(limit=64, profile="fast"))

@@ -73,3 +73,26 @@ def test_inspect_and_decode_say_what_is_wrong(spark):
     files = spark.createDataFrame([(1, bytearray(container.pack(image(4, 4), 4, 4))), (2, bytearray(b"no")), (3, None)], "image_id long, content binary")
     assert {r["image_id"]: r["error"] for r in container.inspect(files).collect()} == {1: None, 2: "not a container", 3: "not a container"}
     assert {r["image_id"]: r["width"] for r in container.decode(files).collect()} == {1: 4, 2: None, 3: None}
+
+
+@pytest.mark.parametrize("kind", [None, "Paeth", "Up", "Delta", "None"])
+@pytest.mark.parametrize("alpha", ["Normal", "Mask1Bit", "Opaque255", "Transparent0"])
+def test_strips_like_the_whole(kind, alpha, monkeypatch):
+    rng = np.random.default_rng(5)
+    px = np.add.outer(np.arange(37) * 3, np.arange(11) * 7)[..., None].repeat(4, 2).astype(np.uint8) + rng.integers(0, 9, (37, 11, 4), dtype=np.uint8)
+    px[..., 3] = {"Normal": px[..., 3], "Mask1Bit": px[..., 3] % 2 * 255, "Opaque255": 255, "Transparent0": 0}[alpha]
+    want = container.parse(container.pack(px.tobytes(), 11, 37, predictor=kind))
+    monkeypatch.setattr(container, "STRIP", 1)
+    most = 0
+
+    def rows(y, end):
+        nonlocal most
+        most = max(most, end - y) if y or end < 37 else most
+        return px[y:end]
+
+    data = container.pack_rows(rows, 11, 37, predictor=kind)
+    head = container.parse(data)
+    same = ("alpha", "transform", "qval")
+    assert [head[k] for k in same] == [want[k] for k in same] and [s["predictor"] for s in head["streams"]] == [s["predictor"] for s in want["streams"]]
+    assert container.unpack(data)[1] == px.tobytes() and head["alpha"] == alpha and most == 8
+    assert b"".join(p.tobytes() for _, p in container.strips(head, data)) == px.tobytes()
