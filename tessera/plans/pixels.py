@@ -87,13 +87,14 @@ _BRANDS = "r AS (SELECT p_brand AS sheet, p_partkey AS id, p_size::BIGINT AS w,
 s AS (SELECT sheet, max(x + w) + 2 AS width FROM o GROUP BY sheet)
 SELECT sheet, y, max(width) AS n, coalesce(sum(CASE WHEN y - 1 < h THEN (w + 2) * (id % 250 + 1) END), 0)::BIGINT + coalesce(sum(CASE WHEN y - 1 >= h AND y - 2 < h THEN (w + 2) * (id % 250 + 1) END), 0)::BIGINT AS total FROM o JOIN s USING (sheet), (SELECT unnest(range(52))::BIGINT AS y) GROUP BY sheet, y""")
 def brand_sheets(spark, sf_dir):
-    """A rectangle of one value for each part, in one row on the sheet of its brand; x by running sums, padding of one."""
-    r = views.rects(spark, sf_dir).withColumnRenamed("grp", "sheet")
-    at = layout.offsets(r.withColumn("step", F.col("w") + 2), "sheet", "id", "step").select("sheet", "id", (F.col("offset") + 1).alias("x"), F.lit(1).cast("long").alias("y"), "w", "h")
+    """A rectangle of one value for each part, in one row on the sheet of its brand; x by running sums, padding of one.
+    Rows keep the place of their part, so parts of one key, on one sheet or on several, stay apart."""
+    r = views.rects(spark, sf_dir).withColumnRenamed("grp", "sheet").withColumn("step", F.col("w") + 2)
+    at = layout.offsets(r, "sheet", "id", "step").select("sheet", "id", (F.col("offset") + 1).alias("x"), F.lit(1).cast("long").alias("top"), "w", "h")
     value = F.array_repeat((F.col("id") % 250 + 1).cast("long"), F.col("w").cast("int"))
-    rows = r.select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("h") - 1)).alias("y"), value.alias("row"))
+    rows = at.select("sheet", "x", "top", "h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("h") - 1)).alias("y"), value.alias("row"))
     sizes = at.groupBy("sheet").agg((F.max(F.col("x") + F.col("w")) + 1).alias("width"), F.lit(52).cast("long").alias("height"))
-    made = compose.sheets(rows, at, sizes, 1, 1)
+    made = compose.composed(compose.padded(rows, 1, 1), sizes, 1)
     return made.select("sheet", "y", F.size("row").cast("long").alias("n"), R.total(F.col("row")).alias("total"))
 
 

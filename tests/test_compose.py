@@ -1,9 +1,11 @@
 """Sheets by rows and mip chains by rounds, against NumPy on whole images."""
 
+import duckdb
 import numpy as np
 import pytest
 
 from tessera.operators import compose, mips
+from tessera.plans import registry
 
 
 def _rows(spark, images, channels):
@@ -45,6 +47,15 @@ def test_overlaps_are_an_error(spark):
         compose.sheets(_rows(spark, images, 1), placed, sizes, 0, 1).collect()
 
 
+def test_brand_sheets_of_parts_that_share_a_key(spark, tmp_path):
+    parts = [(7, "a", 3), (7, "a", 5), (7, "b", 4), (8, "b", 2), (300, "a", 1), (300, "b", 50)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    got = registry.QUERIES["brand_sheets"](spark, str(tmp_path)).select("sheet", "y", "n", "total")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(db.execute(f"SELECT sheet, y, n, total FROM ({registry.ORACLES['brand_sheets']})").fetchall())
+
+
 @pytest.mark.parametrize("levels", [None, 0, 2])
 def test_chains_like_single_images(spark, levels):
     images = _images(4, [(12, 6), (1, 9), (1, 1), (33, 20)])
