@@ -153,9 +153,9 @@ def viewport_replay(spark, sf_dir):
 
 @query(f"WITH {_ROWS} SELECT (image_id % 3)::INT AS grp, 0::BIGINT AS sheet, image_id AS id, w AS width, h AS height, sum(v)::BIGINT AS total, sum(v * ((y * w + x) * 4 + c + 1))::BIGINT AS moment FROM l0 GROUP BY image_id, w, h")
 def atlas_rows(spark, sf_dir):
-    """Images packed into three sheets, composed by rows and cut out of these again."""
+    """Images packed into three sheets, composed by rows and cut out of these again; longer images have longer sheets."""
     rows = _counted(spark, sf_dir).select((F.col("image_id") % 3).cast("int").alias("grp"), F.col("image_id").alias("id"), "y", "row")
-    back = compose.cut_out(*atlas.area_sheets(rows, 1024))
+    back = compose.cut_out(*atlas.area_sheets(rows, 1024, longer=True))
     return _sums(back.select(F.col("sheet.grp").alias("grp"), F.col("sheet.sheet").alias("sheet"), F.col("id.id").alias("id"), "y", "row"), "grp", "sheet", "id")
 
 

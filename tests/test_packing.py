@@ -2,10 +2,12 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
 from tessera.operators import atlas, layout, packing
+from tessera.plans import registry
 
 
 def _rects(spark, groups):
@@ -114,3 +116,34 @@ def test_sheets_in_turn_like_one_by_one(seed, monkeypatch):
                 break
         assert found == (k, *at)
     assert fast.place(limit, 1) is None
+
+
+def test_sheets_of_images_longer_than_the_limit(spark):
+    rng = np.random.default_rng(6)
+    sizes = {"tall": [(3, 90), (20, 30), (9, 4), (22, 2)], "wide": [(60, 2), (5, 5), (30, 30)], "low": [(9, 4), (4, 9), (12, 12)]}
+    images = {(g, i): rng.integers(1, 256, (h, w, 4), dtype=np.uint8) for g, items in sizes.items() for i, (w, h) in enumerate(items)}
+    rows = spark.createDataFrame([(g, i, y, [int(v) for v in px[y].ravel()]) for (g, i), px in images.items() for y in range(len(px))], "grp string, id long, y long, row array<bigint>").repartition(4)
+    made, placed = atlas.area_sheets(rows, 24, 1, longer=True)
+    got = {}
+    for r in made.orderBy("sheet", "y").collect():
+        got.setdefault(tuple(r["sheet"]), []).append(r["row"])
+    spots = {(r["id"]["grp"], r["id"]["id"]): (r["sheet"]["sheet"], r["x"], r["y"]) for r in placed.collect()}
+    assert spots.keys() == images.keys() and len(got) == len({(g, s) for (g, _), (s, _, _) in spots.items()})
+    for (g, i), (s, x, y) in spots.items():
+        sheet = np.array(got[g, s], dtype=np.uint8).reshape(len(got[g, s]), -1, 4)
+        h, w = images[g, i].shape[:2]
+        assert np.array_equal(sheet[y - 1 : y + h + 1, x - 1 : x + w + 1], np.pad(images[g, i], ((1, 1), (1, 1), (0, 0)), mode="edge"))
+        # Only the direction in which an image is too long goes beyond the limit, as far as the image needs.
+        assert sheet.shape[1] <= (62 if g == "wide" else 24) and sheet.shape[0] <= {"tall": 92, "wide": 32, "low": 24}[g]
+    plain, at = atlas.area_sheets(rows.where("grp = 'low'"), 24, 1)
+    assert sorted(plain.collect()) == sorted(made.where("sheet.grp = 'low'").collect()) and sorted(at.collect()) == sorted(placed.where("sheet.grp = 'low'").collect())
+    with pytest.raises(Exception, match="fits no sheet"):
+        atlas.area_sheets(rows, 24, 1)
+
+
+def test_atlas_rows_of_more_than_a_thousand_rows(spark, tmp_path):
+    spark.range(1060).selectExpr("id vec_id", "int(if(id < 1050, 4, id % 3)) label", "transform(sequence(1, 64), k -> float((id * 7 + k * 13) % 50 / 50 - 0.4)) embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    got = registry.QUERIES["atlas_rows"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(db.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.ORACLES['atlas_rows']})").fetchall())
