@@ -2,9 +2,12 @@
 
 import os
 
+import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from tessera.plans import registry
 from tessera.sources import images, packfile, packs, tiles, walk
 
 
@@ -112,3 +115,14 @@ def test_encoding_a_folder_with_links(spark, tmp_path):
     done = images.encode_folder(spark, str(root), profile="fast")
     assert tuple(images.counts(done).first()) == (2, 0, 2)
     assert _tree(tmp_path / "ENCODED") == ["a/x.tile", "b/x.tile"]
+
+
+@pytest.mark.parametrize("name", ["png_roundtrip", "planar_raw", "container_inspect", "tile_headers", "folder_counts", "encoded_pixels"])
+def test_images_over_the_strict_side(spark, tmp_path, name):
+    spark.range(22_003).selectExpr("id vec_id", "int(if(id < 22001, 0, 2)) label", "transform(sequence(1, 64), k -> float((id * 7 + k * 13) % 50 / 50 - 0.4)) embedding").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.range(9).selectExpr("id s_suppkey", "concat('s', id) s_name").write.parquet(f"{tmp_path}/supplier.parquet")
+    db = duckdb.connect()
+    for t in ("embeddings", "supplier"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = registry.QUERIES[name](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(db.execute(f"""SELECT {", ".join(f'"{c}"' for c in got.columns)} FROM ({registry.ORACLES[name]})""").fetchall())
