@@ -52,3 +52,25 @@ def test_stats(spark):
     want = {r[0]: resample.taps(*r[1:5], v) for r, v in zip(rows, radius, strict=True)}
     got = {r["image_id"]: r["taps"] for r in kernels.resize_stats(df).collect()}
     assert got == want
+
+
+def test_bands_reach_all_their_samples_and_hold_few_lines(spark):
+    sizes = [(s, d, r * resample.ONE) for s, d, r in [*SIZES, (5001, 2500, 16), (4000, 8, 16), (7, 3000, 3), (900, 450, 200)]]
+    df = spark.createDataFrame(sizes, "src long, dst long, radius long")
+    sent = df.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("src") - 1)).alias("line")).select("src", "dst", "radius", "line", F.explode(kernels._reached()).alias("band"))
+    need = kernels.bands(df).select("src", "dst", "radius", "band", F.inline("kernel")).select("src", "dst", "radius", "band", "i", F.inline("taps")).withColumnRenamed("s", "line")
+    key = ["src", "dst", "radius", "band"]
+    assert need.count() == kernels.taps(df).count() and need.join(sent, [*key, "line"], "left_anti").count() == 0
+    held = sent.groupBy(*key).agg(F.count("*").alias("n"), (F.max("line") - F.min("line") + 1).alias("span"))
+    assert held.where("n <> span").count() == 0
+    # A line of a whole image was one row before, of as many samples as the image has lines.
+    assert held.where("n > 4 * greatest(shiftright(radius, 32), 32) + 8 + ceil(src / dst)").count() == 0
+
+
+def test_a_tall_image_in_many_bands(spark):
+    px = np.random.default_rng(8).integers(0, 256, (701, 5, 4), dtype=np.uint8)
+    df = spark.createDataFrame([(1, y, [int(v) for v in line.ravel()]) for y, line in enumerate(px)], "image_id long, y long, row array<bigint>").repartition(3)
+    down = kernels.bands(spark.createDataFrame([(701, 350, 5 * resample.ONE)], "src long, dst long, radius long"))
+    assert down.select("band").distinct().count() > 5
+    got = [r["row"] for r in kernels.resize(df, F.lit(2), F.lit(350)).orderBy("y").collect()]
+    assert got == resample.resize_pixels(px, 2, 350, 5 * resample.ONE).reshape(350, -1).tolist()
